@@ -1,0 +1,331 @@
+"""SQL twins of the registered queries, written for DuckDB over the supplied views.
+
+Derived fixtures are rebuilt here as CTEs from the same rules stated in
+``gatelens.plans.fixtures`` (fixed values are shared; the logic is SQL).
+"""
+
+from __future__ import annotations
+
+from gatelens.functions.lexicon import INJECTION_BIAS, INJECTION_CUES, INSULT_WORDS
+from gatelens.functions.patterns import ordered_rules
+from gatelens.operators.detection import LEET_SIGNALS, ROLEPLAY_SIGNALS
+from gatelens.plans import fixtures as fx
+
+ORACLES: dict[str, str] = {}
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def lst(xs) -> str:
+    return "[" + ", ".join(q(x) for x in xs) + "]"
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n"
+
+
+NL = "chr(10)"
+
+# ------------------------------------------------------------------ fixture CTEs
+FLAT = f"""flat AS (
+  SELECT conv_id, string_agg(coalesce(role, 'unknown') || ': ' || coalesce(text, ''), {NL} ORDER BY turn) AS prompt
+  FROM conversations GROUP BY conv_id)"""
+
+ATTACK = f"""attack_corpus AS (
+  SELECT conv_id,
+    CASE WHEN conv_id % 5 IN (0, 1) THEN prompt || {NL} || 'user: ' || {lst(fx.ATTACK_PHRASES)}[(conv_id // 5) % 8 + 1]
+         WHEN conv_id % 11 = 3 THEN prompt || {NL} || 'user: ' || {q(fx.DECOY_PHRASE)}
+         ELSE prompt END AS prompt,
+    CAST(CASE WHEN conv_id % 5 IN (0, 1) THEN 1 ELSE 0 END AS INTEGER) AS label
+  FROM flat)"""
+
+SCORED = rf"""ld AS (
+  SELECT d.doc_id, d.text, d.source, d.lang, l.toxic AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+sc0 AS (
+  SELECT doc_id, label, text,
+    CAST(len(list_intersect(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> ''),
+                            {lst(INSULT_WORDS)})) AS DOUBLE) AS h,
+    CAST(5 + doc_id % 97 AS DOUBLE) AS latency_ms,
+    CAST((doc_id * 7919) % 1000 AS DOUBLE) / 1000.0 AS noise
+  FROM ld),
+sc1 AS (SELECT *, h / (h + 3.0) AS a FROM sc0),
+scored AS (
+  SELECT 'lex-a' AS model, doc_id, label, round(a, 6) AS prob, latency_ms, text FROM sc1
+  UNION ALL SELECT 'lex-b', doc_id, label, round(CAST(0.7 AS DOUBLE) * a + CAST(0.3 AS DOUBLE) * noise, 6), latency_ms, text FROM sc1
+  UNION ALL SELECT 'lex-c', doc_id, label, round(a * a, 6), latency_ms, text FROM sc1)"""
+
+VERDICT_TEXTS = f"""vt AS (
+  SELECT doc_id, replace({lst(fx.JUDGE_TEMPLATES)}[doc_id % 10 + 1], '{{S}}', source) AS raw FROM documents)"""
+
+VERDICTS = r"""vp1 AS (
+  SELECT doc_id, raw,
+    list_filter(list_transform(list_filter(string_split(raw, '```'), lambda x, i: i % 2 = 0),
+                               lambda x: regexp_replace(regexp_replace(x, '^[json]+', ''), '^\s+|\s+$', '', 'g')),
+                lambda x: starts_with(x, '{'))[1] AS first_obj
+  FROM vt),
+vp2 AS (
+  SELECT doc_id, raw, CASE WHEN contains(raw, '```') AND first_obj IS NOT NULL THEN first_obj ELSE raw END AS t FROM vp1),
+vp3 AS (
+  SELECT doc_id, raw, t, strpos(t, '{') AS st, strpos(reverse(t), '}') AS lb, length(t) - strpos(reverse(t), '}') + 1 AS en FROM vp2),
+vp4 AS (
+  SELECT doc_id, raw,
+    CASE WHEN st > 0 AND lb > 0 THEN CASE WHEN en >= st THEN substring(t, st, en - st + 1) ELSE '' END END AS cand FROM vp3),
+vp5 AS (
+  SELECT doc_id, raw, cand,
+    CASE WHEN cand IS NULL THEN 'no_object' WHEN NOT json_valid(cand) OR cand = '' THEN 'bad_json' END AS error FROM vp4),
+verdicts AS (
+  SELECT doc_id, raw,
+    CASE WHEN error IS NOT NULL THEN false
+         WHEN json_extract(cand, '$.injection') IS NULL THEN false
+         WHEN CAST(json_extract(cand, '$.injection') AS VARCHAR) IN ('false', 'null', '""', '[]', '{}') THEN false
+         WHEN regexp_full_match(CAST(json_extract(cand, '$.injection') AS VARCHAR), '-?0+(\.0*)?([eE][+-]?[0-9]+)?') THEN false
+         ELSE true END AS is_injection,
+    CASE WHEN error IS NOT NULL THEN ''
+         WHEN json_type(cand, '$.reason') IS NULL THEN ''
+         WHEN json_type(cand, '$.reason') = 'VARCHAR' THEN json_extract_string(cand, '$.reason')
+         WHEN json_type(cand, '$.reason') = 'NULL' THEN 'None'
+         WHEN json_type(cand, '$.reason') = 'BOOLEAN' THEN CASE WHEN CAST(json_extract(cand, '$.reason') AS VARCHAR) = 'true' THEN 'True' ELSE 'False' END
+         ELSE CAST(json_extract(cand, '$.reason') AS VARCHAR) END AS reason,
+    error
+  FROM vp5)"""
+
+
+def _rule_case(field: str, text: str = "prompt") -> str:
+    rs = ordered_rules()
+    parts = []
+    for r in rs:
+        rx = "(?is)" + r.regex
+        if field == "pattern_id":
+            v = q(r.id)
+        elif field == "severity":
+            v = q(r.severity)
+        elif field == "matched_text":
+            v = f"regexp_extract({text}, {q(rx)}, 0)"
+        elif field == "match_start":
+            v = f"CAST(length(regexp_extract({text}, {q('(?is)^(.*?)(?:' + r.regex + ')')}, 1)) AS INTEGER)"
+        elif field == "match_end":
+            v = (f"CAST(length(regexp_extract({text}, {q('(?is)^(.*?)(?:' + r.regex + ')')}, 1)) "
+                 f"+ length(regexp_extract({text}, {q(rx)}, 0)) AS INTEGER)")
+        parts.append(f"WHEN regexp_matches({text}, {q(rx)}) THEN {v}")
+    return "CASE " + " ".join(parts) + " END"
+
+
+def _scan_cols(text: str = "prompt") -> str:
+    return ",\n  ".join(f"{_rule_case(c, text)} AS {c}" for c in
+                        ["pattern_id", "severity", "matched_text", "match_start", "match_end"])
+
+
+def _lexical(text: str) -> str:
+    z = f"CAST({INJECTION_BIAS} AS DOUBLE)"
+    for c, w in INJECTION_CUES:
+        z += f" + CASE WHEN contains(lower(coalesce({text}, '')), {q(c)}) THEN CAST({w} AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
+    return f"round(1.0 / (1.0 + exp(-({z}))), 6)"
+
+
+def _category(text: str) -> str:
+    role = " OR ".join(f"contains(lower({text}), {q(s)})" for s in ROLEPLAY_SIGNALS)
+    leet = " OR ".join(f"contains(lower({text}), {q(s)})" for s in LEET_SIGNALS)
+    non_ascii = rf"length(regexp_replace({text}, '[\x00-\x7F]', '', 'g')) / greatest(length({text}), 1)"
+    b64 = (rf"len(list_filter(string_split_regex({text}, '[ \t\n\r\f\x0B]+'), lambda w: length(w) >= 20 AND "
+           rf"regexp_full_match(regexp_replace(w, '[+/=]', '', 'g'), '[\p{{L}}\p{{N}}]+'))) > 0")
+    return (f"CASE WHEN {role} THEN '[ROLE-PLAY]' WHEN {non_ascii} > 0.15 OR {b64} OR {leet} THEN '[OBFUSCATED]' "
+            f"ELSE '[INDIRECT]' END")
+
+
+SCAN = f"""scan AS (
+  SELECT conv_id, label, prompt,
+  {_scan_cols()}
+  FROM attack_corpus)"""
+
+DECISIONS = f"""dec0 AS (
+  SELECT *, coalesce(severity IN ('high', 'critical'), false) AS t1 FROM scan),
+dec1 AS (
+  SELECT *, CASE WHEN NOT t1 THEN {_lexical('prompt')} END AS ml_prob FROM dec0),
+decisions AS (
+  SELECT *, t1 OR coalesce(ml_prob >= 0.85, false) AS blocked,
+    CAST(CASE WHEN t1 THEN 1 WHEN coalesce(ml_prob >= 0.85, false) THEN 2 END AS INTEGER) AS tier_triggered,
+    CASE WHEN t1 THEN 'Prompt injection detected by pattern guard (pattern: ''' || pattern_id || ''', severity: ' || severity || ')'
+         WHEN coalesce(ml_prob >= 0.85, false) THEN 'Prompt injection detected by ML classifier' ELSE '' END AS reason
+  FROM dec1)"""
+
+# ------------------------------------------------------------------ 2.2
+ORACLES["flatten_prompts"] = with_(FLAT) + "SELECT conv_id, prompt FROM flat"
+
+ORACLES["last_user_text"] = """
+SELECT conv_id, coalesce(max_by(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END), '') AS user_text
+FROM conversations GROUP BY conv_id"""
+
+ORACLES["turn_pairs"] = """
+SELECT conv_id, turn, 'app_' || CAST(conv_id % 3 AS VARCHAR) AS app_id, request, response FROM (
+  SELECT conv_id, turn, role, coalesce(text, '') AS response,
+    coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (
+      PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS request
+  FROM conversations) WHERE role = 'assistant'"""
+
+ORACLES["split_system"] = f"""
+SELECT conv_id,
+  string_agg(CASE WHEN role = 'system' THEN text END, {NL} ORDER BY turn) AS system,
+  coalesce(string_agg(CASE WHEN role <> 'system' OR role IS NULL THEN coalesce(role, 'unknown') || ': ' || coalesce(text, '') END, {NL} ORDER BY turn), '') AS messages,
+  count(CASE WHEN role <> 'system' OR role IS NULL THEN 1 END) AS n_messages
+FROM conversations GROUP BY conv_id"""
+
+ORACLES["filter_clean_prompts"] = """
+SELECT source, count_if(length(text) BETWEEN 20 AND 512) AS kept, count_if(NOT (length(text) BETWEEN 20 AND 512)) AS dropped
+FROM documents GROUP BY source"""
+
+ORACLES["to_injection_prob"] = with_(SCORED, """raw AS (
+  SELECT model, doc_id, label,
+    CASE WHEN prob >= 0.5 THEN CASE model WHEN 'lex-a' THEN 'INJECTION' WHEN 'lex-b' THEN 'LABEL_1' ELSE 'harmful' END
+         ELSE CASE model WHEN 'lex-a' THEN 'SAFE' WHEN 'lex-b' THEN 'LABEL_0' ELSE 'benign' END END AS top_label,
+    CASE WHEN prob >= 0.5 THEN prob ELSE round(1.0 - prob, 6) END AS top_score
+  FROM scored)""") + """
+SELECT model, doc_id, top_label,
+  round(CASE WHEN contains(upper(top_label), 'INJECTION') OR contains(upper(top_label), 'MALICIOUS')
+              OR contains(upper(top_label), 'LABEL_1') OR contains(upper(top_label), 'HARMFUL')
+             THEN top_score ELSE 1.0 - top_score END, 6) AS prob
+FROM raw"""
+
+# ------------------------------------------------------------------ 2.3
+ORACLES["pattern_scan"] = with_(FLAT, ATTACK, SCAN) + """
+SELECT conv_id, label, pattern_id, severity, matched_text, match_start, match_end FROM scan"""
+
+_rules_values = ", ".join(f"({q(r.id)}, {q(r.severity)}, {i})" for i, r in enumerate(ordered_rules()))
+ORACLES["pattern_rollup"] = with_(FLAT, ATTACK, SCAN) + f"""
+SELECT r.pattern_id, r.severity, CAST(r.scan_order AS INTEGER) AS scan_order, count(s.conv_id) AS hits
+FROM (VALUES {_rules_values}) r(pattern_id, severity, scan_order)
+LEFT JOIN scan s ON s.pattern_id = r.pattern_id
+GROUP BY r.pattern_id, r.severity, r.scan_order"""
+
+ORACLES["scan_documents"] = f"""
+SELECT lang, pattern_id, severity, count(*) AS n_docs FROM (
+  SELECT lang, {_rule_case('pattern_id', 'text')} AS pattern_id, {_rule_case('severity', 'text')} AS severity FROM documents)
+GROUP BY lang, pattern_id, severity"""
+
+ORACLES["scan_pages"] = f"""
+SELECT tld, pattern_id, severity, count(*) AS n_docs FROM (
+  SELECT coalesce(regexp_extract(regexp_extract(url, '^https?://([^/]+)', 1), '\\.([a-z]+)$', 1), '') AS tld,
+    {_rule_case('pattern_id', 'html')} AS pattern_id, {_rule_case('severity', 'html')} AS severity FROM pages)
+GROUP BY tld, pattern_id, severity"""
+
+ORACLES["tier2_scores"] = with_(FLAT, ATTACK) + f"""
+SELECT conv_id, label, {_lexical('prompt')} AS ml_prob,
+  CASE WHEN {_lexical('prompt')} >= 0.85 THEN 'INJECTION' ELSE 'BENIGN' END AS ml_label
+FROM attack_corpus"""
+
+ORACLES["guard_decisions"] = with_(FLAT, ATTACK, SCAN, DECISIONS) + """
+SELECT conv_id, label, pattern_id, severity, ml_prob, blocked, tier_triggered, reason FROM decisions"""
+
+ORACLES["guard_dry_run"] = with_(FLAT, ATTACK, SCAN, DECISIONS) + """
+SELECT label, count(*) AS n, CAST(0 AS BIGINT) AS blocked, count_if(blocked) AS would_block,
+  count_if(blocked) AS dry_run_marked
+FROM decisions GROUP BY label"""
+
+ORACLES["judge_queue"] = with_(FLAT, ATTACK, SCAN, DECISIONS) + """
+SELECT conv_id, label, ml_prob FROM decisions WHERE NOT blocked AND ml_prob IS NOT NULL AND ml_prob BETWEEN 0.05 AND 0.40"""
+
+ORACLES["judge_verdicts"] = with_(VERDICT_TEXTS, VERDICTS) + """
+SELECT doc_id, is_injection, CASE WHEN is_injection THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence, reason, error FROM verdicts"""
+
+ORACLES["tier_disagreements"] = with_(SCORED, VERDICT_TEXTS, VERDICTS) + """
+SELECT s.model, s.doc_id, s.prob,
+  CASE WHEN v.is_injection IS NULL OR v.error IS NOT NULL THEN 'failed' WHEN v.is_injection THEN 'disagrees' ELSE 'agrees' END AS outcome
+FROM scored s LEFT JOIN verdicts v ON s.doc_id = v.doc_id
+WHERE s.model = 'lex-b' AND s.prob BETWEEN 0.05 AND 0.40"""
+
+ORACLES["attack_category"] = f"""
+SELECT lang, {_category('text')} AS category, count(*) AS n FROM documents GROUP BY ALL"""
+
+ORACLES["attack_category_corpus"] = with_(FLAT, ATTACK) + f"""
+SELECT conv_id, label, {_category('prompt')} AS category FROM attack_corpus"""
+
+# ------------------------------------------------------------------ 2.10
+_CONF = """count_if(prob >= 0.5 AND label = 1) AS tp, count_if(prob >= 0.5 AND label <> 1) AS fp,
+  count_if(prob < 0.5 AND label <> 1) AS tn, count_if(prob < 0.5 AND label = 1) AS fn"""
+
+
+def _prf_cols() -> str:
+    p = "CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END"
+    r = "CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END"
+    return (f"round({p}, 6) AS precision, round({r}, 6) AS recall, "
+            f"round(CASE WHEN ({p}) + ({r}) = 0 THEN 0.0 ELSE 2.0 * ({p}) * ({r}) / (({p}) + ({r})) END, 6) AS f1, "
+            f"round(CASE WHEN tp + fp + tn + fn = 0 THEN 0.0 ELSE (tp + tn) / (tp + fp + tn + fn) END, 6) AS accuracy")
+
+
+ORACLES["confusion"] = with_(SCORED) + f"SELECT model, {_CONF} FROM scored GROUP BY model"
+
+ORACLES["precision_recall_f1"] = with_(SCORED, f"c AS (SELECT model, {_CONF} FROM scored GROUP BY model)") + f"""
+SELECT model, tp, fp, tn, fn, {_prf_cols()} FROM c"""
+
+ORACLES["pr_curve"] = with_(SCORED, """th AS (SELECT CAST(round(0.10 + 0.05 * i, 2) AS DOUBLE) AS threshold FROM range(18) t(i))""",
+                            """c AS (
+  SELECT s.model, th.threshold, count_if(s.prob >= th.threshold AND s.label = 1) AS tp,
+    count_if(s.prob >= th.threshold AND s.label <> 1) AS fp, count_if(s.label = 1) AS npos
+  FROM scored s, th GROUP BY s.model, th.threshold)""") + """
+SELECT model, threshold, tp, fp,
+  round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision,
+  round(CASE WHEN npos = 0 THEN 0.0 ELSE tp / npos END, 6) AS recall,
+  round(CASE WHEN (CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END) + (CASE WHEN npos = 0 THEN 0.0 ELSE tp / npos END) = 0 THEN 0.0
+    ELSE 2.0 * (CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END) * (CASE WHEN npos = 0 THEN 0.0 ELSE tp / npos END)
+      / ((CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END) + (CASE WHEN npos = 0 THEN 0.0 ELSE tp / npos END)) END, 6) AS f1
+FROM c"""
+
+ORACLES["latency_summary"] = with_(SCORED) + """
+SELECT model, count(*) AS n,
+  round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms,
+  round(quantile_cont(latency_ms, 0.99), 4) AS p99_ms, round(count(*) / (sum(latency_ms) / 1000.0), 4) AS samples_per_s
+FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY doc_id) AS rn FROM scored) WHERE rn > 50
+GROUP BY model"""
+
+ORACLES["missed_attacks"] = with_(SCORED) + """
+SELECT model, CAST(rank AS INTEGER) AS rank, doc_id, prob, snippet FROM (
+  SELECT model, row_number() OVER (PARTITION BY model ORDER BY prob, doc_id) AS rank, doc_id, prob,
+    substring(text, 1, 300) AS snippet
+  FROM scored WHERE label = 1 AND prob < 0.5) WHERE rank <= 10"""
+
+ORACLES["miss_categories"] = with_(SCORED) + f"""
+SELECT model, category, n, round(n / sum(n) OVER (PARTITION BY model), 6) AS share FROM (
+  SELECT model, {_category('text')} AS category, count(*) AS n FROM scored WHERE label = 1 AND prob < 0.5 GROUP BY ALL)"""
+
+ORACLES["combined_recall"] = with_(SCORED, VERDICT_TEXTS, VERDICTS, """a AS (
+  SELECT s.model, count(*) AS positives, count_if(s.prob >= 0.5) AS tier2_tp, count_if(s.prob < 0.5) AS misses,
+    count_if(s.prob < 0.5 AND coalesce(v.is_injection AND v.error IS NULL, false)) AS judge_catches,
+    count_if(s.prob < 0.5 AND v.error IS NOT NULL) AS judge_errors
+  FROM scored s LEFT JOIN verdicts v ON s.doc_id = v.doc_id WHERE s.label = 1 GROUP BY s.model)""") + """
+SELECT *, round(CASE WHEN positives = 0 THEN 0.0 ELSE tier2_tp / positives END, 6) AS tier2_recall,
+  round(CASE WHEN positives = 0 THEN 0.0 ELSE (tier2_tp + judge_catches) / positives END, 6) AS combined_recall,
+  round(CASE WHEN misses = 0 THEN 0.0 ELSE judge_catches / misses END, 6) AS catch_rate,
+  round(CASE WHEN positives = 0 THEN 0.0 ELSE (tier2_tp + judge_catches) / positives END
+      - CASE WHEN positives = 0 THEN 0.0 ELSE tier2_tp / positives END, 6) AS recall_delta
+FROM a"""
+
+ORACLES["model_comparison"] = with_(SCORED, f"c AS (SELECT model, {_CONF} FROM scored GROUP BY model)",
+                                    """l AS (SELECT model, round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms,
+  round(quantile_cont(latency_ms, 0.99), 4) AS p99_ms FROM scored GROUP BY model)""") + f"""
+SELECT c.model, tp, fp, tn, fn, {_prf_cols()}, p50_ms, p99_ms FROM c JOIN l ON c.model = l.model"""
+
+
+def _bigint_counts(sql: str) -> str:
+    """DuckDB's count_if returns HUGEINT; wrap each call in a BIGINT cast to match Spark's count types."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
+
+
+def finalize() -> dict[str, str]:
+    return {k: _bigint_counts(v) for k, v in ORACLES.items()}
