@@ -171,3 +171,118 @@ def q_combined_recall(spark, sf):
 @register("model_comparison")
 def q_model_comparison(spark, sf):
     return ev.model_comparison(fx.scored(spark, sf), 0.5)
+
+
+# ------------------------------------------------------------------ 2.4 contracts
+from gatelens.operators import contracts as ct  # noqa: E402
+
+PAIR_KEYS = ["conv_id", "turn"]
+VERDICT_COLS = ["contract_id", "contract_type", "action", "tier", "passed", "compliance", "message", "evidence", "location"]
+
+
+def contract_defs(kinds=None):
+    defs, _ = ct.load_definitions(ct.CONTRACT_DIR)
+    if kinds is None:
+        return defs
+    return {a: [r for r in rs if r.type in kinds] for a, rs in defs.items()}
+
+
+def _verdicts_of(spark, sf, kinds=None):
+    p = fx.judged_pairs(spark, sf)
+    return ct.contract_verdicts(p, contract_defs(kinds), PAIR_KEYS, judge_raw="judge_raw")
+
+
+for _kind, _key in [("keyword", "contract_keyword"), ("regex", "contract_regex"), ("length_limit", "contract_length"),
+                    ("language_match", "contract_language"), ("sentiment", "contract_sentiment"),
+                    ("topic_boundary", "contract_topic"), ("llm_judge", "contract_judge"),
+                    ("composite", "contract_composite")]:
+    QUERIES[_key] = (lambda k: (lambda spark, sf: _verdicts_of(spark, sf, [k])))(_kind)
+
+
+@register("contract_schema")
+def q_contract_schema(spark, sf):
+    defs = {a: [ct.parse_contract(r) for r in rs] for a, rs in fx.EVENT_SCHEMA_RULES.items()}
+    v = ct.contract_verdicts(fx.event_payloads(spark, sf), defs, ["event_id"], response="event_type", request=None,
+                             payload="payload")
+    return v.select("event_id", "app_id", "contract_id", "action", "passed", "compliance", "message", "location")
+
+
+@register("contract_verdicts")
+def q_contract_verdicts(spark, sf):
+    return _verdicts_of(spark, sf)
+
+
+@register("contract_tiered")
+def q_contract_tiered(spark, sf):
+    return ct.contract_tiered(fx.judged_pairs(spark, sf), contract_defs(), PAIR_KEYS, judge_raw="judge_raw")
+
+
+@register("contract_report")
+def q_contract_report(spark, sf):
+    return ct.contract_report(fx.judged_pairs(spark, sf), contract_defs(), PAIR_KEYS, judge_raw="judge_raw")
+
+
+@register("contract_rollup")
+def q_contract_rollup(spark, sf):
+    return ct.contract_rollup(_verdicts_of(spark, sf))
+
+
+@register("judge_score_parse")
+def q_judge_score_parse(spark, sf):
+    p = fx.judged_pairs(spark, sf)
+    j = ct.judge_score_parse(F.col("judge_raw"))
+    return p.select("conv_id", "turn", j["score"].alias("score"), j["reasoning"].alias("reasoning"), j["path"].alias("path"))
+
+
+@register("judge_requests")
+def q_judge_requests(spark, sf):
+    return ct.judge_requests(fx.judged_pairs(spark, sf), contract_defs(), PAIR_KEYS)
+
+
+@register("resolve_path")
+def q_resolve_path(spark, sf):
+    e = fx.event_payloads(spark, sf)
+    k = ct.resolve_path(F.col("payload"), "k")
+    bad = ct.resolve_path(F.col("payload"), "k.0")
+    return e.groupBy("event_type").agg(
+        F.count("*").alias("n"),
+        F.sum(F.try_variant_get(k, "$", "bigint")).alias("k_sum"),
+        F.count_if(k.isNull()).alias("k_unresolved"),
+        F.round(F.avg(bad.isNull().cast("double")), 6).alias("bad_path_unresolved_rate"))
+
+
+@register("contract_catalog")
+def q_contract_catalog(spark, sf):
+    """Enabled rule ids per app with the traffic each app's rules will see."""
+    defs = contract_defs()
+    cat = spark.createDataFrame(
+        [(a, ",".join(sorted(r.id for r in rs if r.enabled)), sum(1 for r in rs if r.enabled)) for a, rs in sorted(defs.items())],
+        "app_id string, enabled_rules string, n_enabled int")
+    traffic = fx.judged_pairs(spark, sf).groupBy("app_id").agg(F.count("*").alias("responses"))
+    return F.broadcast(cat).join(traffic, "app_id", "left").select(
+        "app_id", "enabled_rules", "n_enabled", F.coalesce("responses", F.lit(0)).cast("long").alias("responses"))
+
+
+@register("contract_lint")
+def q_contract_lint(spark, sf):
+    """Lint findings for every rule file (valid and quarantined) with the responses each app receives."""
+    import glob as _g
+    import json as _j
+    import os as _o
+    rows = []
+    for d in (ct.CONTRACT_DIR, ct.INVALID_CONTRACT_DIR):
+        for path in sorted(_g.glob(_o.path.join(d, "*.json"))):
+            name = _o.path.basename(path)
+            try:
+                doc = _j.load(open(path, encoding="utf-8"))
+            except ValueError:
+                rows.append((name, None, None, "malformed JSON"))
+                continue
+            for c in doc.get("contracts", []):
+                for reason in ct.lint_contract(c):
+                    rows.append((name, doc.get("app_id"), c.get("id"), reason))
+    lint = spark.createDataFrame(rows, "file_name string, app_id string, contract_id string, reason string")
+    traffic = fx.judged_pairs(spark, sf).groupBy("app_id").agg(F.count("*").alias("affected_responses"))
+    return F.broadcast(lint).join(traffic, "app_id", "left").select(
+        "file_name", "app_id", "contract_id", "reason",
+        F.coalesce("affected_responses", F.lit(0)).cast("long").alias("affected_responses"))

@@ -161,3 +161,42 @@ def verdict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     tpl = F.element_at(F.array(*[F.lit(t) for t in JUDGE_TEMPLATES]), (F.col("doc_id") % 10 + 1).cast("int"))
     return d.select("doc_id", F.replace(tpl, F.lit("{S}"), F.col("source")).alias("raw"))
+
+
+# Judge score replies, one per parser path, chosen by (conv_id + turn) % 8.
+JUDGE_SCORE_TEMPLATES = [
+    '{"score": 0.92, "reasoning": "clear and polite"}',
+    '```json\n{"score": 0.35, "reasoning": "vague"}\n```',
+    "I would rate this 85 out of 100.",
+    "Score: 0.4 - the answer drifts.",
+    "No idea.",
+    '{"score": null, "reasoning": "n/a"}',
+    '{"reasoning": "forgot the score"}',
+    '{"score": "0.75", "reasoning": 3}',
+]
+
+
+def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turn_pairs plus the judge's raw reply for the pair (stands in for a returned verdict table)."""
+    from gatelens.operators.prompts import turn_pairs
+    tp = turn_pairs(conversations(spark, sf_dir))
+    tpl = F.element_at(F.array(*[F.lit(t) for t in JUDGE_SCORE_TEMPLATES]), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
+    return tp.withColumn("judge_raw", tpl)
+
+
+# Payload rule evaluated on events.props (schema contract over a JSON column).
+EVENT_SCHEMA_RULES = {
+    "app_0": [{"id": "props-shape", "name": "props shape", "type": "schema", "action": "block",
+               "json_schema": {"type": "object", "required": ["k"],
+                               "properties": {"k": {"type": "integer", "minimum": 5, "maximum": 90}}}}],
+    "app_1": [{"id": "props-k-range", "name": "k range", "type": "schema", "action": "flag", "target_field": "k",
+               "json_schema": {"type": "integer", "exclusiveMinimum": 10}}],
+    "app_2": [{"id": "props-missing", "name": "missing path", "type": "schema", "action": "log", "target_field": "k.0",
+               "json_schema": {"type": "integer"}}],
+}
+
+
+def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.concat(F.lit("app_"), (F.col("user_id") % 3).cast("string")).alias("app_id"),
+                    "event_type", F.try_parse_json("props").alias("payload"))
