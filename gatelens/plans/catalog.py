@@ -286,3 +286,65 @@ def q_contract_lint(spark, sf):
     return F.broadcast(lint).join(traffic, "app_id", "left").select(
         "file_name", "app_id", "contract_id", "reason",
         F.coalesce("affected_responses", F.lit(0)).cast("long").alias("affected_responses"))
+
+
+# ------------------------------------------------------------------ 2.5 drift
+from gatelens.operators import drift as dr  # noqa: E402
+
+DRIFT_CFG = dr.DriftConfig()
+FIRST_TICK, LAST_TICK = "2024-01-08", "2024-01-31"
+
+
+def _series(spark, sf):
+    return dr.compliance_series(fx.compliance_scores(spark, sf))
+
+
+@register("compliance_series")
+def q_compliance_series(spark, sf):
+    return _series(spark, sf).drop("ts")
+
+
+@register("scores_in_window")
+def q_scores_in_window(spark, sf):
+    return dr.scores_in_window(_series(spark, sf), fx.AS_OF, 24).drop("ts")
+
+
+@register("compliance_snapshot")
+def q_compliance_snapshot(spark, sf):
+    return dr.compliance_snapshot(_series(spark, sf), fx.AS_OF, 24)
+
+
+@register("drift_check")
+def q_drift_check(spark, sf):
+    return dr.drift_check(_series(spark, sf), fx.AS_OF, DRIFT_CFG, apps=["app_0"])
+
+
+@register("drift_all")
+def q_drift_all(spark, sf):
+    return dr.drift_check(_series(spark, sf), fx.AS_OF, DRIFT_CFG)
+
+
+@register("drift_severity")
+def q_drift_severity(spark, sf):
+    return dr.drift_severity_counts(dr.drift_check(_series(spark, sf), fx.AS_OF, DRIFT_CFG))
+
+
+@register("drift_summary")
+def q_drift_summary(spark, sf):
+    return dr.drift_summary(_series(spark, sf), fx.AS_OF, DRIFT_CFG)
+
+
+@register("drift_timeline")
+def q_drift_timeline(spark, sf):
+    return dr.drift_timeline(_series(spark, sf), FIRST_TICK, LAST_TICK, DRIFT_CFG)
+
+
+@register("daily_compliance")
+def q_daily_compliance(spark, sf):
+    return dr.daily_compliance(_series(spark, sf))
+
+
+@register("prune_retention")
+def q_prune_retention(spark, sf):
+    kept = dr.prune_retention(_series(spark, sf), fx.AS_OF, 20)
+    return kept.groupBy(*dr.KEY).agg(F.count("*").alias("retained"), F.min("ts_us").alias("oldest_ts_us"))

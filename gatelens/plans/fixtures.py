@@ -138,7 +138,12 @@ def compliance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(1.0))
     base = F.lit(1.0) - F.lit(0.5) * F.least(F.col("value") / F.lit(500.0), F.lit(1.0))
     return e.select(app.alias("app_id"), F.concat(F.lit("c_"), F.col("event_type")).alias("contract_id"),
-                    "ts", epoch_s("ts").alias("ts_s"), F.round(base * f, 4).alias("score"))
+                    "ts", epoch_s("ts").alias("ts_s"), round4(base * f).alias("score"))
+
+
+def round4(x):
+    """Half-up to 4 dp computed in binary (floor(x * 1e4 + 0.5) / 1e4): identical in every engine."""
+    return F.floor(x * F.lit(10000.0) + F.lit(0.5)).cast("double") / F.lit(10000.0)
 
 
 # Judge reply templates, one per parser branch; {S} is replaced by the document's source.

@@ -329,3 +329,80 @@ def _bigint_counts(sql: str) -> str:
 
 def finalize() -> dict[str, str]:
     return {k: _bigint_counts(v) for k, v in ORACLES.items()}
+
+
+# ------------------------------------------------------------------ 2.5 drift
+AS_OF_SQL = f"TIMESTAMP '{fx.AS_OF}'"
+SERIES = f"""cs AS (
+  SELECT 'app_' || CAST(user_id % 3 AS VARCHAR) AS app_id, 'c_' || event_type AS contract_id, ts,
+    floor((1.0 - 0.5 * least(value / 500.0, 1.0)) *
+      CASE WHEN ts > {AS_OF_SQL} - INTERVAL 24 HOUR AND event_type = 'click' THEN 0.7
+           WHEN ts > {AS_OF_SQL} - INTERVAL 24 HOUR AND event_type = 'error' AND user_id % 3 = 0 THEN 0.8
+           ELSE 1.0 END * 10000.0 + 0.5) / 10000.0 AS score
+  FROM events),
+series AS (SELECT DISTINCT app_id, contract_id, ts, epoch_us(ts) AS ts_us, round(score, 4) AS score FROM cs)"""
+
+
+def _win(hours) -> str:
+    return f"ts >= {AS_OF_SQL} - INTERVAL {int(hours)} HOUR AND ts <= {AS_OF_SQL}"
+
+
+STATS = f"""st AS (
+  SELECT app_id, contract_id,
+    count(*) FILTER (WHERE ts >= {AS_OF_SQL} - INTERVAL 24 HOUR) AS recent_n, count(*) AS baseline_n,
+    sum(CAST(round(score * 10000.0) AS BIGINT)) FILTER (WHERE ts >= {AS_OF_SQL} - INTERVAL 24 HOUR)
+      / count(*) FILTER (WHERE ts >= {AS_OF_SQL} - INTERVAL 24 HOUR) / 10000.0 AS recent_avg,
+    sum(CAST(round(score * 10000.0) AS BIGINT)) / count(*) / 10000.0 AS baseline_avg
+  FROM series WHERE {_win(168)} GROUP BY app_id, contract_id),
+alerts AS (
+  SELECT app_id, contract_id, round(baseline_avg, 4) AS baseline_avg, round(recent_avg, 4) AS recent_avg,
+    round((baseline_avg - recent_avg) / baseline_avg, 4) AS drop_pct,
+    CASE WHEN round((baseline_avg - recent_avg) / baseline_avg, 4) >= 0.25 THEN 'critical'
+         WHEN round((baseline_avg - recent_avg) / baseline_avg, 4) >= 0.15 THEN 'high'
+         WHEN round((baseline_avg - recent_avg) / baseline_avg, 4) >= 0.10 THEN 'medium' ELSE 'low' END AS severity,
+    24.0::DOUBLE AS window_hours, 168.0::DOUBLE AS baseline_hours
+  FROM st WHERE recent_n >= 10 AND baseline_n >= 10 AND baseline_avg > 0
+    AND (baseline_avg - recent_avg) / baseline_avg > 0.10)"""
+
+ORACLES["compliance_series"] = with_(SERIES) + "SELECT app_id, contract_id, ts_us, score FROM series"
+ORACLES["scores_in_window"] = with_(SERIES) + f"SELECT app_id, contract_id, ts_us, score FROM series WHERE {_win(24)}"
+ORACLES["compliance_snapshot"] = with_(SERIES) + f"""
+SELECT app_id, contract_id, round(sum(CAST(round(score * 10000.0) AS BIGINT)) / count(*) / 10000.0, 6) AS avg_score, count(*) AS sample_count, min(score) AS min_score,
+  max(score) AS max_score FROM series WHERE {_win(24)} GROUP BY app_id, contract_id"""
+ORACLES["drift_check"] = with_(SERIES, STATS) + "SELECT * FROM alerts WHERE app_id = 'app_0'"
+ORACLES["drift_all"] = with_(SERIES, STATS) + "SELECT * FROM alerts"
+ORACLES["drift_severity"] = with_(SERIES, STATS) + "SELECT app_id, severity, count(*) AS alerts FROM alerts GROUP BY ALL"
+ORACLES["drift_summary"] = with_(SERIES, STATS) + f"""
+SELECT k.app_id, k.contract_id, round(round(s.avg_score, 6), 4) AS avg_compliance, coalesce(s.n, 0) AS sample_count,
+  s.min_score, s.max_score, a.drop_pct, a.severity, CAST(a.severity IS NOT NULL AS INTEGER) AS alert_count
+FROM (SELECT DISTINCT app_id, contract_id FROM series) k
+LEFT JOIN (SELECT app_id, contract_id, sum(CAST(round(score * 10000.0) AS BIGINT)) / count(*) / 10000.0 AS avg_score, count(*) AS n, min(score) AS min_score, max(score) AS max_score
+           FROM series WHERE {_win(24)} GROUP BY ALL) s ON k.app_id = s.app_id AND k.contract_id = s.contract_id
+LEFT JOIN alerts a ON k.app_id = a.app_id AND k.contract_id = a.contract_id"""
+ORACLES["drift_timeline"] = with_(SERIES, """ticks AS (
+  SELECT CAST(t AS TIMESTAMP) AS tick FROM generate_series(DATE '2024-01-08', DATE '2024-01-31', INTERVAL 1 DAY) g(t)),
+keys AS (SELECT DISTINCT app_id, contract_id FROM series),
+tst AS (
+  SELECT k.app_id, k.contract_id, t.tick,
+    (SELECT count(*) FROM series s WHERE s.app_id = k.app_id AND s.contract_id = k.contract_id
+       AND s.ts >= t.tick - INTERVAL 24 HOUR AND s.ts <= t.tick) AS recent_n,
+    (SELECT count(*) FROM series s WHERE s.app_id = k.app_id AND s.contract_id = k.contract_id
+       AND s.ts >= t.tick - INTERVAL 168 HOUR AND s.ts <= t.tick) AS baseline_n,
+    (SELECT sum(CAST(round(score * 10000.0) AS BIGINT)) / count(*) / 10000.0 FROM series s WHERE s.app_id = k.app_id
+       AND s.contract_id = k.contract_id AND s.ts >= t.tick - INTERVAL 24 HOUR AND s.ts <= t.tick) AS recent_avg,
+    (SELECT sum(CAST(round(score * 10000.0) AS BIGINT)) / count(*) / 10000.0 FROM series s WHERE s.app_id = k.app_id
+       AND s.contract_id = k.contract_id AND s.ts >= t.tick - INTERVAL 168 HOUR AND s.ts <= t.tick) AS baseline_avg
+  FROM keys k, ticks t)""") + """
+SELECT app_id, contract_id, strftime(tick, '%Y-%m-%d') AS tick, recent_n, baseline_n,
+  coalesce(recent_n >= 10 AND baseline_n >= 10 AND baseline_avg > 0 AND (baseline_avg - recent_avg) / baseline_avg > 0.10, false) AS alert,
+  round(recent_avg, 4) AS recent_avg, round(baseline_avg, 4) AS baseline_avg
+FROM tst"""
+ORACLES["daily_compliance"] = with_(SERIES) + """
+SELECT app_id, contract_id, strftime(day, '%Y-%m-%d') AS day, n, round(mean, 6) AS mean_score,
+  coalesce((lag(mean) OVER w - mean) / lag(mean) OVER w > 0.10, false) AS drop_alert
+FROM (SELECT app_id, contract_id, CAST(ts AS DATE) AS day, count(*) AS n,
+        sum(CAST(round(score * 10000.0) AS BIGINT)) / count(*) / 10000.0 AS mean FROM series GROUP BY ALL)
+WINDOW w AS (PARTITION BY app_id, contract_id ORDER BY day)"""
+ORACLES["prune_retention"] = with_(SERIES) + f"""
+SELECT app_id, contract_id, count(*) AS retained, min(ts_us) AS oldest_ts_us
+FROM series WHERE ts > {AS_OF_SQL} - INTERVAL 20 DAY GROUP BY app_id, contract_id"""
