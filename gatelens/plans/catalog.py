@@ -348,3 +348,55 @@ def q_daily_compliance(spark, sf):
 def q_prune_retention(spark, sf):
     kept = dr.prune_retention(_series(spark, sf), fx.AS_OF, 20)
     return kept.groupBy(*dr.KEY).agg(F.count("*").alias("retained"), F.min("ts_us").alias("oldest_ts_us"))
+
+
+# ------------------------------------------------------------------ 2.6 rate limits
+from gatelens.operators import ratelimit as rl  # noqa: E402
+
+
+def _admission(spark, sf):
+    return rl.rate_admission(fx.rate_log(spark, sf), "user_id", "ts_ms", "event_id", fx.RATE_MAX, fx.RATE_WINDOW_S)
+
+
+def _as_of_ms():
+    import datetime as _dt
+    t = _dt.datetime.strptime(fx.AS_OF, "%Y-%m-%d %H:%M:%S").replace(tzinfo=_dt.timezone.utc)
+    return int(t.timestamp() * 1000)
+
+
+@register("rate_admission")
+def q_rate_admission(spark, sf):
+    return _admission(spark, sf).select("key", "ts_ms", "request_id", "admitted", "count_after")
+
+
+@register("rate_retry_after")
+def q_rate_retry_after(spark, sf):
+    return _admission(spark, sf).filter(~F.col("admitted")).select("key", "request_id", "retry_after", "retry_after_header")
+
+
+@register("rate_peek")
+def q_rate_peek(spark, sf):
+    return rl.rate_peek(_admission(spark, sf), _as_of_ms(), fx.RATE_WINDOW_S, fx.RATE_MAX)
+
+
+@register("rate_reset")
+def q_rate_reset(spark, sf):
+    log = rl.with_reset_epochs(fx.rate_log(spark, sf, exclude_signups=True), fx.rate_resets(spark, sf), "user_id", "ts_ms")
+    keyed = log.withColumn("fold_key", F.concat_ws(":", F.col("user_id").cast("string"), F.col("reset_epoch").cast("string")))
+    d = rl.rate_admission(keyed, "fold_key", "ts_ms", "event_id", fx.RATE_MAX, fx.RATE_WINDOW_S)
+    return d.select("key", "request_id", "admitted", "count_after")
+
+
+@register("rate_rollup")
+def q_rate_rollup(spark, sf):
+    return rl.rate_rollup(_admission(spark, sf))
+
+
+@register("rate_fixed_vs_sliding")
+def q_rate_fixed_vs_sliding(spark, sf):
+    return rl.rate_fixed_vs_sliding(fx.rate_log(spark, sf), "user_id", "ts_ms", 3600)
+
+
+@register("rate_leaky_bucket")
+def q_rate_leaky_bucket(spark, sf):
+    return rl.rate_leaky_bucket(fx.rate_log(spark, sf), "user_id", "ts_ms", "event_id", fx.LEAKY_RATE_PER_HOUR, fx.LEAKY_BURST)

@@ -205,3 +205,24 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.concat(F.lit("app_"), (F.col("user_id") % 3).cast("string")).alias("app_id"),
                     "event_type", F.try_parse_json("props").alias("payload"))
+
+
+# Replayed limiter rules (per user: 3 per day; leaky bucket 0.05 per hour, burst 2).
+RATE_MAX, RATE_WINDOW_S = 3, 86400
+LEAKY_RATE_PER_HOUR, LEAKY_BURST = 0.05, 2
+
+
+def rate_log(spark: SparkSession, sf_dir: str, exclude_signups: bool = False) -> DataFrame:
+    """Events as limiter calls: (user_id, ts_ms, event_id)."""
+    from gatelens.operators.ratelimit import epoch_ms
+    e = table(spark, sf_dir, "events")
+    if exclude_signups:
+        e = e.filter(F.col("event_type") != "signup")
+    return e.select("user_id", epoch_ms("ts").alias("ts_ms"), "event_id")
+
+
+def rate_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signup clears the user's window (admin reset)."""
+    from gatelens.operators.ratelimit import epoch_ms
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
+    return e.select("user_id", epoch_ms("ts").alias("ts_ms"))

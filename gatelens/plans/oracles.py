@@ -406,3 +406,75 @@ WINDOW w AS (PARTITION BY app_id, contract_id ORDER BY day)"""
 ORACLES["prune_retention"] = with_(SERIES) + f"""
 SELECT app_id, contract_id, count(*) AS retained, min(ts_us) AS oldest_ts_us
 FROM series WHERE ts > {AS_OF_SQL} - INTERVAL 20 DAY GROUP BY app_id, contract_id"""
+
+
+# ------------------------------------------------------------------ 2.6 rate limits
+def _admission_sql(src: str, M: int, W: int) -> str:
+    keep = f"list_filter(f.win, lambda x: x > o.ts_ms - {W})"
+    return f"""o AS (SELECT key, ts_ms, request_id, row_number() OVER (PARTITION BY key ORDER BY ts_ms, request_id) AS rn FROM {src}),
+f AS (
+  SELECT key, rn, ts_ms, request_id, [ts_ms] AS win, true AS admitted, 1 AS count_after, CAST(NULL AS DOUBLE) AS retry_after
+  FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.key, o.rn, o.ts_ms, o.request_id,
+    CASE WHEN len({keep}) >= {M} THEN {keep} ELSE list_append({keep}, o.ts_ms) END,
+    len({keep}) < {M},
+    CASE WHEN len({keep}) >= {M} THEN len({keep}) ELSE len({keep}) + 1 END,
+    CASE WHEN len({keep}) >= {M} THEN greatest(0.0, ((list_min({keep}) + {W}) - o.ts_ms) / 1000) END
+  FROM f JOIN o ON o.key = f.key AND o.rn = f.rn + 1)"""
+
+
+RATE_SRC = "rl AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ts_ms, event_id AS request_id FROM events)"
+_W = fx.RATE_WINDOW_S * 1000
+ORACLES["rate_admission"] = "WITH RECURSIVE " + RATE_SRC + ",\n" + _admission_sql("rl", fx.RATE_MAX, _W) + """
+SELECT key, ts_ms, request_id, admitted, CAST(count_after AS INTEGER) AS count_after FROM f"""
+ORACLES["rate_retry_after"] = "WITH RECURSIVE " + RATE_SRC + ",\n" + _admission_sql("rl", fx.RATE_MAX, _W) + """
+SELECT key, request_id, retry_after, CAST(trunc(retry_after) AS INTEGER) AS retry_after_header FROM f WHERE NOT admitted"""
+
+
+def _as_of_ms_sql() -> int:
+    import datetime as _dt
+    return int(_dt.datetime.strptime(fx.AS_OF, "%Y-%m-%d %H:%M:%S").replace(tzinfo=_dt.timezone.utc).timestamp() * 1000)
+
+
+ORACLES["rate_peek"] = "WITH RECURSIVE " + RATE_SRC + ",\n" + _admission_sql("rl", fx.RATE_MAX, _W) + f"""
+SELECT k.key, coalesce(u.used, 0) AS used, greatest(0, {fx.RATE_MAX} - coalesce(u.used, 0)) AS remaining,
+  CASE WHEN u.oldest_ms IS NOT NULL THEN (u.oldest_ms + {_W}) / 1000.0 ELSE {_as_of_ms_sql() / 1000.0} END AS reset_at
+FROM (SELECT DISTINCT key FROM f) k
+LEFT JOIN (SELECT key, count(*) AS used, min(ts_ms) AS oldest_ms FROM f
+           WHERE admitted AND ts_ms > {_as_of_ms_sql() - _W} AND ts_ms <= {_as_of_ms_sql()} GROUP BY key) u ON k.key = u.key"""
+
+ORACLES["rate_reset"] = "WITH RECURSIVE " + f"""ev AS (SELECT user_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ts_ms, event_id, event_type = 'signup' AS is_reset FROM events),
+ep AS (SELECT *, sum(CASE WHEN is_reset THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts_ms, is_reset DESC
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch FROM ev),
+rr AS (SELECT CAST(user_id AS VARCHAR) || ':' || CAST(epoch AS VARCHAR) AS key, ts_ms, event_id AS request_id FROM ep WHERE NOT is_reset),
+""" + _admission_sql("rr", fx.RATE_MAX, _W) + """
+SELECT key, request_id, admitted, CAST(count_after AS INTEGER) AS count_after FROM f"""
+
+ORACLES["rate_rollup"] = "WITH RECURSIVE " + RATE_SRC + ",\n" + _admission_sql("rl", fx.RATE_MAX, _W) + """
+SELECT 'ratelimit' AS prefix, key, count(*) FILTER (WHERE admitted) AS allowed, count(*) FILTER (WHERE NOT admitted) AS rejected_429
+FROM f GROUP BY key"""
+
+ORACLES["rate_fixed_vs_sliding"] = """WITH rl AS (SELECT user_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ts_ms FROM events),
+fx AS (SELECT user_id, max(n) AS max_fixed FROM (SELECT user_id, floor(ts_ms / 3600000) AS b, count(*) AS n FROM rl GROUP BY ALL) GROUP BY user_id),
+sl AS (SELECT user_id, max(n) AS max_sliding FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts_ms
+        RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS n FROM rl) GROUP BY user_id)
+SELECT fx.user_id, max_fixed, max_sliding, max_sliding > max_fixed AS boundary_burst FROM fx JOIN sl ON fx.user_id = sl.user_id"""
+
+_RMPH = int(round(fx.LEAKY_RATE_PER_HOUR * 1000))
+_LIMIT = fx.LEAKY_BURST * 1000
+ORACLES["rate_leaky_bucket"] = "WITH RECURSIVE " + RATE_SRC + f""",
+o AS (SELECT key, ts_ms, request_id, row_number() OVER (PARTITION BY key ORDER BY ts_ms, request_id) AS rn FROM rl),
+f AS (
+  SELECT key, rn, ts_ms, request_id, true AS admitted, CAST(0 AS BIGINT) AS excess_milli, CAST(0 AS BIGINT) AS st_excess, ts_ms AS st_last
+  FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.key, o.rn, o.ts_ms, o.request_id,
+    greatest(f.st_excess - ({_RMPH} * (o.ts_ms - f.st_last)) // 3600000 + 1000, 0) <= {_LIMIT},
+    CASE WHEN greatest(f.st_excess - ({_RMPH} * (o.ts_ms - f.st_last)) // 3600000 + 1000, 0) <= {_LIMIT}
+         THEN greatest(f.st_excess - ({_RMPH} * (o.ts_ms - f.st_last)) // 3600000 + 1000, 0) ELSE f.st_excess END,
+    CASE WHEN greatest(f.st_excess - ({_RMPH} * (o.ts_ms - f.st_last)) // 3600000 + 1000, 0) <= {_LIMIT}
+         THEN greatest(f.st_excess - ({_RMPH} * (o.ts_ms - f.st_last)) // 3600000 + 1000, 0) ELSE f.st_excess END,
+    CASE WHEN greatest(f.st_excess - ({_RMPH} * (o.ts_ms - f.st_last)) // 3600000 + 1000, 0) <= {_LIMIT} THEN o.ts_ms ELSE f.st_last END
+  FROM f JOIN o ON o.key = f.key AND o.rn = f.rn + 1)
+SELECT key, ts_ms, request_id, admitted, excess_milli FROM f"""
