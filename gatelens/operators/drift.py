@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatelens.functions.numeric import half_up
 from gatelens.sources.tables import epoch_us
 
 KEY = ["app_id", "contract_id"]
@@ -67,7 +68,7 @@ def scores_in_window(series: DataFrame, as_of: str, hours: float) -> DataFrame:
 def compliance_snapshot(series: DataFrame, as_of: str, hours: float = 24.0) -> DataFrame:
     """avg/n/min/max per key in the window; keys without samples produce no row."""
     w = scores_in_window(series, as_of, hours)
-    return w.groupBy(*KEY).agg(F.round(_mean(F.sum(_units()), F.count("*")), 6).alias("avg_score"),
+    return w.groupBy(*KEY).agg(half_up(_mean(F.sum(_units()), F.count("*")), 6).alias("avg_score"),
                                F.count("*").alias("sample_count"),
                                F.min("score").alias("min_score"), F.max("score").alias("max_score"))
 
@@ -83,8 +84,8 @@ def _window_stats(series: DataFrame, as_of: str, cfg: DriftConfig) -> DataFrame:
 
 def _alert_cols(cfg: DriftConfig, extra: list | None = None) -> list[Column]:
     drop = F.try_divide(F.col("baseline_avg") - F.col("recent_avg"), F.col("baseline_avg"))
-    drop_r = F.round(drop, 4)
-    return (extra or []) + [F.round("baseline_avg", 4).alias("baseline_avg"), F.round("recent_avg", 4).alias("recent_avg"),
+    drop_r = half_up(drop, 4)
+    return (extra or []) + [half_up("baseline_avg", 4).alias("baseline_avg"), half_up("recent_avg", 4).alias("recent_avg"),
                             drop_r.alias("drop_pct"), severity(drop_r).alias("severity"),
                             F.lit(cfg.recent_hours).alias("window_hours"), F.lit(cfg.baseline_hours).alias("baseline_hours")]
 
@@ -113,7 +114,7 @@ def drift_summary(series: DataFrame, as_of: str, cfg: DriftConfig = DriftConfig(
     snap = compliance_snapshot(series, as_of, cfg.recent_hours)
     alerts = drift_check(series, as_of, cfg).select(*KEY, "drop_pct", "severity")
     out = cat.join(snap, KEY, "left").join(alerts, KEY, "left")
-    return out.select(*KEY, F.round("avg_score", 4).alias("avg_compliance"),
+    return out.select(*KEY, half_up("avg_score", 4).alias("avg_compliance"),
                       F.coalesce("sample_count", F.lit(0)).cast("long").alias("sample_count"),
                       "min_score", "max_score", "drop_pct", "severity",
                       F.col("severity").isNotNull().cast("int").alias("alert_count"))
@@ -156,7 +157,7 @@ def drift_timeline(series: DataFrame, first_tick: str, last_tick: str, cfg: Drif
     return st.select(*KEY, F.col("tick").cast("string").alias("tick"), F.col("recent_n").cast("long").alias("recent_n"),
                      F.col("baseline_n").cast("long").alias("baseline_n"),
                      F.coalesce(_is_alert(cfg), F.lit(False)).alias("alert"),
-                     F.round("recent_avg", 4).alias("recent_avg"), F.round("baseline_avg", 4).alias("baseline_avg"))
+                     half_up("recent_avg", 4).alias("recent_avg"), half_up("baseline_avg", 4).alias("baseline_avg"))
 
 
 def daily_compliance(series: DataFrame, threshold: float = 0.10) -> DataFrame:
@@ -164,7 +165,7 @@ def daily_compliance(series: DataFrame, threshold: float = 0.10) -> DataFrame:
     d = series.groupBy(*KEY, F.to_date("ts").alias("day")).agg(F.count("*").alias("n"),
                                                                _mean(F.sum(_units()), F.count("*")).alias("mean"))
     prev = F.lag("mean").over(Window.partitionBy(*KEY).orderBy("day"))
-    return d.select(*KEY, F.col("day").cast("string").alias("day"), "n", F.round("mean", 6).alias("mean_score"),
+    return d.select(*KEY, F.col("day").cast("string").alias("day"), "n", half_up("mean", 6).alias("mean_score"),
                     F.coalesce(F.try_divide(prev - F.col("mean"), prev) > threshold, F.lit(False)).alias("drop_alert"))
 
 

@@ -400,3 +400,118 @@ def q_rate_fixed_vs_sliding(spark, sf):
 @register("rate_leaky_bucket")
 def q_rate_leaky_bucket(spark, sf):
     return rl.rate_leaky_bucket(fx.rate_log(spark, sf), "user_id", "ts_ms", "event_id", fx.LEAKY_RATE_PER_HOUR, fx.LEAKY_BURST)
+
+
+# ------------------------------------------------------------------ 2.8 routing
+from gatelens.operators import routing as rt  # noqa: E402
+from gatelens.operators import metrics as mt  # noqa: E402
+
+
+def _resolved(spark, sf, policy):
+    return rt.route_resolve(fx.request_log(spark, sf), fx.routes(spark), policy)
+
+
+@register("route_resolve")
+def q_route_resolve(spark, sf):
+    return _resolved(spark, sf, "cost").select("request_id", "alias", "routed_provider", "canonical_model", "unknown_alias")
+
+
+for _pol in ("cost", "latency", "priority"):
+    QUERIES[f"route_{_pol}"] = (lambda p: (lambda spark, sf: _resolved(spark, sf, p).select(
+        "request_id", "routed_provider", "canonical_model")))(_pol)
+
+
+@register("route_fallback")
+def q_route_fallback(spark, sf):
+    failed = fx.request_log(spark, sf).filter(F.col("status") == 502).select("request_id", "alias", "provider")
+    return rt.route_fallback(failed, fx.routes(spark), "cost")
+
+
+@register("alias_upsert")
+def q_alias_upsert(spark, sf):
+    return rt.alias_upsert(fx.routes(spark), fx.alias_updates(spark, sf))
+
+
+@register("model_catalog")
+def q_model_catalog(spark, sf):
+    return rt.model_catalog(rt.alias_upsert(fx.routes(spark), fx.alias_updates(spark, sf)))
+
+
+@register("latency_ema")
+def q_latency_ema(spark, sf):
+    return rt.latency_ema(fx.latency_samples(spark, sf), fx.routes(spark))
+
+
+@register("route_latency_asof")
+def q_route_latency_asof(spark, sf):
+    from gatelens.operators.ratelimit import epoch_ms
+    log = fx.request_log(spark, sf).select("request_id", "alias", epoch_ms("ts").alias("ts_ms"))
+    upd = rt.running_latency_ema(fx.latency_samples(spark, sf), fx.routes(spark))
+    return rt.route_latency_asof(log, fx.routes(spark), upd)
+
+
+@register("spend_by_model")
+def q_spend_by_model(spark, sf):
+    log = fx.request_log(spark, sf).filter(F.col("status").isin(200, 422))
+    costs = fx.routes(spark).select("alias", "provider", "cost")
+    j = log.join(F.broadcast(costs), ["alias", "provider"], "left")
+    tokens = F.col("prompt_tokens") + F.col("completion_tokens")
+    cost = F.coalesce("cost", F.lit(0.0)).cast("decimal(18,6)")   # exact sums, independent of partitioning
+    return (j.groupBy("app_id", "provider", "alias", F.to_date("ts").cast("string").alias("day"))
+            .agg(F.sum(tokens).alias("tokens"),
+                 F.round(F.sum(tokens * cost).cast("double") / 1000.0, 6).alias("spend_usd")))
+
+
+# ------------------------------------------------------------------ 2.9 metrics
+@register("metrics_snapshot")
+def q_metrics_snapshot(spark, sf):
+    return mt.metrics_snapshot(fx.request_log(spark, sf))
+
+
+@register("latency_percentiles")
+def q_latency_percentiles(spark, sf):
+    return mt.latency_percentiles(fx.request_log(spark, sf))
+
+
+@register("provider_stats")
+def q_provider_stats(spark, sf):
+    return mt.provider_stats(fx.request_log(spark, sf))
+
+
+@register("security_counts")
+def q_security_counts(spark, sf):
+    return mt.security_counts(det.guard_decisions(fx.attack_corpus(spark, sf)))
+
+
+@register("contract_counts")
+def q_contract_counts(spark, sf):
+    v = ct.contract_tiered(fx.judged_pairs(spark, sf), contract_defs(), PAIR_KEYS, judge_raw="judge_raw")
+    return mt.contract_counts(v, dr.drift_check(_series(spark, sf), fx.AS_OF, DRIFT_CFG))
+
+
+@register("status_rollup")
+def q_status_rollup(spark, sf):
+    return mt.status_rollup(fx.request_log(spark, sf))
+
+
+@register("upstream_error_classes")
+def q_upstream_error_classes(spark, sf):
+    return mt.upstream_error_classes(mt.attempt_log(fx.request_log(spark, sf)))
+
+
+@register("request_funnel")
+def q_request_funnel(spark, sf):
+    return mt.request_funnel(fx.request_log(spark, sf))
+
+
+@register("trace_rollup")
+def q_trace_rollup(spark, sf):
+    return mt.trace_rollup(mt.spans(fx.request_log(spark, sf)))
+
+
+@register("usage_totals")
+def q_usage_totals(spark, sf):
+    log = fx.request_log(spark, sf).filter(F.col("status").isin(200, 422))
+    return log.groupBy("provider", "alias").agg(
+        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
+        F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"))

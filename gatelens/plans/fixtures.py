@@ -226,3 +226,19 @@ def rate_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gatelens.operators.ratelimit import epoch_ms
     e = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
     return e.select("user_id", epoch_ms("ts").alias("ts_ms"))
+
+
+def latency_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successful upstream calls as EMA samples: (alias, provider, ts_ms, request_id, latency_ms)."""
+    from gatelens.operators.ratelimit import epoch_ms
+    return (request_log(spark, sf_dir).filter(F.col("status") == 200)
+            .select("alias", "provider", epoch_ms("ts").alias("ts_ms"), "request_id", "latency_ms"))
+
+
+def alias_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry updates observed in traffic: purchases re-register (alias, provider) with a measured latency."""
+    log = request_log(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    cents = F.sum(F.round(F.col("latency_ms") * 100).cast("long"))   # latencies carry 2 decimals: exact sum
+    return log.groupBy("alias", "provider").agg(F.round(cents / F.count("*") / 100.0, 4).alias("avg_latency")).select(
+        "alias", "provider", F.concat("alias", F.lit("@"), "provider").alias("canonical"), F.lit(9).alias("priority"),
+        F.lit(0.5).alias("cost"), "avg_latency")

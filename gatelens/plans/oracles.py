@@ -355,11 +355,11 @@ STATS = f"""st AS (
     sum(CAST(round(score * 10000.0) AS BIGINT)) / count(*) / 10000.0 AS baseline_avg
   FROM series WHERE {_win(168)} GROUP BY app_id, contract_id),
 alerts AS (
-  SELECT app_id, contract_id, round(baseline_avg, 4) AS baseline_avg, round(recent_avg, 4) AS recent_avg,
-    round((baseline_avg - recent_avg) / baseline_avg, 4) AS drop_pct,
-    CASE WHEN round((baseline_avg - recent_avg) / baseline_avg, 4) >= 0.25 THEN 'critical'
-         WHEN round((baseline_avg - recent_avg) / baseline_avg, 4) >= 0.15 THEN 'high'
-         WHEN round((baseline_avg - recent_avg) / baseline_avg, 4) >= 0.10 THEN 'medium' ELSE 'low' END AS severity,
+  SELECT app_id, contract_id, (CAST(floor((baseline_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS baseline_avg, (CAST(floor((recent_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS recent_avg,
+    (CAST(floor(((baseline_avg - recent_avg) / baseline_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS drop_pct,
+    CASE WHEN (CAST(floor(((baseline_avg - recent_avg) / baseline_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) >= 0.25 THEN 'critical'
+         WHEN (CAST(floor(((baseline_avg - recent_avg) / baseline_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) >= 0.15 THEN 'high'
+         WHEN (CAST(floor(((baseline_avg - recent_avg) / baseline_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) >= 0.10 THEN 'medium' ELSE 'low' END AS severity,
     24.0::DOUBLE AS window_hours, 168.0::DOUBLE AS baseline_hours
   FROM st WHERE recent_n >= 10 AND baseline_n >= 10 AND baseline_avg > 0
     AND (baseline_avg - recent_avg) / baseline_avg > 0.10)"""
@@ -367,13 +367,13 @@ alerts AS (
 ORACLES["compliance_series"] = with_(SERIES) + "SELECT app_id, contract_id, ts_us, score FROM series"
 ORACLES["scores_in_window"] = with_(SERIES) + f"SELECT app_id, contract_id, ts_us, score FROM series WHERE {_win(24)}"
 ORACLES["compliance_snapshot"] = with_(SERIES) + f"""
-SELECT app_id, contract_id, round(sum(CAST(round(score * 10000.0) AS BIGINT)) / count(*) / 10000.0, 6) AS avg_score, count(*) AS sample_count, min(score) AS min_score,
+SELECT app_id, contract_id, (CAST(floor((sum(CAST(round(score * 10000.0) AS BIGINT)) / count(*) / 10000.0) * 1000000.0 + 0.5) AS DOUBLE) / 1000000.0) AS avg_score, count(*) AS sample_count, min(score) AS min_score,
   max(score) AS max_score FROM series WHERE {_win(24)} GROUP BY app_id, contract_id"""
 ORACLES["drift_check"] = with_(SERIES, STATS) + "SELECT * FROM alerts WHERE app_id = 'app_0'"
 ORACLES["drift_all"] = with_(SERIES, STATS) + "SELECT * FROM alerts"
 ORACLES["drift_severity"] = with_(SERIES, STATS) + "SELECT app_id, severity, count(*) AS alerts FROM alerts GROUP BY ALL"
 ORACLES["drift_summary"] = with_(SERIES, STATS) + f"""
-SELECT k.app_id, k.contract_id, round(round(s.avg_score, 6), 4) AS avg_compliance, coalesce(s.n, 0) AS sample_count,
+SELECT k.app_id, k.contract_id, (CAST(floor((s.avg_score) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS avg_compliance, coalesce(s.n, 0) AS sample_count,
   s.min_score, s.max_score, a.drop_pct, a.severity, CAST(a.severity IS NOT NULL AS INTEGER) AS alert_count
 FROM (SELECT DISTINCT app_id, contract_id FROM series) k
 LEFT JOIN (SELECT app_id, contract_id, sum(CAST(round(score * 10000.0) AS BIGINT)) / count(*) / 10000.0 AS avg_score, count(*) AS n, min(score) AS min_score, max(score) AS max_score
@@ -395,10 +395,10 @@ tst AS (
   FROM keys k, ticks t)""") + """
 SELECT app_id, contract_id, strftime(tick, '%Y-%m-%d') AS tick, recent_n, baseline_n,
   coalesce(recent_n >= 10 AND baseline_n >= 10 AND baseline_avg > 0 AND (baseline_avg - recent_avg) / baseline_avg > 0.10, false) AS alert,
-  round(recent_avg, 4) AS recent_avg, round(baseline_avg, 4) AS baseline_avg
+  (CAST(floor((recent_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS recent_avg, (CAST(floor((baseline_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS baseline_avg
 FROM tst"""
 ORACLES["daily_compliance"] = with_(SERIES) + """
-SELECT app_id, contract_id, strftime(day, '%Y-%m-%d') AS day, n, round(mean, 6) AS mean_score,
+SELECT app_id, contract_id, strftime(day, '%Y-%m-%d') AS day, n, (CAST(floor((mean) * 1000000.0 + 0.5) AS DOUBLE) / 1000000.0) AS mean_score,
   coalesce((lag(mean) OVER w - mean) / lag(mean) OVER w > 0.10, false) AS drop_alert
 FROM (SELECT app_id, contract_id, CAST(ts AS DATE) AS day, count(*) AS n,
         sum(CAST(round(score * 10000.0) AS BIGINT)) / count(*) / 10000.0 AS mean FROM series GROUP BY ALL)
@@ -478,3 +478,181 @@ f AS (
     CASE WHEN greatest(f.st_excess - ({_RMPH} * (o.ts_ms - f.st_last)) // 3600000 + 1000, 0) <= {_LIMIT} THEN o.ts_ms ELSE f.st_last END
   FROM f JOIN o ON o.key = f.key AND o.rn = f.rn + 1)
 SELECT key, ts_ms, request_id, admitted, excess_milli FROM f"""
+
+
+# ------------------------------------------------------------------ 2.8 routing / 2.9 metrics
+RLOG = f"""rlog AS (
+  SELECT event_id AS request_id, ts, 'app_' || CAST(user_id % 3 AS VARCHAR) AS app_id, user_id,
+    {lst(fx.PROVIDERS)}[event_id % 3 + 1] AS provider, {lst(fx.ALIASES)}[event_id % 7 + 1] AS alias,
+    CASE WHEN event_id % 13 = 0 THEN 'anthropic' END AS x_provider, value AS latency_ms,
+    CAST(50 + (event_id * 37) % 400 AS BIGINT) AS prompt_tokens, CAST(20 + (event_id * 53) % 300 AS BIGINT) AS completion_tokens,
+    CAST(CASE WHEN event_type = 'error' THEN 502 WHEN event_id % 50 = 0 THEN 400 WHEN event_id % 50 = 1 THEN 422
+              WHEN event_id % 50 = 2 THEN 429 WHEN event_id % 50 = 3 THEN 401 ELSE 200 END AS INTEGER) AS status,
+    CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'HIT' ELSE 'MISS' END AS cache,
+    '/v1/chat/completions' AS uri, event_type, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ts_ms
+  FROM events)"""
+ROUTES_SQL = "routes AS (SELECT alias, provider, canonical, CAST(priority AS INTEGER) AS priority, CAST(cost AS DOUBLE) AS cost, " \
+             "CAST(avg_latency AS DOUBLE) AS avg_latency, CAST(pos AS INTEGER) AS pos FROM (VALUES " + ", ".join(
+                 f"({q(a)}, {q(p)}, {q(c)}, {pr}, {co}, {al}, {po})" for a, p, c, pr, co, al, po in fx.ROUTES) + \
+             ") t(alias, provider, canonical, priority, cost, avg_latency, pos))"
+
+
+def _key_sql(policy: str, lat: str = "avg_latency") -> str:
+    return {"cost": "cost", "priority": "CAST(priority AS DOUBLE)",
+            "latency": f"CASE WHEN {lat} > 0 THEN {lat} ELSE 'inf'::DOUBLE END"}[policy]
+
+
+def _resolve_sql(policy: str) -> str:
+    return with_(RLOG, ROUTES_SQL, f"""cand AS (
+  SELECT l.request_id, l.alias, l.x_provider, r.alias IS NULL AS unknown_alias,
+    coalesce(r.provider, 'openai') AS provider, coalesce(r.canonical, l.alias) AS canonical,
+    coalesce(r.priority, 0) AS priority, coalesce(r.cost, 0.0) AS cost, coalesce(r.avg_latency, 0.0) AS avg_latency,
+    coalesce(r.pos, 0) AS pos
+  FROM rlog l LEFT JOIN routes r ON l.alias = r.alias),
+c2 AS (SELECT *, coalesce(bool_or(provider = x_provider) OVER (PARTITION BY request_id), false) AS has_x FROM cand),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_key_sql(policy)}, pos) AS rn
+           FROM c2 WHERE NOT has_x OR provider = x_provider)""")
+
+
+ORACLES["route_resolve"] = _resolve_sql("cost") + """
+SELECT request_id, alias, provider AS routed_provider, canonical AS canonical_model, unknown_alias FROM ranked WHERE rn = 1"""
+for _pol in ("cost", "latency", "priority"):
+    ORACLES[f"route_{_pol}"] = _resolve_sql(_pol) + """
+SELECT request_id, provider AS routed_provider, canonical AS canonical_model FROM ranked WHERE rn = 1"""
+
+ORACLES["route_fallback"] = with_(RLOG, ROUTES_SQL, """f AS (SELECT request_id, alias, provider FROM rlog WHERE status = 502),
+alt AS (SELECT f.request_id, r.provider, r.canonical,
+          row_number() OVER (PARTITION BY f.request_id ORDER BY r.cost, r.pos) AS rn
+        FROM f JOIN routes r ON r.alias = f.alias AND r.provider <> f.provider)""") + """
+SELECT f.request_id, f.alias, f.provider, a.provider AS fallback_provider, a.canonical AS fallback_canonical
+FROM f LEFT JOIN alt a ON a.request_id = f.request_id AND a.rn = 1"""
+
+UPD = """upd AS (
+  SELECT alias, provider, alias || '@' || provider AS canonical, 9 AS priority, 0.5::DOUBLE AS cost,
+    round(sum(CAST(round(latency_ms * 100) AS BIGINT)) / count(*) / 100.0, 4) AS avg_latency
+  FROM rlog WHERE event_type = 'purchase' GROUP BY alias, provider),
+ups AS (
+  SELECT coalesce(u.alias, r.alias) AS alias, coalesce(u.provider, r.provider) AS provider,
+    coalesce(u.canonical, r.canonical) AS canonical, CAST(coalesce(u.priority, r.priority) AS INTEGER) AS priority,
+    coalesce(u.cost, r.cost) AS cost, coalesce(u.avg_latency, r.avg_latency) AS avg_latency,
+    CAST(coalesce(r.pos, (SELECT max(pos) FROM routes) + row_number() OVER (PARTITION BY r.pos IS NULL ORDER BY u.alias, u.provider)) AS INTEGER) AS pos
+  FROM routes r FULL OUTER JOIN upd u ON r.alias = u.alias AND r.provider = u.provider)"""
+ORACLES["alias_upsert"] = with_(RLOG, ROUTES_SQL, UPD) + "SELECT * FROM ups"
+ORACLES["model_catalog"] = with_(RLOG, ROUTES_SQL, UPD) + """
+SELECT alias AS id, provider AS owned_by, canonical AS canonical_model, cost AS cost_per_1k_tokens, avg_latency AS avg_latency_ms
+FROM (SELECT *, row_number() OVER (PARTITION BY alias, provider ORDER BY pos) AS r FROM ups) WHERE r = 1"""
+
+EMA_SQL = """samples AS (
+  SELECT l.alias, l.provider, l.ts_ms, l.request_id, l.latency_ms, r.avg_latency AS seed,
+    row_number() OVER (PARTITION BY l.alias, l.provider ORDER BY l.ts_ms, l.request_id) AS rn
+  FROM rlog l JOIN routes r ON l.alias = r.alias AND l.provider = r.provider WHERE l.status = 200),
+ema AS (
+  SELECT alias, provider, rn, ts_ms, request_id,
+    CASE WHEN seed = 0.0 THEN latency_ms ELSE 0.2::DOUBLE * latency_ms + 0.8::DOUBLE * seed END AS e
+  FROM samples WHERE rn = 1
+  UNION ALL
+  SELECT s.alias, s.provider, s.rn, s.ts_ms, s.request_id,
+    CASE WHEN m.e = 0.0 THEN s.latency_ms ELSE 0.2::DOUBLE * s.latency_ms + 0.8::DOUBLE * m.e END
+  FROM ema m JOIN samples s ON s.alias = m.alias AND s.provider = m.provider AND s.rn = m.rn + 1)"""
+ORACLES["latency_ema"] = "WITH RECURSIVE " + RLOG + ",\n" + ROUTES_SQL + ",\n" + EMA_SQL + """
+SELECT r.alias, r.provider, coalesce(x.n, 0) AS samples, round(coalesce(x.e, r.avg_latency), 6) AS ema_ms
+FROM routes r LEFT JOIN (SELECT alias, provider, count(*) AS n, arg_max(e, rn) AS e FROM ema GROUP BY ALL) x
+  ON r.alias = x.alias AND r.provider = x.provider"""
+
+ORACLES["route_latency_asof"] = "WITH RECURSIVE " + RLOG + ",\n" + ROUTES_SQL + ",\n" + EMA_SQL + """,
+upd AS (SELECT alias, provider, CAST(ts_ms AS HUGEINT) * 10000000 + request_id AS ord, e FROM ema),
+rq AS (SELECT l.request_id, l.alias, CAST(l.ts_ms AS HUGEINT) * 10000000 + l.request_id AS ord, r.provider, r.avg_latency, r.pos
+       FROM rlog l JOIN routes r ON l.alias = r.alias),
+known AS (SELECT rq.*, u.e FROM rq ASOF LEFT JOIN upd u ON rq.alias = u.alias AND rq.provider = u.provider AND rq.ord > u.ord),
+rk AS (SELECT *, coalesce(e, avg_latency) AS cur,
+        row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN coalesce(e, avg_latency) > 0 THEN coalesce(e, avg_latency) ELSE 'inf'::DOUBLE END, pos) AS rn
+       FROM known)
+SELECT l.request_id, l.alias, k.provider AS routed_provider, round(k.cur, 6) AS ema_used_ms
+FROM rlog l LEFT JOIN rk k ON l.request_id = k.request_id AND k.rn = 1"""
+
+ORACLES["spend_by_model"] = with_(RLOG, ROUTES_SQL) + """
+SELECT l.app_id, l.provider, l.alias, strftime(CAST(l.ts AS DATE), '%Y-%m-%d') AS day,
+  CAST(sum(l.prompt_tokens + l.completion_tokens) AS BIGINT) AS tokens,
+  round(CAST(sum((l.prompt_tokens + l.completion_tokens) * CAST(coalesce(r.cost, 0.0) AS DECIMAL(18, 6))) AS DOUBLE) / 1000.0, 6) AS spend_usd
+FROM rlog l LEFT JOIN routes r ON l.alias = r.alias AND l.provider = r.provider
+WHERE l.status IN (200, 422) GROUP BY ALL"""
+
+ORACLES["usage_totals"] = with_(RLOG) + """
+SELECT provider, alias, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+  CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens
+FROM rlog WHERE status IN (200, 422) GROUP BY provider, alias"""
+
+ORACLES["metrics_snapshot"] = with_(RLOG) + """
+SELECT count_if(status = 200) AS requests_total, count_if(status = 429) AS rate_limited, count_if(status = 422) AS contract_violations,
+  count_if(cache = 'HIT') AS cache_hits, count_if(cache = 'MISS' AND status = 200) AS cache_misses,
+  CASE WHEN count_if(cache = 'HIT') + count_if(cache = 'MISS' AND status = 200) = 0 THEN 0.0
+       ELSE round(count_if(cache = 'HIT') / (count_if(cache = 'HIT') + count_if(cache = 'MISS' AND status = 200)), 4) END AS cache_hit_rate,
+  count_if(status = 400) AS injection_blocks, count_if(status = 502) AS provider_errors, count_if(status = 401) AS unauthorized
+FROM rlog"""
+
+_P = "round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms, round(quantile_cont(latency_ms, 0.99), 4) AS p99_ms"
+ORACLES["latency_percentiles"] = with_(RLOG, "ok AS (SELECT * FROM rlog WHERE status IN (200, 502))") + f"""
+SELECT 'global' AS scope, count(*) AS samples, {_P} FROM (SELECT * FROM ok ORDER BY ts DESC, request_id DESC LIMIT 2000)
+UNION ALL
+SELECT provider AS scope, count(*) AS samples, {_P} FROM (
+  SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, request_id DESC) AS r FROM ok) WHERE r <= 1000 GROUP BY provider"""
+
+ORACLES["provider_stats"] = with_(RLOG) + """
+SELECT c.provider, c.requests, c.errors,
+  CASE WHEN c.requests = 0 THEN 0.0 ELSE round(c.errors / c.requests, 4) END AS error_rate,
+  CASE WHEN c.requests + c.errors = 0 THEN 0.0 ELSE round(c.errors / (c.requests + c.errors), 4) END AS error_rate_attempts,
+  l.p50_ms, l.p95_ms
+FROM (SELECT provider, count_if(status = 200) AS requests, count_if(status = 502) AS errors FROM rlog GROUP BY provider) c
+LEFT JOIN (SELECT provider, round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms
+           FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, request_id DESC) AS r FROM rlog
+                 WHERE status IN (200, 502)) WHERE r <= 1000 GROUP BY provider) l ON c.provider = l.provider"""
+
+ORACLES["security_counts"] = with_(FLAT, ATTACK, SCAN, DECISIONS) + """
+SELECT count_if(tier_triggered = 1) AS tier1_blocks, count_if(tier_triggered = 2) AS tier2_blocks,
+  count_if(tier_triggered IS NOT NULL) AS total_blocks FROM decisions"""
+
+_CLS = " ".join(f"WHEN {c} THEN {q(n)}" for c, n in {200: "ok", 400: "injection_blocked", 401: "unauthorized",
+                                                   422: "contract_blocked", 429: "rate_limited", 502: "upstream_error"}.items())
+ORACLES["status_rollup"] = with_(RLOG) + f"""
+SELECT uri, strftime(ts, '%Y-%m-%d %H:00:00') AS hour, status, count(*) AS n, CASE status {_CLS} ELSE 'other' END AS outcome
+FROM rlog GROUP BY ALL"""
+
+ORACLES["upstream_error_classes"] = with_(RLOG, """seqs AS (
+  SELECT request_id, provider,
+    CASE WHEN status = 502 THEN [500, 0, 502]
+         WHEN status IN (200, 422) AND request_id % 10 = 7 THEN [503, 200]
+         WHEN status IN (200, 422) AND request_id % 10 = 8 THEN [0, 500, 200]
+         WHEN status IN (200, 422) AND request_id % 17 = 5 THEN [429]
+         WHEN status IN (200, 422) AND request_id % 23 = 4 THEN [404]
+         WHEN status IN (200, 422) THEN [200] END AS seq
+  FROM rlog),
+att AS (SELECT request_id, provider, CAST(unnest(range(len(seq))) AS INTEGER) AS attempt, unnest(seq) AS http_status FROM seqs WHERE seq IS NOT NULL),
+pr AS (SELECT provider, request_id, count(*) AS attempts, arg_max(http_status, attempt) AS last_status,
+         sum(CASE WHEN (http_status >= 500 OR http_status = 0) AND attempt < 2 THEN CAST(pow(2, attempt) AS DOUBLE) ELSE 0.0 END) AS backoff_s
+       FROM att GROUP BY provider, request_id)""") + """
+SELECT provider, CASE WHEN last_status = 200 THEN 'ok' WHEN last_status = 429 THEN 'rate_limited'
+                      WHEN last_status >= 500 OR last_status = 0 THEN 'retryable_exhausted' ELSE 'final' END AS final_class,
+  count(*) AS requests, CAST(sum(attempts) AS BIGINT) AS attempts, sum(backoff_s) AS backoff_s
+FROM pr GROUP BY ALL"""
+
+ORACLES["request_funnel"] = with_(RLOG, """a AS (
+  SELECT count(*) AS received, count_if(status NOT IN (429, 401)) AS rate_limit,
+    count_if(status NOT IN (429, 401, 400)) AS guard,
+    count_if(status NOT IN (429, 401, 400) AND NOT (cache = 'HIT' AND status = 200)) AS cache_lookup,
+    count_if(status NOT IN (429, 401, 400, 502) AND NOT (cache = 'HIT' AND status = 200)) AS provider,
+    count_if(status NOT IN (429, 401, 400, 502, 422) AND NOT (cache = 'HIT' AND status = 200)) AS contracts,
+    count_if(status = 200) AS delivered FROM rlog)""") + """
+SELECT CAST(stage_order AS INTEGER) AS stage_order, stage, n FROM (
+  SELECT 0 AS stage_order, 'received' AS stage, received AS n FROM a UNION ALL SELECT 1, 'rate_limit', rate_limit FROM a
+  UNION ALL SELECT 2, 'guard', guard FROM a UNION ALL SELECT 3, 'cache_lookup', cache_lookup FROM a
+  UNION ALL SELECT 4, 'provider', provider FROM a UNION ALL SELECT 5, 'contracts', contracts FROM a
+  UNION ALL SELECT 6, 'delivered', delivered FROM a)"""
+
+ORACLES["trace_rollup"] = with_(RLOG) + """
+SELECT request_id AS trace_id, CAST(4 AS BIGINT) AS n_spans,
+  ((CAST(round(latency_ms * 100) AS BIGINT) * 5 + 50) // 100) / 100.0 AS guard_ms,
+  ((CAST(round(latency_ms * 100) AS BIGINT) * 2 + 50) // 100) / 100.0 AS cache_ms,
+  ((CAST(round(latency_ms * 100) AS BIGINT) * 85 + 50) // 100) / 100.0 AS provider_ms,
+  ((CAST(round(latency_ms * 100) AS BIGINT) * 8 + 50) // 100) / 100.0 AS contracts_ms, status = 502 AS error,
+  prompt_tokens + completion_tokens AS total_tokens
+FROM rlog"""

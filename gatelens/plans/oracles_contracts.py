@@ -380,3 +380,15 @@ ORACLES["contract_lint"] = with_(JUDGED) + f"""
 SELECT l.file_name, l.app_id, l.contract_id, l.reason, CAST(coalesce(t.n, 0) AS BIGINT) AS affected_responses
 FROM (VALUES {", ".join(f"({_v(a)}, {_v(b)}, {_v(c)}, {_v(d)})" for a, b, c, d in _lint_rows())}) l(file_name, app_id, contract_id, reason)
 LEFT JOIN (SELECT app_id, count(*) AS n FROM tp GROUP BY app_id) t ON l.app_id = t.app_id"""
+
+from gatelens.plans.oracles import SERIES, STATS  # noqa: E402
+
+ORACLES["contract_counts"] = with_(JUDGED, all_verdicts(_D), """blocked AS (
+  SELECT DISTINCT conv_id, turn FROM allv WHERE is_block AND NOT passed),
+tiered AS (SELECT * FROM allv a WHERE is_block OR NOT EXISTS (
+  SELECT 1 FROM blocked b WHERE b.conv_id = a.conv_id AND b.turn = a.turn))""", SERIES, STATS) + """
+SELECT count_if(NOT passed AND action = 'block') AS blocks, count_if(NOT passed AND action = 'flag') AS flags,
+  count_if(NOT passed) AS total_violations, count_if(tier = 'deterministic') AS eval_deterministic,
+  count_if(tier = 'classifier') AS eval_classifier, count_if(tier = 'llm_judge') AS eval_llm_judge,
+  (SELECT count(*) FROM alerts) AS drift_alerts
+FROM tiered"""
