@@ -515,3 +515,59 @@ def q_usage_totals(spark, sf):
     return log.groupBy("provider", "alias").agg(
         F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"))
+
+
+# ------------------------------------------------------------------ 2.7 vectors
+from gatelens.operators import vectors as vx  # noqa: E402
+
+CACHE_CFG = vx.SearchConfig()
+
+
+@register("cache_lookup")
+def q_cache_lookup(spark, sf):
+    return vx.cache_lookup(fx.query_vectors(spark, sf), fx.store_vectors(spark, sf), CACHE_CFG, payload="payload")
+
+
+@register("cache_topk")
+def q_cache_topk(spark, sf):
+    cfg = vx.SearchConfig(threshold=0.6, k=3)
+    m = vx.threshold_search(fx.query_vectors(spark, sf), fx.store_vectors(spark, sf), "query_id", "v", "entry_id", "v", cfg)
+    return vx.top_k(m, 3).select("query_id", F.col("rank").cast("int").alias("rank"), "entry_id",
+                                 vx.half_up("similarity", 6).alias("similarity"))
+
+
+@register("cache_ttl")
+def q_cache_ttl(spark, sf):
+    cfg = vx.SearchConfig(ttl_s=fx.TTL_S)
+    return vx.cache_lookup(fx.query_vectors(spark, sf), fx.store_vectors(spark, sf), cfg, q_time="asked_at", s_time="stored_at")
+
+
+@register("cache_invalidate")
+def q_cache_invalidate(spark, sf):
+    store = fx.store_vectors(spark, sf)
+    removed = store.filter(F.col("payload") == 1).select("entry_id")
+    kept = store.join(removed, "entry_id", "left_anti")
+    return vx.cache_lookup(fx.query_vectors(spark, sf), kept, CACHE_CFG)
+
+
+@register("cache_stats")
+def q_cache_stats(spark, sf):
+    out = vx.cache_lookup(fx.query_vectors(spark, sf), fx.store_vectors(spark, sf), CACHE_CFG)
+    return vx.cache_stats(out.withColumn("mix_group", (F.col("query_id") % 3).cast("int")), "mix_group")
+
+
+@register("cache_capacity")
+def q_cache_capacity(spark, sf):
+    return vx.cache_capacity(fx.store_vectors(spark, sf), 300, "stored_at", "entry_id").select("entry_id", "stored_at")
+
+
+def replay_stream(spark, sf):
+    s = fx.store_vectors(spark, sf).select(F.col("entry_id").alias("item_id"), "v", F.col("stored_at").alias("t"))
+    n = s.agg(F.max("item_id")).first()[0] + 1
+    q = fx.query_vectors(spark, sf).select((F.col("query_id") + n).alias("item_id"), "v", F.col("asked_at").alias("t"))
+    return s.unionByName(q)
+
+
+@register("cache_replay")
+def q_cache_replay(spark, sf):
+    return vx.cache_replay(replay_stream(spark, sf), vx.SearchConfig(ttl_s=fx.TTL_S))

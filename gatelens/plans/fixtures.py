@@ -242,3 +242,33 @@ def alias_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("alias", "provider").agg(F.round(cents / F.count("*") / 100.0, 4).alias("avg_latency")).select(
         "alias", "provider", F.concat("alias", F.lit("@"), "provider").alias("canonical"), F.lit(9).alias("priority"),
         F.lit(0.5).alias("cost"), "avg_latency")
+
+
+# Query-vector mixing weights by vec_id % 3, neighbour rule (7i + 3) % n, cache timing.
+MIX_WEIGHTS = [0.9, 0.6, 0.5]
+ENTRY_SPACING_S, TTL_S = 20, 3600
+QUERY_DELAYS_S = [1800, 5400]   # by vec_id % 2: still live / expired
+
+
+def store_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache store from the embeddings table: unit double vectors, payload label, stored_at = 20 s * vec_id."""
+    from gatelens.operators.vectors import normalize
+    e = table(spark, sf_dir, "embeddings")
+    return normalize(e, "embedding", "v").select(
+        F.col("vec_id").alias("entry_id"), "v", F.col("label").alias("payload"),
+        (F.col("vec_id") * ENTRY_SPACING_S).cast("double").alias("stored_at"))
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_i = w * e_i + (1 - w) * e_{(7i+3) % n}, normalised; asked at stored_at(i) + delay(i % 2)."""
+    from gatelens.operators.vectors import normalize
+    e = table(spark, sf_dir, "embeddings")
+    n = e.agg(F.max("vec_id")).first()[0] + 1           # scalar on the driver
+    a = e.select(F.col("vec_id").alias("i"), F.col("embedding").alias("a"))
+    b = e.select(F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
+    w = F.element_at(F.array(*[F.lit(x) for x in MIX_WEIGHTS]), (F.col("i") % 3 + 1).cast("int"))
+    j = a.withColumn("j", (F.col("i") * 7 + 3) % n).join(b, "j")
+    mixed = j.select("i", F.zip_with("a", "b", lambda x, y: w * x.cast("double") + (F.lit(1.0) - w) * y.cast("double")).alias("m"))
+    delay = F.element_at(F.array(*[F.lit(x) for x in QUERY_DELAYS_S]), (F.col("i") % 2 + 1).cast("int"))
+    return normalize(mixed, "m", "v").select(
+        F.col("i").alias("query_id"), "v", (F.col("i") * ENTRY_SPACING_S + delay).cast("double").alias("asked_at"))

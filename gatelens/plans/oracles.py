@@ -656,3 +656,55 @@ SELECT request_id AS trace_id, CAST(4 AS BIGINT) AS n_spans,
   ((CAST(round(latency_ms * 100) AS BIGINT) * 8 + 50) // 100) / 100.0 AS contracts_ms, status = 502 AS error,
   prompt_tokens + completion_tokens AS total_tokens
 FROM rlog"""
+
+
+# ------------------------------------------------------------------ 2.7 vectors (brute force twins)
+VEC = f"""stn AS (SELECT vec_id, embedding, label, sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) AS nrm FROM embeddings),
+st AS (SELECT vec_id AS entry_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / nrm) AS v, label AS payload,
+         CAST(vec_id * {fx.ENTRY_SPACING_S} AS DOUBLE) AS stored_at FROM stn),
+qm AS (SELECT a.vec_id AS i, CAST({'[' + ', '.join(str(w) for w in fx.MIX_WEIGHTS) + ']'}[a.vec_id % 3 + 1] AS DOUBLE) AS w,
+         a.embedding AS ea, b.embedding AS eb
+       FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT max(vec_id) + 1 FROM embeddings)),
+qm2 AS (SELECT i, list_transform(ea, lambda x, k: w * CAST(x AS DOUBLE) + (1.0 - w) * CAST(eb[k] AS DOUBLE)) AS m FROM qm),
+qv AS (SELECT i AS query_id, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS v,
+         CAST(i * {fx.ENTRY_SPACING_S} + [{', '.join(str(d) for d in fx.QUERY_DELAYS_S)}][i % 2 + 1] AS DOUBLE) AS asked_at FROM qm2)"""
+
+
+def _lookup_sql(thr: float, store: str = "st", extra: str = "") -> str:
+    return f"""pairs AS (SELECT q.query_id, s.entry_id, s.payload, list_dot_product(q.v, s.v) AS sim FROM qv q, {store} s
+               WHERE list_dot_product(q.v, s.v) >= {thr} {extra}),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, entry_id) AS rk FROM pairs)"""
+
+
+_HU6 = "(CAST(floor((b.sim) * 1000000.0 + 0.5) AS DOUBLE) / 1000000.0)"
+ORACLES["cache_lookup"] = with_(VEC, _lookup_sql(0.92)) + f"""
+SELECT q.query_id, b.entry_id, {_HU6} AS similarity, b.entry_id IS NOT NULL AS hit, b.payload
+FROM qv q LEFT JOIN best b ON b.query_id = q.query_id AND b.rk = 1"""
+ORACLES["cache_topk"] = with_(VEC, _lookup_sql(0.6)) + f"""
+SELECT b.query_id, CAST(b.rk AS INTEGER) AS rank, b.entry_id, {_HU6} AS similarity FROM best b WHERE b.rk <= 3"""
+ORACLES["cache_ttl"] = with_(VEC, _lookup_sql(0.92, extra=f"AND q.asked_at - s.stored_at >= 0 AND q.asked_at - s.stored_at < {fx.TTL_S}")) + f"""
+SELECT q.query_id, b.entry_id, {_HU6} AS similarity, b.entry_id IS NOT NULL AS hit
+FROM qv q LEFT JOIN best b ON b.query_id = q.query_id AND b.rk = 1"""
+ORACLES["cache_invalidate"] = with_(VEC, "kept AS (SELECT * FROM st WHERE payload IS DISTINCT FROM 1)", _lookup_sql(0.92, "kept")) + f"""
+SELECT q.query_id, b.entry_id, {_HU6} AS similarity, b.entry_id IS NOT NULL AS hit
+FROM qv q LEFT JOIN best b ON b.query_id = q.query_id AND b.rk = 1"""
+ORACLES["cache_stats"] = with_(VEC, _lookup_sql(0.92), """o AS (SELECT q.query_id, b.entry_id IS NOT NULL AS hit FROM qv q
+  LEFT JOIN best b ON b.query_id = q.query_id AND b.rk = 1)""") + """
+SELECT CAST(query_id % 3 AS INTEGER) AS mix_group, count_if(hit) AS hits, count_if(NOT hit) AS misses,
+  CASE WHEN count(*) = 0 THEN 0.0 ELSE (CAST(floor((count_if(hit) / count(*)) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) END AS hit_rate
+FROM o GROUP BY ALL"""
+ORACLES["cache_capacity"] = with_(VEC) + "SELECT entry_id, stored_at FROM st ORDER BY stored_at DESC, entry_id DESC LIMIT 300"
+ORACLES["cache_replay"] = "WITH RECURSIVE " + VEC + f""",
+stream AS (SELECT entry_id AS item_id, v, stored_at AS t FROM st
+           UNION ALL SELECT query_id + (SELECT max(entry_id) + 1 FROM st), v, asked_at FROM qv),
+edges AS (SELECT b.item_id AS dst, list(a.item_id) AS preds FROM stream a, stream b
+          WHERE (a.t < b.t OR (a.t = b.t AND a.item_id < b.item_id)) AND b.t - a.t < {fx.TTL_S}
+            AND list_dot_product(a.v, b.v) >= 0.92 GROUP BY b.item_id),
+ord AS (SELECT s.item_id, coalesce(e.preds, []) AS preds, row_number() OVER (ORDER BY s.t, s.item_id) AS rn
+        FROM stream s LEFT JOIN edges e ON e.dst = s.item_id),
+rec AS (SELECT item_id, rn, false AS hit, [item_id] AS stored FROM ord WHERE rn = 1
+        UNION ALL
+        SELECT o.item_id, o.rn, len(list_intersect(r.stored, o.preds)) > 0,
+          CASE WHEN len(list_intersect(r.stored, o.preds)) > 0 THEN r.stored ELSE list_append(r.stored, o.item_id) END
+        FROM rec r JOIN ord o ON o.rn = r.rn + 1)
+SELECT item_id, hit FROM rec"""
