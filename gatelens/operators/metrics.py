@@ -78,7 +78,8 @@ def contract_counts(verdicts: DataFrame, alerts: DataFrame) -> DataFrame:
         F.count_if(F.col("tier") == "deterministic").alias("eval_deterministic"),
         F.count_if(F.col("tier") == "classifier").alias("eval_classifier"),
         F.count_if(F.col("tier") == "llm_judge").alias("eval_llm_judge"))
-    return v.join(alerts.agg(F.count("*").alias("drift_alerts")), how="left")
+    one = F.lit(1).alias("_k")
+    return v.select("*", one).join(alerts.agg(F.count("*").alias("drift_alerts")).select("*", one), "_k").drop("_k")
 
 
 def status_rollup(log: DataFrame) -> DataFrame:

@@ -76,8 +76,8 @@ def alias_upsert(routes: DataFrame, updates: DataFrame) -> DataFrame:
     """Replace on (alias, provider), else append after the existing entries (MERGE semantics)."""
     u = updates.select(*[F.col(c).alias("u_" + c) for c in ("alias", "provider", "canonical", "priority", "cost", "avg_latency")])
     j = routes.join(u, (routes["alias"] == u["u_alias"]) & (routes["provider"] == u["u_provider"]), "full_outer")
-    max_pos = routes.agg(F.max("pos").alias("m"))   # one row
-    j = j.join(F.broadcast(max_pos), F.lit(True), "left")
+    max_pos = routes.agg(F.max("pos")).first()[0]   # scalar from the (small) registry
+    j = j.withColumn("m", F.lit(-1 if max_pos is None else max_pos))
     new_rank = F.row_number().over(Window.partitionBy(F.col("pos").isNull()).orderBy("u_alias", "u_provider"))
     return j.select(
         F.coalesce("u_alias", "alias").alias("alias"), F.coalesce("u_provider", "provider").alias("provider"),

@@ -571,3 +571,134 @@ def replay_stream(spark, sf):
 @register("cache_replay")
 def q_cache_replay(spark, sf):
     return vx.cache_replay(replay_stream(spark, sf), vx.SearchConfig(ttl_s=fx.TTL_S))
+
+
+# ------------------------------------------------------------------ 2.1 / 2.2 sources, sinks, provider shapes
+from gatelens.operators import providers as pv  # noqa: E402
+from gatelens.sources import io as sio  # noqa: E402
+
+
+@register("shape_requests")
+def q_shape_requests(spark, sf):
+    return pv.shape_requests(fx.chat_requests(spark, sf))
+
+
+@register("normalise_responses")
+def q_normalise_responses(spark, sf):
+    return pv.normalise_responses(*fx.raw_responses(spark, sf))
+
+
+@register("assemble_chunks")
+def q_assemble_chunks(spark, sf):
+    return pv.assemble_chunks(fx.stream_lines(spark, sf))
+
+
+@register("read_labelled_jsonl")
+def q_read_labelled_jsonl(spark, sf):
+    ld = fx.labelled_docs(spark, sf)
+    lines = ld.select(F.to_json(F.struct("text", "label")).alias("value")).unionByName(
+        ld.filter(F.col("doc_id") % 50 == 7).select(F.to_json(F.struct("text")).alias("value"))).unionByName(
+        ld.filter(F.col("doc_id") % 50 == 7).select(F.lit("{not json").alias("value"))).unionByName(
+        ld.filter(F.col("doc_id") % 50 == 8).select(F.lit("   ").alias("value")))
+    path = sio.scratch_path(spark, "labelled")
+    lines.write.mode("overwrite").text(path)
+    good, bad = sio.read_labelled_jsonl(spark, path)
+    g = sio.class_counts(good).select("label", F.lit(None).cast("string").alias("reason"), "n")
+    b = bad.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(None).cast("int").alias("label"), "reason", "n")
+    return g.unionByName(b)
+
+
+@register("write_jsonl")
+def q_write_jsonl(spark, sf):
+    path = sio.scratch_path(spark, "jsonl")
+    sio.write_jsonl(fx.labelled_docs(spark, sf).select("doc_id", "text", "label"), path)
+    back = spark.read.schema("doc_id long, text string, label int").json(path)
+    return back.select("doc_id", "label", F.length("text").alias("n_chars"))
+
+
+@register("read_access_log")
+def q_read_access_log(spark, sf):
+    log = fx.request_log(spark, sf)
+    upstream = F.col("status").isin(200, 422, 502)
+    lines = log.select(
+        F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("time"),
+        F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".1")).alias("remote_addr"),
+        F.lit("POST").alias("method"), "uri", "status", (F.col("latency_ms") / 1000.0).alias("request_time"),
+        (F.col("completion_tokens") * 4).alias("bytes_sent"),
+        F.when(upstream, F.col("latency_ms") * 0.9 / 1000.0).alias("upstream_response_time"),
+        F.lit("client/1.0").alias("http_user_agent"), F.concat(F.lit("req-"), F.col("request_id").cast("string")).alias("x_request_id"))
+    path = sio.scratch_path(spark, "access")
+    lines.write.mode("overwrite").json(path)
+    a = sio.read_access_log(spark, path)
+    return a.groupBy("status").agg(F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"),
+                                   F.max("request_time").alias("max_request_time"),
+                                   F.count("upstream_response_time").alias("upstream_timed"))
+
+
+@register("read_patterns")
+def q_read_patterns(spark, sf):
+    rules = [r.asDict() for r in sio.read_patterns(spark).collect()]   # a rule file
+    return det.pattern_rollup(det.pattern_scan(fx.attack_corpus(spark, sf), rules), rules)
+
+
+@register("write_compliance")
+def q_write_compliance(spark, sf):
+    path = sio.scratch_path(spark, "compliance")
+    sio.write_compliance(_series(spark, sf), path, mode="overwrite")
+    back = spark.read.parquet(path).filter(F.col("day") >= F.lit("2024-01-24").cast("date"))   # partition pruning
+    return back.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+@register("write_eval_report")
+def q_write_eval_report(spark, sf):
+    s = fx.scored(spark, sf)
+    path = sio.scratch_path(spark, "report")
+    v = det.judge_verdicts(fx.verdict_texts(spark, sf))
+    sio.write_eval_report(ev.precision_recall_f1(s), ev.pr_curve(s), ev.combined_recall(s, v), path)
+    return spark.read.text(path)
+
+
+# ------------------------------------------------------------------ 2.11 datasets
+from gatelens.operators import datasets as ds  # noqa: E402
+
+
+@register("attack_corpus")
+def q_attack_corpus(spark, sf):
+    return fx.attack_corpus(spark, sf)
+
+
+@register("balance_classes")
+def q_balance_classes(spark, sf):
+    return ds.balance_classes(fx.labelled_docs(spark, sf), "label", "doc_id", 40, 42).select("doc_id", "label")
+
+
+@register("seeded_shuffle")
+def q_seeded_shuffle(spark, sf):
+    return ds.seeded_shuffle(fx.labelled_docs(spark, sf), "doc_id", 42).select("doc_id", "label", "shuffle_key")
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    return ds.stratified_split(fx.labelled_docs(spark, sf).select("doc_id", "label"), "label", "doc_id", 0.1, 0.1, 42)
+
+
+@register("dedup_samples")
+def q_dedup_samples(spark, sf):
+    return ds.dedup_samples(fx.labelled_docs(spark, sf), "text", "doc_id").select("doc_id", "label", "copies")
+
+
+@register("train_tier2")
+def q_train_tier2(spark, sf):
+    d = ds.dedup_samples(fx.labelled_docs(spark, sf), "text", "doc_id")
+    sp = ds.stratified_split(d.select("doc_id", "text", "label"), "label", "doc_id", 0.1, 0.2, 42)
+    _, report = ds.train_tier2(sp.filter(F.col("split") != "test"), sp.filter(F.col("split") == "test"))
+    return report
+
+
+@register("embed_prompts")
+def q_embed_prompts(spark, sf):
+    from gatelens.functions.embed import hashed_embedding
+    p = pr.flatten_prompts(fx.conversations(spark, sf))
+    e = p.select("conv_id", hashed_embedding(F.col("prompt"), 64).alias("v"))
+    return e.select("conv_id", F.size("v").alias("dim"),
+                    F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))

@@ -272,3 +272,74 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     delay = F.element_at(F.array(*[F.lit(x) for x in QUERY_DELAYS_S]), (F.col("i") % 2 + 1).cast("int"))
     return normalize(mixed, "m", "v").select(
         F.col("i").alias("query_id"), "v", (F.col("i") * ENTRY_SPACING_S + delay).cast("double").alias("asked_at"))
+
+
+def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One canonical chat request per conversation with deterministic optional parameters."""
+    c = conversations(spark, sf_dir)
+    msgs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    cid = F.col("conv_id")
+    return msgs.select(
+        cid.alias("request_id"),
+        F.element_at(F.array(*[F.lit(p) for p in PROVIDERS]), (cid % 3 + 1).cast("int")).alias("provider"),
+        F.element_at(F.array(*[F.lit(a) for a in ALIASES]), (cid % 7 + 1).cast("int")).alias("model"),
+        F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"),
+        F.when(cid % 4 != 0, (cid % 10).cast("double") / 10.0).alias("temperature"),
+        F.when(cid % 3 == 0, F.lit(0.9)).alias("top_p"),
+        F.when(cid % 7 == 0, F.lit(40)).cast("int").alias("top_k"),
+        F.when(cid % 11 == 0, F.lit(128)).cast("int").alias("num_predict"),
+        F.when(cid % 2 == 0, F.lit(256)).cast("int").alias("max_tokens"),
+        F.when(cid % 5 == 0, F.lit("###")).alias("stop"),
+        F.concat(F.lit("app_"), (cid % 3).cast("string")).alias("app_id"))
+
+
+# Raw stop/done reasons cycled by turn.
+ANTHROPIC_STOPS = ["end_turn", "max_tokens", "stop_sequence", None]
+LOCAL_DONES = ["stop", "length", None, "unload"]
+OPENAI_FINISH = ["stop", "length", None]
+
+
+def raw_responses(spark: SparkSession, sf_dir: str):
+    """Assistant turns rendered in each provider's raw response layout (provider = (conv_id + turn) % 3)."""
+    from gatelens.operators.prompts import turn_pairs
+    tp = turn_pairs(conversations(spark, sf_dir))
+    rid = (F.col("conv_id") * 1000 + F.col("turn")).alias("response_id")
+    prov = (F.col("conv_id") + F.col("turn")) % 3
+    pt = F.floor(F.length("request") / 4).cast("long")
+    ct = F.floor(F.length("response") / 4).cast("long")
+    cyc = lambda xs, m: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("turn") % m + 1).cast("int"))
+    o = tp.filter(prov == 0).select(rid, F.array(F.struct(
+        F.lit(0).alias("index"), F.struct(F.lit("assistant").alias("role"), F.col("response").alias("content")).alias("message"),
+        cyc(OPENAI_FINISH, 3).alias("finish_reason"))).alias("choices"),
+        F.struct(pt.alias("prompt_tokens"), ct.alias("completion_tokens"),
+                 F.when(F.col("turn") % 2 == 0, pt + ct).alias("total_tokens")).alias("usage"))
+    half = F.floor(F.length("response") / 2).cast("int")
+    blocks = F.array(
+        F.struct(F.lit("text").alias("type"), F.substring("response", 1, half).alias("text")),
+        F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")),
+        F.struct(F.lit("text").alias("type"), F.expr("substring(response, floor(length(response) / 2) + 1)").alias("text")))
+    a = tp.filter(prov == 1).select(rid, blocks.alias("content"), cyc(ANTHROPIC_STOPS, 4).alias("stop_reason"),
+                                    F.struct(pt.alias("input_tokens"), ct.alias("output_tokens")).alias("usage"))
+    lo = tp.filter(prov == 2).select(rid, F.struct(F.lit("assistant").alias("role"), F.col("response").alias("content")).alias("message"),
+                                     cyc(LOCAL_DONES, 4).alias("done_reason"), pt.alias("prompt_eval_count"), ct.alias("eval_count"))
+    return o, a, lo
+
+
+def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns streamed as NDJSON chunks (one per space-separated piece), with blank and broken lines."""
+    from gatelens.operators.prompts import turn_pairs
+    tp = turn_pairs(conversations(spark, sf_dir))
+    pieces = tp.select((F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), "turn",
+                       F.posexplode(F.split("response", " ")).alias("seq", "w"), F.size(F.split("response", " ")).alias("n"))
+    last = F.col("seq") == F.col("n") - 1
+    frag = F.when(last, F.col("w")).otherwise(F.concat("w", F.lit(" ")))
+    chunk = F.to_json(F.struct(F.lit("local-model").alias("model"),
+                               F.struct(F.lit("assistant").alias("role"), frag.alias("content")).alias("message"),
+                               last.alias("done"), F.when(last, F.lit("stop")).alias("done_reason"),
+                               F.when(last, F.col("n").cast("long")).alias("eval_count")))
+    good = pieces.select("response_id", (F.col("seq") * 2).alias("seq"), chunk.alias("line"))
+    blank = pieces.filter(F.col("seq") % 9 == 4).select("response_id", (F.col("seq") * 2 + 1).alias("seq"),
+                                                        F.lit("   ").alias("line"))
+    broken = pieces.filter((F.col("seq") % 13 == 6) & (F.col("seq") % 9 != 4)).select(
+        "response_id", (F.col("seq") * 2 + 1).alias("seq"), F.lit("{broken json").alias("line"))
+    return good.unionByName(blank).unionByName(broken)

@@ -708,3 +708,84 @@ rec AS (SELECT item_id, rn, false AS hit, [item_id] AS stored FROM ord WHERE rn
           CASE WHEN len(list_intersect(r.stored, o.preds)) > 0 THEN r.stored ELSE list_append(r.stored, o.item_id) END
         FROM rec r JOIN ord o ON o.rn = r.rn + 1)
 SELECT item_id, hit FROM rec"""
+
+
+# ------------------------------------------------------------------ 2.1 / 2.2 / 2.11
+REQ = f"""req AS (
+  SELECT conv_id AS request_id, {lst(fx.PROVIDERS)}[conv_id % 3 + 1] AS provider, {lst(fx.ALIASES)}[conv_id % 7 + 1] AS model,
+    list(struct_pack(role := role, content := text) ORDER BY turn) AS messages,
+    CASE WHEN conv_id % 4 <> 0 THEN CAST(conv_id % 10 AS DOUBLE) / 10.0 END AS temperature,
+    CASE WHEN conv_id % 3 = 0 THEN 0.9::DOUBLE END AS top_p,
+    CASE WHEN conv_id % 7 = 0 THEN 40 END AS top_k, CASE WHEN conv_id % 11 = 0 THEN 128 END AS num_predict,
+    CASE WHEN conv_id % 2 = 0 THEN 256 END AS max_tokens, CASE WHEN conv_id % 5 = 0 THEN '###' END AS stop
+  FROM conversations GROUP BY conv_id)"""
+ORACLES["shape_requests"] = with_(REQ) + f"""
+SELECT request_id, provider, model, CAST(len(messages) AS INTEGER) AS n_messages, CAST(NULL AS VARCHAR) AS system,
+  CAST(max_tokens AS BIGINT) AS max_tokens, stop AS stop_sequences, temperature, top_p, CAST(NULL AS VARCHAR) AS options_keys,
+  false AS stream FROM req WHERE provider = 'openai'
+UNION ALL
+SELECT request_id, provider, model, CAST(len(list_filter(messages, lambda m: m.role <> 'system')) AS INTEGER),
+  CASE WHEN len(list_filter(messages, lambda m: m.role = 'system')) > 0 THEN
+    array_to_string(list_transform(list_filter(messages, lambda m: m.role = 'system'), lambda m: m.content), {NL}) END,
+  CAST(coalesce(max_tokens, 1024) AS BIGINT), CASE WHEN stop <> '' THEN stop END, temperature, top_p, NULL, false
+FROM req WHERE provider = 'anthropic'
+UNION ALL
+SELECT request_id, provider, model, CAST(len(messages) AS INTEGER), NULL, CAST(coalesce(num_predict, max_tokens) AS BIGINT), NULL,
+  temperature, top_p,
+  CASE WHEN len(list_filter([CASE WHEN temperature IS NOT NULL THEN 'temperature' END, CASE WHEN top_p IS NOT NULL THEN 'top_p' END,
+                             CASE WHEN top_k IS NOT NULL THEN 'top_k' END,
+                             CASE WHEN num_predict IS NOT NULL OR max_tokens IS NOT NULL THEN 'num_predict' END], lambda x: x IS NOT NULL)) > 0
+       THEN array_to_string(list_sort(list_filter([CASE WHEN temperature IS NOT NULL THEN 'temperature' END,
+                             CASE WHEN top_p IS NOT NULL THEN 'top_p' END, CASE WHEN top_k IS NOT NULL THEN 'top_k' END,
+                             CASE WHEN num_predict IS NOT NULL OR max_tokens IS NOT NULL THEN 'num_predict' END], lambda x: x IS NOT NULL)), ',') END,
+  true
+FROM req WHERE provider = 'local'"""
+
+TP = """tpp AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS response,
+    coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (
+      PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS request
+  FROM conversations),
+tpa AS (SELECT conv_id, turn, request, response FROM tpp WHERE role = 'assistant')"""
+ORACLES["normalise_responses"] = with_(TP) + """
+SELECT conv_id * 1000 + turn AS response_id, ['openai', 'anthropic', 'local'][(conv_id + turn) % 3 + 1] AS provider,
+  response AS content,
+  CASE (conv_id + turn) % 3
+    WHEN 0 THEN coalesce(['stop', 'length', NULL][turn % 3 + 1], 'stop')
+    WHEN 1 THEN CASE ['end_turn', 'max_tokens', 'stop_sequence', NULL][turn % 4 + 1] WHEN 'max_tokens' THEN 'length' ELSE 'stop' END
+    ELSE CASE ['stop', 'length', NULL, 'unload'][turn % 4 + 1] WHEN 'length' THEN 'length' ELSE 'stop' END END AS finish_reason,
+  CAST(floor(length(request) / 4) AS BIGINT) AS prompt_tokens, CAST(floor(length(response) / 4) AS BIGINT) AS completion_tokens,
+  CAST(floor(length(request) / 4) + floor(length(response) / 4) AS BIGINT) AS total_tokens
+FROM tpa"""
+ORACLES["assemble_chunks"] = with_(TP) + """
+SELECT conv_id * 1000 + turn AS response_id, response AS content, 'local-model' AS model, 'stop' AS finish_reason,
+  CAST(0 AS BIGINT) AS prompt_tokens, CAST(len(string_split(response, ' ')) AS BIGINT) AS completion_tokens FROM tpa"""
+
+LD = "ld AS (SELECT d.doc_id, d.text, l.toxic AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+ORACLES["read_labelled_jsonl"] = with_(LD) + """
+SELECT label, CAST(NULL AS VARCHAR) AS reason, count(*) AS n FROM ld GROUP BY label
+UNION ALL SELECT CAST(NULL AS INTEGER), 'missing or non-integer label', count(*) FROM ld WHERE doc_id % 50 = 7
+UNION ALL SELECT CAST(NULL AS INTEGER), 'not JSON', count(*) FROM ld WHERE doc_id % 50 = 7"""
+ORACLES["write_jsonl"] = with_(LD) + "SELECT doc_id, label, CAST(length(text) AS INTEGER) AS n_chars FROM ld"
+ORACLES["read_access_log"] = with_(RLOG) + """
+SELECT status, count(*) AS n, CAST(sum(completion_tokens * 4) AS BIGINT) AS bytes, max(latency_ms / 1000.0) AS max_request_time,
+  count(*) FILTER (WHERE status IN (200, 422, 502)) AS upstream_timed
+FROM rlog GROUP BY status"""
+ORACLES["read_patterns"] = ORACLES["pattern_rollup"]
+ORACLES["write_compliance"] = with_(SERIES) + """
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n FROM series WHERE CAST(ts AS DATE) >= DATE '2024-01-24' GROUP BY ALL"""
+
+ORACLES["attack_corpus"] = with_(FLAT, ATTACK) + "SELECT conv_id, prompt, label FROM attack_corpus"
+ORACLES["balance_classes"] = with_(LD) + """
+SELECT doc_id, label FROM (
+  SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM ld)
+WHERE r <= least(40, (SELECT min(c) FROM (SELECT count(*) AS c FROM ld GROUP BY label)))"""
+ORACLES["seeded_shuffle"] = with_(LD) + "SELECT doc_id, label, md5('42:' || CAST(doc_id AS VARCHAR)) AS shuffle_key FROM ld"
+ORACLES["stratified_split"] = with_(LD) + """
+SELECT doc_id, label,
+  CASE WHEN r < floor(n * 0.1::DOUBLE + 0.5) THEN 'test'
+       WHEN r < floor(n * 0.1::DOUBLE + 0.5) + floor(n * 0.1::DOUBLE + 0.5) THEN 'val' ELSE 'train' END AS split
+FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r,
+        count(*) OVER (PARTITION BY label) AS n FROM ld)"""
+ORACLES["dedup_samples"] = with_(LD) + """
+SELECT min(doc_id) AS doc_id, arg_min(label, doc_id) AS label, count(*) AS copies FROM ld GROUP BY lower(trim(text))"""
