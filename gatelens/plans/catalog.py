@@ -702,3 +702,100 @@ def q_embed_prompts(spark, sf):
     e = p.select("conv_id", hashed_embedding(F.col("prompt"), 64).alias("v"))
     return e.select("conv_id", F.size("v").alias("dim"),
                     F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+# ------------------------------------------------------------------ 2.12 streaming (availableNow runs, compared with batch)
+from gatelens.functions.lexicon import lexical_injection_prob  # noqa: E402
+from gatelens.functions.patterns import first_match  # noqa: E402
+from gatelens.streaming import streams as stx  # noqa: E402
+
+
+def _latest_snapshot(sdf, keys, name):
+    """Update-mode stream → idempotent per-batch parquet parts → latest row per key (read back as a batch)."""
+    spark = sdf.sparkSession
+    out = sio.scratch_path(spark, f"snap-{name}")
+
+    def sink(batch, batch_id):
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    stx.run_foreach_batch(sdf, name, sink, mode="update")
+    parts = spark.read.parquet(out)
+    w = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
+    return parts.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch", "batch")
+
+
+from pyspark.sql import Window  # noqa: E402
+
+
+@register("stream_guard")
+def q_stream_guard(spark, sf):
+    msgs = stx.table_stream(spark, sf, "conversations")
+    m = first_match(F.coalesce(F.col("text"), F.lit("")))
+    scanned = msgs.select("conv_id", "turn", m["pattern_id"].alias("pattern_id"), m["severity"].alias("severity"),
+                          lexical_injection_prob(F.col("text")).alias("ml_prob"))
+    return spark.read.parquet(stx.run_to_parquet(scanned, "guard"))
+
+
+@register("stream_contracts")
+def q_stream_contracts(spark, sf):
+    pairs_path = sio.scratch_path(spark, "pairs")
+    fx.judged_pairs(spark, sf).write.mode("overwrite").parquet(pairs_path)
+    stream = spark.readStream.schema(spark.read.parquet(pairs_path).schema).parquet(pairs_path)
+    block_out, rest_out = sio.scratch_path(spark, "block-sink"), sio.scratch_path(spark, "flag-sink")
+    defs = contract_defs()
+
+    def sink(batch, batch_id):
+        v = ct.contract_tiered(batch, defs, PAIR_KEYS, judge_raw="judge_raw")
+        v.filter(F.col("contract_id").isin(*[r.id for rs in defs.values() for r in rs if r.action == "block"])) \
+         .write.mode("overwrite").parquet(f"{block_out}/batch={batch_id}")
+        v.filter(~F.col("contract_id").isin(*[r.id for rs in defs.values() for r in rs if r.action == "block"])) \
+         .write.mode("overwrite").parquet(f"{rest_out}/batch={batch_id}")
+    stx.run_foreach_batch(stream, "contracts", sink)
+    return spark.read.parquet(block_out).unionByName(spark.read.parquet(rest_out)).drop("batch")
+
+
+@register("stream_rate_admission")
+def q_stream_rate_admission(spark, sf):
+    s = stx.stream_rate_admission(stx.table_stream(spark, sf, "events"), fx.RATE_MAX, fx.RATE_WINDOW_S)
+    out = spark.read.parquet(stx.run_to_parquet(s, "admission"))
+    return out.select("key", "ts_ms", "request_id", "admitted", "count_after")
+
+
+@register("stream_drift")
+def q_stream_drift(spark, sf):
+    scores = fx.compliance_scores(spark, sf, stx.table_stream(spark, sf, "events"))
+    parts = _latest_snapshot(stx.hourly_partials(scores), ["app_id", "contract_id", "window"], "drift")
+    as_of = F.lit(fx.AS_OF).cast("timestamp_ntz")
+    start = F.col("window.start").cast("timestamp_ntz")
+    recent = start >= as_of - F.expr("INTERVAL 24 HOURS")
+    base = parts.filter((start >= as_of - F.expr("INTERVAL 168 HOURS")) & (start < as_of))
+    st = base.groupBy("app_id", "contract_id").agg(
+        F.sum(F.when(recent, F.col("n")).otherwise(0)).alias("recent_n"), F.sum("n").alias("baseline_n"),
+        dr._mean(F.sum(F.when(recent, F.col("units"))), F.sum(F.when(recent, F.col("n")))).alias("recent_avg"),
+        dr._mean(F.sum("units"), F.sum("n")).alias("baseline_avg"))
+    return st.filter(dr._is_alert(DRIFT_CFG)).select(*dr.KEY, *dr._alert_cols(DRIFT_CFG))
+
+
+@register("stream_metrics")
+def q_stream_metrics(spark, sf):
+    log = fx.request_log(spark, sf, stx.table_stream(spark, sf, "events"))
+    counts = stx.tumbling_counts(log, ["status"])
+    snap = _latest_snapshot(counts, ["window", "status"], "metrics")
+    return snap.select(F.date_format(F.col("window.start"), "yyyy-MM-dd HH:00:00").alias("hour"), "status", "n")
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf):
+    e = stx.table_stream(spark, sf, "events")
+    dup = stx.table_stream(spark, sf, "events").filter(F.col("event_id") % 10 == 0)
+    d = stx.stream_dedup(e.unionByName(dup), "event_id")
+    out = spark.read.parquet(stx.run_to_parquet(d.drop("event_time"), "dedup"))
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("distinct_ids"))
+
+
+@register("stream_latency_ema")
+def q_stream_latency_ema(spark, sf):
+    from gatelens.operators.ratelimit import epoch_ms
+    log = fx.request_log(spark, sf, stx.table_stream(spark, sf, "events")).filter(F.col("status") == 200)
+    samples = log.select("alias", "provider", epoch_ms("ts").alias("ts_ms"), "request_id", "latency_ms")
+    snap = _latest_snapshot(stx.stream_latency_ema(samples, fx.routes(spark)), ["alias", "provider"], "ema")
+    return snap.select("alias", "provider", "samples", F.round("ema_ms", 6).alias("ema_ms"))

@@ -98,8 +98,8 @@ def raw_model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(top_pos, F.col("prob")).otherwise(F.round(F.lit(1.0) - F.col("prob"), 6)).alias("top_score"))
 
 
-def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def request_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    e = events if events is not None else table(spark, sf_dir, "events")
     eid = F.col("event_id")
     status = (F.when(F.col("event_type") == "error", 502)
               .when(eid % 50 == 0, 400).when(eid % 50 == 1, 422).when(eid % 50 == 2, 429).when(eid % 50 == 3, 401)
@@ -128,9 +128,9 @@ def routes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ROUTES, ROUTES_SCHEMA)
 
 
-def compliance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compliance_scores(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """(app_id, contract_id, ts, ts_s, score) from events; some keys degrade in the last 24 h."""
-    e = table(spark, sf_dir, "events")
+    e = events if events is not None else table(spark, sf_dir, "events")
     app = F.concat(F.lit("app_"), (F.col("user_id") % 3).cast("string"))
     last_day = F.col("ts") > F.expr(f"TIMESTAMP_NTZ'{AS_OF}' - INTERVAL 24 HOURS")
     f = (F.when(last_day & (F.col("event_type") == "click"), 0.7)

@@ -789,3 +789,16 @@ FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('
         count(*) OVER (PARTITION BY label) AS n FROM ld)"""
 ORACLES["dedup_samples"] = with_(LD) + """
 SELECT min(doc_id) AS doc_id, arg_min(label, doc_id) AS label, count(*) AS copies FROM ld GROUP BY lower(trim(text))"""
+
+
+# ------------------------------------------------------------------ 2.12 streaming twins (same answers as batch)
+ORACLES["stream_guard"] = f"""
+SELECT conv_id, turn, {_rule_case('pattern_id', "coalesce(text, '')")} AS pattern_id,
+  {_rule_case('severity', "coalesce(text, '')")} AS severity, {_lexical('text')} AS ml_prob
+FROM conversations"""
+ORACLES["stream_rate_admission"] = ORACLES["rate_admission"]
+ORACLES["stream_drift"] = ORACLES["drift_all"]
+ORACLES["stream_latency_ema"] = ORACLES["latency_ema"]
+ORACLES["stream_metrics"] = with_(RLOG) + """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00:00') AS hour, status, count(*) AS n FROM rlog GROUP BY ALL"""
+ORACLES["stream_dedup"] = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS distinct_ids FROM events GROUP BY event_type"

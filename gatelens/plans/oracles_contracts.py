@@ -392,3 +392,5 @@ SELECT count_if(NOT passed AND action = 'block') AS blocks, count_if(NOT passed
   count_if(tier = 'classifier') AS eval_classifier, count_if(tier = 'llm_judge') AS eval_llm_judge,
   (SELECT count(*) FROM alerts) AS drift_alerts
 FROM tiered"""
+
+ORACLES["stream_contracts"] = ORACLES["contract_tiered"]
