@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.functions import text as tx
+from gatelens.session import spread
 
 RESOURCES = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "resources")
 CONTRACT_DIR = os.path.join(RESOURCES, "contracts")
@@ -534,7 +535,8 @@ def static_tier(c: Contract) -> str:
 
 
 def _composite(c: Contract, ctx: dict) -> Column:
-    subs = [verdict_column(m, ctx) for m in c.members]
+    memo = ctx.get("memo")
+    subs = [F.col(memo[(ctx["app"], id(m))]) if memo is not None else verdict_column(m, ctx) for m in c.members]
     n = len(subs)
     op = c.p.get("operator", "OR")
     if n == 0:
@@ -589,6 +591,7 @@ def prepare(df: DataFrame, defs: dict, response: str, request: str | None, judge
             payload: str | None):
     """Per-response features shared by all rules, each computed once in its own projection."""
     kinds = _kinds(defs)
+    df = spread(df)
     df = df.withColumn("_resp", F.coalesce(F.col(response).cast("string"), F.lit("")))
     df = df.withColumn("_req", F.coalesce(F.col(request), F.lit("")) if request else F.lit(""))
     if kinds & {"language_match", "sentiment", "topic_boundary"}:
@@ -609,12 +612,43 @@ def prepare(df: DataFrame, defs: dict, response: str, request: str | None, judge
     return df, ctx
 
 
-def _app_array(defs: dict, ctx: dict, app_col: str, keep) -> Column:
+def stage_verdicts(df: DataFrame, defs: dict, ctx: dict, app_col: str, keep) -> tuple[DataFrame, dict]:
+    """One column per (app, rule), computed only for that app's rows, one projection per nesting level.
+
+    Composites reference their members' columns from the previous level, so nested rules never
+    re-inline a member's expression (the plan stays linear in the number of rules).
+    """
+    memo: dict = {}
+    levels: dict = {}
+
+    def level(rule) -> int:
+        return 0 if not rule.members else 1 + max(level(m) for m in rule.members)
+
+    def collect(rule, app):
+        for m in rule.members:
+            collect(m, app)
+        key = (app, id(rule))
+        if key not in memo:
+            memo[key] = f"_v{len(memo)}"
+            levels.setdefault(level(rule), []).append((app, rule))
+
+    for app in sorted(defs):
+        for r in defs[app]:
+            if r.enabled and keep(r):
+                collect(r, app)
+    for lv in sorted(levels):
+        cols = [F.when(F.col(app_col) == app, verdict_column(rule, dict(ctx, memo=memo, app=app))).alias(memo[(app, id(rule))])
+                for app, rule in levels[lv]]
+        df = df.select("*", *cols)
+    return df, memo
+
+
+def _app_array(defs: dict, memo: dict, app_col: str, keep) -> Column:
     branches = []
     for app in sorted(defs):
         rules = [r for r in defs[app] if r.enabled and keep(r)]
         if rules:
-            branches.append(F.when(F.col(app_col) == app, F.array(*[verdict_column(r, ctx) for r in rules])))
+            branches.append(F.when(F.col(app_col) == app, F.array(*[F.col(memo[(app, id(r))]) for r in rules])))
     empty = F.array().cast(f"array<{VERDICT_TYPE}>")
     return F.coalesce(*branches, empty) if branches else empty
 
@@ -624,7 +658,8 @@ def contract_verdicts(pairs: DataFrame, defs: dict, keys: list[str], response: s
                       payload: str | None = None) -> DataFrame:
     """Every enabled rule of the pair's app on each pair; unknown app → no rows."""
     df, ctx = prepare(pairs, defs, response, request, judge_raw, payload)
-    arr = _app_array(defs, ctx, app_col, lambda r: True)
+    df, memo = stage_verdicts(df, defs, ctx, app_col, lambda r: True)
+    arr = _app_array(defs, memo, app_col, lambda r: True)
     return df.select(*keys, app_col, F.inline(arr))
 
 
@@ -632,8 +667,9 @@ def contract_tiered(pairs: DataFrame, defs: dict, keys: list[str], response: str
                     request: str | None = "request", app_col: str = "app_id", judge_raw: str | None = None) -> DataFrame:
     """BLOCK rules on every pair; FLAG/LOG rules only where no BLOCK rule failed (one pass, no anti-join)."""
     df, ctx = prepare(pairs, defs, response, request, judge_raw, None)
-    blk = _app_array(defs, ctx, app_col, lambda r: r.action == "block")
-    rest = _app_array(defs, ctx, app_col, lambda r: r.action != "block")
+    df, memo = stage_verdicts(df, defs, ctx, app_col, lambda r: True)
+    blk = _app_array(defs, memo, app_col, lambda r: r.action == "block")
+    rest = _app_array(defs, memo, app_col, lambda r: r.action != "block")
     staged = df.select(*keys, app_col, blk.alias("_b"), rest.alias("_r"))
     blocked = F.exists("_b", lambda v: ~v["passed"])
     return staged.select(*keys, app_col, F.inline(F.concat("_b", F.when(~blocked, F.col("_r")).otherwise(F.filter("_r", lambda v: F.lit(False))))))
@@ -644,7 +680,8 @@ def contract_report(pairs: DataFrame, defs: dict, keys: list[str], response: str
     """Per pair: blocked, failed BLOCK rule ids, warnings (passed, compliance < 0.8), rule counts."""
     block_defs = {a: [r for r in rs if r.action == "block"] for a, rs in defs.items()}
     df, ctx = prepare(pairs, block_defs, response, request, judge_raw, None)
-    blk = _app_array(defs, ctx, app_col, lambda r: r.action == "block")
+    df, memo = stage_verdicts(df, block_defs, ctx, app_col, lambda r: True)
+    blk = _app_array(block_defs, memo, app_col, lambda r: True)
 
     def count_for(pred) -> Column:
         branches = [F.when(F.col(app_col) == a, F.lit(sum(1 for r in defs[a] if r.enabled and pred(r))))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gatelens.functions.lexicon import lexical_injection_prob
 from gatelens.functions.patterns import BLOCKING_SEVERITIES, first_match, ordered_rules
+from gatelens.session import spread
 
 # Gateway and evaluation thresholds, judge zone.
 GATEWAY_THRESHOLD = 0.85
@@ -28,7 +29,7 @@ MATCH_COLS = ["pattern_id", "severity", "matched_text", "match_start", "match_en
 def pattern_scan(prompts: DataFrame, rules=None, text: str = "prompt") -> DataFrame:
     """Adds the first rule hit (severity desc, then file order) as flat nullable columns."""
     m = first_match(F.col(text), rules)
-    return prompts.withColumn("_m", m).select(
+    return spread(prompts).withColumn("_m", m).select(
         "*", *[F.col("_m")[c].alias(c) for c in MATCH_COLS]).drop("_m")
 
 
@@ -47,7 +48,7 @@ def pattern_rollup(hits: DataFrame, rules=None) -> DataFrame:
 def scan_documents(docs: DataFrame, text: str, by: list[str], rules=None) -> DataFrame:
     """Indirect-injection scan of stored documents/pages; hit counts per group and rule."""
     hit = first_match(F.col(text), rules)
-    return (docs.select(*by, hit["pattern_id"].alias("pattern_id"), hit["severity"].alias("severity"))
+    return (spread(docs).select(*by, hit["pattern_id"].alias("pattern_id"), hit["severity"].alias("severity"))
             .groupBy(*by, "pattern_id", "severity")
             .agg(F.count("*").alias("n_docs")))
 

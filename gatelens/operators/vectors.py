@@ -99,71 +99,88 @@ def _probe_cells(queries: DataFrame, vec_col: str, piv: np.ndarray, r: float, ra
     return queries.mapInPandas(run, schema)
 
 
-def _blocks(assigned: DataFrame, id_col: str, vec_col: str, cfg: SearchConfig, time_col: str | None) -> DataFrame:
-    """Pack each cell's members into blocks of about ``block_size`` (hash spread; the cell-size table is small)."""
-    keys = ["pivot", "ring"] + (["tb"] if time_col else [])
+def _blocks(assigned: DataFrame, id_col: str, vec_col: str, cfg: SearchConfig, keys: list[str],
+            time_col: str | None) -> tuple[DataFrame, DataFrame]:
+    """Pack each cell's members into blocks of about ``block_size`` (hash spread); returns (blocks, cell sizes)."""
     sizes = assigned.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(cfg.block_size)).cast("long").alias("nblk"))
     a = assigned.join(F.broadcast(sizes), keys).withColumn("blk", F.pmod(F.xxhash64(id_col), F.col("nblk")))
-    members = F.struct(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"),
-                       (F.col(time_col).cast("double") if time_col else F.lit(None).cast("double")).alias("t"))
-    return a.groupBy(*keys, "blk").agg(F.collect_list(members).alias("members"))
+    b = a.select(*keys, "blk", F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"),
+                 (F.col(time_col).cast("double") if time_col else F.lit(None).cast("double")).alias("t"))
+    return b, sizes
+
+
+MATCH_SCHEMA = "query_id long, entry_id long, similarity double"
 
 
 def threshold_search(queries: DataFrame, store: DataFrame, q_id: str, q_vec: str, s_id: str, s_vec: str,
                      cfg: SearchConfig = SearchConfig(), q_time: str | None = None, s_time: str | None = None,
-                     exclude_self: bool = False, earlier_only: bool = False) -> DataFrame:
+                     exclude_self: bool = False, earlier_only: bool = False, query_chunk: int = 4096) -> DataFrame:
     """All (query, entry, sim) with cos >= threshold, best ``k`` per query and block (exact).
 
+    Work unit: (cell, block, query chunk) — at most ``block_size`` store vectors and ``query_chunk``
+    queries, scored by one matrix product in a cogrouped pandas function. Hot cells are split into many
+    blocks and hot blocks into many query chunks, so no group grows with the data.
     With ``ttl_s``/times: an entry is live for a query when 0 <= t_q - t_s < ttl.
     ``earlier_only``: entries must be strictly earlier than the query in (time, id) order.
     """
+    from gatelens.session import spread
     r = math.sqrt(max(2.0 - 2.0 * cfg.threshold, 0.0))
     piv = _pivot_matrix(store, s_id, s_vec, cfg.pivots)
+    store, queries = spread(store), spread(queries)
     assigned = _assign_store(store.select(s_id, s_vec, *([s_time] if s_time else [])), s_id, s_vec, piv, r)
     timed = cfg.ttl_s is not None and s_time is not None and q_time is not None
     if timed:
         assigned = assigned.withColumn("tb", F.floor(F.col(s_time).cast("double") / cfg.ttl_s).cast("long"))
+    keys = ["pivot", "ring"] + (["tb"] if timed else [])
     radius = {row["pivot"]: row["rad"] for row in assigned.groupBy("pivot").agg(F.max("pdist").alias("rad")).collect()}
-    blocks = _blocks(assigned, s_id, s_vec, cfg, s_time if timed else None)
+    members, sizes = _blocks(assigned, s_id, s_vec, cfg, keys, s_time if timed else None)
     probes = _probe_cells(queries.select(q_id, q_vec, *([q_time] if q_time else [])), q_vec, piv, r, radius, cfg.eps)
     probes = probes.select("*", F.inline("cells")).drop("cells")
     if timed:
         tq = F.floor(F.col(q_time).cast("double") / cfg.ttl_s).cast("long")
         probes = probes.withColumn("tb", F.explode(F.array(tq - 1, tq)))
-    keys = ["pivot", "ring"] + (["tb"] if timed else [])
-    joined = probes.join(blocks, keys).select(
-        F.col(q_id).alias("qid"), F.col(q_vec).alias("qv"),
-        (F.col(q_time).cast("double") if q_time else F.lit(None).cast("double")).alias("qt"), "members")
+    # one probe row per candidate block of the cell (sizes: one row per non-empty cell)
+    probes = (probes.join(F.broadcast(sizes), keys)
+              .select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).alias("qv"),
+                      (F.col(q_time).cast("double") if q_time else F.lit(None).cast("double")).alias("qt"),
+                      *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("nblk") - 1)).alias("blk")))
+    # salt hot blocks: split their probing queries into chunks, replicate the block per chunk
+    load = probes.groupBy(*keys, "blk").agg(F.ceil(F.count("*") / F.lit(query_chunk)).cast("long").alias("nq"))
+    probes = probes.join(F.broadcast(load), keys + ["blk"]).withColumn("qc", F.pmod(F.xxhash64("qid"), F.col("nq"))).drop("nq")
+    members = (members.join(F.broadcast(load), keys + ["blk"])
+               .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qc")).drop("nq"))
     thr, k, ttl = cfg.threshold, cfg.k, cfg.ttl_s
-
-    def run(it):
-        for pdf in it:
-            out_q, out_e, out_s = [], [], []
-            for qid, qv, qt, mem in zip(pdf["qid"], pdf["qv"], pdf["qt"], pdf["members"]):
-                ids = np.array([m["id"] for m in mem])
-                mat = np.stack([m["v"] for m in mem])
-                sims = mat @ np.asarray(qv, dtype=np.float64)
-                ok = sims >= thr
-                if exclude_self:
-                    ok &= ids != qid
-                if timed:
-                    ts = np.array([m["t"] for m in mem], dtype=np.float64)
-                    ok &= (qt - ts >= 0) & (qt - ts < ttl)
-                    if earlier_only:
-                        ok &= (ts < qt) | ((ts == qt) & (ids < qid))
-                elif earlier_only:
-                    ok &= ids < qid
-                idx = np.nonzero(ok)[0]
-                if len(idx) > k:
-                    order = np.lexsort((ids[idx], -sims[idx]))[:k]
-                    idx = idx[order]
-                for i in idx:
-                    out_q.append(qid)
-                    out_e.append(ids[i])
-                    out_s.append(float(sims[i]))
-            yield pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "entry_id": pd.Series(out_e, dtype="int64"),
-                                "similarity": pd.Series(out_s, dtype="float64")})
-    return joined.mapInPandas(run, "query_id long, entry_id long, similarity double")
+    gkeys = keys + ["blk", "qc"]
+
+    def score(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(m) == 0:
+            return pd.DataFrame({"query_id": [], "entry_id": [], "similarity": []})
+        qm = np.stack(q["qv"].to_numpy())
+        mm = np.stack(m["v"].to_numpy())
+        sims = qm @ mm.T                                   # queries x members
+        ok = sims >= thr
+        qids = q["qid"].to_numpy()[:, None]
+        ids = m["id"].to_numpy()[None, :]
+        if exclude_self:
+            ok &= ids != qids
+        if timed:
+            qt = q["qt"].to_numpy(dtype=np.float64)[:, None]
+            ts = m["t"].to_numpy(dtype=np.float64)[None, :]
+            ok &= (qt - ts >= 0) & (qt - ts < ttl)
+            if earlier_only:
+                ok &= (ts < qt) | ((ts == qt) & (ids < qids))
+        elif earlier_only:
+            ok &= ids < qids
+        qi, mi = np.nonzero(ok)
+        out = pd.DataFrame({"query_id": qids[qi, 0], "entry_id": ids[0, mi], "similarity": sims[qi, mi]})
+        if k < len(out):
+            out = (out.sort_values(["query_id", "similarity", "entry_id"], ascending=[True, False, True])
+                   .groupby("query_id", sort=False).head(k))
+        return out.astype({"query_id": "int64", "entry_id": "int64", "similarity": "float64"})
+
+    return (probes.select(*gkeys, "qid", "qv", "qt").groupBy(*gkeys)
+            .cogroup(members.select(*gkeys, "id", "v", "t").groupBy(*gkeys))
+            .applyInPandas(score, MATCH_SCHEMA))
 
 
 def top_k(matches: DataFrame, k: int) -> DataFrame:

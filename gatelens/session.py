@@ -52,3 +52,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin repartition for CPU-heavy row work when the input has fewer partitions than cores.
+
+    Large inputs already have many more partitions than cores; then this is a no-op (no extra shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * factor) if df.rdd.getNumPartitions() < cores else df
