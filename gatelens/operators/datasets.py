@@ -26,8 +26,8 @@ def balance_classes(df: DataFrame, label: str, id_col: str, n: int, seed: int =
     """Equal count per class: min(n, smallest class size), chosen by the seeded key."""
     counts = [r["c"] for r in df.groupBy(label).agg(F.count("*").alias("c")).collect()]   # one row per class
     n_eff = min([n] + counts) if counts else 0
-    w = Window.partitionBy(label).orderBy(seeded_key(id_col, seed), F.col(id_col))
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_eff).drop("_r")
+    ranked = ranks_within(df.withColumn("_k", seeded_key(id_col, seed)), label, ["_k", id_col])
+    return ranked.filter(F.col("_rank") < n_eff).drop("_k", "_rank", "_gsize")
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:

@@ -57,7 +57,7 @@ def severity(drop: Column) -> Column:
 def compliance_series(scores: DataFrame) -> DataFrame:
     """(app, contract, ts, score rounded to 4 dp); identical (ts, score) per key kept once."""
     return (scores.select(*KEY, "ts", epoch_us("ts").alias("ts_us"), F.round("score", 4).alias("score"))
-            .dropDuplicates(KEY + ["ts_us", "score"]))
+            .dropDuplicates(KEY + ["ts", "score"]))   # ts as key: window filters on ts push down to the scan
 
 
 def scores_in_window(series: DataFrame, as_of: str, hours: float) -> DataFrame:

@@ -60,8 +60,10 @@ def pr_curve(scored: DataFrame, thresholds=CURVE_THRESHOLDS, by: str = "model")
 
 def latency_summary(scored: DataFrame, by: str = "model", order: str = "doc_id", warmup: int = WARMUP_ROWS) -> DataFrame:
     """Exact p50/p95/p99 (linear interpolation) and samples/s after dropping the first ``warmup`` rows per group."""
+    # warm-up rows: a per-group top-k (limited per partition before the exchange), then an anti-join
     w = Window.partitionBy(by).orderBy(order)
-    kept = scored.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") > warmup)
+    warm = scored.select(by, order).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= warmup)
+    kept = scored.join(warm.select(by, order), [by, order], "left_anti")
     return kept.groupBy(by).agg(
         F.count("*").alias("n"),
         F.round(F.percentile("latency_ms", 0.5), 4).alias("p50_ms"),

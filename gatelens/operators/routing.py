@@ -96,30 +96,60 @@ def model_catalog(routes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ latency EMA
-def _ema_step(alpha: float):
+# The EMA is a linear recurrence, so it parallelises over time: each (alias, provider, day) chunk is
+# folded from a zero state in parallel, a small (key, day) carry table chains the chunks, and each
+# sample's value is   ema = local + (1 - alpha) ** pos * carry_in   (pos = samples so far in the chunk).
+# A key with most of the traffic is therefore spread over all its days instead of one task.
+CHUNK_MS = 86_400_000
+
+
+def _local_step(alpha: float):
     keep = 1 - alpha
 
     def step(state, key, r):
-        old = float(r["seed"]) if state is None else state
-        x = float(r["latency_ms"])
-        new = x if old == 0.0 else alpha * x + keep * old
-        return new, {"alias": r["alias"], "provider": r["provider"], "ts_ms": int(r["ts_ms"]),
-                     "request_id": int(r["request_id"]), "ema_before": old, "ema_after": new}
+        local, pos = state if state is not None else (0.0, 0)
+        before, pos_before = local, pos
+        local = alpha * float(r["latency_ms"]) + keep * local
+        pos += 1
+        return (local, pos), {"alias": r["alias"], "provider": r["provider"], "chunk": int(r["chunk"]),
+                              "ts_ms": int(r["ts_ms"]), "request_id": int(r["request_id"]),
+                              "local_before": before, "pos_before": pos_before, "local": local, "pos": pos}
     return step
 
 
-EMA_SCHEMA = "alias string, provider string, ts_ms long, request_id long, ema_before double, ema_after double"
+LOCAL_SCHEMA = ("alias string, provider string, chunk long, ts_ms long, request_id long, local_before double, "
+                "pos_before long, local double, pos long")
 
 
-def running_latency_ema(samples: DataFrame, routes: DataFrame, alpha: float = 0.2) -> DataFrame:
-    """EMA per (alias, provider) after every successful sample, seeded with the registered average.
+def _carry_step(keep: float):
+    def step(state, key, r):
+        e = float(r["e_init"]) if state is None else state
+        out = {"alias": r["alias"], "provider": r["provider"], "chunk": int(r["chunk"]), "carry_in": e}
+        return float(r["l_end"]) + keep ** int(r["n"]) * e, out
+    return step
 
-    Samples for unregistered (alias, provider) pairs are ignored, as in the online router.
-    """
+
+def running_latency_ema(samples: DataFrame, routes: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """EMA per (alias, provider) before/after every successful sample, seeded with the registered average
+    (an unmeasured 0 seed is replaced by the first sample). Unregistered pairs are ignored."""
+    keep = 1 - alpha
     seeds = routes.select("alias", "provider", F.col("avg_latency").alias("seed"))
-    s = samples.join(F.broadcast(seeds), ["alias", "provider"])
-    return sorted_fold(s.select("alias", "provider", "ts_ms", "request_id", "latency_ms", "seed"),
-                       ["alias", "provider"], ["ts_ms", "request_id"], _ema_step(alpha), EMA_SCHEMA)
+    s = (samples.join(F.broadcast(seeds), ["alias", "provider"])
+         .withColumn("chunk", F.floor(F.col("ts_ms") / CHUNK_MS).cast("long")))
+    local = sorted_fold(s.select("alias", "provider", "chunk", "ts_ms", "request_id", "latency_ms"),
+                        ["alias", "provider", "chunk"], ["ts_ms", "request_id"], _local_step(alpha), LOCAL_SCHEMA)
+    first = s.groupBy("alias", "provider").agg(F.min_by("latency_ms", F.struct("ts_ms", "request_id")).alias("x1"),
+                                               F.first("seed").alias("seed"))
+    ends = local.groupBy("alias", "provider", "chunk").agg(F.max_by("local", "pos").alias("l_end"),
+                                                           F.max("pos").alias("n"))
+    summary = ends.join(first, ["alias", "provider"]).withColumn(
+        "e_init", F.when(F.col("seed") == 0.0, F.col("x1")).otherwise(F.col("seed")))
+    carry = sorted_fold(summary.select("alias", "provider", "chunk", "l_end", "n", "e_init"), ["alias", "provider"],
+                        ["chunk"], _carry_step(keep), "alias string, provider string, chunk long, carry_in double")
+    j = local.join(carry, ["alias", "provider", "chunk"])
+    return j.select("alias", "provider", "ts_ms", "request_id",
+                    (F.col("local_before") + F.pow(F.lit(keep), F.col("pos_before")) * F.col("carry_in")).alias("ema_before"),
+                    (F.col("local") + F.pow(F.lit(keep), F.col("pos")) * F.col("carry_in")).alias("ema_after"))
 
 
 def latency_ema(samples: DataFrame, routes: DataFrame, alpha: float = 0.2) -> DataFrame:

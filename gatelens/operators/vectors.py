@@ -103,7 +103,7 @@ def _blocks(assigned: DataFrame, id_col: str, vec_col: str, cfg: SearchConfig, k
             time_col: str | None) -> tuple[DataFrame, DataFrame]:
     """Pack each cell's members into blocks of about ``block_size`` (hash spread); returns (blocks, cell sizes)."""
     sizes = assigned.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(cfg.block_size)).cast("long").alias("nblk"))
-    a = assigned.join(F.broadcast(sizes), keys).withColumn("blk", F.pmod(F.xxhash64(id_col), F.col("nblk")))
+    a = assigned.join(sizes, keys).withColumn("blk", F.pmod(F.xxhash64(id_col), F.col("nblk")))
     b = a.select(*keys, "blk", F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"),
                  (F.col(time_col).cast("double") if time_col else F.lit(None).cast("double")).alias("t"))
     return b, sizes
@@ -139,15 +139,16 @@ def threshold_search(queries: DataFrame, store: DataFrame, q_id: str, q_vec: str
     if timed:
         tq = F.floor(F.col(q_time).cast("double") / cfg.ttl_s).cast("long")
         probes = probes.withColumn("tb", F.explode(F.array(tq - 1, tq)))
-    # one probe row per candidate block of the cell (sizes: one row per non-empty cell)
-    probes = (probes.join(F.broadcast(sizes), keys)
+    # one probe row per candidate block of the cell; the cell/block tables are small aggregates that AQE
+    # broadcasts when their measured size allows
+    probes = (probes.join(sizes, keys)
               .select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).alias("qv"),
                       (F.col(q_time).cast("double") if q_time else F.lit(None).cast("double")).alias("qt"),
                       *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("nblk") - 1)).alias("blk")))
     # salt hot blocks: split their probing queries into chunks, replicate the block per chunk
     load = probes.groupBy(*keys, "blk").agg(F.ceil(F.count("*") / F.lit(query_chunk)).cast("long").alias("nq"))
-    probes = probes.join(F.broadcast(load), keys + ["blk"]).withColumn("qc", F.pmod(F.xxhash64("qid"), F.col("nq"))).drop("nq")
-    members = (members.join(F.broadcast(load), keys + ["blk"])
+    probes = probes.join(load, keys + ["blk"]).withColumn("qc", F.pmod(F.xxhash64("qid"), F.col("nq"))).drop("nq")
+    members = (members.join(load, keys + ["blk"])
                .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qc")).drop("nq"))
     thr, k, ttl = cfg.threshold, cfg.k, cfg.ttl_s
     gkeys = keys + ["blk", "qc"]
