@@ -154,7 +154,7 @@ def read_contracts(spark: SparkSession, directory: str = CONTRACT_DIR):
     """
     schema = ("app_id string, version string, contracts array<struct<id:string,name:string,type:string,"
               "action:string,enabled:boolean>>")
-    raw = (spark.read.option("wholetext", True).text(os.path.join(directory, "*.json"))
+    raw = (spark.read.text(os.path.join(directory, "*.json"), wholetext=True)
            .select(F.col("_metadata.file_name").alias("file_name"), F.col("value")))
     parsed = raw.select("file_name", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("d"),
                         F.try_parse_json("value").isNull().alias("bad"))

@@ -115,3 +115,11 @@ def test_lint_and_loading():
     defs, rejected = ct.load_definitions(ct.CONTRACT_DIR)
     assert set(defs) == {"app_0", "app_1"} and rejected == []
     assert ct.load_definitions("/nonexistent") == ({}, [])
+
+
+def test_spark_reader_of_contract_files(spark):
+    rules, rejected = ct.read_contracts(spark, ct.CONTRACT_DIR)
+    assert {r["app_id"] for r in rules.select("app_id").distinct().collect()} == {"app_0", "app_1"}
+    assert rejected.count() == 0
+    _, bad = ct.read_contracts(spark, ct.INVALID_CONTRACT_DIR)
+    assert [r["file_name"] for r in bad.collect()] == ["zz-broken.json"]
