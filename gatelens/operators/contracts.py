@@ -110,9 +110,15 @@ def lint_contract(d: dict, spark: SparkSession | None = None) -> list[str]:
 
 def regex_error(pattern: str, spark: SparkSession | None = None) -> str | None:
     """Compile check; uses the JVM's regex engine when a session is given (what rlike will run)."""
+    jvm = None
     if spark is not None:
         try:
-            spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+            jvm = spark.sparkContext._jvm
+        except Exception:  # noqa: BLE001 - no JVM handle (Connect): fall back to Python's engine
+            jvm = None
+    if jvm is not None:
+        try:
+            jvm.java.util.regex.Pattern.compile(pattern)
             return None
         except Exception as e:  # noqa: BLE001
             return str(e).splitlines()[0][:120]

@@ -765,7 +765,7 @@ def q_stream_drift(spark, sf):
     scores = fx.compliance_scores(spark, sf, stx.table_stream(spark, sf, "events"))
     parts = _latest_snapshot(stx.hourly_partials(scores), ["app_id", "contract_id", "window"], "drift")
     as_of = F.lit(fx.AS_OF).cast("timestamp_ntz")
-    start = F.col("window.start").cast("timestamp_ntz")
+    start = stx.instant_to_ntz(F.col("window.start"))
     recent = start >= as_of - F.expr("INTERVAL 24 HOURS")
     base = parts.filter((start >= as_of - F.expr("INTERVAL 168 HOURS")) & (start < as_of))
     st = base.groupBy("app_id", "contract_id").agg(
@@ -780,7 +780,8 @@ def q_stream_metrics(spark, sf):
     log = fx.request_log(spark, sf, stx.table_stream(spark, sf, "events"))
     counts = stx.tumbling_counts(log, ["status"])
     snap = _latest_snapshot(counts, ["window", "status"], "metrics")
-    return snap.select(F.date_format(F.col("window.start"), "yyyy-MM-dd HH:00:00").alias("hour"), "status", "n")
+    return snap.select(F.date_format(stx.instant_to_ntz(F.col("window.start")), "yyyy-MM-dd HH:00:00").alias("hour"),
+                       "status", "n")
 
 
 @register("stream_dedup")

@@ -39,12 +39,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a scratch one only when none is configured."""
     cur = spark.conf.get("spark.checkpoint.dir", None)
-    if not cur:
-        cur = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not cur:
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect: the server owns the checkpoint folder
+        sc = None
+    if not cur and sc is not None:
+        cur = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    if not cur:   # only for local runs/tests where no shared folder is configured
         cur = tempfile.mkdtemp(prefix="gatelens-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", cur)
-    spark.sparkContext.setCheckpointDir(cur)
+    if sc is not None:
+        sc.setCheckpointDir(cur)
     return cur
 
 
@@ -59,5 +64,9 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
 
     Large inputs already have many more partitions than cores; then this is a no-op (no extra shuffle).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * factor) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session exposes no RDDs: leave partitioning to Spark
+        return df
+    return df.repartition(cores * factor) if parts < cores else df

@@ -56,12 +56,10 @@ def read_patterns(spark: SparkSession, path: str = PATTERN_FILE) -> DataFrame:
         "id string, severity string, regex string, description string"))
     # file order: the JSON array is read in order by a single-file scan; keep it explicitly
     rules = arr.withColumn("pos", F.monotonically_increasing_id()).collect()   # a rule file: tens of rows
-    jvm = spark.sparkContext._jvm
+    from gatelens.operators.contracts import regex_error
     ok = []
     for i, r in enumerate(sorted(rules, key=lambda r: r["pos"])):
-        try:
-            jvm.java.util.regex.Pattern.compile("(?is)" + r["regex"])
-        except Exception:  # noqa: BLE001 - a bad rule must not stop the guard from loading
+        if regex_error("(?is)" + r["regex"], spark) is not None:   # a bad rule must not stop the guard from loading
             continue
         if r["severity"] not in SEVERITY_RANK:
             continue

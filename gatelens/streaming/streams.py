@@ -35,6 +35,11 @@ def with_event_time(df: DataFrame, col: str = "ts", out: str = "event_time") ->
     return df.withColumn(out, F.timestamp_micros(epoch_us(col)))
 
 
+def instant_to_ntz(c) -> "F.Column":
+    """TIMESTAMP (an instant, e.g. a window bound) → UTC wall-clock TIMESTAMP_NTZ, independent of the session zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def run_to_parquet(sdf: DataFrame, name: str, mode: str = "append", available_now: bool = True) -> str:
     spark = sdf.sparkSession
     out, ckpt = scratch_path(spark, f"stream-{name}"), scratch_path(spark, f"ckpt-{name}")
