@@ -59,8 +59,10 @@ def is_blank(text: Column) -> Column:
 
 
 def count_in(toks: Column, words) -> Column:
-    arr = F.array(*[F.lit(w) for w in words])
-    return F.size(F.filter(toks, lambda t: F.array_contains(arr, t)))
+    """Occurrences of lexicon words among tokens (IN over literals becomes a hash-set probe)."""
+    if not words:
+        return F.lit(0)
+    return F.size(F.filter(toks, lambda t: t.isin(*words)))
 
 
 def detect_language(text: Column, stop_words=STOP_WORDS) -> Column:

@@ -34,9 +34,17 @@ def metrics_snapshot(log: DataFrame) -> DataFrame:
         F.count_if(st == 502).alias("provider_errors"), F.count_if(st == 401).alias("unauthorized"))
 
 
-def _pcts(col: str) -> list[Column]:
-    return [F.round(F.percentile(col, 0.5), 4).alias("p50_ms"), F.round(F.percentile(col, 0.95), 4).alias("p95_ms"),
-            F.round(F.percentile(col, 0.99), 4).alias("p99_ms")]
+def _pcts(col: str, exact: bool = True, accuracy: int = 10000) -> list[Column]:
+    """Exact (linear interpolation) over bounded sample buffers; a mergeable sketch for all-history scopes."""
+    if exact:
+        return [F.round(F.percentile(col, p), 4).alias(n) for p, n in ((0.5, "p50_ms"), (0.95, "p95_ms"), (0.99, "p99_ms"))]
+    return [F.percentile_approx(col, p, accuracy).alias(n) for p, n in ((0.5, "p50_ms"), (0.95, "p95_ms"), (0.99, "p99_ms"))]
+
+
+def latency_percentiles_all_history(log: DataFrame, by: str = "provider", accuracy: int = 10000) -> DataFrame:
+    """p50/p95/p99 over all history per group with an approximate quantile sketch (bounded memory per group)."""
+    ok = log.filter(F.col("status").isin(200, 502))
+    return ok.groupBy(by).agg(F.count("*").alias("samples"), *_pcts("latency_ms", exact=False, accuracy=accuracy))
 
 
 def latency_percentiles(log: DataFrame, n_global: int = GLOBAL_SAMPLES, n_provider: int = PROVIDER_SAMPLES) -> DataFrame:

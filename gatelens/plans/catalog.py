@@ -800,3 +800,12 @@ def q_stream_latency_ema(spark, sf):
     samples = log.select("alias", "provider", epoch_ms("ts").alias("ts_ms"), "request_id", "latency_ms")
     snap = _latest_snapshot(stx.stream_latency_ema(samples, fx.routes(spark)), ["alias", "provider"], "ema")
     return snap.select("alias", "provider", "samples", F.round("ema_ms", 6).alias("ema_ms"))
+
+
+@register("score_histogram")
+def q_score_histogram(spark, sf):
+    """Unified P(injection) from every model's raw outputs, bucketed in tenths per model."""
+    r = fx.raw_model_outputs(spark, sf)
+    p = det.to_injection_prob(F.col("top_label"), F.col("top_score"))
+    return (r.select("model", F.least(F.floor(p * 10), F.lit(9)).cast("int").alias("bucket"))
+            .groupBy("model", "bucket").agg(F.count("*").alias("n")))

@@ -802,3 +802,6 @@ ORACLES["stream_latency_ema"] = ORACLES["latency_ema"]
 ORACLES["stream_metrics"] = with_(RLOG) + """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00:00') AS hour, status, count(*) AS n FROM rlog GROUP BY ALL"""
 ORACLES["stream_dedup"] = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS distinct_ids FROM events GROUP BY event_type"
+
+ORACLES["score_histogram"] = with_(SCORED) + """
+SELECT model, CAST(least(floor(prob * 10), 9) AS INTEGER) AS bucket, count(*) AS n FROM scored GROUP BY ALL"""
