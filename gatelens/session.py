@@ -59,14 +59,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin repartition for CPU-heavy row work when the input has fewer partitions than cores.
+    """Round-robin repartition for CPU-heavy row work when the input is small (estimated size).
 
-    Large inputs already have many more partitions than cores; then this is a no-op (no extra shuffle).
+    Small inputs arrive as a handful of files, i.e. a handful of tasks; spreading them lets every core work.
+    The decision uses the optimizer's size estimate (no job is run); large inputs already have many
+    partitions and are left untouched (no extra shuffle).
     """
     try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Connect session exposes no RDDs: leave partitioning to Spark
+    except Exception:  # noqa: BLE001 - e.g. a Connect session: leave partitioning to Spark
         return df
-    return df.repartition(cores * factor) if parts < cores else df
+    return df.repartition(cores * factor) if size < SMALL_INPUT_BYTES else df
