@@ -177,3 +177,10 @@ def prune_retention(series: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 def write_compliance(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append scores partitioned by day so retention and window reads prune whole partitions."""
     (df.withColumn("day", F.to_date("ts")).write.mode(mode).partitionBy("day").parquet(path))
+
+
+def read_compliance(spark, path: str, as_of: str, hours: float) -> DataFrame:
+    """Scores of the window [as_of - hours, as_of] from the day-partitioned store (whole-day partitions pruned)."""
+    lo = _minus_hours(as_of, hours)
+    s = spark.read.parquet(path).filter((F.col("day") >= F.to_date(lo)) & (F.col("day") <= F.to_date(_ts(as_of))))
+    return s.filter((F.col("ts") >= lo) & (F.col("ts") <= _ts(as_of))).drop("day")

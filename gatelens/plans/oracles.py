@@ -773,7 +773,7 @@ SELECT status, count(*) AS n, CAST(sum(completion_tokens * 4) AS BIGINT) AS byte
 FROM rlog GROUP BY status"""
 ORACLES["read_patterns"] = ORACLES["pattern_rollup"]
 ORACLES["write_compliance"] = with_(SERIES) + """
-SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n FROM series WHERE CAST(ts AS DATE) >= DATE '2024-01-24' GROUP BY ALL"""
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n FROM series GROUP BY ALL"""
 
 ORACLES["attack_corpus"] = with_(FLAT, ATTACK) + "SELECT conv_id, prompt, label FROM attack_corpus"
 ORACLES["balance_classes"] = with_(LD) + """

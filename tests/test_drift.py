@@ -43,3 +43,14 @@ def test_timeline_equals_point_checks(spark):
     tl = {r["tick"]: r["alert"] for r in dr.drift_timeline(s, "2024-01-20", "2024-01-31").collect()}
     for tick, alert in tl.items():
         assert alert == (dr.drift_check(s, tick + " 00:00:00").count() == 1), tick
+
+
+def test_day_partitioned_store_prunes_and_filters(spark, tmp_path):
+    rows = [("a", "c", hours_before(h), 0.9) for h in (1, 30, 80)]
+    s = series(spark, rows)
+    path = str(tmp_path / "store")
+    dr.write_compliance(s, path, mode="overwrite")
+    got = dr.read_compliance(spark, path, AS_OF, 48)
+    assert got.count() == 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
