@@ -711,16 +711,8 @@ from gatelens.streaming import streams as stx  # noqa: E402
 
 
 def _latest_snapshot(sdf, keys, name):
-    """Update-mode stream → idempotent per-batch parquet parts → latest row per key (read back as a batch)."""
-    spark = sdf.sparkSession
-    out = sio.scratch_path(spark, f"snap-{name}")
-
-    def sink(batch, batch_id):
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    stx.run_foreach_batch(sdf, name, sink, mode="update")
-    parts = spark.read.parquet(out)
-    w = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
-    return parts.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch", "batch")
+    """Update-mode stream → latest row per key (read back as a batch)."""
+    return stx.latest_snapshot(sdf, keys, name)[0]
 
 
 from pyspark.sql import Window  # noqa: E402

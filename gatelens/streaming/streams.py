@@ -50,11 +50,32 @@ def run_to_parquet(sdf: DataFrame, name: str, mode: str = "append", available_no
     return out
 
 
-def run_foreach_batch(sdf: DataFrame, name: str, fn, mode: str = "append") -> None:
+def run_foreach_batch(sdf: DataFrame, name: str, fn, mode: str = "append"):
     ckpt = scratch_path(sdf.sparkSession, f"ckpt-{name}")
     q = (sdf.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt).outputMode(mode)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return q
+
+
+def rows_dropped_by_watermark(query) -> int:
+    """Late rows a finished query's stateful operators discarded (from its progress reports)."""
+    return int(sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress
+                   for op in (p.get("stateOperators") or [])))
+
+
+def latest_snapshot(sdf: DataFrame, keys: list[str], name: str):
+    """Update-mode stream → idempotent per-batch parquet parts → (latest row per key, finished query)."""
+    from pyspark.sql import Window
+    spark = sdf.sparkSession
+    out = scratch_path(spark, f"snap-{name}")
+
+    def sink(batch, batch_id):
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    q = run_foreach_batch(sdf, name, sink, mode="update")
+    parts = spark.read.parquet(out)
+    w = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
+    return parts.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch", "batch"), q
 
 
 # ------------------------------------------------------------------ stateful: admission and EMA

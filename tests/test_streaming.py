@@ -26,3 +26,22 @@ def test_stream_admission_equals_batch(spark):
     a = {tuple(r) for r in QUERIES["stream_rate_admission"](spark, SF_SMALL).collect()}
     b = {tuple(r) for r in QUERIES["rate_admission"](spark, SF_SMALL).collect()}
     assert a == b
+
+
+def test_late_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    """Late events are filtered with the watermark of the previous batch, so old rows arriving in the third
+    batch (after two batches advanced the watermark) are dropped and reported."""
+    import datetime as dt
+    import time
+    src = str(tmp_path / "scores")
+    schema = "app_id string, contract_id string, ts timestamp_ntz, score double"
+    batches = [[dt.datetime(2024, 1, 10, h) for h in range(5)], [dt.datetime(2024, 1, 11, h) for h in range(4)],
+               [dt.datetime(2024, 1, 1, h) for h in range(3)]]
+    for i, ts in enumerate(batches):
+        spark.createDataFrame([("a", "c", t, 0.9) for t in ts], schema).coalesce(1).write.parquet(f"{src}/f={i}")
+        time.sleep(1.5)      # the file source orders new files by modification time
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    parts, q = stx.latest_snapshot(stx.hourly_partials(stream), ["app_id", "contract_id", "window"], "late")
+    assert stx.rows_dropped_by_watermark(q) == 3
+    assert parts.agg(F.sum("n")).first()[0] == 9
