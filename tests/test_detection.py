@@ -103,3 +103,13 @@ def test_pattern_scan_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "x")], "id int, prompt string")
     plan = det.pattern_scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_pr_curve_recall_is_monotone(spark):
+    from conftest import SF_SMALL
+    from gatelens.operators import evaluation as ev
+    from gatelens.plans import fixtures as fx
+    curve = ev.pr_curve(fx.scored(spark, SF_SMALL)).collect()
+    for m in {r["model"] for r in curve}:
+        rec = [r["recall"] for r in sorted((r for r in curve if r["model"] == m), key=lambda r: r["threshold"])]
+        assert rec == sorted(rec, reverse=True)

@@ -54,3 +54,21 @@ def test_resolution_broadcasts_the_alias_table(spark):
     lg = log(spark, [(1, "m", None)]).withColumn("pad", F.lit(1))
     plan = rt.route_resolve(lg, routes(spark), "cost")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5 * 86_400_000), st.floats(1, 1000)), min_size=1, max_size=40),
+       st.sampled_from([0.0, 250.0]))
+def test_chunked_ema_equals_sequential(spark, samples, seed):
+    rs = spark.createDataFrame([("m", "p", "x", 1, 1.0, seed, 0)], ROUTES_SCHEMA)
+    rows = [("m", "p", t, i, float(x)) for i, (t, x) in enumerate(samples)]
+    df = spark.createDataFrame(rows, "alias string, provider string, ts_ms long, request_id long, latency_ms double")
+    got = {r["request_id"]: r["ema_after"] for r in rt.running_latency_ema(df, rs).collect()}
+    e = seed
+    for t, i, x in sorted((t, i, x) for _, _, t, i, x in rows):
+        e = x if e == 0.0 else 0.2 * x + 0.8 * e
+        assert abs(got[i] - e) <= 1e-9 * max(1.0, abs(e))
