@@ -20,14 +20,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quiet_gap_segments(df: DataFrame, keys: list[str], ts: str, tiebreak: str, gap: int, name: str = "_seg") -> DataFrame:
-    """Adds a segment number that increases whenever the previous row of the key is >= ``gap`` earlier."""
-    w = Window.partitionBy(*keys).orderBy(ts, tiebreak)
-    prev = F.lag(ts).over(w)
+DAY_MS = 86_400_000
+
+
+def quiet_gap_segments(df: DataFrame, keys: list[str], ts: str, tiebreak: str, gap: int, name: str = "_seg",
+                       chunk_ms: int = DAY_MS) -> DataFrame:
+    """Adds a segment number that increases whenever the previous row of the key is >= ``gap`` earlier.
+
+    Chunk-parallel: windows run per (key, time chunk); a small (key, chunk) table carries the previous
+    chunk's last timestamp and segment count across the boundary, so a busy key is not one task.
+    """
+    c = df.withColumn("_chunk", F.floor(F.col(ts) / chunk_ms).cast("long"))
+    wc = Window.partitionBy(*keys, "_chunk").orderBy(ts, tiebreak)
+    c = c.withColumn("_prev", F.lag(ts).over(wc))
+    summary = c.groupBy(*keys, "_chunk").agg(F.max(ts).alias("_last"), F.min(ts).alias("_first"),
+                                             F.count_if(F.col("_prev").isNotNull() & (F.col(ts) - F.col("_prev") >= gap))
+                                             .alias("_inner"))
+    wk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(
+        *keys, "_chunk", F.last("_last").over(wk).alias("_carry_prev"),
+        # segment starts in earlier chunks: inner starts plus a start at each chunk's first row when it opens a gap
+        F.sum(F.col("_inner") + F.when(F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).isNull()
+                                       | (F.col("_first") - F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")) >= gap), 1)
+                                  .otherwise(0)).over(wk).alias("_before"))
+    j = c.join(carry, keys + ["_chunk"])
+    prev = F.coalesce(F.col("_prev"), F.col("_carry_prev"))
     start = F.when(prev.isNull() | (F.col(ts) - prev >= gap), 1).otherwise(0)
-    return (df.withColumn("_start", start)
-              .withColumn(name, F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-              .drop("_start"))
+    return (j.withColumn("_start", start)
+             .withColumn(name, (F.coalesce(F.col("_before"), F.lit(0))
+                                + F.sum("_start").over(wc.rowsBetween(Window.unboundedPreceding, 0))).cast("long"))
+             .drop("_start", "_chunk", "_prev", "_carry_prev", "_before"))
 
 
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str,

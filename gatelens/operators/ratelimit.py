@@ -71,14 +71,23 @@ def rate_peek(decisions: DataFrame, as_of_ms: int, window_s: int, max_requests:
                     .otherwise(F.lit(as_of_ms / 1000.0)).alias("reset_at"))
 
 
-def with_reset_epochs(log: DataFrame, resets: DataFrame, key: str, ts_ms: str) -> DataFrame:
-    """As-of attach: each request gets the number of its key's resets at or before it (union + running count)."""
+def with_reset_epochs(log: DataFrame, resets: DataFrame, key: str, ts_ms: str, chunk_ms: int = 86_400_000) -> DataFrame:
+    """As-of attach: each request gets the number of its key's resets at or before it.
+
+    A running count over the union of requests and resets, computed per (key, day) and carried across
+    days by a small (key, day) table, so a busy key is spread over its days.
+    """
     a = log.select("*", F.lit(0).alias("_is_reset"))
     b = resets.select(F.col(key), F.col(ts_ms), F.lit(1).alias("_is_reset"))
-    u = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(ts_ms), F.col("_is_reset").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return (u.withColumn("reset_epoch", F.sum("_is_reset").over(w).cast("long"))
-             .filter(F.col("_is_reset") == 0).drop("_is_reset"))
+    u = a.unionByName(b, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col(ts_ms) / chunk_ms).cast("long"))
+    w = (Window.partitionBy(key, "_chunk").orderBy(F.col(ts_ms), F.col("_is_reset").desc())
+         .rowsBetween(Window.unboundedPreceding, 0))
+    per_chunk = u.groupBy(key, "_chunk").agg(F.sum("_is_reset").alias("_n"))
+    before = per_chunk.select(key, "_chunk", F.sum("_n").over(
+        Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    return (u.join(before, [key, "_chunk"])
+             .withColumn("reset_epoch", (F.coalesce("_before", F.lit(0)) + F.sum("_is_reset").over(w)).cast("long"))
+             .filter(F.col("_is_reset") == 0).drop("_is_reset", "_chunk", "_before"))
 
 
 def rate_rollup(decisions: DataFrame, prefix: str = "ratelimit") -> DataFrame:

@@ -75,6 +75,8 @@ def main(argv):
     from gatelens.session import local_session
     import __spark_entry__ as E
     spark = local_session(8)
+    if os.environ.get("CHECK_PARTITIONS"):
+        spark.conf.set("spark.sql.shuffle.partitions", os.environ["CHECK_PARTITIONS"])
     if os.environ.get("CHECK_TZ"):
         spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
     con = duck(sf_dir)

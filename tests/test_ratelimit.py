@@ -67,3 +67,21 @@ def test_leaky_bucket_burst(spark):
     df = spark.createDataFrame([("a", i, i) for i in range(5)], "key string, ts long, rid long")
     got = [r["admitted"] for r in rl.rate_leaky_bucket(df, "key", "ts", "rid", 3600.0, 2).orderBy("request_id").collect()]
     assert got == [True, True, True, False, False]              # first + burst of 2, nothing drained in 4 ms
+
+
+@settings(max_examples=10, deadline=None)
+@given(events, st.integers(1, 5000), st.integers(50, 20_000))
+def test_chunked_segmentation_equals_single_chunk(spark, evs, gap, chunk):
+    from gatelens.operators.ordered import quiet_gap_segments
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(evs)], "key string, ts long, rid long")
+    a = {r["rid"]: r["_seg"] for r in quiet_gap_segments(df, ["key"], "ts", "rid", gap, chunk_ms=chunk).collect()}
+    b = {r["rid"]: r["_seg"] for r in quiet_gap_segments(df, ["key"], "ts", "rid", gap, chunk_ms=10**12).collect()}
+    assert a == b
+
+
+def test_chunked_reset_epochs_equal_single_chunk(spark):
+    df = spark.createDataFrame([("a", t, t) for t in range(0, 100_000, 700)], "key string, ts long, rid long")
+    resets = spark.createDataFrame([("a", t) for t in range(350, 100_000, 9_000)], "key string, ts long")
+    a = {r["rid"]: r["reset_epoch"] for r in rl.with_reset_epochs(df, resets, "key", "ts", chunk_ms=5_000).collect()}
+    b = {r["rid"]: r["reset_epoch"] for r in rl.with_reset_epochs(df, resets, "key", "ts", chunk_ms=10**12).collect()}
+    assert a == b and max(a.values()) == 12
