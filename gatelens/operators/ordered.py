@@ -36,13 +36,14 @@ def quiet_gap_segments(df: DataFrame, keys: list[str], ts: str, tiebreak: str, g
     summary = c.groupBy(*keys, "_chunk").agg(F.max(ts).alias("_last"), F.min(ts).alias("_first"),
                                              F.count_if(F.col("_prev").isNotNull() & (F.col(ts) - F.col("_prev") >= gap))
                                              .alias("_inner"))
-    wk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
-        *keys, "_chunk", F.last("_last").over(wk).alias("_carry_prev"),
-        # segment starts in earlier chunks: inner starts plus a start at each chunk's first row when it opens a gap
-        F.sum(F.col("_inner") + F.when(F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).isNull()
-                                       | (F.col("_first") - F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")) >= gap), 1)
-                                  .otherwise(0)).over(wk).alias("_before"))
+    # per chunk: starts inside it, plus one at its first row when it follows a gap (or is the key's first chunk)
+    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    summary = summary.withColumn("_prev_last", F.lag("_last").over(by_chunk)).withColumn(
+        "_starts", F.col("_inner") + F.when(F.col("_prev_last").isNull() | (F.col("_first") - F.col("_prev_last") >= gap), 1)
+        .otherwise(0))
+    earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, "_chunk", F.col("_prev_last").alias("_carry_prev"),
+                           F.sum("_starts").over(earlier).alias("_before"))
     j = c.join(carry, keys + ["_chunk"])
     prev = F.coalesce(F.col("_prev"), F.col("_carry_prev"))
     start = F.when(prev.isNull() | (F.col(ts) - prev >= gap), 1).otherwise(0)

@@ -95,13 +95,23 @@ def rate_rollup(decisions: DataFrame, prefix: str = "ratelimit") -> DataFrame:
         F.count_if("admitted").alias("allowed"), F.count_if(~F.col("admitted")).alias("rejected_429"))
 
 
-def rate_fixed_vs_sliding(log: DataFrame, key: str, ts_ms: str, window_s: int) -> DataFrame:
-    """Busiest fixed (tumbling) window vs busiest trailing window per key; the gap shows boundary bursts."""
+def rate_fixed_vs_sliding(log: DataFrame, key: str, ts_ms: str, window_s: int, chunk_ms: int = 86_400_000) -> DataFrame:
+    """Busiest fixed (tumbling) window vs busiest trailing window per key; the gap shows boundary bursts.
+
+    Trailing counts run per (key, day) chunk; rows from the last window-width of the previous day are
+    copied in as context (a halo), so every count is exact and a busy key is spread over its days.
+    """
     w_ms = int(window_s) * 1000
+    chunk_ms = max(chunk_ms, w_ms)
     fixed = (log.groupBy(key, F.floor(F.col(ts_ms) / w_ms).alias("bucket")).agg(F.count("*").alias("n"))
              .groupBy(key).agg(F.max("n").alias("max_fixed")))
-    trailing = F.count("*").over(Window.partitionBy(key).orderBy(F.col(ts_ms)).rangeBetween(-(w_ms - 1), 0))
-    sliding = log.select(key, trailing.alias("n")).groupBy(key).agg(F.max("n").alias("max_sliding"))
+    chunk = F.floor(F.col(ts_ms) / chunk_ms).cast("long")
+    own = log.select(key, ts_ms, chunk.alias("_chunk"), F.lit(True).alias("_own"))
+    halo = (log.filter(F.col(ts_ms) >= (chunk + 1) * chunk_ms - w_ms)
+            .select(key, ts_ms, (chunk + 1).alias("_chunk"), F.lit(False).alias("_own")))
+    trailing = F.count("*").over(Window.partitionBy(key, "_chunk").orderBy(F.col(ts_ms)).rangeBetween(-(w_ms - 1), 0))
+    sliding = (own.unionByName(halo).select(key, "_own", trailing.alias("n")).filter("_own")
+               .groupBy(key).agg(F.max("n").alias("max_sliding")))
     return fixed.join(sliding, key).select(key, F.col("max_fixed").cast("long").alias("max_fixed"),
                                            F.col("max_sliding").cast("long").alias("max_sliding"),
                                            (F.col("max_sliding") > F.col("max_fixed")).alias("boundary_burst"))

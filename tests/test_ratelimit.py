@@ -85,3 +85,11 @@ def test_chunked_reset_epochs_equal_single_chunk(spark):
     a = {r["rid"]: r["reset_epoch"] for r in rl.with_reset_epochs(df, resets, "key", "ts", chunk_ms=5_000).collect()}
     b = {r["rid"]: r["reset_epoch"] for r in rl.with_reset_epochs(df, resets, "key", "ts", chunk_ms=10**12).collect()}
     assert a == b and max(a.values()) == 12
+
+
+def test_sliding_counts_with_halo_equal_single_chunk(spark):
+    rows = [("a", t, t) for t in list(range(0, 30_000, 900)) + list(range(9_500, 10_500, 50))]
+    df = spark.createDataFrame(rows, "key string, ts long, rid long")
+    a = rl.rate_fixed_vs_sliding(df, "key", "ts", 2, chunk_ms=3_000).first()
+    b = rl.rate_fixed_vs_sliding(df, "key", "ts", 2, chunk_ms=10**12).first()
+    assert a == b and a["max_sliding"] >= a["max_fixed"]
