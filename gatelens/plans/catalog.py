@@ -9,11 +9,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gatelens.functions.lexicon import lexical_injection_prob
+from gatelens.functions.patterns import first_match
+from gatelens.operators import contracts as ct
+from gatelens.operators import datasets as ds
 from gatelens.operators import detection as det
+from gatelens.operators import drift as dr
 from gatelens.operators import evaluation as ev
+from gatelens.operators import metrics as mt
 from gatelens.operators import prompts as pr
+from gatelens.operators import providers as pv
+from gatelens.operators import ratelimit as rl
+from gatelens.operators import routing as rt
+from gatelens.operators import vectors as vx
 from gatelens.plans import fixtures as fx
+from gatelens.sources import io as sio
 from gatelens.sources.tables import table
+from gatelens.streaming import streams as stx
 
 QUERIES: dict = {}
 
@@ -174,10 +186,8 @@ def q_model_comparison(spark, sf):
 
 
 # ------------------------------------------------------------------ 2.4 contracts
-from gatelens.operators import contracts as ct  # noqa: E402
 
 PAIR_KEYS = ["conv_id", "turn"]
-VERDICT_COLS = ["contract_id", "contract_type", "action", "tier", "passed", "compliance", "message", "evidence", "location"]
 
 
 def contract_defs(kinds=None):
@@ -289,7 +299,6 @@ def q_contract_lint(spark, sf):
 
 
 # ------------------------------------------------------------------ 2.5 drift
-from gatelens.operators import drift as dr  # noqa: E402
 
 DRIFT_CFG = dr.DriftConfig()
 FIRST_TICK, LAST_TICK = "2024-01-08", "2024-01-31"
@@ -351,7 +360,6 @@ def q_prune_retention(spark, sf):
 
 
 # ------------------------------------------------------------------ 2.6 rate limits
-from gatelens.operators import ratelimit as rl  # noqa: E402
 
 
 def _admission(spark, sf):
@@ -403,8 +411,6 @@ def q_rate_leaky_bucket(spark, sf):
 
 
 # ------------------------------------------------------------------ 2.8 routing
-from gatelens.operators import routing as rt  # noqa: E402
-from gatelens.operators import metrics as mt  # noqa: E402
 
 
 def _resolved(spark, sf, policy):
@@ -518,7 +524,6 @@ def q_usage_totals(spark, sf):
 
 
 # ------------------------------------------------------------------ 2.7 vectors
-from gatelens.operators import vectors as vx  # noqa: E402
 
 CACHE_CFG = vx.SearchConfig()
 
@@ -574,8 +579,6 @@ def q_cache_replay(spark, sf):
 
 
 # ------------------------------------------------------------------ 2.1 / 2.2 sources, sinks, provider shapes
-from gatelens.operators import providers as pv  # noqa: E402
-from gatelens.sources import io as sio  # noqa: E402
 
 
 @register("shape_requests")
@@ -659,7 +662,6 @@ def q_write_eval_report(spark, sf):
 
 
 # ------------------------------------------------------------------ 2.11 datasets
-from gatelens.operators import datasets as ds  # noqa: E402
 
 
 @register("attack_corpus")
@@ -705,9 +707,6 @@ def q_embed_prompts(spark, sf):
 
 
 # ------------------------------------------------------------------ 2.12 streaming (availableNow runs, compared with batch)
-from gatelens.functions.lexicon import lexical_injection_prob  # noqa: E402
-from gatelens.functions.patterns import first_match  # noqa: E402
-from gatelens.streaming import streams as stx  # noqa: E402
 
 
 def _latest_snapshot(sdf, keys, name):
@@ -715,7 +714,6 @@ def _latest_snapshot(sdf, keys, name):
     return stx.latest_snapshot(sdf, keys, name)[0]
 
 
-from pyspark.sql import Window  # noqa: E402
 
 
 @register("stream_guard")
