@@ -86,8 +86,12 @@ def contract_counts(verdicts: DataFrame, alerts: DataFrame) -> DataFrame:
         F.count_if(F.col("tier") == "deterministic").alias("eval_deterministic"),
         F.count_if(F.col("tier") == "classifier").alias("eval_classifier"),
         F.count_if(F.col("tier") == "llm_judge").alias("eval_llm_judge"))
-    one = F.lit(1).alias("_k")
-    return v.select("*", one).join(alerts.agg(F.count("*").alias("drift_alerts")).select("*", one), "_k").drop("_k")
+    # two one-row aggregates combined by union + sum (no join between them)
+    zero = F.lit(0).cast("long")
+    a = alerts.agg(F.count("*").alias("drift_alerts"))
+    rows = v.select("*", zero.alias("drift_alerts")).unionByName(
+        a.select(*[zero.alias(c) for c in v.columns], "drift_alerts"))
+    return rows.agg(*[F.sum(c).cast("long").alias(c) for c in v.columns + ["drift_alerts"]])
 
 
 def status_rollup(log: DataFrame) -> DataFrame:

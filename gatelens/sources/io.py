@@ -80,14 +80,16 @@ def read_access_log(spark: SparkSession, path: str, streaming: bool = False) ->
 
 def write_eval_report(metrics: DataFrame, curve: DataFrame, judge: DataFrame | None, path: str) -> None:
     """Metrics + curve + optional judge block as one JSON document (all inputs are small aggregates)."""
-    one = F.lit(1).alias("_k")
-    m = metrics.agg(F.collect_list(F.struct(*metrics.columns)).alias("metrics")).select("*", one)
-    c = curve.agg(F.collect_list(F.struct(*curve.columns)).alias("pr_curve")).select("*", one)
-    doc = m.join(c, "_k")
-    cols = [F.col("metrics"), F.col("pr_curve")]
-    if judge is not None:
-        doc = doc.join(judge.agg(F.collect_list(F.struct(*judge.columns)).alias("tier3")).select("*", one), "_k")
-        cols.append(F.col("tier3"))
+    parts = [("metrics", metrics), ("pr_curve", curve)] + ([("tier3", judge)] if judge is not None else [])
+    blocks = [df.agg(F.collect_list(F.struct(*df.columns)).alias(name)) for name, df in parts]
+    # one-row blocks combined by union + first(ignorenulls): no join between them
+    typed = [b.select(*[(F.col(n) if n == b.columns[0] else F.lit(None).cast(o.schema[0].dataType)).alias(n)
+                        for n, o in zip([p[0] for p in parts], blocks)]) for b in blocks]
+    u = typed[0]
+    for t in typed[1:]:
+        u = u.unionByName(t)
+    doc = u.agg(*[F.first(n, ignorenulls=True).alias(n) for n, _ in parts])
+    cols = [F.col(n) for n, _ in parts]
     doc.select(F.to_json(F.struct(*cols)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 

@@ -28,3 +28,10 @@ def test_query_matches_sql_twin(spark, con, name):
 
 def test_entry_returns_rows(spark):
     assert E.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_") and n != "train_tier2"))
+def test_plan_has_no_cross_join_or_row_udf(spark, name):
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert bad not in plan, f"{name}: {bad}"
