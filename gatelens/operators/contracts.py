@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.functions import text as tx
+from gatelens.functions.numeric import half_up
 from gatelens.session import spread
 
 RESOURCES = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "resources")
@@ -709,7 +710,8 @@ def contract_report(pairs: DataFrame, defs: dict, keys: list[str], response: str
 def contract_rollup(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("app_id", "contract_id", "contract_type", "tier").agg(
         F.count("*").alias("evaluations"), F.count_if(~F.col("passed")).alias("violations"),
-        F.round(F.avg("compliance"), 6).alias("mean_compliance"))
+        # exact mean of 6-dp compliance units: identical for any partitioning or engine
+        half_up(F.sum(F.round(F.col("compliance") * 1e6).cast("long")) / F.count("*") / 1e6, 6).alias("mean_compliance"))
 
 
 def judge_requests(pairs: DataFrame, defs: dict, keys: list[str], response: str = "response",

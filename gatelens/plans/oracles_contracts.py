@@ -314,7 +314,7 @@ FROM tp p LEFT JOIN agg a ON p.conv_id = a.conv_id AND p.turn = a.turn"""
 
 ORACLES["contract_rollup"] = with_(JUDGED, all_verdicts(_D)) + """
 SELECT app_id, contract_id, contract_type, tier, count(*) AS evaluations, count_if(NOT passed) AS violations,
-  round(avg(compliance), 6) AS mean_compliance
+  (CAST(floor((sum(CAST(round(compliance * 1e6) AS BIGINT)) / count(*) / 1e6) * 1000000.0 + 0.5) AS DOUBLE) / 1000000.0) AS mean_compliance
 FROM allv GROUP BY app_id, contract_id, contract_type, tier"""
 
 ORACLES["judge_score_parse"] = with_(JUDGED) + "SELECT conv_id, turn, j_score AS score, j_reason AS reasoning, j_path AS path FROM tpj"

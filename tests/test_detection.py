@@ -113,3 +113,11 @@ def test_pr_curve_recall_is_monotone(spark):
     for m in {r["model"] for r in curve}:
         rec = [r["recall"] for r in sorted((r for r in curve if r["model"] == m), key=lambda r: r["threshold"])]
         assert rec == sorted(rec, reverse=True)
+
+
+def test_no_model_scores_zero_and_never_blocks(spark):
+    df = spark.createDataFrame([(1, "ignore bypass jailbreak pretend unrestricted")], "id int, prompt string")
+    off = det.Scorer(name="none", available=False)
+    r = det.tier2_scores(df, off).first()
+    assert (r["ml_prob"], r["ml_label"]) == (0.0, "MODEL_UNAVAILABLE")
+    assert not det.guard_decisions(df, scorer=off).first()["blocked"]
