@@ -4,7 +4,7 @@ No cross join and no per-pair rows. Exactness comes from the triangle
 inequality: store vectors are assigned to their nearest pivot and to a ring
 (distance band of width r = sqrt(2 - 2*thr)) around it. A query can only reach
 cosine >= thr with vectors in rings [d(q,p) - r, d(q,p) + r] of each pivot p,
-and only for pivots whose covering radius it can reach. Store members of a
+and only cells that hold store vectors are joined. Store members of a
 (pivot, ring[, time bucket]) cell are packed into blocks of at most
 ``block_size`` vectors; each (query, candidate block) row is scored with one
 numpy mat-vec in ``mapInPandas`` and emits only its best matches. Cells that
@@ -132,7 +132,8 @@ def threshold_search(queries: DataFrame, store: DataFrame, q_id: str, q_vec: str
     if timed:
         assigned = assigned.withColumn("tb", F.floor(F.col(s_time).cast("double") / cfg.ttl_s).cast("long"))
     keys = ["pivot", "ring"] + (["tb"] if timed else [])
-    radius = {row["pivot"]: row["rad"] for row in assigned.groupBy("pivot").agg(F.max("pdist").alias("rad")).collect()}
+    # no covering-radius pass: probes into (pivot, ring) cells without members simply join nothing
+    radius = {i: float("inf") for i in range(len(piv))}
     members, sizes = _blocks(assigned, s_id, s_vec, cfg, keys, s_time if timed else None)
     probes = _probe_cells(queries.select(q_id, q_vec, *([q_time] if q_time else [])), q_vec, piv, r, radius, cfg.eps)
     probes = probes.select("*", F.inline("cells")).drop("cells")
