@@ -108,7 +108,7 @@ def guard_decisions(prompts: DataFrame, rules=None, scorer: Scorer = LEXICAL, th
               .when(t2, F.lit("Prompt injection detected by ML classifier"))
               .otherwise(F.lit("")))
     if dry_run:
-        reason = F.when(would_block, F.concat(F.lit("[DRY RUN - would have blocked] "), reason)).otherwise(reason)
+        reason = F.when(would_block, F.concat(F.lit("[DRY RUN — would have blocked] "), reason)).otherwise(reason)
     return scored.select(
         "*",
         (F.lit(False) if dry_run else would_block).alias("blocked"),
