@@ -67,9 +67,11 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable
         cur_key, state = None, None
         for pdf in batches:
             out = []
-            recs = pdf[cols].to_dict("records")
-            for r in recs:
-                k = tuple(r[c] for c in keys)
+            columns = [pdf[c].tolist() for c in cols]
+            key_idx = [cols.index(c) for c in keys]
+            for vals in zip(*columns):
+                r = dict(zip(cols, vals))
+                k = tuple(vals[i] for i in key_idx)
                 if k != cur_key:
                     cur_key, state = k, None
                 state, o = step(state, k, r)
