@@ -1,4 +1,4 @@
-"""Deterministic text embedding as a Column: signed feature hashing of word tokens, L2-normalised.
+"""Deterministic text embedding: hashed term frequencies of word tokens, L2-normalised (Spark ML, JVM-side).
 
 A stand-in encoder with the encoder interface (text → unit vector); real models
 plug in through ``mapInPandas`` with one model load per worker.
@@ -6,18 +6,18 @@ plug in through ``mapInPandas`` with one model load per worker.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions.lexicon import tokens
 
 
-def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    toks = tokens(F.coalesce(text, F.lit("")))
-    hashed = F.transform(toks, lambda t: F.xxhash64(t))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(
-        hashed, F.lit(0.0),
-        lambda acc, h: acc + F.when(F.pmod(h, F.lit(dim)) == i,
-                                    F.when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
+def hashed_embeddings(df: DataFrame, text: str, out: str = "v", dim: int = 64) -> DataFrame:
+    """Adds ``out``: a dense unit-length array<double> of ``dim`` hashed token counts (O(tokens) per row)."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    t = df.withColumn("_toks", tokens(F.coalesce(F.col(text), F.lit(""))))
+    tf = HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim).transform(t)
+    norm = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(tf)
+    return norm.withColumn(out, vector_to_array("_unit")).drop("_toks", "_tf", "_unit")

@@ -699,9 +699,8 @@ def q_train_tier2(spark, sf):
 
 @register("embed_prompts")
 def q_embed_prompts(spark, sf):
-    from gatelens.functions.embed import hashed_embedding
-    p = pr.flatten_prompts(fx.conversations(spark, sf))
-    e = p.select("conv_id", hashed_embedding(F.col("prompt"), 64).alias("v"))
+    from gatelens.functions.embed import hashed_embeddings
+    e = hashed_embeddings(pr.flatten_prompts(fx.conversations(spark, sf)), "prompt", "v", 64)
     return e.select("conv_id", F.size("v").alias("dim"),
                     F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
