@@ -126,6 +126,8 @@ def threshold_search(queries: DataFrame, store: DataFrame, q_id: str, q_vec: str
     from gatelens.session import spread
     r = math.sqrt(max(2.0 - 2.0 * cfg.threshold, 0.0))
     piv = _pivot_matrix(store, s_id, s_vec, cfg.pivots)
+    if len(piv) == 0:        # empty store: every lookup misses
+        return queries.sparkSession.createDataFrame([], MATCH_SCHEMA)
     store, queries = spread(store), spread(queries)
     assigned = _assign_store(store.select(s_id, s_vec, *([s_time] if s_time else [])), s_id, s_vec, piv, r)
     timed = cfg.ttl_s is not None and s_time is not None and q_time is not None

@@ -123,3 +123,16 @@ def test_spark_reader_of_contract_files(spark):
     assert rejected.count() == 0
     _, bad = ct.read_contracts(spark, ct.INVALID_CONTRACT_DIR)
     assert [r["file_name"] for r in bad.collect()] == ["zz-broken.json"]
+
+
+def test_custom_contract_type_plugs_in(spark):
+    from pyspark.sql import functions as F
+
+    def shouting(c, ctx):
+        failed = ctx["response"] == F.upper(ctx["response"])
+        return ct._verdict(c, failed, F.when(failed, 0.0).otherwise(1.0), F.lit("all caps"), ctx["response"],
+                           F.lit(ct.CONTENT_LOCATION))
+    ct.register_contract_type("no_shouting", shouting)
+    v = run(spark, {"id": "x", "name": "x", "type": "no_shouting"}, "HELLO")
+    assert not v["passed"] and v["message"] == "all caps"
+    assert run(spark, {"id": "x", "name": "x", "type": "no_shouting"}, "Hello")["passed"]

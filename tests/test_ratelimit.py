@@ -93,3 +93,8 @@ def test_sliding_counts_with_halo_equal_single_chunk(spark):
     a = rl.rate_fixed_vs_sliding(df, "key", "ts", 2, chunk_ms=3_000).first()
     b = rl.rate_fixed_vs_sliding(df, "key", "ts", 2, chunk_ms=10**12).first()
     assert a == b and a["max_sliding"] >= a["max_fixed"]
+
+
+def test_simultaneous_requests_admit_exactly_the_limit(spark):
+    got = admit(spark, [("k", 5000, i) for i in range(10)], 5, 10)
+    assert sum(got.values()) == 5 and all(got[i] for i in range(5))      # tie order: request id

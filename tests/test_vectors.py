@@ -77,3 +77,14 @@ def test_replay_matches_sequential_cache(spark):
         if not hit:
             stored.append(i)
     assert got == want
+
+
+def test_empty_store_misses_and_entries_coexist(spark):
+    rng = np.random.default_rng(5)
+    store = unit(rng, 3, 8)
+    s, q = frames(spark, store, store)
+    empty = s.limit(0)
+    out = vx.cache_lookup(q, empty, vx.SearchConfig(pivots=2)).collect()
+    assert len(out) == 3 and not any(r["hit"] for r in out)
+    got = {r["query_id"]: r["entry_id"] for r in vx.cache_lookup(q, s, vx.SearchConfig(pivots=2)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2}
