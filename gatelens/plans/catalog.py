@@ -658,7 +658,9 @@ def q_write_eval_report(spark, sf):
     path = sio.scratch_path(spark, "report")
     v = det.judge_verdicts(fx.verdict_texts(spark, sf))
     sio.write_eval_report(ev.precision_recall_f1(s), ev.pr_curve(s), ev.combined_recall(s, v), path)
-    return spark.read.text(path)
+    # read the document back and flatten its metrics block (round trip of the sink)
+    doc = spark.read.json(path)
+    return doc.select(F.inline("metrics")).select("model", "tp", "fp", "tn", "fn", "precision", "recall", "f1", "accuracy")
 
 
 # ------------------------------------------------------------------ 2.11 datasets

@@ -805,3 +805,7 @@ ORACLES["stream_dedup"] = "SELECT event_type, count(*) AS n, count(DISTINCT even
 
 ORACLES["score_histogram"] = with_(SCORED) + """
 SELECT model, CAST(least(floor(prob * 10), 9) AS INTEGER) AS bucket, count(*) AS n FROM scored GROUP BY ALL"""
+
+ORACLES["write_eval_report"] = ORACLES["precision_recall_f1"]
+ORACLES["embed_prompts"] = """
+SELECT conv_id, CAST(64 AS INTEGER) AS dim, CAST(1.0 AS DOUBLE) AS norm FROM conversations GROUP BY conv_id"""
