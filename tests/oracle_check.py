@@ -77,6 +77,8 @@ def main(argv):
     spark = local_session(8)
     if os.environ.get("CHECK_PARTITIONS"):
         spark.conf.set("spark.sql.shuffle.partitions", os.environ["CHECK_PARTITIONS"])
+    if os.environ.get("CHECK_AQE"):
+        spark.conf.set("spark.sql.adaptive.enabled", os.environ["CHECK_AQE"])
     if os.environ.get("CHECK_ANSI"):
         spark.conf.set("spark.sql.ansi.enabled", os.environ["CHECK_ANSI"])
     if os.environ.get("CHECK_TZ"):
