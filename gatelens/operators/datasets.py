@@ -90,17 +90,21 @@ def dedup_samples(df: DataFrame, text: str, id_col: str) -> DataFrame:
 
 
 def train_tier2(train: DataFrame, test: DataFrame, text: str = "text", label: str = "label",
-                num_features: int = 1 << 16, max_iter: int = 100):
-    """Tokenizer → HashingTF → IDF → LogisticRegression; returns (model, held-out report DataFrame)."""
+                num_features: int = 1 << 16, max_iter: int = 100, reg: float = 0.001):
+    """Tokenizer → HashingTF (term presence) → IDF → LogisticRegression; returns (model, held-out report).
+
+    Defaults (presence features, IDF over terms in >= 2 documents, L2 0.001) were chosen on the
+    validation split of the supplied labelled documents, never on the test split.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"[^\p{L}\p{N}_]+", toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_feat"),
-        LogisticRegression(featuresCol="_feat", labelCol=label, maxIter=max_iter, regParam=0.0),
+        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features, binary=True),
+        IDF(inputCol="_tf", outputCol="_feat", minDocFreq=2),
+        LogisticRegression(featuresCol="_feat", labelCol=label, maxIter=max_iter, regParam=reg),
     ])
     model = pipe.fit(train.withColumn(label, F.col(label).cast("double")))
     pred = model.transform(test.withColumn(label, F.col(label).cast("double")))
