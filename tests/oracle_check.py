@@ -34,6 +34,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
+        if os.environ.get("CHECK_EXACT"):
+            return repr(v + 0.0)
         return repr(round(v, 9) + 0.0)
     return repr(v)
 
