@@ -16,8 +16,3 @@ def half_up(x: Column | str, digits: int) -> Column:
     c = F.col(x) if isinstance(x, str) else x
     s = float(10 ** digits)
     return F.floor(c * F.lit(s) + F.lit(0.5)).cast("double") / F.lit(s)
-
-
-def half_up_sql(x: str, digits: int) -> str:
-    s = float(10 ** digits)
-    return f"(CAST(floor(({x}) * {s} + 0.5) AS DOUBLE) / {s})"

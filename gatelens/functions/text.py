@@ -88,9 +88,5 @@ def sentiment_from_tokens(toks: Column) -> Column:
     return F.when(p + n == 0, F.lit(0.0)).otherwise((p - n) / (p + n))
 
 
-def topic_hits(text: Column, topic: str) -> Column:
-    return count_in(tokens(F.coalesce(text, F.lit(""))), TOPIC_WORDS.get(topic, []))
-
-
 def sum_cols(cols) -> Column:
     return reduce(lambda a, b: a + b, cols)
