@@ -245,7 +245,7 @@ def _length(c: Contract, ctx: dict) -> Column:
     text = ctx["response"]
     msgs = []
     if c.p.get("max_words") is not None:
-        n = tx.word_count(text)
+        n = F.col("_words") if ctx.get("shared_counts") else tx.word_count(text)
         msgs.append(F.when(n > c.p["max_words"], F.concat(F.lit("Word count "), n.cast("string"),
                                                           F.lit(f" exceeds limit {c.p['max_words']}"))))
     if c.p.get("max_characters") is not None:
@@ -253,7 +253,7 @@ def _length(c: Contract, ctx: dict) -> Column:
         msgs.append(F.when(n > c.p["max_characters"], F.concat(F.lit("Character count "), n.cast("string"),
                                                                F.lit(f" exceeds limit {c.p['max_characters']}"))))
     if c.p.get("max_sentences") is not None:
-        n = tx.sentence_count(text)
+        n = F.col("_sents") if ctx.get("shared_counts") else tx.sentence_count(text)
         msgs.append(F.when(n > c.p["max_sentences"], F.concat(F.lit("Sentence count "), n.cast("string"),
                                                               F.lit(f" exceeds limit {c.p['max_sentences']}"))))
     msg = F.concat_ws("; ", *msgs) if msgs else F.lit("")
@@ -580,6 +580,15 @@ def verdict_column(c: Contract, ctx: dict) -> Column:
 
 
 # ------------------------------------------------------------------ table-level operators
+def _walk(defs: dict):
+    """Every enabled rule, composite members included."""
+    stack = [r for rs in defs.values() for r in rs if r.enabled]
+    while stack:
+        r = stack.pop()
+        yield r
+        stack.extend(r.members)
+
+
 def _kinds(defs: dict) -> set:
     out = set()
 
@@ -606,6 +615,13 @@ def prepare(df: DataFrame, defs: dict, response: str, request: str | None, judge
     if "language_match" in kinds:
         df = (df.withColumn("_resp_lang", tx.detect_language_tokens(F.col("_toks")))
                 .withColumn("_req_lang", tx.detect_language(F.col("_req"))))
+    shared_counts = "length_limit" in kinds
+    if shared_counts:   # once per response, shared by every length rule (composite members included)
+        lengths = [r for r in _walk(defs) if r.type == "length_limit"]
+        df = df.withColumn("_words", tx.word_count(F.col("_resp")) if any(
+            r.p.get("max_words") is not None for r in lengths) else F.lit(None).cast("int"))
+        df = df.withColumn("_sents", tx.sentence_count(F.col("_resp")) if any(
+            r.p.get("max_sentences") is not None for r in lengths) else F.lit(None).cast("int"))
     if "sentiment" in kinds:
         df = df.withColumn("_sent", tx.sentiment_from_tokens(F.col("_toks")))
     if "topic_boundary" in kinds:
@@ -613,7 +629,7 @@ def prepare(df: DataFrame, defs: dict, response: str, request: str | None, judge
             df = df.withColumn(f"_topic_{t}", tx.count_in(F.col("_toks"), ws))
     if "llm_judge" in kinds and judge_raw:
         df = judge_score_frame(df, judge_raw)
-    ctx = {"response": F.col("_resp"), "request": F.col("_req"),
+    ctx = {"response": F.col("_resp"), "request": F.col("_req"), "shared_counts": shared_counts,
            "judge_raw": F.col(judge_raw) if judge_raw else None,
            "payload": F.col(payload) if payload else None}
     return df, ctx
