@@ -42,3 +42,14 @@ def lexical_injection_prob(text: Column, cues=INJECTION_CUES, bias=INJECTION_BIA
     low = F.lower(F.coalesce(text, F.lit("")))
     z = reduce(lambda a, b: a + b, [F.when(low.contains(c), F.lit(w)).otherwise(F.lit(0.0)) for c, w in cues], F.lit(bias))
     return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 6)
+
+
+def strict_parse_json(text: Column) -> Column:
+    """VARIANT of ``text`` when it is exactly one JSON value (else NULL).
+
+    ``try_parse_json`` stops after the first value and ignores what follows; wrapping the text in
+    ``[...]`` and requiring a single element rejects trailing content, like a strict JSON parser.
+    """
+    w = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(w.isNotNull() & F.try_variant_get(w, "$[1]", "variant").isNull(),
+                  F.try_variant_get(w, "$[0]", "variant"))

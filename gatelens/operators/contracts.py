@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.functions import text as tx
+from gatelens.functions.lexicon import strict_parse_json
 from gatelens.functions.numeric import half_up
 from gatelens.session import spread
 
@@ -164,7 +165,7 @@ def read_contracts(spark: SparkSession, directory: str = CONTRACT_DIR):
     raw = (spark.read.text(os.path.join(directory, "*.json"), wholetext=True)
            .select(F.col("_metadata.file_name").alias("file_name"), F.col("value")))
     parsed = raw.select("file_name", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("d"),
-                        F.try_parse_json("value").isNull().alias("bad"))
+                        strict_parse_json(F.col("value")).isNull().alias("bad"))
     rejected = parsed.filter(F.col("bad") | F.col("d.app_id").isNull()).select("file_name")
     good = parsed.filter(~F.col("bad") & F.col("d.app_id").isNotNull())
     latest = good.groupBy(F.col("d.app_id").alias("app_id")).agg(F.max_by("d", "file_name").alias("d"),
@@ -349,9 +350,9 @@ def _score_from(v: Column):
 def judge_score_parse(content: Column) -> Column:
     """struct(score, reasoning, path) for a single Column (see ``judge_score_frame`` for table use)."""
     c = F.regexp_replace(content, "^" + tx.WS + "+|" + tx.WS + "+$", "")
-    ok1, err1, s1, r1 = _score_from(F.try_parse_json(c))
+    ok1, err1, s1, r1 = _score_from(strict_parse_json(c))
     fenced = F.regexp_extract(c, _FENCE, 1)
-    ok2, err2, s2, r2 = _score_from(F.when(fenced != "", F.try_parse_json(fenced)))
+    ok2, err2, s2, r2 = _score_from(F.when(fenced != "", strict_parse_json(fenced)))
     num = F.regexp_extract(c, r"([0-9]+\.?[0-9]*)", 1)
     return _judge_pick(c, ok1, err1, s1, r1, ok2, err2, s2, r2, num)
 
@@ -376,8 +377,8 @@ def judge_score_frame(df: DataFrame, raw: str, prefix: str = "_j") -> DataFrame:
     a = df.withColumn(f"{prefix}c", F.regexp_replace(F.col(raw), "^" + tx.WS + "+|" + tx.WS + "+$", ""))
     a = (a.withColumn(f"{prefix}fen", F.regexp_extract(F.col(f"{prefix}c"), _FENCE, 1))
           .withColumn(f"{prefix}num", F.regexp_extract(F.col(f"{prefix}c"), r"([0-9]+\.?[0-9]*)", 1))
-          .withColumn(f"{prefix}v1", F.try_parse_json(F.col(f"{prefix}c"))))
-    a = a.withColumn(f"{prefix}v2", F.when(F.col(f"{prefix}fen") != "", F.try_parse_json(F.col(f"{prefix}fen"))))
+          .withColumn(f"{prefix}v1", strict_parse_json(F.col(f"{prefix}c"))))
+    a = a.withColumn(f"{prefix}v2", F.when(F.col(f"{prefix}fen") != "", strict_parse_json(F.col(f"{prefix}fen"))))
     names = []
     for i in (1, 2):
         ok, err, sc, rs = _score_from(F.col(f"{prefix}v{i}"))
@@ -513,7 +514,7 @@ def resolve_path(v: Column, path: str | None) -> Column:
 
 def _as_variant(text: Column) -> Column:
     """JSON value of a string target: parsed when it is JSON, else the string itself."""
-    parsed = F.try_parse_json(text)
+    parsed = strict_parse_json(text)
     as_str = F.try_variant_get(F.parse_json(F.to_json(F.array(text))), "$[0]", "variant")
     return F.coalesce(parsed, as_str)
 

@@ -14,7 +14,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.functions.lexicon import lexical_injection_prob
+from gatelens.functions.lexicon import lexical_injection_prob, strict_parse_json
 from gatelens.functions.patterns import BLOCKING_SEVERITIES, first_match, ordered_rules
 from gatelens.session import spread
 
@@ -147,7 +147,7 @@ def judge_object_text(raw: Column) -> Column:
 def judge_verdicts(raw_df: DataFrame, raw: str = "raw") -> DataFrame:
     """Parse judge replies into is_injection / confidence / reason / error (error rows kept, treated benign)."""
     cand = judge_object_text(F.col(raw))
-    v = F.try_parse_json(F.col("_cand"))
+    v = strict_parse_json(F.col("_cand"))
     inj_js = F.to_json(F.try_variant_get(v, "$.injection", "variant"))
     r_var = F.try_variant_get(v, "$.reason", "variant")
     r_type = F.schema_of_variant(r_var)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatelens.functions.lexicon import strict_parse_json
+
 # Provider translation rules.
 INTERNAL_FIELDS = ["app_id", "x_provider", "x_request_id"]
 ANTHROPIC_DEFAULT_MAX_TOKENS = 1024
@@ -89,7 +91,7 @@ def assemble_chunks(lines: DataFrame, id_col: str = "response_id", seq_col: str
     schema = ("model string, message struct<role:string,content:string>, done boolean, done_reason string, "
               "prompt_eval_count long, eval_count long")
     parsed = lines.select(id_col, seq_col, F.from_json(F.trim(F.col(line_col)), schema).alias("c"),
-                          F.try_parse_json(F.trim(F.col(line_col))).isNotNull().alias("ok"))
+                          strict_parse_json(F.trim(F.col(line_col))).isNotNull().alias("ok"))
     good = parsed.filter(F.col("ok"))
     frag = F.coalesce(F.col("c.message.content"), F.lit(""))
     g = good.groupBy(id_col).agg(

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatelens.functions.lexicon import strict_parse_json
 from gatelens.functions.patterns import SEVERITY_RANK
 from gatelens.session import ensure_checkpoint_dir
 
@@ -27,7 +28,7 @@ def read_labelled_jsonl(spark: SparkSession, path: str, require_rows: bool = Tru
     Returns (good DF[text string, label int], bad DF[line string, reason string]).
     """
     raw = spark.read.text(path).filter(F.trim("value") != "")
-    v = F.try_parse_json("value")
+    v = strict_parse_json(F.col("value"))
     text = F.try_variant_get(v, "$.text", "string")
     label = F.try_variant_get(v, "$.label", "string").try_cast("int")
     p = raw.select("value", v.isNull().alias("bad_json"), text.alias("text"), label.alias("label"))

@@ -136,3 +136,72 @@ def test_custom_contract_type_plugs_in(spark):
     v = run(spark, {"id": "x", "name": "x", "type": "no_shouting"}, "HELLO")
     assert not v["passed"] and v["message"] == "all caps"
     assert run(spark, {"id": "x", "name": "x", "type": "no_shouting"}, "Hello")["passed"]
+
+
+import json as _json  # noqa: E402
+import re as _re  # noqa: E402
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+def _score_model(content: str):
+    """The gateway's judge-score parsing, restated: (score, reasoning) or None when a null-like score raises."""
+    def clamp(x):
+        return max(0.0, min(1.0, x))
+    content = content.strip()
+    try:
+        parsed = _json.loads(content)
+        return clamp(float(parsed.get("score", 0.5))), str(parsed.get("reasoning", ""))
+    except TypeError:
+        return None
+    except (ValueError, AttributeError):
+        pass
+    m = _re.search(r"```(?:json)?\s*(\{.*?\})\s*```", content, _re.DOTALL)
+    if m:
+        try:
+            parsed = _json.loads(m.group(1))
+            return clamp(float(parsed.get("score", 0.5))), str(parsed.get("reasoning", ""))
+        except TypeError:
+            return None
+        except ValueError:
+            pass
+    n = _re.search(r"(\d+\.?\d*)", content)
+    if n:
+        x = float(n.group(1))
+        return clamp(x / 100.0 if x > 1.0 else x), content[:200]
+    return 0.5, "Could not parse judge response: " + content[:200]
+
+
+_scores = st.sampled_from(["0.9", "0.35", "1", "0", "85", '"0.75"', '"abc"', "null", "true", "false", "[]", "-0.5", "2.5", None])
+_reasonings = st.sampled_from(['"fine"', "12", "null", "true", None])
+
+
+@st.composite
+def _judge_replies(draw):
+    fields = []
+    sc, rs = draw(_scores), draw(_reasonings)
+    if sc is not None:
+        fields.append(f'"score": {sc}')
+    if rs is not None:
+        fields.append(f'"reasoning": {rs}')
+    obj = "{" + ", ".join(fields) + "}"
+    shape = draw(st.sampled_from(["plain", "fenced", "fenced_json", "trailing", "number", "words", "bare"]))
+    return {"plain": f"  {obj} ", "fenced": f"Here:\n```\n{obj}\n```", "fenced_json": f"```json {obj} ```",
+            "trailing": f"{obj} (that is my score 7)", "number": "I'd say 73 out of 100", "words": "no idea",
+            "bare": draw(st.sampled_from(["0.4", "85", "1.", "  42  "]))}[shape]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(_judge_replies(), min_size=1, max_size=25))
+def test_judge_score_parser_matches_reference_semantics(spark, raws):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "id int, raw string")
+    j = ct.judge_score_parse(F.col("raw"))
+    got = {r["id"]: r for r in df.select("id", j.alias("j")).select("id", "j.*").collect()}
+    for i, raw in enumerate(raws):
+        want = _score_model(raw)
+        if want is None:
+            assert got[i]["path"] == "error", raw
+        else:
+            assert (got[i]["score"], got[i]["reasoning"]) == (round(want[0], 6), want[1]), raw

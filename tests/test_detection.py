@@ -121,3 +121,71 @@ def test_no_model_scores_zero_and_never_blocks(spark):
     r = det.tier2_scores(df, off).first()
     assert (r["ml_prob"], r["ml_label"]) == (0.0, "MODEL_UNAVAILABLE")
     assert not det.guard_decisions(df, scorer=off).first()["blocked"]
+
+
+import json as _json  # noqa: E402
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+def _verdict_model(raw: str):
+    """The gateway's verdict parsing, restated: fenced object if any, else first '{' .. last '}', truthiness."""
+    text = raw
+    if "```" in text:
+        for part in text.split("```")[1::2]:
+            stripped = part.lstrip("json").strip()
+            if stripped.startswith("{"):
+                text = stripped
+                break
+    start, end = text.find("{"), text.rfind("}") + 1
+    if start == -1 or end == 0:
+        return False, "", True
+    try:
+        obj = _json.loads(text[start:end])
+    except ValueError:
+        return False, "", True
+    if not isinstance(obj, dict):
+        return False, "", True
+    return bool(obj.get("injection", False)), str(obj.get("reason", "")), False
+
+
+_values = st.sampled_from(['true', 'false', '"false"', '""', '0', '1', 'null', '[]', '{}', '"yes"', '2'])
+_reasons = st.sampled_from(['"short"', '"two words"', '12', 'true', 'null', None])
+_prose = st.sampled_from(["", "Verdict: ", "ok ", "json", "\n", "  "])
+
+
+@st.composite
+def _replies(draw):
+    fields = []
+    v = draw(st.one_of(st.none(), _values))
+    if v is not None:
+        fields.append(f'"injection": {v}')
+    r = draw(_reasons)
+    if r is not None:
+        fields.append(f'"reason": {r}')
+    obj = "{" + ", ".join(fields) + "}"
+    shape = draw(st.sampled_from(["plain", "fenced", "fenced_json", "prose", "broken", "none", "two"]))
+    pre, post = draw(_prose), draw(_prose)
+    if shape == "fenced":
+        return f"{pre}```\n{obj}\n```{post}"
+    if shape == "fenced_json":
+        return f"{pre}```json\n{obj}\n```{post}"
+    if shape == "prose":
+        return f"{pre}{obj} trailing words{post}"
+    if shape == "broken":
+        return f"{pre}{obj[:-1]}{post}"
+    if shape == "none":
+        return f"{pre}no object at all{post}"
+    if shape == "two":
+        return f"{obj} and {obj}"
+    return obj
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(_replies(), min_size=1, max_size=25))
+def test_verdict_parser_matches_reference_semantics(spark, raws):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "id int, raw string")
+    got = {r["id"]: (r["is_injection"], r["reason"], r["error"] is not None) for r in det.judge_verdicts(df).collect()}
+    for i, raw in enumerate(raws):
+        assert got[i] == _verdict_model(raw), raw
