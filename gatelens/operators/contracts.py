@@ -225,8 +225,8 @@ def regex_flags(c: Contract) -> str:
 
 
 def regex_java(c: Contract) -> tuple[str, str]:
-    # d: only \n ends a line (as in Python); u: Unicode case folding with i
-    flags = regex_flags(c) + "d" + ("u" if "i" in regex_flags(c) else "")
+    # d: only \n ends a line; U: Unicode classes and case folding — both as Python's re on str
+    flags = regex_flags(c) + "dU"
     prefix = f"(?{flags})"
     return prefix + c.p["pattern"], prefix + "\\A((?s:.*?))(?:" + c.p["pattern"] + ")"
 

@@ -189,3 +189,32 @@ def test_verdict_parser_matches_reference_semantics(spark, raws):
     got = {r["id"]: (r["is_injection"], r["reason"], r["error"] is not None) for r in det.judge_verdicts(df).collect()}
     for i, raw in enumerate(raws):
         assert got[i] == _verdict_model(raw), raw
+
+
+import re as _re  # noqa: E402
+
+from gatelens.functions.patterns import DEFAULT_RULES  # noqa: E402
+
+_frags = st.sampled_from(["ignore", "all", "previous", "instructions", "IGNORE", "Previous", "jail", "break", "JailBreak",
+                          "you", "are", "now", "an", "unrestricted", "AI", "[", "system", "]", "<", "/inst", ">",
+                          "can", "do", "anything", "Now", "café", "Ünicode", "😀", "x"])
+_seps = st.sampled_from([" ", "  ", "\n", "\t", " ", " ", "", "-"])
+
+
+def _scan_model(text: str):
+    ordered = sorted(enumerate(DEFAULT_RULES), key=lambda p: (-{"critical": 4, "high": 3, "medium": 2, "low": 1}[p[1]["severity"]], p[0]))
+    for _, r in ordered:
+        m = _re.compile(r["regex"], _re.IGNORECASE | _re.DOTALL).search(text)
+        if m:
+            return r["id"], m.group(0), m.start(), m.end()
+    return None, None, None, None
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.tuples(_frags, _seps), min_size=1, max_size=12), min_size=1, max_size=20))
+def test_rule_scan_matches_python_re_semantics(spark, docs):
+    texts = ["".join(f + s for f, s in d) for d in docs]
+    got = scan(spark, texts)
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r["pattern_id"], r["matched_text"], r["match_start"], r["match_end"]) == _scan_model(t), repr(t)
