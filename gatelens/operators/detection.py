@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions.lexicon import lexical_injection_prob, strict_parse_json
+from gatelens.functions.text import WS
 from gatelens.functions.patterns import BLOCKING_SEVERITIES, first_match, ordered_rules
 from gatelens.session import spread
 
@@ -192,7 +193,7 @@ def attack_category(text: Column) -> Column:
     for s in ROLEPLAY_SIGNALS:
         role = role | low.contains(s)
     non_ascii = F.length(F.regexp_replace(text, r"[\x00-\x7F]", "")) / F.greatest(F.length(text), F.lit(1))
-    b64 = F.exists(F.split(text, r"[ \t\n\r\f\x0B]+"),
+    b64 = F.exists(F.split(text, WS + "+"),   # str.split(): any Unicode whitespace
                    lambda w: (F.length(w) >= LONG_TOKEN) & F.regexp_replace(w, "[+/=]", "").rlike(r"^[\p{L}\p{N}]+$"))
     leet = F.lit(False)
     for s in LEET_SIGNALS:

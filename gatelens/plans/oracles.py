@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from gatelens.functions.lexicon import INJECTION_BIAS, INJECTION_CUES, INSULT_WORDS
 from gatelens.functions.patterns import ordered_rules
+from gatelens.functions.text import WS
 from gatelens.operators.detection import LEET_SIGNALS, ROLEPLAY_SIGNALS
 from gatelens.plans import fixtures as fx
 
@@ -128,7 +129,7 @@ def _category(text: str) -> str:
     role = " OR ".join(f"contains(lower({text}), {q(s)})" for s in ROLEPLAY_SIGNALS)
     leet = " OR ".join(f"contains(lower({text}), {q(s)})" for s in LEET_SIGNALS)
     non_ascii = rf"length(regexp_replace({text}, '[\x00-\x7F]', '', 'g')) / greatest(length({text}), 1)"
-    b64 = (rf"len(list_filter(string_split_regex({text}, '[ \t\n\r\f\x0B]+'), lambda w: length(w) >= 20 AND "
+    b64 = (f"len(list_filter(string_split_regex({text}, {q(WS + '+')}), lambda w: length(w) >= 20 AND "
            rf"regexp_full_match(regexp_replace(w, '[+/=]', '', 'g'), '[\p{{L}}\p{{N}}]+'))) > 0")
     return (f"CASE WHEN {role} THEN '[ROLE-PLAY]' WHEN {non_ascii} > 0.15 OR {b64} OR {leet} THEN '[OBFUSCATED]' "
             f"ELSE '[INDIRECT]' END")

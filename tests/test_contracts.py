@@ -205,3 +205,31 @@ def test_judge_score_parser_matches_reference_semantics(spark, raws):
             assert got[i]["path"] == "error", raw
         else:
             assert (got[i]["score"], got[i]["reasoning"]) == (round(want[0], 6), want[1]), raw
+
+
+_text_frags = st.sampled_from(["word", "Den", "den", "Schäden", "x_y", "é", "2", ".", "!", "?", "...", " ", "  ", "\n", "\t",
+                               "\x0b", "\x1c", "\xa0", " ", "　", "😀", "den.", "_den", "den2"])
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(_text_frags, max_size=30), min_size=1, max_size=20))
+def test_length_and_whole_word_match_python_semantics(spark, docs):
+    texts = ["".join(d) for d in docs]
+    rules = {"a": [ct.parse_contract({"id": "len", "name": "len", "type": "length_limit", "max_words": 1, "max_sentences": 1,
+                                      "max_characters": 1}),
+                   ct.parse_contract({"id": "kw", "name": "kw", "type": "keyword", "keywords": ["den"], "match_whole_word": True})]}
+    df = spark.createDataFrame([(i, "a", "", t) for i, t in enumerate(texts)], "id int, app_id string, request string, response string")
+    v = {(r["id"], r["contract_id"]): r for r in ct.contract_verdicts(df, rules, ["id"]).collect()}
+    for i, t in enumerate(texts):
+        words, chars = len(t.split()), len(t)
+        sents = len([p for p in _re.split(r"[.!?]+", t) if p.strip()])
+        want = []
+        if words > 1:
+            want.append(f"Word count {words} exceeds limit 1")
+        if chars > 1:
+            want.append(f"Character count {chars} exceeds limit 1")
+        if sents > 1:
+            want.append(f"Sentence count {sents} exceeds limit 1")
+        assert (v[(i, "len")]["message"] or "") == "; ".join(want), repr(t)
+        hit = _re.search(r"\bden\b", t.lower()) is not None
+        assert (not v[(i, "kw")]["passed"]) == hit, repr(t)
