@@ -54,3 +54,39 @@ def test_day_partitioned_store_prunes_and_filters(spark, tmp_path):
     assert got.count() == 2
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+def _drift_model(points, as_of, recent_h=24, base_h=168, thr=0.10, min_n=10):
+    def window(h):
+        lo = as_of - dt.timedelta(hours=h)
+        return [s for t, s in points if lo <= t <= as_of]
+    r, b = window(recent_h), window(base_h)
+    if len(r) < min_n or len(b) < min_n:
+        return None
+    ra, ba = sum(r) / len(r), sum(b) / len(b)
+    if ba <= 0:
+        return None
+    drop = (ba - ra) / ba
+    return drop if drop > thr else None
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 10 * 24 * 60), st.integers(0, 10000)), min_size=1, max_size=80),
+       st.integers(0, 10000))
+def test_drift_check_matches_model(spark, pts, recent_cut):
+    as_of = dt.datetime(2024, 1, 31)
+    points = {}
+    for minutes, units in pts:
+        t = as_of - dt.timedelta(minutes=minutes)
+        score = units / 10000.0 if minutes >= 24 * 60 else min(units, recent_cut) / 10000.0
+        points[(t, score)] = None
+    points = list(points)
+    got = dr.drift_check(series(spark, [("a", "c", t, s) for t, s in points]), AS_OF).collect()
+    want = _drift_model(points, as_of)
+    assert (len(got) == 1) == (want is not None)
+    if want is not None:
+        assert abs(got[0]["drop_pct"] - want) <= 0.00005 + 1e-12

@@ -98,3 +98,30 @@ def test_sliding_counts_with_halo_equal_single_chunk(spark):
 def test_simultaneous_requests_admit_exactly_the_limit(spark):
     got = admit(spark, [("k", 5000, i) for i in range(10)], 5, 10)
     assert sum(got.values()) == 5 and all(got[i] for i in range(5))      # tie order: request id
+
+
+def _leaky_model(events, rate_mph, burst):
+    out, state = {}, {}
+    for key, ts, rid in sorted(events, key=lambda e: (e[0], e[1], e[2])):
+        if key not in state:
+            state[key] = (0, ts)
+            out[rid] = True
+            continue
+        excess, last = state[key]
+        e = max(excess - rate_mph * (ts - last) // 3_600_000 + 1000, 0)
+        if e > burst * 1000:
+            out[rid] = False
+        else:
+            out[rid] = True
+            state[key] = (e, ts)
+    return out
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 40 * 3_600_000)), min_size=1, max_size=60),
+       st.sampled_from([0.05, 1.0, 30.0]), st.integers(0, 3))
+def test_leaky_bucket_matches_model(spark, evs, rate, burst):
+    ev = [(k, t, i) for i, (k, t) in enumerate(evs)]
+    df = spark.createDataFrame(ev, "key string, ts long, rid long")
+    got = {r["request_id"]: r["admitted"] for r in rl.rate_leaky_bucket(df, "key", "ts", "rid", rate, burst).collect()}
+    assert got == _leaky_model(ev, int(round(rate * 1000)), burst)
