@@ -72,3 +72,31 @@ def test_chunked_ema_equals_sequential(spark, samples, seed):
     for t, i, x in sorted((t, i, x) for _, _, t, i, x in rows):
         e = x if e == 0.0 else 0.2 * x + 0.8 * e
         assert abs(got[i] - e) <= 1e-9 * max(1.0, abs(e))
+
+
+def _resolve_model(routes, alias, hint, policy):
+    cands = [r for r in routes if r[0] == alias] or [(alias, "openai", alias, 0, 0.0, 0.0, 0)]
+    if hint:
+        narrowed = [c for c in cands if c[1] == hint]
+        cands = narrowed or cands
+    if len(cands) == 1:
+        return cands[0][1]
+    key = {"cost": lambda c: c[4], "priority": lambda c: c[3],
+           "latency": lambda c: c[5] if c[5] > 0 else float("inf")}[policy]
+    return min(cands, key=key)[1]          # Python min keeps the first of equal keys (registration order)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["m", "n"]), st.sampled_from(["openai", "anthropic", "local"]),
+                          st.integers(0, 2), st.sampled_from([0.0, 0.5, 1.0]), st.sampled_from([0.0, 100.0, 200.0])),
+                min_size=0, max_size=6, unique_by=lambda r: (r[0], r[1])),
+       st.lists(st.tuples(st.sampled_from(["m", "n", "zz"]), st.sampled_from([None, "openai", "local", "mistral"])),
+                min_size=1, max_size=10),
+       st.sampled_from(["cost", "latency", "priority"]))
+def test_resolution_matches_model(spark, rows, reqs, policy):
+    routes = [(a, p, f"{a}-{p}", pr, c, lat, i) for i, (a, p, pr, c, lat) in enumerate(rows)]
+    rdf = spark.createDataFrame(routes, ROUTES_SCHEMA)
+    lg = log(spark, [(i, a, h) for i, (a, h) in enumerate(reqs)])
+    got = {r["request_id"]: r["routed_provider"] for r in rt.route_resolve(lg, rdf, policy).collect()}
+    for i, (a, h) in enumerate(reqs):
+        assert got[i] == _resolve_model(routes, a, h, policy), (a, h, policy)
