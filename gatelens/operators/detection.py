@@ -136,7 +136,7 @@ def judge_object_text(raw: Column) -> Column:
     """Candidate JSON text: first fenced block holding an object, else raw; then first '{' .. last '}'."""
     parts = F.split(raw, "```")
     fenced = F.transform(F.filter(parts, lambda x, i: i % 2 == 1),
-                         lambda x: F.regexp_replace(F.regexp_replace(x, "^[json]+", ""), r"^\s+|\s+$", ""))
+                         lambda x: F.regexp_replace(F.regexp_replace(x, "^[json]+", ""), "^" + WS + "+|" + WS + "+$", ""))
     first_obj = F.try_element_at(F.filter(fenced, lambda x: x.startswith("{")), F.lit(1))
     text = F.when(raw.contains("```") & first_obj.isNotNull(), first_obj).otherwise(raw)
     start = F.instr(text, "{")

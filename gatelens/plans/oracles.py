@@ -63,7 +63,7 @@ VERDICT_TEXTS = f"""vt AS (
 VERDICTS = r"""vp1 AS (
   SELECT doc_id, raw,
     list_filter(list_transform(list_filter(string_split(raw, '```'), lambda x, i: i % 2 = 0),
-                               lambda x: regexp_replace(regexp_replace(x, '^[json]+', ''), '^\s+|\s+$', '', 'g')),
+                               lambda x: regexp_replace(regexp_replace(x, '^[json]+', ''), {q('^' + WS + '+|' + WS + '+$')}, '', 'g')),
                 lambda x: starts_with(x, '{'))[1] AS first_obj
   FROM vt),
 vp2 AS (
@@ -91,6 +91,8 @@ verdicts AS (
          ELSE CAST(json_extract(cand, '$.reason') AS VARCHAR) END AS reason,
     error
   FROM vp5)"""
+# str.strip(): Unicode whitespace, the same class the Spark side uses
+VERDICTS = VERDICTS.replace("{q('^' + WS + '+|' + WS + '+$')}", q("^" + WS + "+|" + WS + "+$"))
 
 
 def _rule_case(field: str, text: str = "prompt") -> str:

@@ -152,7 +152,7 @@ def _verdict_model(raw: str):
 
 _values = st.sampled_from(['true', 'false', '"false"', '""', '0', '1', 'null', '[]', '{}', '"yes"', '2'])
 _reasons = st.sampled_from(['"short"', '"two words"', '12', 'true', 'null', None])
-_prose = st.sampled_from(["", "Verdict: ", "ok ", "json", "\n", "  "])
+_prose = st.sampled_from(["", "Verdict: ", "ok ", "json", "\n", "  ", "\xa0", "\u2003"])
 
 
 @st.composite
