@@ -16,8 +16,10 @@ def _ordered_join(col_struct, sep: str):
 
 
 def flatten_prompts(conversations: DataFrame) -> DataFrame:
-    """One string per conversation: ``role: text`` per message in turn order, newline-joined."""
-    line = F.concat(F.coalesce(F.col("role"), F.lit("unknown")), F.lit(": "), F.coalesce(F.col("text"), F.lit("")))
+    """One string per conversation: ``role: text`` per message in turn order, newline-joined.
+
+    Messages without text are skipped (NULL lines are dropped by ``array_join``)."""
+    line = F.concat(F.coalesce(F.col("role"), F.lit("unknown")), F.lit(": "), F.col("text"))
     return conversations.groupBy("conv_id").agg(
         _ordered_join(F.struct(F.col("turn").alias("k"), line.alias("v")), "\n").alias("prompt"))
 

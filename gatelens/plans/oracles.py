@@ -31,7 +31,7 @@ NL = "chr(10)"
 
 # ------------------------------------------------------------------ fixture CTEs
 FLAT = f"""flat AS (
-  SELECT conv_id, string_agg(coalesce(role, 'unknown') || ': ' || coalesce(text, ''), {NL} ORDER BY turn) AS prompt
+  SELECT conv_id, coalesce(string_agg(coalesce(role, 'unknown') || ': ' || text, {NL} ORDER BY turn), '') AS prompt
   FROM conversations GROUP BY conv_id)"""
 
 ATTACK = f"""attack_corpus AS (
