@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.operators.ordered import sorted_fold
+from gatelens.session import small_side
 
 POLICIES = ("cost", "latency", "priority")
 MAX_BROADCAST_ROUTES = 1_000_000  # alias registry rows; beyond this fall back to a shuffled join
@@ -40,10 +41,7 @@ def candidates_by_alias(routes: DataFrame) -> DataFrame:
 
 
 def _join_candidates(log: DataFrame, routes: DataFrame) -> DataFrame:
-    cands = candidates_by_alias(routes)
-    n = routes.count() if not routes.isStreaming else 0
-    side = F.broadcast(cands) if n <= MAX_BROADCAST_ROUTES else cands
-    return log.join(side, "alias", "left")
+    return log.join(small_side(candidates_by_alias(routes), MAX_BROADCAST_ROUTES), "alias", "left")
 
 
 def route_resolve(log: DataFrame, routes: DataFrame, policy: str = "cost", default_provider: str = "openai",
@@ -134,7 +132,7 @@ def running_latency_ema(samples: DataFrame, routes: DataFrame, alpha: float = 0.
     (an unmeasured 0 seed is replaced by the first sample). Unregistered pairs are ignored."""
     keep = 1 - alpha
     seeds = routes.select("alias", "provider", F.col("avg_latency").alias("seed"))
-    s = (samples.join(F.broadcast(seeds), ["alias", "provider"])
+    s = (samples.join(small_side(seeds, MAX_BROADCAST_ROUTES), ["alias", "provider"])
          .withColumn("chunk", F.floor(F.col("ts_ms") / CHUNK_MS).cast("long")))
     local = sorted_fold(s.select("alias", "provider", "chunk", "ts_ms", "request_id", "latency_ms"),
                         ["alias", "provider", "chunk"], ["ts_ms", "request_id"], _local_step(alpha), LOCAL_SCHEMA)
@@ -182,7 +180,7 @@ def route_latency_asof(log: DataFrame, routes: DataFrame, ema_updates: DataFrame
     eod = (upd.withColumn("day", day).groupBy("alias", "provider", "day")
               .agg(F.max_by("ema", F.struct("ts_ms", "request_id")).alias("eod")).withColumn("k", F.lit(1)))
     req_days = u.filter("kind = 0").select("alias", "day").distinct()
-    asks = req_days.join(F.broadcast(routes.select("alias", "provider").distinct()), "alias") \
+    asks = req_days.join(small_side(routes.select("alias", "provider").distinct(), MAX_BROADCAST_ROUTES), "alias") \
                    .select("alias", "provider", "day", F.lit(None).cast("double").alias("eod"), F.lit(0).alias("k"))
     wd = Window.partitionBy("alias", "provider").orderBy("day", "k").rowsBetween(Window.unboundedPreceding, 0)
     carried = (asks.unionByName(eod).withColumn("prev", F.last("eod", True).over(wd)).filter("k = 0"))

@@ -24,6 +24,7 @@ from gatelens.operators import routing as rt
 from gatelens.operators import vectors as vx
 from gatelens.plans import fixtures as fx
 from gatelens.sources import io as sio
+from gatelens.session import small_side
 from gatelens.sources.tables import table
 from gatelens.streaming import streams as stx
 
@@ -269,6 +270,7 @@ def q_contract_catalog(spark, sf):
         [(a, ",".join(sorted(r.id for r in rs if r.enabled)), sum(1 for r in rs if r.enabled)) for a, rs in sorted(defs.items())],
         "app_id string, enabled_rules string, n_enabled int")
     traffic = fx.judged_pairs(spark, sf).groupBy("app_id").agg(F.count("*").alias("responses"))
+    # cat is built on the driver from the contract files: one row per app, bounded by configuration
     return F.broadcast(cat).join(traffic, "app_id", "left").select(
         "app_id", "enabled_rules", "n_enabled", F.coalesce("responses", F.lit(0)).cast("long").alias("responses"))
 
@@ -293,6 +295,7 @@ def q_contract_lint(spark, sf):
                     rows.append((name, doc.get("app_id"), c.get("id"), reason))
     lint = spark.createDataFrame(rows, "file_name string, app_id string, contract_id string, reason string")
     traffic = fx.judged_pairs(spark, sf).groupBy("app_id").agg(F.count("*").alias("affected_responses"))
+    # lint rows come from the rule files on the driver: bounded by configuration
     return F.broadcast(lint).join(traffic, "app_id", "left").select(
         "file_name", "app_id", "contract_id", "reason",
         F.coalesce("affected_responses", F.lit(0)).cast("long").alias("affected_responses"))
@@ -460,7 +463,7 @@ def q_route_latency_asof(spark, sf):
 def q_spend_by_model(spark, sf):
     log = fx.request_log(spark, sf).filter(F.col("status").isin(200, 422))
     costs = fx.routes(spark).select("alias", "provider", "cost")
-    j = log.join(F.broadcast(costs), ["alias", "provider"], "left")
+    j = log.join(small_side(costs), ["alias", "provider"], "left")
     tokens = F.col("prompt_tokens") + F.col("completion_tokens")
     cost = F.coalesce("cost", F.lit(0.0)).cast("decimal(18,6)")   # exact sums, independent of partitioning
     return (j.groupBy("app_id", "provider", "alias", F.to_date("ts").cast("string").alias("day"))

@@ -11,6 +11,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -75,3 +76,14 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     except Exception:  # noqa: BLE001 - e.g. a Connect session: leave partitioning to Spark
         return df
     return df.repartition(cores * factor) if size < SMALL_INPUT_BYTES else df
+
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only behind a checked size: a dimension with at most ``max_rows`` rows is broadcast,
+    anything larger is left to a shuffled join (and to AQE's runtime size checks)."""
+    if df.isStreaming:
+        return df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gatelens.session import small_side
 from gatelens.sources.io import scratch_path
 from gatelens.sources.tables import epoch_us
 
@@ -133,7 +134,7 @@ def ema_state_fn(alpha: float, seeds: dict):
 def stream_latency_ema(samples: DataFrame, routes: DataFrame, alpha: float = 0.2) -> DataFrame:
     """Running EMA per (alias, provider); emits the latest value per key after each micro-batch."""
     seeds = {(r["alias"], r["provider"]): r["avg_latency"] for r in routes.collect()}   # alias registry: small
-    known = F.broadcast(routes.select("alias", "provider"))
+    known = small_side(routes.select("alias", "provider"))
     s = samples.join(known, ["alias", "provider"])
     return s.groupBy("alias", "provider").applyInPandasWithState(
         ema_state_fn(alpha, seeds), "alias string, provider string, samples long, ema_ms double",
