@@ -1,0 +1,57 @@
+import json
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from gatelens.operators import providers as pv
+
+
+def _assemble_model(lines):
+    parts, final = [], {}
+    for line in lines:
+        line = line.strip()
+        if not line:
+            continue
+        try:
+            chunk = json.loads(line)
+        except json.JSONDecodeError:
+            continue
+        frag = chunk.get("message", {}).get("content", "")
+        if frag:
+            parts.append(frag)
+        if chunk.get("done", False):
+            final = chunk
+    reason = {"stop": "stop", "length": "length"}.get(final.get("done_reason") or "", "stop")
+    return "".join(parts), final.get("model"), reason, final.get("eval_count", 0)
+
+
+@st.composite
+def _line(draw):
+    kind = draw(st.sampled_from(["chunk", "chunk", "done", "blank", "broken", "trailing"]))
+    frag = draw(st.sampled_from(["Hel", "lo", " wor", "ld", "", "é"]))
+    if kind == "blank":
+        return draw(st.sampled_from(["", "   ", "\t"]))
+    if kind == "broken":
+        return '{"message": {"content": "x"'
+    body = {"model": draw(st.sampled_from(["m1", "m2"])), "message": {"role": "assistant", "content": frag},
+            "done": kind == "done"}
+    if kind == "done":
+        body["done_reason"] = draw(st.sampled_from(["stop", "length", "unload"]))
+        body["eval_count"] = draw(st.integers(0, 50))
+    text = json.dumps(body)
+    return text + " junk" if kind == "trailing" else text
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(_line(), min_size=1, max_size=12), min_size=1, max_size=8))
+def test_chunk_assembly_matches_model(spark, streams):
+    rows = [(rid, seq, line) for rid, lines in enumerate(streams) for seq, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "response_id long, seq long, line string")
+    got = {r["response_id"]: r for r in pv.assemble_chunks(df).collect()}
+    for rid, lines in enumerate(streams):
+        content, model, reason, n = _assemble_model(lines)
+        if rid not in got:              # no decodable line at all: nothing to assemble
+            assert content == "" and model is None, lines
+            continue
+        r = got[rid]
+        assert (r["content"], r["model"], r["finish_reason"], r["completion_tokens"]) == (content, model, reason, n), lines
