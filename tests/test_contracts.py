@@ -233,3 +233,39 @@ def test_length_and_whole_word_match_python_semantics(spark, docs):
         assert (v[(i, "len")]["message"] or "") == "; ".join(want), repr(t)
         hit = _re.search(r"\bden\b", t.lower()) is not None
         assert (not v[(i, "kw")]["passed"]) == hit, repr(t)
+
+
+@st.composite
+def _tree(draw, depth=0):
+    if depth >= 2 or draw(st.booleans()):
+        kw = draw(st.sampled_from(["alpha", "beta", "gamma", "delta"]))
+        return {"id": f"k{draw(st.integers(0, 9999))}", "name": "k", "type": "keyword", "keywords": [kw]}
+    members = draw(st.lists(_tree(depth + 1), min_size=0, max_size=3))
+    return {"id": f"c{draw(st.integers(0, 9999))}", "name": "c", "type": "composite",
+            "operator": draw(st.sampled_from(["AND", "OR"])), "contracts": members}
+
+
+def _eval_model(rule, text):
+    """(passed, compliance, message) as the gateway evaluates keyword and composite rules."""
+    if rule["type"] == "keyword":
+        kw = rule["keywords"][0]
+        hit = kw in text.lower()
+        return (not hit, 0.0 if hit else 1.0, f"Response contains forbidden keyword: {kw!r}" if hit else None)
+    subs = [_eval_model(m, text) for m in rule["contracts"]]
+    fails = [s for s in subs if not s[0]]
+    comp = sum(s[1] for s in subs) / len(subs) if subs else 1.0
+    if rule["operator"] == "OR":
+        return (not fails, comp, f"Composite (OR) violated: {len(fails)}/{len(subs)} sub-contracts failed" if fails else None)
+    failed = len(fails) == len(subs)
+    return (not failed, comp, f"Composite (AND) violated: all {len(subs)} sub-contracts failed" if failed else None)
+
+
+@settings(max_examples=25, deadline=None)
+@given(_tree(), st.lists(st.sampled_from(["alpha", "beta", "gamma", "delta", "other"]), max_size=4))
+def test_composites_match_model(spark, rule, words):
+    rule = dict(rule, id="root", type="composite") if rule["type"] == "composite" else {
+        "id": "root", "name": "r", "type": "composite", "operator": "OR", "contracts": [rule]}
+    text = " ".join(words)
+    v = run(spark, rule, text)
+    passed, comp, msg = _eval_model(rule, text)
+    assert v["passed"] == passed and abs(v["compliance"] - comp) < 1e-12 and v["message"] == msg, (rule, text)
