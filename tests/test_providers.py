@@ -55,3 +55,41 @@ def test_chunk_assembly_matches_model(spark, streams):
             continue
         r = got[rid]
         assert (r["content"], r["model"], r["finish_reason"], r["completion_tokens"]) == (content, model, reason, n), lines
+
+
+def _shape_model(req):
+    msgs = req["messages"]
+    if req["provider"] == "openai":
+        return (len(msgs), None, req["max_tokens"], req["stop"], None, False)
+    if req["provider"] == "anthropic":
+        system = [m["content"] for m in msgs if m["role"] == "system"]
+        rest = [m for m in msgs if m["role"] != "system"]
+        stop = req["stop"] if req["stop"] else None
+        return (len(rest), "\n".join(system) if system else None,
+                req["max_tokens"] if req["max_tokens"] is not None else 1024, stop, None, False)
+    options = {k: req[k] for k in ("temperature", "top_p", "top_k", "num_predict") if req[k] is not None}
+    if req["max_tokens"] is not None and "num_predict" not in options:
+        options["num_predict"] = req["max_tokens"]
+    return (len(msgs), None, options.get("num_predict"), None, ",".join(sorted(options)) if options else None, True)
+
+
+_msg = st.fixed_dictionaries({"role": st.sampled_from(["system", "user", "assistant"]),
+                              "content": st.sampled_from(["be brief", "hi", "hello there"])})
+_req = st.fixed_dictionaries({
+    "provider": st.sampled_from(["openai", "anthropic", "local"]), "messages": st.lists(_msg, min_size=1, max_size=5),
+    "temperature": st.sampled_from([None, 0.2]), "top_p": st.sampled_from([None, 0.9]), "top_k": st.sampled_from([None, 40]),
+    "num_predict": st.sampled_from([None, 64]), "max_tokens": st.sampled_from([None, 256]), "stop": st.sampled_from([None, "", "###"])})
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(_req, min_size=1, max_size=12))
+def test_request_shapes_match_adapters(spark, reqs):
+    rows = [(i, r["provider"], "m", r["messages"], r["temperature"], r["top_p"], r["top_k"], r["num_predict"],
+             r["max_tokens"], r["stop"]) for i, r in enumerate(reqs)]
+    df = spark.createDataFrame(rows, "request_id long, provider string, model string, "
+                                     "messages array<struct<role:string,content:string>>, temperature double, top_p double, "
+                                     "top_k int, num_predict int, max_tokens int, stop string")
+    got = {r["request_id"]: (r["n_messages"], r["system"], r["max_tokens"], r["stop_sequences"], r["options_keys"], r["stream"])
+           for r in pv.shape_requests(df).collect()}
+    for i, r in enumerate(reqs):
+        assert got[i] == _shape_model(r), r
