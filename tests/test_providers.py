@@ -93,3 +93,29 @@ def test_request_shapes_match_adapters(spark, reqs):
            for r in pv.shape_requests(df).collect()}
     for i, r in enumerate(reqs):
         assert got[i] == _shape_model(r), r
+
+
+from gatelens.operators import prompts as pr  # noqa: E402
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant"]), st.sampled_from(["a", "b c", "d"])),
+                         min_size=1, max_size=6), min_size=1, max_size=6))
+def test_conversation_reshaping_matches_model(spark, convs):
+    rows = [(c, t, role, text) for c, msgs in enumerate(convs) for t, (role, text) in enumerate(msgs)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = {(r["conv_id"], r["turn"]): r["request"] for r in pr.turn_pairs(df).collect()}
+    last = {r["conv_id"]: r["user_text"] for r in pr.last_user_text(df).collect()}
+    split = {r["conv_id"]: (r["system"], r["messages"]) for r in pr.split_system(df).collect()}
+    flat = {r["conv_id"]: r["prompt"] for r in pr.flatten_prompts(df).collect()}
+    for c, msgs in enumerate(convs):
+        users = [text for role, text in msgs if role == "user"]
+        assert last[c] == (users[-1] if users else "")
+        assert flat[c] == "\n".join(f"{role}: {text}" for role, text in msgs)
+        system = [text for role, text in msgs if role == "system"]
+        rest = "\n".join(f"{role}: {text}" for role, text in msgs if role != "system")
+        assert split[c] == ("\n".join(system) if system else None, rest)
+        for t, (role, _) in enumerate(msgs):
+            if role == "assistant":
+                earlier = [text for r, text in msgs[:t] if r == "user"]
+                assert pairs[(c, t)] == (earlier[-1] if earlier else "")
