@@ -100,3 +100,16 @@ def test_resolution_matches_model(spark, rows, reqs, policy):
     got = {r["request_id"]: r["routed_provider"] for r in rt.route_resolve(lg, rdf, policy).collect()}
     for i, (a, h) in enumerate(reqs):
         assert got[i] == _resolve_model(routes, a, h, policy), (a, h, policy)
+
+
+def test_small_side_broadcasts_only_under_its_limit(spark):
+    from gatelens.session import small_side
+    big = spark.range(0, 50).withColumnRenamed("id", "k")
+    facts = spark.range(0, 1000).select((F.col("id") % 50).alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = facts.join(small_side(big, 100), "k")._jdf.queryExecution().executedPlan().toString()
+        large = facts.join(small_side(big, 10), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+    assert "BroadcastHashJoin" in small and "BroadcastHashJoin" not in large
