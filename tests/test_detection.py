@@ -242,3 +242,20 @@ def test_attack_category_matches_python_semantics(spark, docs):
     got = {r["id"]: r["c"] for r in df.select("id", det.attack_category(F.col("t")).alias("c")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == _category_model(t), repr(t)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 1000)), min_size=1, max_size=60))
+def test_pr_curve_matches_direct_counts(spark, rows):
+    from gatelens.operators import evaluation as ev
+    data = [("m", i, y, p / 1000.0) for i, (y, p) in enumerate(rows)]
+    df = spark.createDataFrame(data, "model string, doc_id long, label int, prob double")
+    got = {r["threshold"]: r for r in ev.pr_curve(df).collect()}
+    npos = sum(1 for _, _, y, _ in data if y == 1)
+    for t in ev.CURVE_THRESHOLDS:
+        tp = sum(1 for *_, y, p in data if y == 1 and p >= t)
+        fp = sum(1 for *_, y, p in data if y == 0 and p >= t)
+        prec = tp / (tp + fp) if tp + fp else 0.0
+        rec = tp / npos if npos else 0.0
+        assert (got[t]["tp"], got[t]["fp"]) == (tp, fp)
+        assert abs(got[t]["precision"] - prec) < 1e-6 and abs(got[t]["recall"] - rec) < 1e-6

@@ -113,3 +113,25 @@ def test_small_side_broadcasts_only_under_its_limit(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     assert "BroadcastHashJoin" in small and "BroadcastHashJoin" not in large
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["m", "n"]), st.sampled_from(["openai", "anthropic", "local"])), max_size=6,
+                unique=True),
+       st.lists(st.tuples(st.sampled_from(["m", "n", "z"]), st.sampled_from(["openai", "local", "mistral"])), max_size=5,
+                unique=True))
+def test_upsert_matches_registry_semantics(spark, base, updates):
+    routes = [(a, p, f"{a}-{p}", 1, 1.0, 10.0, i) for i, (a, p) in enumerate(base)]
+    ups = [(a, p, f"new-{a}-{p}", 9, 0.5, 5.0) for a, p in updates]
+    model = {(a, p): (c, pos) for a, p, c, _, _, _, pos in routes}
+    nxt = max([r[6] for r in routes], default=-1)
+    for a, p, c, *_ in sorted(ups):
+        if (a, p) in model:
+            model[(a, p)] = (c, model[(a, p)][1])
+        else:
+            nxt += 1
+            model[(a, p)] = (c, nxt)
+    rdf = spark.createDataFrame(routes, ROUTES_SCHEMA)
+    udf = spark.createDataFrame(ups, "alias string, provider string, canonical string, priority int, cost double, avg_latency double")
+    got = {(r["alias"], r["provider"]): (r["canonical"], r["pos"]) for r in rt.alias_upsert(rdf, udf).collect()}
+    assert got == model
