@@ -23,3 +23,21 @@ def test_dedup_keeps_smallest_id(spark):
     df = spark.createDataFrame([(3, " Hello "), (1, "hello"), (2, "other")], "doc_id long, text string")
     got = {r["doc_id"]: r["copies"] for r in ds.dedup_samples(df, "text", "doc_id").collect()}
     assert got == {1: 2, 2: 1}
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["Hello", " hello ", "HELLO", "bye", "Bye ", "x"]), st.integers(0, 1)),
+                min_size=1, max_size=30))
+def test_dedup_matches_model(spark, rows):
+    data = [(i, t, y) for i, (t, y) in enumerate(rows)]
+    df = spark.createDataFrame(data, "doc_id long, text string, label int")
+    got = {r["doc_id"]: (r["label"], r["copies"]) for r in ds.dedup_samples(df, "text", "doc_id").collect()}
+    groups = {}
+    for i, t, y in data:
+        groups.setdefault(t.strip(" ").lower(), []).append((i, y))
+    want = {min(g)[0]: (min(g)[1], len(g)) for g in groups.values()}
+    assert got == want

@@ -125,3 +125,24 @@ def test_leaky_bucket_matches_model(spark, evs, rate, burst):
     df = spark.createDataFrame(ev, "key string, ts long, rid long")
     got = {r["request_id"]: r["admitted"] for r in rl.rate_leaky_bucket(df, "key", "ts", "rid", rate, burst).collect()}
     assert got == _leaky_model(ev, int(round(rate * 1000)), burst)
+
+
+@settings(max_examples=12, deadline=None)
+@given(events, st.integers(1, 3), st.integers(1, 20))
+def test_retry_after_and_counts_match_model(spark, evs, m, w):
+    ev = [(k, t, i) for i, (k, t) in enumerate(evs)]
+    df = spark.createDataFrame(ev, "key string, ts long, rid long")
+    got = {r["request_id"]: r for r in rl.rate_admission(df, "key", "ts", "rid", m, w).collect()}
+    dqs = {}
+    for key, ts, rid in sorted(ev, key=lambda e: (e[0], e[1], e[2])):
+        dq = dqs.setdefault(key, deque())
+        while dq and dq[0] <= ts - w * 1000:
+            dq.popleft()
+        r = got[rid]
+        if len(dq) >= m:
+            assert not r["admitted"] and r["count_after"] == len(dq)
+            retry = max(0.0, ((dq[0] + w * 1000) - ts) / 1000)
+            assert r["retry_after"] == retry and r["retry_after_header"] == int(retry)
+        else:
+            dq.append(ts)
+            assert r["admitted"] and r["count_after"] == len(dq) and r["retry_after"] is None
