@@ -146,3 +146,17 @@ def test_retry_after_and_counts_match_model(spark, evs, m, w):
         else:
             dq.append(ts)
             assert r["admitted"] and r["count_after"] == len(dq) and r["retry_after"] is None
+
+
+@settings(max_examples=12, deadline=None)
+@given(events, st.integers(1, 3), st.integers(1, 20), st.integers(0, 70_000))
+def test_peek_matches_model(spark, evs, m, w, as_of):
+    ev = [(k, t, i) for i, (k, t) in enumerate(evs)]
+    df = spark.createDataFrame(ev, "key string, ts long, rid long")
+    d = rl.rate_admission(df, "key", "ts", "rid", m, w)
+    got = {r["key"]: (r["used"], r["remaining"], r["reset_at"]) for r in rl.rate_peek(d, as_of, w, m).collect()}
+    adm = model(ev, m, w * 1000)
+    for key in {k for k, _, _ in ev}:
+        live = sorted(t for k, t, i in ev if k == key and adm[i] and as_of - w * 1000 < t <= as_of)
+        reset = (live[0] + w * 1000) / 1000 if live else as_of / 1000
+        assert got[key] == (len(live), max(0, m - len(live)), reset)
