@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,10 +69,10 @@ def located(text: Column, pattern: str, may_hold: Column) -> Column:
         rows = F.arrays_zip(found.alias("v"), F.slice(pieces, F.lit(1), n).alias("g"), F.slice(pieces, F.lit(2), n).alias("h"))
 
         def step(done: Column, x: Column) -> Column:
-            start = done["at"] + F.length(x["1"])
-            end = start + F.length(x["0"])
-            span = F.struct(start.alias("start"), end.alias("end"), x["0"].alias("value"),
-                            F.right(x["1"], F.lit(_CONTEXT)).alias("before"), F.left(x["2"], F.lit(_CONTEXT)).alias("after"))
+            start = done["at"] + F.length(x["g"])
+            end = start + F.length(x["v"])
+            span = F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"),
+                            F.right(x["g"], F.lit(_CONTEXT)).alias("before"), F.left(x["h"], F.lit(_CONTEXT)).alias("after"))
             return F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
         return F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda done: done["out"])
     # one-element transform: the matches are computed once, the pieces only if there are matches
@@ -104,6 +105,10 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _is_valid(kind: str, span: Column) -> Column:
+    return _valid(kind, span["value"])
+
+
 def _vote(for_: Column, against: Column) -> Column:
     return F.coalesce(F.when(for_, 1).when(against, -1), F.lit(0))
 
@@ -201,6 +206,14 @@ def fit_classifier(counts: dict[tuple[str, tuple[int, ...], int], int], steps: i
     return SpanClassifier(weights)
 
 
+def _numbered(number: int, span: Column) -> Column:
+    return F.struct(span["start"].alias("start"), F.lit(number).alias("k"), span["end"].alias("end"))
+
+
+def _of_number(number: int, span: Column) -> Column:
+    return span["k"] == number
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans and classified further spans of whole texts, in code points: (doc_id, n_email, n_ip, n_card, n_phone,
     base_sha256, spans, added) where ``added`` holds the further spans as structs.
@@ -212,12 +225,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for k, pattern in BASE.items():
         hint = F.lit(True) if MAY_HOLD[k] is None else F.contains("text", F.lit(MAY_HOLD[k]))
-        rows = rows.withColumn(k, F.filter(located(F.col("text"), pattern, hint), lambda x, k=k: _valid(k, x["value"])))
+        rows = rows.withColumn(k, F.filter(located(F.col("text"), pattern, hint), partial(_is_valid, k)))
     wide = "|".join(f"(?:{p})" for p in CANDIDATES.values())
     rows = rows.withColumn("wide", located(F.col("text"), wide, F.col("text").rlike(_GUARD)))
     kinds = list(BASE) + list(CANDIDATES)
-    base = F.array_sort(F.concat(*(F.transform(F.col(k), lambda x, n=n: F.struct(x["start"].alias("start"), F.lit(n).alias("k"), x["end"].alias("end")))
-                                   for n, k in enumerate(BASE))))
+    base = F.array_sort(F.concat(*(F.transform(F.col(k), partial(_numbered, n)) for n, k in enumerate(BASE))))
     kind_of = lambda v: F.coalesce(*(F.when(v.rlike(f"^(?:{_bare(p)})$"), F.lit(k)) for k, p in CANDIDATES.items()), F.lit("number"))
     named = F.transform("wide", lambda x: F.struct(kind_of(x["value"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
                                                    x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after")))
@@ -241,7 +253,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     as_spans = F.transform("added", lambda c: F.struct(c["start"].alias("start"), F.element_at(number, c["kind"]).alias("k"), c["end"].alias("end")))
     out = found.withColumn("added", added)
     return out.select(
-        "doc_id", *(F.size(F.filter("base", lambda x, n=n: x["k"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)),
+        "doc_id", *(F.size(F.filter("base", partial(_of_number, n))).cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)),
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.array_sort(F.concat("base", as_spans))).alias("spans"),
         F.transform("added", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).alias("added"))
