@@ -17,3 +17,64 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """
+
+# the synthetic pages hold their text in one article of h1 and p blocks; tags, references and white space as the contract says
+ORACLES["op4_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+          replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'),
+              '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
+ORACLES["op6_chat_format"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+s AS (SELECT *, lag(role, 1, 'start') OVER w AS before, lead(role) OVER w IS NULL AS is_last FROM c
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (SELECT *, CASE before WHEN 'start' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant'
+                            WHEN 'assistant' THEN role = 'user' ELSE false END AS ordered,
+             4 + 2 + 8 + length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '### ', ''))) // 4
+             + (length(text) - length(replace(text, '</turn>', ''))) // 7
+             + CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) ELSE 5 + length(role) END AS chars FROM s)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars,
+       bool_and(ordered) AND bool_and(role = 'assistant' OR NOT is_last) AS well_ordered
+FROM f GROUP BY conv_id
+"""
+
+# the capture log is derived as warc.capture_log says; the join is DuckDB's own as-of join
+ORACLES["op8_warc_revisits"] = r"""
+WITH p AS (SELECT page_id AS p, url, md5(coalesce(html, '')) AS tag, page_id * 60 AS ts, regexp_replace(url, '[?#].*$', '') AS again FROM pages),
+responses AS (
+  SELECT p * 4 AS record_id, url, ts, tag AS etag, ts::VARCHAR AS modified FROM p
+  UNION ALL SELECT p * 4 + 1, again, ts + 43200, tag || '-2', ts::VARCHAR FROM p WHERE p % 4 = 0),
+revisits AS (
+  SELECT p * 4 + 2 AS record_id, again || '?utm_source=again' AS url, ts + 50000 + p % 7 * 30000 AS ts,
+         CASE WHEN p % 5 < 2 THEN CASE WHEN p % 4 = 0 THEN tag || '-2' ELSE tag END WHEN p % 5 = 3 THEN 'old' END AS etag,
+         CASE WHEN p % 5 IN (1, 2) THEN ts::VARCHAR END AS modified FROM p WHERE p % 3 <> 0),
+u AS (SELECT *, 'a' AS side FROM responses UNION ALL SELECT *, 'r' FROM revisits),
+bare AS (SELECT *, regexp_replace(regexp_replace(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//', ''), '#.*$', '') AS b FROM u),
+parts AS (SELECT *, regexp_extract(b, '^([^/?]*)([^?]*)\??([\s\S]*)$', 1) AS h, regexp_extract(b, '^([^/?]*)([^?]*)\??([\s\S]*)$', 2) AS path,
+                 regexp_extract(b, '^([^/?]*)([^?]*)\??([\s\S]*)$', 3) AS q FROM bare),
+kept AS (SELECT *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x),
+           '^(utm_[a-z]+|ref|gclid|fbclid|sessionid|sid|phpsessionid)(=|$)'))), '&') AS params FROM parts),
+c AS (SELECT *, regexp_replace(lower(regexp_replace(h, '^[^@]*@', '')), '^www[0-9]*\.|:(80|443)$', '', 'g') || CASE WHEN path = '' THEN '/' ELSE path END
+             || CASE WHEN params = '' THEN '' ELSE '?' || params END AS canonical_url FROM kept),
+a AS (SELECT canonical_url, ts, max(record_id) AS record_id, arg_max(etag, record_id) AS etag, arg_max(modified, record_id) AS modified
+      FROM c WHERE side = 'a' GROUP BY canonical_url, ts),
+r AS (SELECT * FROM c WHERE side = 'r'),
+j AS (SELECT r.record_id, r.canonical_url, r.ts, r.etag, r.modified, a.record_id AS found, a.etag AS a_etag, a.modified AS a_modified, a.ts AS a_ts
+      FROM r ASOF LEFT JOIN a ON r.canonical_url = a.canonical_url AND r.ts > a.ts),
+s AS (SELECT *, CASE WHEN found IS NULL THEN 'missing' WHEN etag IS NOT NULL THEN CASE WHEN etag = a_etag THEN 'resolved' ELSE 'changed' END
+                     WHEN modified IS NOT NULL THEN CASE WHEN modified = a_modified THEN 'resolved' ELSE 'changed' END ELSE 'unchecked' END AS status FROM j)
+SELECT record_id, canonical_url, status, CASE WHEN status = 'resolved' THEN found END AS response_id,
+       CASE WHEN status = 'resolved' THEN concat_ws(chr(10), 'cache-control: max-age=600', 'content-type: text/html', 'date: ' || ts,
+                 'etag: ' || coalesce(etag, a_etag), 'last-modified: ' || coalesce(modified, a_modified), 'server: s1')
+            ELSE concat_ws(chr(10), 'cache-control: max-age=600', 'date: ' || ts, 'etag: ' || etag, 'last-modified: ' || modified, 'server: s2', 'set-cookie: a=1') END AS headers
+FROM s
+"""

@@ -19,7 +19,7 @@ TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid|sessionid|sid|phpsessionid)(=|$)"
 def canonical_url(url: Column) -> Column:
     """host/path?query without scheme, user, www, default port, fragment and tracking parameters; host in lower case,
     parameters sorted. Null stays null."""
-    bare = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://|#.*$", "")
+    bare = F.regexp_replace(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//|#.*$", "")
     whole = F.regexp_extract(bare, r"^([^/?]*)([^?]*)\??([\s\S]*)$", 1)
     host = F.regexp_replace(F.lower(F.regexp_replace(whole, r"^[^@]*@", "")), r"^www[0-9]*\.|:(80|443)$", "")
     path = F.regexp_extract(bare, r"^([^/?]*)([^?]*)\??([\s\S]*)$", 2)

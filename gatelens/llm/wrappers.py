@@ -44,7 +44,7 @@ ASIDE_NAMES = re.compile(r"""(?:^|[-_ ])(?:ads?|adverts?|advertisement|banner|sp
 LANDMARK_TAGS = ("article", "main")
 LANDMARK_NAMES = re.compile(r"""(?:^|[-_ ])(?:article|main|content|post|entry|story|body)(?:$|[-_ ])""", re.X)
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)>?""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""\shidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}

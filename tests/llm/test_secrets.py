@@ -27,7 +27,7 @@ def test_base_spans_match_brute_force(spark):
 
 
 def test_further_rules_add_spans(spark):
-    token = "ghp_" + "a1" * 18
+    token = "ghp_" + "z1" * 18
     docs = spark.createDataFrame([(1, f"see {token} and -----BEGIN RSA PRIVATE KEY-----")], "doc_id long, text string")
     assert secrets.find_secrets(docs).first()["spans"] == f"github:4:{4 + len(token)},private_key:{9 + len(token)}:{40 + len(token)}"
 
