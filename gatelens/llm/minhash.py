@@ -1,8 +1,9 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, exact verification, union-find grouping.
 
 Shape of the job: equal shingle sets collapse first (one class per set, so copies never form pairs); class
-representatives are banded; each bucket's members are compared with the bucket's hub, not with each other;
-buckets whose members end in one component are finished; the few others are compared block by block.
+representatives are banded; each bucket's members are compared with a few hubs of the bucket, not with each other;
+buckets whose members end in one component are finished; in the few others, members of different components are
+compared block by block, where sizes and one-byte registers rule most pairs out before texts are touched.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.llm.common import jaccard_at_least, mix, shingle_sets, slices
@@ -23,6 +24,7 @@ from gatelens.session import cut_lineage
 BANDS, ROWS = 32, 4      # a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 = 5e-8
 REGISTERS = BANDS * ROWS
 SKETCH_MARGIN = 0.2      # 5.6 standard deviations of the estimate from REGISTERS one-byte registers at 0.8
+HUBS = 3                 # members of a bucket that all its members are compared with first
 BLOCK = 128              # members of one side in a block comparison
 _GOLDEN, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -113,29 +115,28 @@ def _local_union_find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): every node of ``edges(a, b)`` with the smallest node it is connected to.
 
-    Rounds of union-find inside partitions, then hooking every root to its smallest neighbour and pointer jumping
-    across partitions; each round at least halves the roots of an unfinished component.
+    Union-find inside partitions leaves a forest; then every root is hooked to its smallest neighbour and pointers jump
+    across partitions. Each round at least halves the roots of an unfinished component.
     """
     rest = cut_lineage(edges.select("a", "b").mapInPandas(_local_union_find, "a long, b long"))
     comp = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct() \
         .select("node", F.col("node").alias("comp"))
     while not rest.isEmpty():
-        both = rest.union(rest.select("b", "a"))
-        hook = cut_lineage(both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("p"))
-                           .select("x", F.least("x", "p").alias("p")))
-        while True:
-            up = hook.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-            jumped = cut_lineage(hook.join(up, "p").select("x", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
-            hook = jumped.select("x", "p")
-            if jumped.where("moved").isEmpty():
-                break
-        comp = cut_lineage(comp.join(hook, comp["comp"] == hook["x"], "left")
-                           .select("node", F.coalesce("p", "comp").alias("comp")))
+        hook = rest.union(rest.select("b", "a")).groupBy(F.col("a").alias("x")).agg(F.min("b").alias("p")) \
+            .select("x", F.least("x", "p").alias("p"))
+        hook, moved = cut_lineage(hook), True
+        while moved:
+            one, two = (hook.select(F.col("x").alias(f"p{i}"), F.col("p").alias(f"p{i + 1}")) for i in (1, 2))
+            jumped = hook.withColumnRenamed("p", "p1").join(one, "p1").join(two, "p2") \
+                .select("x", F.col("p3").alias("p"), (F.col("p3") != F.col("p2")).alias("moved"))
+            jumped = cut_lineage(jumped)
+            hook, moved = jumped.select("x", "p"), not jumped.where("moved").isEmpty()
+        comp = comp.join(hook, comp["comp"] == hook["x"], "left").select("node", F.coalesce("p", "comp").alias("comp"))
         ha, hb = (hook.select(F.col("x").alias(c), F.col("p").alias("p" + c)) for c in "ab")
         rest = rest.join(ha, "a").join(hb, "b").where("pa <> pb") \
             .select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
         rest = cut_lineage(rest.mapInPandas(_local_union_find, "a long, b long"))
-    return comp
+    return cut_lineage(comp)
 
 
 def _verify(k: int, percent: int):
@@ -187,41 +188,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = classes.select(F.explode("bands").alias("band"), "rep", "n")
     shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     members = cut_lineage(rows.join(shared, "band"))
-    texts = docs.where("doc_id IS NOT NULL")
-    size_ok = f"100 * least(n, hub_n) >= {int(percent)} * greatest(n, hub_n)"
+    near = members.select("rep").distinct()
+    # the texts that verification needs, fetched once; rows that repeat an id count with one of their texts
+    texts = cut_lineage(docs.join(near, docs["doc_id"] == near["rep"]).groupBy("rep").agg(F.min("text").alias("text")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        ta, tb = (texts.select(F.col("rep").alias(c), F.col("text").alias("text_" + c)) for c in "ab")
         with_texts = pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b")
-        return cut_lineage(with_texts.mapInArrow(_verify(shingle_words, percent), "a long, b long, linked boolean")
-                           .groupBy("a", "b").agg(F.max("linked").alias("linked")))
-
-    def unfinished(comp: DataFrame | None) -> DataFrame:
-        """Members of the buckets that still hold more than one component."""
-        if comp is None:
-            return members.withColumn("comp", F.col("rep"))
-        now = members.join(comp, members["rep"] == comp["node"], "left") \
-            .select("band", "rep", "n", "members", F.coalesce("comp", "rep").alias("comp"))
-        mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        return cut_lineage(now.join(mixed.select("band"), "band"))
-
-    comp, tested, turn = None, None, 0
-    while True:        # hub rounds, as long as they join components
-        left = unfinished(comp)
-        hubs = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("order"), "rep", "n", "comp")).alias("hub")) \
-            .select("band", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp"))
-        pairs = left.join(hubs, "band").where("comp <> hub_comp").where(size_ok) \
-            .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        result = verified(pairs)
-        tested = result if tested is None else tested.union(result)
-        if result.where("linked").isEmpty():
-            break
-        comp, turn = components(tested.where("linked")), turn + 1
-
-    rest = unfinished(comp).join(classes.select("rep", "sketch"), "rep")
+        return cut_lineage(with_texts.mapInArrow(_verify(shingle_words, percent), "a long, b long, linked boolean"))
+
+    # first every member against its buckets' hubs, the members that come first by a hash
+    order = Window.partitionBy("band").orderBy(F.xxhash64("rep"), "rep")
+    hubs = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= HUBS) \
+        .select("band", F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
+    pairs = members.join(hubs, "band").where("rep <> hub") \
+        .where(f"100 * least(n, hub_n) >= {int(percent)} * greatest(n, hub_n)") \
+        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    tested = verified(pairs)
+    comp = components(tested.where("linked"))
+
+    # then, in the buckets that still hold several components, the members of different ones, block by block; a bucket
+    # of one member more than hubs has had all its pairs compared
+    now = members.where(F.col("members") > HUBS + 1).join(comp, F.col("rep") == F.col("node"), "left") \
+        .select("band", "rep", "n", "members", F.coalesce("comp", "rep").alias("comp"))
+    mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    rest = now.join(mixed, "band").join(classes.select("rep", "sketch"), "rep")
     chunks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("rep", F.lit("block")), chunks).cast("int")
     rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
@@ -232,14 +223,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          (F.col("mine") == F.col("other")).alias("diagonal"), "rep", "n", "comp", "sketch")
     pairs = blocks.groupBy("band", "lo", "hi").applyInPandas(_block_pairs(percent), "a long, b long").distinct() \
         .join(tested, ["a", "b"], "left_anti")
-    result = verified(pairs)
-    if not result.where("linked").isEmpty():
-        comp = components(tested.union(result).where("linked"))
+    more = verified(pairs).where("linked")
+    if not more.isEmpty():
+        ca, cb = (comp.select(F.col("node").alias(c), F.col("comp").alias("c" + c)) for c in "ab")
+        joins = more.join(ca, "a", "left").join(cb, "b", "left") \
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        upper = components(joins).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        nodes = comp.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                                 .join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
+        comp = nodes.join(upper, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
 
     by_class = classes.select("set_key", "rep")
-    if comp is not None:
-        by_class = by_class.join(comp, by_class["rep"] == comp["node"], "left") \
-            .select("set_key", F.coalesce("comp", "rep").alias("rep"))
+    by_class = by_class.join(comp, by_class["rep"] == comp["node"], "left").select("set_key", F.coalesce("comp", "rep").alias("rep"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
