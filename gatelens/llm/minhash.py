@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.llm.common import jaccard_at_least, mix, shingle_sets, slices
@@ -24,7 +25,7 @@ from gatelens.session import cut_lineage
 BANDS, ROWS = 32, 4      # a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 = 5e-8
 REGISTERS = BANDS * ROWS
 SKETCH_MARGIN = 0.2      # 5.6 standard deviations of the estimate from REGISTERS one-byte registers at 0.8
-HUBS = 3                 # members of a bucket that all its members are compared with first
+HUBS = 3                 # hubs of a bucket, with which all its members are compared first
 BLOCK = 128              # members of one side in a block comparison
 _GOLDEN, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -186,7 +187,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           .groupBy("set_key", F.col("n_shingles").alias("n"), "bands", "sketch")
                           .agg(F.min("doc_id").alias("rep")))
     rows = classes.select(F.explode("bands").alias("band"), "rep", "n")
-    shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    # a bucket's hubs: the members that come first by HUBS different hashes, alike in all buckets they share
+    hubs = [F.min(F.struct(F.xxhash64("rep", F.lit(h)).alias("order"), "rep", "n")).alias(f"hub{h}") for h in range(HUBS)]
+    shared = rows.groupBy("band").agg(F.count("*").alias("members"), *hubs).where("members > 1")
     members = cut_lineage(rows.join(shared, "band"))
     near = members.select("rep").distinct()
     # the texts that verification needs, fetched once; rows that repeat an id count with one of their texts
@@ -197,22 +200,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with_texts = pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b")
         return cut_lineage(with_texts.mapInArrow(_verify(shingle_words, percent), "a long, b long, linked boolean"))
 
-    # first every member against its buckets' hubs, the members that come first by a hash
-    order = Window.partitionBy("band").orderBy(F.xxhash64("rep"), "rep")
-    hubs = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= HUBS) \
-        .select("band", F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
-    pairs = members.join(hubs, "band").where("rep <> hub") \
+    # first every member against its buckets' hubs
+    sides = [members.select("rep", "n", F.col(f"hub{h}.rep").alias("hub"), F.col(f"hub{h}.n").alias("hub_n")) for h in range(HUBS)]
+    pairs = reduce(DataFrame.unionByName, sides).where("rep <> hub") \
         .where(f"100 * least(n, hub_n) >= {int(percent)} * greatest(n, hub_n)") \
         .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     tested = verified(pairs)
     comp = components(tested.where("linked"))
 
     # then, in the buckets that still hold several components, the members of different ones, block by block; a bucket
-    # of one member more than hubs has had all its pairs compared
-    now = members.where(F.col("members") > HUBS + 1).join(comp, F.col("rep") == F.col("node"), "left") \
-        .select("band", "rep", "n", "members", F.coalesce("comp", "rep").alias("comp"))
+    # of at most one member more than it has hubs has had all its pairs compared
+    n_hubs = F.size(F.array_distinct(F.array(*(F.col(f"hub{h}.rep") for h in range(HUBS)))))
+    now = members.where(F.col("members") > n_hubs + 1).select("band", "rep", "n", "members") \
+        .join(comp, F.col("rep") == F.col("node"), "left").select("band", "rep", "n", "members", F.coalesce("comp", "rep").alias("comp"))
     mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    rest = now.join(mixed, "band").join(classes.select("rep", "sketch"), "rep")
+    rest = now.join(mixed, "band", "left_semi").join(classes.select("rep", "sketch"), "rep")
     chunks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("rep", F.lit("block")), chunks).cast("int")
     rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
