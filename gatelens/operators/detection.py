@@ -42,7 +42,7 @@ def pattern_rollup(hits: DataFrame, rules=None) -> DataFrame:
                                     "pattern_id string, severity string, severity_rank int, scan_order int")
     counts = hits.filter(F.col("pattern_id").isNotNull()).groupBy("pattern_id").agg(F.count("*").alias("hits"))
     # the rule table is bounded by the rule file, never by the data
-    return (F.broadcast(rule_df).join(counts, "pattern_id", "left")
+    return (rule_df.join(counts, "pattern_id", "left")
             .select("pattern_id", "severity", "scan_order", F.coalesce("hits", F.lit(0)).cast("long").alias("hits")))
 
 

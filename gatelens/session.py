@@ -11,7 +11,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -30,6 +29,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    b = b.config(SPREAD_CONF, str(2 * (os.cpu_count() or 1 if str(cpus) == "*" else int(cpus))))
     b = b.config("spark.driver.memory", os.environ.get("GATELENS_DRIVER_MEM", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,7 +38,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only when none is configured."""
+    """The shared checkpoint folder, read from ``spark.checkpoint.dir``.
+
+    Only a local master, where driver and executors are one machine, gets a scratch folder when none is configured;
+    elsewhere a folder of this machine would not be seen by the executors, so that is an error.
+    """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -46,8 +50,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if not cur and sc is not None:
         cur = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not cur:   # only for local runs/tests where no shared folder is configured
-        cur = tempfile.mkdtemp(prefix="gatelens-ckpt-", dir="/tmp")
+    if not cur:
+        master = sc.master if sc is not None else "connect"
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
+        cur = tempfile.mkdtemp(prefix="gatelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     if sc is not None:
         sc.setCheckpointDir(cur)
@@ -60,30 +67,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+SPREAD_CONF = "spark.gatelens.spreadPartitions"
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin repartition for CPU-heavy row work when the input is small (estimated size).
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` to the number of partitions given in ``spark.gatelens.spreadPartitions``, if it is set.
 
-    Small inputs arrive as a handful of files, i.e. a handful of tasks; spreading them lets every core work.
-    The decision uses the optimizer's size estimate (no job is run); large inputs already have many
-    partitions and are left untouched (no extra shuffle).
+    A setting for small tables whose few files would leave most cores idle in CPU-heavy row work (local runs set it);
+    clusters leave it unset, and nothing is shuffled.
     """
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        cores = df.sparkSession.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - e.g. a Connect session: leave partitioning to Spark
-        return df
-    return df.repartition(cores * factor) if size < SMALL_INPUT_BYTES else df
-
-
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked size: a dimension with at most ``max_rows`` rows is broadcast,
-    anything larger is left to a shuffled join (and to AQE's runtime size checks)."""
-    if df.isStreaming:
-        return df
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    n = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(n)) if n else df
