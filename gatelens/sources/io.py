@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -13,7 +14,6 @@ from gatelens.functions.patterns import SEVERITY_RANK
 from gatelens.session import ensure_checkpoint_dir
 
 RESOURCES = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "resources")
-PATTERN_FILE = os.path.join(RESOURCES, "patterns.json")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,7 +51,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "none").json(path)
 
 
-def read_patterns(spark: SparkSession, path: str = PATTERN_FILE) -> DataFrame:
+def write_patterns(spark: SparkSession, rules: list[dict], path: str) -> None:
+    """A rule file: one JSON array of {id, severity, regex, description}."""
+    spark.createDataFrame([(json.dumps(rules),)], "value string").coalesce(1).write.text(path)
+
+
+def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """Rules from a JSON array; uncompilable regexes dropped; stable order by severity desc, then file order."""
     arr = spark.read.option("multiLine", True).option("wholetext", False).json(path, schema=(
         "id string, severity string, regex string, description string"))
