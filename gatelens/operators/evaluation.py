@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from gatelens.operators.detection import attack_category
 
-# Curve thresholds 0.10 .. 0.95 step 0.05; warm-up rows excluded from latency.
+# Curve thresholds 0.10 .. 0.95 step 0.05.
 CURVE_THRESHOLDS = [round(0.10 + 0.05 * i, 2) for i in range(18)]
-WARMUP_ROWS = 50
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -58,13 +57,9 @@ def pr_curve(scored: DataFrame, thresholds=CURVE_THRESHOLDS, by: str = "model")
     return long.select(by, "threshold", "tp", "fp", p, r, f1)
 
 
-def latency_summary(scored: DataFrame, by: str = "model", order: str = "doc_id", warmup: int = WARMUP_ROWS) -> DataFrame:
-    """Exact p50/p95/p99 (linear interpolation) and samples/s after dropping the first ``warmup`` rows per group."""
-    # warm-up rows: a per-group top-k (limited per partition before the exchange), then an anti-join
-    w = Window.partitionBy(by).orderBy(order)
-    warm = scored.select(by, order).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= warmup)
-    kept = scored.join(warm.select(by, order), [by, order], "left_anti")
-    return kept.groupBy(by).agg(
+def latency_summary(scored: DataFrame, by: str = "model") -> DataFrame:
+    """Exact p50/p95/p99 (linear interpolation) and samples/s over all rows of a group."""
+    return scored.groupBy(by).agg(
         F.count("*").alias("n"),
         F.round(F.percentile("latency_ms", 0.5), 4).alias("p50_ms"),
         F.round(F.percentile("latency_ms", 0.95), 4).alias("p95_ms"),

@@ -23,17 +23,46 @@ def _ratio(a: Column, b: Column, digits: int = 4) -> Column:
 
 
 def metrics_snapshot(log: DataFrame) -> DataFrame:
+    """One row of counters. A hit returns before the request is recorded, so it is no request of the total; a miss is
+    counted when the cache is asked, so rows that fail later (422, 502) are misses too."""
     st = F.col("status")
-    ok = st == 200
-    hits = F.count_if(F.col("cache") == "HIT")
-    misses = F.count_if((F.col("cache") == "MISS") & ok)
+    hit = served_from_cache()
+    hits = F.count_if(hit)
+    misses = F.count_if(st.isin(200, 422, 502) & ~hit)
     return log.agg(
-        F.count_if(ok).alias("requests_total"), F.count_if(st == 429).alias("rate_limited"),
+        F.count_if((st == 200) & ~hit).alias("requests_total"), F.count_if(st == 429).alias("rate_limited"),
         F.count_if(st == 422).alias("contract_violations"), hits.alias("cache_hits"), misses.alias("cache_misses"),
         _ratio(hits, hits + misses).alias("cache_hit_rate"), F.count_if(st == 400).alias("injection_blocks"),
         F.count_if(st == 502).alias("provider_errors"), F.count_if(st == 401).alias("unauthorized"))
 
 
+def served_from_cache() -> Column:
+    return F.coalesce((F.col("cache") == "HIT") & (F.col("status") == 200), F.lit(False))
+
+
+def generated(log: DataFrame) -> DataFrame:
+    """Requests that a provider answered and that passed the contracts: the only ones with a latency sample, with
+    recorded usage and with cost."""
+    return log.filter((F.col("status") == 200) & ~served_from_cache())
+
+
+def usage_totals(log: DataFrame) -> DataFrame:
+    """Recorded tokens per provider and alias."""
+    return generated(log).groupBy("provider", "alias").agg(
+        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
+        F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"))
+
+
+def spend_by_model(log: DataFrame, costs: DataFrame) -> DataFrame:
+    """Tokens and cost per app, provider, alias and day; ``costs(alias, provider, cost)`` per 1000 tokens, 0 if unknown."""
+    j = generated(log).join(costs, ["alias", "provider"], "left")
+    tokens = F.col("prompt_tokens") + F.col("completion_tokens")
+    cost = F.coalesce("cost", F.lit(0.0)).cast("decimal(18,6)")   # exact sums, independent of partitioning
+    return (j.groupBy("app_id", "provider", "alias", F.to_date("ts").cast("string").alias("day"))
+            .agg(F.sum(tokens).alias("tokens"),
+                 F.round(F.sum(tokens * cost).cast("double") / 1000.0, 6).alias("spend_usd")))
+
+
 def _pcts(col: str, exact: bool = True, accuracy: int = 10000) -> list[Column]:
     """Exact (linear interpolation) over bounded sample buffers; a mergeable sketch for all-history scopes."""
     if exact:
@@ -43,13 +72,13 @@ def _pcts(col: str, exact: bool = True, accuracy: int = 10000) -> list[Column]:
 
 def latency_percentiles_all_history(log: DataFrame, by: str = "provider", accuracy: int = 10000) -> DataFrame:
     """p50/p95/p99 over all history per group with an approximate quantile sketch (bounded memory per group)."""
-    ok = log.filter(F.col("status").isin(200, 502))
+    ok = generated(log)
     return ok.groupBy(by).agg(F.count("*").alias("samples"), *_pcts("latency_ms", exact=False, accuracy=accuracy))
 
 
 def latency_percentiles(log: DataFrame, n_global: int = GLOBAL_SAMPLES, n_provider: int = PROVIDER_SAMPLES) -> DataFrame:
     """p50/p95/p99 (linear interpolation) over the newest n samples, globally and per provider."""
-    ok = log.filter(F.col("status").isin(200, 502)).select("provider", "ts", "request_id", "latency_ms")
+    ok = generated(log).select("provider", "ts", "request_id", "latency_ms")
     newest = ok.orderBy(F.col("ts").desc(), F.col("request_id").desc()).limit(n_global)
     g = newest.agg(F.lit("global").alias("scope"), F.count("*").alias("samples"), *_pcts("latency_ms"))
     w = Window.partitionBy("provider").orderBy(F.col("ts").desc(), F.col("request_id").desc())
@@ -61,8 +90,9 @@ def latency_percentiles(log: DataFrame, n_global: int = GLOBAL_SAMPLES, n_provid
 def provider_stats(log: DataFrame, n_provider: int = PROVIDER_SAMPLES) -> DataFrame:
     """requests (successes), errors, error_rate = errors / successes (0 when none), attempts-based rate, p50/p95."""
     st = F.col("status")
-    counts = log.groupBy("provider").agg(F.count_if(st == 200).alias("requests"), F.count_if(st == 502).alias("errors"))
-    ok = log.filter(st.isin(200, 502))
+    counts = log.groupBy("provider").agg(F.count_if((st == 200) & ~served_from_cache()).alias("requests"),
+                                         F.count_if(st == 502).alias("errors"))
+    ok = generated(log)
     w = Window.partitionBy("provider").orderBy(F.col("ts").desc(), F.col("request_id").desc())
     lat = (ok.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_provider)
            .groupBy("provider").agg(F.round(F.percentile("latency_ms", 0.5), 4).alias("p50_ms"),
@@ -78,20 +108,23 @@ def security_counts(decisions: DataFrame) -> DataFrame:
                          F.count_if(t.isNotNull()).alias("total_blocks"))
 
 
-def contract_counts(verdicts: DataFrame, alerts: DataFrame) -> DataFrame:
-    v = verdicts.agg(
-        F.count_if(~F.col("passed") & (F.col("action") == "block")).alias("blocks"),
-        F.count_if(~F.col("passed") & (F.col("action") == "flag")).alias("flags"),
-        F.count_if(~F.col("passed")).alias("total_violations"),
-        F.count_if(F.col("tier") == "deterministic").alias("eval_deterministic"),
-        F.count_if(F.col("tier") == "classifier").alias("eval_classifier"),
-        F.count_if(F.col("tier") == "llm_judge").alias("eval_llm_judge"))
+def contract_counts(verdicts: DataFrame, alerts: DataFrame, keys: list[str]) -> DataFrame:
+    """``blocks`` and ``total_violations`` count blocked responses (identified by ``keys``) once each, however many of
+    their rules failed; flags and evaluations count rules."""
+    failed_block = F.when(~F.col("passed") & (F.col("action") == "block"), F.lit(1)).otherwise(0)
+    per_response = verdicts.groupBy(*keys).agg(
+        F.max(failed_block).alias("blocked"), F.count_if(~F.col("passed") & (F.col("action") == "flag")).alias("flags"),
+        *(F.count_if(F.col("tier") == t).alias(t) for t in ("deterministic", "classifier", "llm_judge")))
+    v = per_response.agg(
+        F.sum("blocked").alias("blocks"), F.sum("flags").alias("flags"), F.sum("blocked").alias("total_violations"),
+        F.sum("deterministic").alias("eval_deterministic"), F.sum("classifier").alias("eval_classifier"),
+        F.sum("llm_judge").alias("eval_llm_judge"))
     # two one-row aggregates combined by union + sum (no join between them)
     zero = F.lit(0).cast("long")
     a = alerts.agg(F.count("*").alias("drift_alerts"))
     rows = v.select("*", zero.alias("drift_alerts")).unionByName(
         a.select(*[zero.alias(c) for c in v.columns], "drift_alerts"))
-    return rows.agg(*[F.sum(c).cast("long").alias(c) for c in v.columns + ["drift_alerts"]])
+    return rows.agg(*[F.coalesce(F.sum(c), zero).cast("long").alias(c) for c in v.columns + ["drift_alerts"]])
 
 
 def status_rollup(log: DataFrame) -> DataFrame:
