@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.operators.ordered import sorted_fold
-from gatelens.session import small_side
 
 POLICIES = ("cost", "latency", "priority")
-MAX_BROADCAST_ROUTES = 1_000_000  # alias registry rows; beyond this fall back to a shuffled join
 CAND = "struct<provider:string,canonical:string,priority:int,cost:double,avg_latency:double,pos:int>"
 
 
@@ -41,7 +39,7 @@ def candidates_by_alias(routes: DataFrame) -> DataFrame:
 
 
 def _join_candidates(log: DataFrame, routes: DataFrame) -> DataFrame:
-    return log.join(small_side(candidates_by_alias(routes), MAX_BROADCAST_ROUTES), "alias", "left")
+    return log.join(candidates_by_alias(routes), "alias", "left")
 
 
 def route_resolve(log: DataFrame, routes: DataFrame, policy: str = "cost", default_provider: str = "openai",
@@ -58,7 +56,7 @@ def route_resolve(log: DataFrame, routes: DataFrame, policy: str = "cost", defau
     chosen = pick(use, policy)
     return j.withColumn("_sel", chosen).select(
         *log.columns, F.col("_sel.provider").alias("routed_provider"), F.col("_sel.canonical").alias("canonical_model"),
-        F.col("cands").isNull().alias("unknown_alias")).drop()
+        F.col("cands").isNull().alias("unknown_alias"))
 
 
 def route_fallback(failed: DataFrame, routes: DataFrame, policy: str = "cost", failed_col: str = "provider") -> DataFrame:
@@ -70,9 +68,14 @@ def route_fallback(failed: DataFrame, routes: DataFrame, policy: str = "cost", f
                                             F.col("_sel.canonical").alias("fallback_canonical"))
 
 
-def alias_upsert(routes: DataFrame, updates: DataFrame) -> DataFrame:
-    """Replace on (alias, provider), else append after the existing entries (MERGE semantics)."""
-    u = updates.select(*[F.col(c).alias("u_" + c) for c in ("alias", "provider", "canonical", "priority", "cost", "avg_latency")])
+def alias_upsert(routes: DataFrame, updates: DataFrame, order_col: str | None = None) -> DataFrame:
+    """Replace on (alias, provider), else append after the existing entries (MERGE semantics).
+
+    Of several updates of one pair the last by ``order_col`` counts (without one, the last in the frame's order)."""
+    fields = ("canonical", "priority", "cost", "avg_latency")
+    latest = updates.withColumn("_order", F.col(order_col) if order_col else F.monotonically_increasing_id()) \
+        .groupBy("alias", "provider").agg(F.max_by(F.struct(*fields), "_order").alias("u"))
+    u = latest.select("alias", "provider", "u.*").select(*[F.col(c).alias("u_" + c) for c in ("alias", "provider", "canonical", "priority", "cost", "avg_latency")])
     j = routes.join(u, (routes["alias"] == u["u_alias"]) & (routes["provider"] == u["u_provider"]), "full_outer")
     max_pos = routes.agg(F.max("pos")).first()[0]   # scalar from the (small) registry
     j = j.withColumn("m", F.lit(-1 if max_pos is None else max_pos))
@@ -128,12 +131,19 @@ def _carry_step(keep: float):
 
 
 def running_latency_ema(samples: DataFrame, routes: DataFrame, alpha: float = 0.2) -> DataFrame:
-    """EMA per (alias, provider) before/after every successful sample, seeded with the registered average
-    (an unmeasured 0 seed is replaced by the first sample). Unregistered pairs are ignored."""
+    """EMA per (alias, provider) before/after every successful sample, seeded with the registered average.
+
+    An average of exactly 0 is replaced by the next sample, so a 0 seed stays 0 through leading samples of 0 and
+    starts at the first other one. Unregistered pairs are ignored."""
     keep = 1 - alpha
+    pair, place = ["alias", "provider"], F.struct("ts_ms", "request_id")
     seeds = routes.select("alias", "provider", F.col("avg_latency").alias("seed"))
-    s = (samples.join(small_side(seeds, MAX_BROADCAST_ROUTES), ["alias", "provider"])
-         .withColumn("chunk", F.floor(F.col("ts_ms") / CHUNK_MS).cast("long")))
+    every = samples.join(seeds, pair)
+    starts = every.where("seed = 0 AND latency_ms <> 0").groupBy(*pair).agg(F.min(place).alias("start"))
+    every = every.join(starts, pair, "left")
+    leading = (F.col("seed") == 0) & F.coalesce(place < F.col("start"), F.lit(True))
+    zeros = every.where(leading).select(*pair, "ts_ms", "request_id", F.lit(0.0).alias("ema_before"), F.lit(0.0).alias("ema_after"))
+    s = every.where(~leading).drop("start").withColumn("chunk", F.floor(F.col("ts_ms") / CHUNK_MS).cast("long"))
     local = sorted_fold(s.select("alias", "provider", "chunk", "ts_ms", "request_id", "latency_ms"),
                         ["alias", "provider", "chunk"], ["ts_ms", "request_id"], _local_step(alpha), LOCAL_SCHEMA)
     first = s.groupBy("alias", "provider").agg(F.min_by("latency_ms", F.struct("ts_ms", "request_id")).alias("x1"),
@@ -147,7 +157,8 @@ def running_latency_ema(samples: DataFrame, routes: DataFrame, alpha: float = 0.
     j = local.join(carry, ["alias", "provider", "chunk"])
     return j.select("alias", "provider", "ts_ms", "request_id",
                     (F.col("local_before") + F.pow(F.lit(keep), F.col("pos_before")) * F.col("carry_in")).alias("ema_before"),
-                    (F.col("local") + F.pow(F.lit(keep), F.col("pos")) * F.col("carry_in")).alias("ema_after"))
+                    (F.col("local") + F.pow(F.lit(keep), F.col("pos")) * F.col("carry_in")).alias("ema_after")) \
+        .unionByName(zeros)
 
 
 def latency_ema(samples: DataFrame, routes: DataFrame, alpha: float = 0.2) -> DataFrame:
@@ -180,7 +191,7 @@ def route_latency_asof(log: DataFrame, routes: DataFrame, ema_updates: DataFrame
     eod = (upd.withColumn("day", day).groupBy("alias", "provider", "day")
               .agg(F.max_by("ema", F.struct("ts_ms", "request_id")).alias("eod")).withColumn("k", F.lit(1)))
     req_days = u.filter("kind = 0").select("alias", "day").distinct()
-    asks = req_days.join(small_side(routes.select("alias", "provider").distinct(), MAX_BROADCAST_ROUTES), "alias") \
+    asks = req_days.join(routes.select("alias", "provider").distinct(), "alias") \
                    .select("alias", "provider", "day", F.lit(None).cast("double").alias("eod"), F.lit(0).alias("k"))
     wd = Window.partitionBy("alias", "provider").orderBy("day", "k").rowsBetween(Window.unboundedPreceding, 0)
     carried = (asks.unionByName(eod).withColumn("prev", F.last("eod", True).over(wd)).filter("k = 0"))

@@ -130,13 +130,14 @@ def threshold_search(queries: DataFrame, store: DataFrame, q_id: str, q_vec: str
         return queries.sparkSession.createDataFrame([], MATCH_SCHEMA)
     store, queries = spread(store), spread(queries)
     assigned = _assign_store(store.select(s_id, s_vec, *([s_time] if s_time else [])), s_id, s_vec, piv, r)
-    timed = cfg.ttl_s is not None and s_time is not None and q_time is not None
+    ordered = s_time is not None and q_time is not None
+    timed = cfg.ttl_s is not None and ordered
     if timed:
         assigned = assigned.withColumn("tb", F.floor(F.col(s_time).cast("double") / cfg.ttl_s).cast("long"))
     keys = ["pivot", "ring"] + (["tb"] if timed else [])
     # no covering-radius pass: probes into (pivot, ring) cells without members simply join nothing
     radius = {i: float("inf") for i in range(len(piv))}
-    members, sizes = _blocks(assigned, s_id, s_vec, cfg, keys, s_time if timed else None)
+    members, sizes = _blocks(assigned, s_id, s_vec, cfg, keys, s_time if ordered else None)
     probes = _probe_cells(queries.select(q_id, q_vec, *([q_time] if q_time else [])), q_vec, piv, r, radius, cfg.eps)
     probes = probes.select("*", F.inline("cells")).drop("cells")
     if timed:
@@ -167,10 +168,11 @@ def threshold_search(queries: DataFrame, store: DataFrame, q_id: str, q_vec: str
         ids = m["id"].to_numpy()[None, :]
         if exclude_self:
             ok &= ids != qids
-        if timed:
+        if ordered:
             qt = q["qt"].to_numpy(dtype=np.float64)[:, None]
             ts = m["t"].to_numpy(dtype=np.float64)[None, :]
-            ok &= (qt - ts >= 0) & (qt - ts < ttl)
+            if timed:
+                ok &= (qt - ts >= 0) & (qt - ts < ttl)
             if earlier_only:
                 ok &= (ts < qt) | ((ts == qt) & (ids < qids))
         elif earlier_only:
@@ -218,31 +220,32 @@ def cache_capacity(store: DataFrame, cap: int, order_col: str, id_col: str) -> D
 
 
 def cache_replay(stream: DataFrame, cfg: SearchConfig, id_col: str = "item_id", vec_col: str = "v",
-                 time_col: str = "t", max_rounds: int = 64) -> DataFrame:
+                 time_col: str = "t", storable_col: str | None = None) -> DataFrame:
     """Time-ordered replay: an item is a hit if an earlier *stored*, live item is similar enough; else it is stored.
 
     The stored set is the lexicographically-first maximal independent set of the similarity graph
     (edges: earlier item within TTL and cos >= threshold), computed in parallel rounds: an item whose
-    earlier neighbours are all decided becomes a hit if one of them is stored, else it is stored.
-    Each round's state is checkpointed to the shared checkpoint folder.
+    earlier neighbours are all decided becomes a hit if one of them is stored, else it is stored - unless
+    ``storable_col`` is false (the answer failed its contracts). Every round decides at least the earliest undecided
+    item, so the loop ends for any chain of dependencies. Earlier means (time, id), with or without a TTL. Each round's state is checkpointed to the shared checkpoint folder.
     """
     from gatelens.session import cut_lineage
     edges = threshold_search(stream, stream, id_col, vec_col, id_col, vec_col,
                              SearchConfig(cfg.threshold, cfg.pivots, cfg.block_size, k=1 << 30, ttl_s=cfg.ttl_s),
                              q_time=time_col, s_time=time_col, earlier_only=True)
     edges = cut_lineage(edges.select(F.col("query_id").alias("dst"), F.col("entry_id").alias("src")))
-    state = cut_lineage(stream.select(F.col(id_col).alias("node"), F.lit("undecided").alias("state")))
-    for _ in range(max_rounds):
+    storable = F.coalesce(F.col(storable_col), F.lit(False)) if storable_col else F.lit(True)
+    state = cut_lineage(stream.select(F.col(id_col).alias("node"), storable.alias("storable"), F.lit("undecided").alias("state")))
+    while True:
         und = state.filter(F.col("state") == "undecided")
         if und.isEmpty():
             return state.select(F.col("node").alias(id_col), (F.col("state") == "hit").alias("hit"))
-        e = edges.join(state.withColumnRenamed("node", "src").withColumnRenamed("state", "sst"), "src")
+        e = edges.join(state.select(F.col("node").alias("src"), F.col("state").alias("sst")), "src")
         agg = e.groupBy("dst").agg(F.count_if(F.col("sst") == "undecided").alias("n_und"),
                                    F.count_if(F.col("sst") == "stored").alias("n_stored"))
         j = state.join(agg.withColumnRenamed("dst", "node"), "node", "left")
         new = (F.when(F.col("state") != "undecided", F.col("state"))
                .when(F.coalesce("n_stored", F.lit(0)) > 0, F.lit("hit"))
-               .when(F.coalesce("n_und", F.lit(0)) == 0, F.lit("stored"))
+               .when(F.coalesce("n_und", F.lit(0)) == 0, F.when(F.col("storable"), F.lit("stored")).otherwise("passed"))
                .otherwise(F.lit("undecided")))
-        state = cut_lineage(j.select("node", new.alias("state")))
-    raise RuntimeError(f"cache_replay did not converge in {max_rounds} rounds")
+        state = cut_lineage(j.select("node", "storable", new.alias("state")))

@@ -88,3 +88,20 @@ def test_empty_store_misses_and_entries_coexist(spark):
     assert len(out) == 3 and not any(r["hit"] for r in out)
     got = {r["query_id"]: r["entry_id"] for r in vx.cache_lookup(q, s, vx.SearchConfig(pivots=2)).collect()}
     assert got == {0: 0, 1: 1, 2: 2}
+
+
+def test_replay_decides_chains_of_any_length_in_time_order(spark):
+    """Each item resembles only its neighbours in time: every second one is stored; ids run against time."""
+    import math
+    step = math.acos(0.95)
+    rows = [(100 - i, [math.cos(i * step), math.sin(i * step)], float(i)) for i in range(14)]
+    stream = spark.createDataFrame(rows, "item_id long, v array<double>, t double")
+    got = {r["item_id"]: r["hit"] for r in vx.cache_replay(stream, vx.SearchConfig(threshold=0.94, pivots=2, ttl_s=None)).collect()}
+    assert got == {100 - i: i % 2 == 1 for i in range(14)}
+
+
+def test_replay_stores_only_what_passed_its_contracts(spark):
+    rows = [(1, [1.0, 0.0], 0.0, False), (2, [1.0, 0.0], 1.0, True), (3, [1.0, 0.0], 2.0, True)]
+    stream = spark.createDataFrame(rows, "item_id long, v array<double>, t double, passed boolean")
+    got = {r["item_id"]: r["hit"] for r in vx.cache_replay(stream, vx.SearchConfig(pivots=1), storable_col="passed").collect()}
+    assert got == {1: False, 2: False, 3: True}
