@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gatelens.session import small_side
 from gatelens.sources.io import scratch_path
 from gatelens.sources.tables import epoch_us
 
@@ -28,7 +27,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(f"{sf_dir.rstrip('/')}/{name}*.parquet")
+    return r.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")      # a pattern may name a file; this one names no other table
 
 
 def with_event_time(df: DataFrame, col: str = "ts", out: str = "event_time") -> DataFrame:
@@ -98,13 +97,17 @@ def admission_state_fn(max_requests: int, window_ms: int):
                 dq.append(ts)
                 out.append((key[0], ts, rid, True, len(dq), None))
         state.update((list(dq),))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + window_ms + 1)
+        # a stamp matters until one window after itself, however far the watermark (of all keys) is; a timeout must
+        # lie after the watermark
+        newest = max(dq, default=0)
+        state.setTimeoutTimestamp(max(newest + window_ms, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "ts_ms", "request_id", "admitted", "count_after", "retry_after"])
     return fn
 
 
 def stream_rate_admission(events: DataFrame, max_requests: int, window_s: int) -> DataFrame:
-    """Keyed admission with bounded state (≤ max stamps per key), timed out one window after the watermark."""
+    """Keyed admission with bounded state (≤ max stamps per key), kept until the watermark is one window past the
+    key's newest stamp. A key's rows of one micro-batch are sorted in memory: bound them with maxFilesPerTrigger."""
     w_ms = window_s * 1000
     e = (with_event_time(events).withWatermark("event_time", f"{window_s} seconds")
          .select(F.col("user_id").cast("string").alias("key"),
@@ -134,8 +137,7 @@ def ema_state_fn(alpha: float, seeds: dict):
 def stream_latency_ema(samples: DataFrame, routes: DataFrame, alpha: float = 0.2) -> DataFrame:
     """Running EMA per (alias, provider); emits the latest value per key after each micro-batch."""
     seeds = {(r["alias"], r["provider"]): r["avg_latency"] for r in routes.collect()}   # alias registry: small
-    known = small_side(routes.select("alias", "provider"))
-    s = samples.join(known, ["alias", "provider"])
+    s = samples.join(routes.select("alias", "provider"), ["alias", "provider"])
     return s.groupBy("alias", "provider").applyInPandasWithState(
         ema_state_fn(alpha, seeds), "alias string, provider string, samples long, ema_ms double",
         "ema double, n long", "update", GroupStateTimeout.NoTimeout)
