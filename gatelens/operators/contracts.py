@@ -79,7 +79,9 @@ def lint_contract(d: dict, spark: SparkSession | None = None) -> list[str]:
     if kind == "regex":
         err = regex_error(d.get("pattern", ""), spark)
         if err:
-            out.append(f"invalid regex: {err}")
+            out.append(f"invalid regex {d.get('pattern', '')!r}")
+    if kind == "schema" and schema_error(d.get("json_schema", {})):
+        out.append(f"invalid schema: {schema_error(d['json_schema'])}")
     if kind == "length_limit":
         lims = [d.get(k) for k in ("max_words", "max_characters", "max_sentences")]
         if all(v is None for v in lims):
@@ -111,8 +113,10 @@ def lint_contract(d: dict, spark: SparkSession | None = None) -> list[str]:
 
 
 def regex_error(pattern: str, spark: SparkSession | None = None) -> str | None:
-    """Compile check; uses the JVM's regex engine when a session is given (what rlike will run)."""
+    """Compile check with the JVM's regex engine (what rlike will run); Python's only where there is no session."""
     jvm = None
+    pattern = java_pattern(pattern)
+    spark = spark or SparkSession.getActiveSession()
     if spark is not None:
         try:
             jvm = spark.sparkContext._jvm
@@ -224,22 +228,26 @@ def regex_flags(c: Contract) -> str:
     return "".join(sorted({REGEX_FLAG_NAMES[f.upper()] for f in c.p.get("flags", []) if f.upper() in REGEX_FLAG_NAMES}))
 
 
-def regex_java(c: Contract) -> tuple[str, str]:
+def java_pattern(pattern: str) -> str:
+    """Python's named groups and references as Java writes them."""
+    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", re.sub(r"\(\?P<", "(?<", pattern))
+
+
+def regex_java(c: Contract) -> str:
     # d: only \n ends a line; U: Unicode classes and case folding — both as Python's re on str
     flags = regex_flags(c) + "dU"
-    prefix = f"(?{flags})"
-    return prefix + c.p["pattern"], prefix + "\\A((?s:.*?))(?:" + c.p["pattern"] + ")"
+    return f"(?{flags})" + java_pattern(c.p["pattern"])
 
 
 def _regex(c: Contract, ctx: dict) -> Column:
     text = ctx["response"]
-    rx, lead = regex_java(c)
+    rx = regex_java(c)
     failed = text.rlike(rx)
     m = F.regexp_extract(text, rx, 0)
-    start = F.length(F.regexp_extract(text, lead, 1))
+    start = F.length(F.element_at(F.split(text, rx, 2), 1))     # no group around the pattern: references keep their numbers
     loc = F.concat(F.lit(CONTENT_LOCATION + "["), start.cast("string"), F.lit(":"), (start + F.length(m)).cast("string"), F.lit("]"))
     return _verdict(c, failed, F.when(failed, 0.0).otherwise(1.0),
-                    F.lit("Response matches forbidden pattern: " + repr(c.p["pattern"])), F.substring(m, 1, 200), loc)
+                    F.lit("Response matches forbidden pattern: " + repr(c.p["pattern"])), F.substring(m, 1, SHOWN_CHARS), loc)
 
 
 def _length(c: Contract, ctx: dict) -> Column:
@@ -275,6 +283,15 @@ def _language(c: Contract, ctx: dict) -> Column:
                     F.concat(F.lit("detected="), detected, F.lit(", expected="), expected), F.lit(CONTENT_LOCATION))
 
 
+# Fixed value: characters of a match, a value or a reasoning that a verdict shows (the whole text is evaluated).
+SHOWN_CHARS = 200
+
+
+def three_places(x: Column) -> Column:
+    """'%.3f' as Python prints it (ties to even)."""
+    return F.format_string("%.3f", F.bround(x, 3))
+
+
 def _sentiment(c: Contract, ctx: dict) -> Column:
     text = ctx["response"]
     mn = float(c.p.get("min_score", 0.0))
@@ -286,7 +303,7 @@ def _sentiment(c: Contract, ctx: dict) -> Column:
     else:
         compliance = F.when(passed_raw, 1.0).otherwise(0.0)
     failed = ~empty & ~passed_raw
-    shown = F.round(comp, 3).cast("string")
+    shown = three_places(comp)
     return _verdict(c, failed, F.when(empty, 1.0).otherwise(compliance),
                     F.concat(F.lit("Response sentiment score "), shown, F.lit(f" is below minimum threshold {mn:.3f}")),
                     F.concat(F.lit("sentiment_score="), shown), F.lit(CONTENT_LOCATION))
@@ -297,7 +314,7 @@ def _topic(c: Contract, ctx: dict) -> Column:
     allowed = list(c.p.get("allowed_topics", []))
     off = c.p.get("off_topic_label", "off_topic")
     thr = float(c.p.get("threshold", 0.5))
-    hits = [F.col(f"_topic_{t}") if t in tx.TOPIC_WORDS else F.lit(0) for t in allowed]
+    hits = [F.col(f"_topic_{t.lower()}") if t.lower() in tx.TOPIC_WORDS else F.lit(0) for t in allowed]
     others = [t for t in tx.TOPIC_WORDS if t not in set(a.lower() for a in allowed)]
     off_hits = tx.sum_cols([F.col(f"_topic_{t}") for t in others]) if others else F.lit(0)
     total = tx.sum_cols(hits + [off_hits]) if hits else off_hits
@@ -308,13 +325,13 @@ def _topic(c: Contract, ctx: dict) -> Column:
     top = F.element_at(F.array_sort(cands), 1)
     top_score = top["h"].cast("double") / total.cast("double")
     compliance = (tx.sum_cols(hits).cast("double") if hits else F.lit(0.0)) / total.cast("double")
-    top_allowed = top["label"].isin(*allowed) if allowed else F.lit(False)
+    top_allowed = F.lower(top["label"]).isin(*(t.lower() for t in allowed)) if allowed else F.lit(False)
     no_signal = tx.is_blank(text) | (total == 0)
     failed = ~no_signal & ~(top_allowed & (top_score >= thr))
     return _verdict(c, failed, F.when(no_signal, 1.0).otherwise(F.round(compliance, 6)),
-                    F.concat(F.lit("Response classified as '"), top["label"], F.lit("' ("),
-                             F.round(top_score, 3).cast("string"), F.lit(f"), outside allowed topics or below {thr:.3f}")),
-                    F.concat(F.lit("top_label="), top["label"]), F.lit(CONTENT_LOCATION))
+                    F.concat(F.lit("Response classified as '"), top["label"], F.lit("' ("), three_places(top_score),
+                             F.lit(f") which is outside allowed topics: {allowed}")),
+                    F.concat(F.lit("top_label="), top["label"], F.lit(", score="), three_places(top_score)), F.lit(CONTENT_LOCATION))
 
 
 # ---------------------------------------------------------------- judge replies
@@ -400,16 +417,21 @@ def _judge(c: Contract, ctx: dict) -> Column:
     score, path = F.col("_j_score"), F.col("_j_path")
     unusable = raw.isNull() | (path == "error")
     failed = ~unusable & (score < thr)
+    reason = F.coalesce(F.col("_j_reason"), F.lit(""))
     return _verdict(c, failed, F.when(unusable, 1.0).otherwise(score),
-                    F.concat(F.lit("LLM judge score "), F.round(score, 3).cast("string"),
-                             F.lit(f" below threshold {thr:.3f}")),
-                    F.col("_j_reason"), F.lit(CONTENT_LOCATION))
+                    F.concat(F.lit("LLM judge scored "), three_places(score), F.lit(f" (threshold {thr:.3f}): "), reason),
+                    F.concat(F.lit("score="), three_places(score), F.lit(", reasoning="), F.substring(reason, 1, SHOWN_CHARS)),
+                    F.lit(CONTENT_LOCATION))
 
 
 # ---------------------------------------------------------------- schema (compiled JSON-Schema subset)
 SCHEMA_KEYWORDS = {"type", "required", "properties", "enum", "const", "minimum", "maximum", "exclusiveMinimum",
                    "exclusiveMaximum", "minLength", "maxLength", "pattern", "items", "minItems", "maxItems",
-                   "additionalProperties", "anyOf", "allOf", "not", "title", "description", "$schema"}
+                   "additionalProperties", "anyOf", "allOf", "oneOf", "not", "uniqueItems", "multipleOf",
+                   "patternProperties", "$ref", "$defs", "definitions", "title", "description", "$schema", "$id",
+                   "$comment", "default", "examples", "format"}
+SCHEMA_TYPES = {"object", "array", "string", "boolean", "null", "integer", "number"}
+MAX_REF_DEPTH = 8          # a schema that refers to itself is expanded this deep
 _NUMERIC = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL")
 
 
@@ -433,12 +455,63 @@ def _is_type(v: Column, t: str) -> Column:
     return F.lit(False)
 
 
-def schema_check(schema: dict, v: Column) -> Column:
-    """Column that is a failure message (NULL when the value satisfies the schema subset)."""
+def schema_error(schema) -> str | None:
+    """Why a schema cannot be evaluated (lint reports it; a rule with such a schema passes, as in the gateway)."""
+    if isinstance(schema, bool):
+        return None
+    if not isinstance(schema, dict):
+        return "a schema must be an object"
     unknown = sorted(set(schema) - SCHEMA_KEYWORDS)
     if unknown:
-        return F.lit(f"unsupported schema keyword: {unknown[0]}")
+        return f"unsupported schema keyword: {unknown[0]}"
+    types = schema.get("type", [])
+    for t in types if isinstance(types, list) else [types]:
+        if t not in SCHEMA_TYPES:
+            return f"unknown type {t!r}"
+    for kw in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "minItems", "maxItems", "multipleOf"):
+        if kw in schema and (isinstance(schema[kw], bool) or not isinstance(schema[kw], (int, float))):
+            return f"{kw} must be a number"
+    for p in [schema.get("pattern"), *schema.get("patternProperties", {})]:
+        if p is not None and regex_error(p):
+            return f"invalid pattern {p!r}"
+    parts = [schema[k] for k in ("items", "not", "additionalProperties") if k in schema]
+    for k in ("allOf", "anyOf", "oneOf"):
+        parts += schema.get(k, [])
+    for k in ("properties", "patternProperties", "$defs", "definitions"):
+        parts += schema.get(k, {}).values()
+    return next((e for e in map(schema_error, parts) if e), None)
+
+
+def _member(v: Column, key: str) -> Column:
+    """The member of an object VARIANT, whatever characters the key has."""
+    quote = "'" if "'" not in key else '"'
+    return F.try_variant_get(v, f"$[{quote}{key}{quote}]", "variant")
+
+
+def _referred(root: dict, ref: str):
+    """The subschema that a local reference ('#', '#/a/b') names; None if it is not there."""
+    node = root
+    for part in ref.removeprefix("#").split("/")[1:]:
+        node = node.get(part.replace("~1", "/").replace("~0", "~")) if isinstance(node, dict) else None
+    return node if ref.startswith("#") else None
+
+
+def schema_check(schema, v: Column, root: dict | None = None, depth: int = 0) -> Column:
+    """Column that is a failure message (NULL when the value satisfies the schema, or the schema is not one)."""
+    if isinstance(schema, bool):
+        return F.lit(None).cast("string") if schema else F.lit("is not allowed")
+    if root is None:
+        if schema_error(schema):
+            return F.lit(None).cast("string")
+        root = schema
     checks: list[Column] = []
+
+    def check(sub, x: Column) -> Column:
+        return schema_check(sub, x, root, depth)
+    if "$ref" in schema:
+        target = _referred(root, schema["$ref"])
+        if target is not None and depth < MAX_REF_DEPTH:
+            checks.append(schema_check(target, v, root, depth + 1))
     if "type" in schema:
         ts = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         ok = F.lit(False)
@@ -447,21 +520,38 @@ def schema_check(schema: dict, v: Column) -> Column:
         checks.append(F.when(~ok, F.lit(f"is not of type {' or '.join(ts)}")))
     is_obj = _is_type(v, "object")
     for k in schema.get("required", []):
-        present = F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
+        present = _member(v, k).isNotNull()
         checks.append(F.when(is_obj & ~present, F.lit(f"'{k}' is a required property")))
     for k, sub in schema.get("properties", {}).items():
-        child = F.try_variant_get(v, f"$.{k}", "variant")
-        checks.append(F.when(is_obj & child.isNotNull(), schema_check(sub, child)))
-    if schema.get("additionalProperties") is False:
-        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+        child = _member(v, k)
+        checks.append(F.when(is_obj & child.isNotNull(), check(sub, child)))
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    for p, sub in schema.get("patternProperties", {}).items():
+        def wrong_entry(e: Column, p=java_pattern(p), sub=sub) -> Column:
+            return e["key"].rlike(p) & check(sub, e["value"]).isNotNull()
+        checks.append(F.when(is_obj & F.exists(F.map_entries(members), lambda e: wrong_entry(e)), F.lit(f"a property like {p!r} is invalid")))
+    if schema.get("additionalProperties", True) is not True:
+        keys = F.map_keys(members)
+        if schema.get("patternProperties"):
+            known = "|".join(f"(?:{java_pattern(p)})" for p in schema["patternProperties"])
+            keys = F.filter(keys, lambda k: ~k.rlike(known))
         allowed = F.array(*[F.lit(k) for k in schema.get("properties", {})]) if schema.get("properties") else F.array().cast("array<string>")
-        checks.append(F.when(is_obj & (F.size(F.array_except(keys, allowed)) > 0), F.lit("additional properties are not allowed")))
+        extra = F.array_except(keys, allowed)
+        if schema["additionalProperties"] is False:
+            checks.append(F.when(is_obj & (F.size(extra) > 0), F.lit("additional properties are not allowed")))
+        else:
+            rest = F.map_filter(members, lambda k, _: F.array_contains(extra, k))
+            wrong = F.exists(F.map_values(rest), lambda x: check(schema["additionalProperties"], x).isNotNull())
+            checks.append(F.when(is_obj & wrong, F.lit("an additional property is invalid")))
     num = _is_type(v, "number")
     d = F.try_variant_get(v, "$", "double")
     for kw, op in (("minimum", lambda a, b: a < b), ("maximum", lambda a, b: a > b),
                    ("exclusiveMinimum", lambda a, b: a <= b), ("exclusiveMaximum", lambda a, b: a >= b)):
         if kw in schema:
             checks.append(F.when(num & op(d, F.lit(float(schema[kw]))), F.lit(f"violates {kw} {schema[kw]}")))
+    if "multipleOf" in schema:
+        ratio = d / F.lit(float(schema["multipleOf"]))
+        checks.append(F.when(num & (F.abs(ratio - F.round(ratio)) > 1e-9), F.lit(f"is not a multiple of {schema['multipleOf']}")))
     is_str = _is_type(v, "string")
     s = F.try_variant_get(v, "$", "string")
     if "minLength" in schema:
@@ -469,7 +559,7 @@ def schema_check(schema: dict, v: Column) -> Column:
     if "maxLength" in schema:
         checks.append(F.when(is_str & (F.length(s) > schema["maxLength"]), F.lit(f"is longer than {schema['maxLength']}")))
     if "pattern" in schema:
-        checks.append(F.when(is_str & ~s.rlike(schema["pattern"]), F.lit(f"does not match {schema['pattern']!r}")))
+        checks.append(F.when(is_str & ~s.rlike(java_pattern(schema["pattern"])), F.lit(f"does not match {schema['pattern']!r}")))
     if "enum" in schema or "const" in schema:
         vals = schema.get("enum", [schema.get("const")])
         ok = F.lit(False)
@@ -482,6 +572,8 @@ def schema_check(schema: dict, v: Column) -> Column:
                 ok = ok | (is_str & (s == F.lit(val)))
             elif val is None:
                 ok = ok | _is_type(v, "null")
+            else:      # an object or array: equal as JSON with sorted keys
+                ok = ok | (F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(val)))))
         checks.append(F.when(~ok, F.lit("is not one of the allowed values")))
     is_arr = _is_type(v, "array")
     arr = F.try_variant_get(v, "$", "array<variant>")
@@ -489,27 +581,34 @@ def schema_check(schema: dict, v: Column) -> Column:
         checks.append(F.when(is_arr & (F.size(arr) < schema["minItems"]), F.lit(f"has fewer than {schema['minItems']} items")))
     if "maxItems" in schema:
         checks.append(F.when(is_arr & (F.size(arr) > schema["maxItems"]), F.lit(f"has more than {schema['maxItems']} items")))
-    if isinstance(schema.get("items"), dict):
-        sub = schema["items"]
-        checks.append(F.when(is_arr & F.exists(arr, lambda e: schema_check(sub, e).isNotNull()), F.lit("an item is invalid")))
+    if isinstance(schema.get("items"), (dict, bool)):
+        item = schema["items"]
+        checks.append(F.when(is_arr & F.exists(arr, lambda e: check(item, e).isNotNull()), F.lit("an item is invalid")))
+    if schema.get("uniqueItems"):
+        texts = F.transform(arr, lambda e: F.to_json(e))
+        checks.append(F.when(is_arr & (F.size(F.array_distinct(texts)) < F.size(texts)), F.lit("has equal items")))
     for sub in schema.get("allOf", []):
-        checks.append(schema_check(sub, v))
+        checks.append(check(sub, v))
     if "anyOf" in schema:
         ok = F.lit(False)
         for sub in schema["anyOf"]:
-            ok = ok | schema_check(sub, v).isNull()
+            ok = ok | check(sub, v).isNull()
         checks.append(F.when(~ok, F.lit("matches none of anyOf")))
+    if "oneOf" in schema:
+        n = tx.sum_cols([check(sub, v).isNull().cast("int") for sub in schema["oneOf"]])
+        checks.append(F.when(n == 0, F.lit("matches none of oneOf")).when(n > 1, F.lit("matches several of oneOf")))
     if "not" in schema:
-        checks.append(F.when(schema_check(schema["not"], v).isNull(), F.lit("matches a forbidden schema")))
+        checks.append(F.when(check(schema["not"], v).isNull(), F.lit("matches a forbidden schema")))
     return F.coalesce(*checks) if checks else F.lit(None).cast("string")
 
 
 def resolve_path(v: Column, path: str | None) -> Column:
-    """Dotted path into a VARIANT; integer parts index arrays; NULL when unresolvable."""
-    if not path:
-        return v
-    jp = "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split("."))
-    return F.try_variant_get(v, jp, "variant")
+    """Dotted path into a VARIANT; an integer part is a key of an object and an index of an array; NULL when
+    unresolvable."""
+    for p in path.split(".") if path else []:
+        by_key = _member(v, p)
+        v = F.coalesce(by_key, F.try_variant_get(v, f"$[{int(p)}]", "variant")) if p.isdigit() else by_key
+    return v
 
 
 def _as_variant(text: Column) -> Column:
@@ -523,16 +622,19 @@ def _schema(c: Contract, ctx: dict) -> Column:
     target = c.p.get("target_field")
     if ctx.get("payload") is not None and not (target or "").startswith("choices"):
         value = resolve_path(ctx["payload"], target)
+    elif target and not target.startswith("choices"):      # a field of the payload, and there is none to extract it from
+        value = F.lit(None).cast("variant")
     else:
         # the response text sits at choices.0.message.content; strings are parsed as JSON when possible
         value = _as_variant(ctx["response"])
-    msg = F.when(value.isNull(), F.lit(f"Could not extract target field {target!r}")).otherwise(
-        schema_check(c.p.get("json_schema", {}), value))
+    schema = c.p.get("json_schema", {})
+    msg = F.lit(None).cast("string") if schema_error(schema) else \
+        F.when(value.isNull(), F.lit(f"Could not extract target field {target!r}")).otherwise(schema_check(schema, value))
     failed = msg.isNotNull()
     shown = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
     return _verdict(c, failed, F.when(failed, 0.0).otherwise(1.0),
                     F.concat(F.lit("JSON Schema validation failed: "), msg),
-                    F.substring(shown, 1, 200), F.lit(target or "response"))
+                    F.substring(shown, 1, SHOWN_CHARS), F.lit(target or "response"))
 
 
 def static_tier(c: Contract) -> str:

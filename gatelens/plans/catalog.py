@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatelens.functions.lexicon import lexical_injection_prob
-from gatelens.functions.patterns import first_match
+from gatelens.functions.patterns import DEFAULT_RULES, first_match
 from gatelens.operators import contracts as ct
 from gatelens.operators import datasets as ds
 from gatelens.operators import detection as det
@@ -24,7 +24,6 @@ from gatelens.operators import routing as rt
 from gatelens.operators import vectors as vx
 from gatelens.plans import fixtures as fx
 from gatelens.sources import io as sio
-from gatelens.session import small_side
 from gatelens.sources.tables import table
 from gatelens.streaming import streams as stx
 
@@ -127,7 +126,7 @@ def q_judge_verdicts(spark, sf):
 
 @register("tier_disagreements")
 def q_tier_disagreements(spark, sf):
-    s = fx.scored(spark, sf).filter(F.col("model") == "lex-b")
+    s = fx.scored(spark, sf)
     v = det.judge_verdicts(fx.verdict_texts(spark, sf))
     return det.tier_disagreements(s, v, "doc_id").select("model", "doc_id", "prob", "outcome")
 
@@ -271,7 +270,7 @@ def q_contract_catalog(spark, sf):
         "app_id string, enabled_rules string, n_enabled int")
     traffic = fx.judged_pairs(spark, sf).groupBy("app_id").agg(F.count("*").alias("responses"))
     # cat is built on the driver from the contract files: one row per app, bounded by configuration
-    return F.broadcast(cat).join(traffic, "app_id", "left").select(
+    return cat.join(traffic, "app_id", "left").select(
         "app_id", "enabled_rules", "n_enabled", F.coalesce("responses", F.lit(0)).cast("long").alias("responses"))
 
 
@@ -296,7 +295,7 @@ def q_contract_lint(spark, sf):
     lint = spark.createDataFrame(rows, "file_name string, app_id string, contract_id string, reason string")
     traffic = fx.judged_pairs(spark, sf).groupBy("app_id").agg(F.count("*").alias("affected_responses"))
     # lint rows come from the rule files on the driver: bounded by configuration
-    return F.broadcast(lint).join(traffic, "app_id", "left").select(
+    return lint.join(traffic, "app_id", "left").select(
         "file_name", "app_id", "contract_id", "reason",
         F.coalesce("affected_responses", F.lit(0)).cast("long").alias("affected_responses"))
 
@@ -461,14 +460,7 @@ def q_route_latency_asof(spark, sf):
 
 @register("spend_by_model")
 def q_spend_by_model(spark, sf):
-    log = fx.request_log(spark, sf).filter(F.col("status").isin(200, 422))
-    costs = fx.routes(spark).select("alias", "provider", "cost")
-    j = log.join(small_side(costs), ["alias", "provider"], "left")
-    tokens = F.col("prompt_tokens") + F.col("completion_tokens")
-    cost = F.coalesce("cost", F.lit(0.0)).cast("decimal(18,6)")   # exact sums, independent of partitioning
-    return (j.groupBy("app_id", "provider", "alias", F.to_date("ts").cast("string").alias("day"))
-            .agg(F.sum(tokens).alias("tokens"),
-                 F.round(F.sum(tokens * cost).cast("double") / 1000.0, 6).alias("spend_usd")))
+    return mt.spend_by_model(fx.request_log(spark, sf), fx.routes(spark).select("alias", "provider", "cost"))
 
 
 # ------------------------------------------------------------------ 2.9 metrics
@@ -495,7 +487,7 @@ def q_security_counts(spark, sf):
 @register("contract_counts")
 def q_contract_counts(spark, sf):
     v = ct.contract_tiered(fx.judged_pairs(spark, sf), contract_defs(), PAIR_KEYS, judge_raw="judge_raw")
-    return mt.contract_counts(v, dr.drift_check(_series(spark, sf), fx.AS_OF, DRIFT_CFG))
+    return mt.contract_counts(v, dr.drift_check(_series(spark, sf), fx.AS_OF, DRIFT_CFG), PAIR_KEYS)
 
 
 @register("status_rollup")
@@ -520,10 +512,7 @@ def q_trace_rollup(spark, sf):
 
 @register("usage_totals")
 def q_usage_totals(spark, sf):
-    log = fx.request_log(spark, sf).filter(F.col("status").isin(200, 422))
-    return log.groupBy("provider", "alias").agg(
-        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
-        F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"))
+    return mt.usage_totals(fx.request_log(spark, sf))
 
 
 # ------------------------------------------------------------------ 2.7 vectors
@@ -643,7 +632,9 @@ def q_read_access_log(spark, sf):
 
 @register("read_patterns")
 def q_read_patterns(spark, sf):
-    rules = [r.asDict() for r in sio.read_patterns(spark).collect()]   # a rule file
+    path = sio.scratch_path(spark, "rules")
+    sio.write_patterns(spark, DEFAULT_RULES, path)
+    rules = [r.asDict() for r in sio.read_patterns(spark, path).collect()]   # a rule file
     return det.pattern_rollup(det.pattern_scan(fx.attack_corpus(spark, sf), rules), rules)
 
 
@@ -722,11 +713,12 @@ def _latest_snapshot(sdf, keys, name):
 
 @register("stream_guard")
 def q_stream_guard(spark, sf):
-    msgs = stx.table_stream(spark, sf, "conversations")
-    m = first_match(F.coalesce(F.col("text"), F.lit("")))
-    scanned = msgs.select("conv_id", "turn", m["pattern_id"].alias("pattern_id"), m["severity"].alias("severity"),
-                          lexical_injection_prob(F.col("text")).alias("ml_prob"))
-    return spark.read.parquet(stx.run_to_parquet(scanned, "guard"))
+    """The whole cascade on whole prompts, arriving in several files, one per micro-batch."""
+    path = sio.scratch_path(spark, "prompts")
+    fx.attack_corpus(spark, sf).repartition(3).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = spark.read.parquet(stx.run_to_parquet(det.guard_decisions(stream), "guard"))
+    return out.select("conv_id", "label", "pattern_id", "severity", "ml_prob", "blocked", "tier_triggered", "reason")
 
 
 @register("stream_contracts")
@@ -738,11 +730,15 @@ def q_stream_contracts(spark, sf):
     defs = contract_defs()
 
     def sink(batch, batch_id):
-        v = ct.contract_tiered(batch, defs, PAIR_KEYS, judge_raw="judge_raw")
-        v.filter(F.col("contract_id").isin(*[r.id for rs in defs.values() for r in rs if r.action == "block"])) \
-         .write.mode("overwrite").parquet(f"{block_out}/batch={batch_id}")
-        v.filter(~F.col("contract_id").isin(*[r.id for rs in defs.values() for r in rs if r.action == "block"])) \
-         .write.mode("overwrite").parquet(f"{rest_out}/batch={batch_id}")
+        # the batch is evaluated once; a rule is told by (app, id), as one id may block in one app and flag in another
+        v = ct.contract_tiered(batch, defs, PAIR_KEYS, judge_raw="judge_raw").persist()
+        blocking = F.lit(False)
+        for app, rules in defs.items():
+            ids = [r.id for r in rules if r.action == "block"]
+            blocking = blocking | ((F.col("app_id") == app) & F.col("contract_id").isin(*ids)) if ids else blocking
+        v.filter(blocking).write.mode("overwrite").parquet(f"{block_out}/batch={batch_id}")
+        v.filter(~blocking).write.mode("overwrite").parquet(f"{rest_out}/batch={batch_id}")
+        v.unpersist()
     stx.run_foreach_batch(stream, "contracts", sink)
     return spark.read.parquet(block_out).unionByName(spark.read.parquet(rest_out)).drop("batch")
 
@@ -778,6 +774,14 @@ def q_stream_metrics(spark, sf):
                        "status", "n")
 
 
+@register("stream_metrics_sliding")
+def q_stream_metrics_sliding(spark, sf):
+    log = fx.request_log(spark, sf, stx.table_stream(spark, sf, "events"))
+    snap = _latest_snapshot(stx.sliding_counts(log, ["status"]), ["window", "status"], "metrics-sliding")
+    return snap.select(F.date_format(stx.instant_to_ntz(F.col("window.start")), "yyyy-MM-dd HH:mm:ss").alias("start"),
+                       "status", "n")
+
+
 @register("stream_dedup")
 def q_stream_dedup(spark, sf):
     e = stx.table_stream(spark, sf, "events")
@@ -790,7 +794,7 @@ def q_stream_dedup(spark, sf):
 @register("stream_latency_ema")
 def q_stream_latency_ema(spark, sf):
     from gatelens.operators.ratelimit import epoch_ms
-    log = fx.request_log(spark, sf, stx.table_stream(spark, sf, "events")).filter(F.col("status") == 200)
+    log = mt.generated(fx.request_log(spark, sf, stx.table_stream(spark, sf, "events")))
     samples = log.select("alias", "provider", epoch_ms("ts").alias("ts_ms"), "request_id", "latency_ms")
     snap = _latest_snapshot(stx.stream_latency_ema(samples, fx.routes(spark)), ["alias", "provider"], "ema")
     return snap.select("alias", "provider", "samples", F.round("ema_ms", 6).alias("ema_ms"))

@@ -231,7 +231,8 @@ def rate_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Successful upstream calls as EMA samples: (alias, provider, ts_ms, request_id, latency_ms)."""
     from gatelens.operators.ratelimit import epoch_ms
-    return (request_log(spark, sf_dir).filter(F.col("status") == 200)
+    from gatelens.operators.metrics import generated
+    return (generated(request_log(spark, sf_dir))
             .select("alias", "provider", epoch_ms("ts").alias("ts_ms"), "request_id", "latency_ms"))
 
 

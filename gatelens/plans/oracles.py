@@ -235,7 +235,7 @@ ORACLES["tier_disagreements"] = with_(SCORED, VERDICT_TEXTS, VERDICTS) + """
 SELECT s.model, s.doc_id, s.prob,
   CASE WHEN v.is_injection IS NULL OR v.error IS NOT NULL THEN 'failed' WHEN v.is_injection THEN 'disagrees' ELSE 'agrees' END AS outcome
 FROM scored s LEFT JOIN verdicts v ON s.doc_id = v.doc_id
-WHERE s.model = 'lex-b' AND s.prob BETWEEN 0.05 AND 0.40"""
+WHERE s.prob BETWEEN 0.05 AND 0.40"""
 
 ORACLES["attack_category"] = f"""
 SELECT lang, {_category('text')} AS category, count(*) AS n FROM documents GROUP BY ALL"""
@@ -278,8 +278,7 @@ ORACLES["latency_summary"] = with_(SCORED) + """
 SELECT model, count(*) AS n,
   round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms,
   round(quantile_cont(latency_ms, 0.99), 4) AS p99_ms, round(count(*) / (sum(latency_ms) / 1000.0), 4) AS samples_per_s
-FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY doc_id) AS rn FROM scored) WHERE rn > 50
-GROUP BY model"""
+FROM scored GROUP BY model"""
 
 ORACLES["missed_attacks"] = with_(SCORED) + """
 SELECT model, CAST(rank AS INTEGER) AS rank, doc_id, prob, snippet FROM (
@@ -548,7 +547,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY alias, provider ORDER BY pos) AS
 EMA_SQL = """samples AS (
   SELECT l.alias, l.provider, l.ts_ms, l.request_id, l.latency_ms, r.avg_latency AS seed,
     row_number() OVER (PARTITION BY l.alias, l.provider ORDER BY l.ts_ms, l.request_id) AS rn
-  FROM rlog l JOIN routes r ON l.alias = r.alias AND l.provider = r.provider WHERE l.status = 200),
+  FROM rlog l JOIN routes r ON l.alias = r.alias AND l.provider = r.provider WHERE l.status = 200 AND l.cache <> 'HIT'),
 ema AS (
   SELECT alias, provider, rn, ts_ms, request_id,
     CASE WHEN seed = 0.0 THEN latency_ms ELSE 0.2::DOUBLE * latency_ms + 0.8::DOUBLE * seed END AS e
@@ -578,23 +577,26 @@ SELECT l.app_id, l.provider, l.alias, strftime(CAST(l.ts AS DATE), '%Y-%m-%d') A
   CAST(sum(l.prompt_tokens + l.completion_tokens) AS BIGINT) AS tokens,
   round(CAST(sum((l.prompt_tokens + l.completion_tokens) * CAST(coalesce(r.cost, 0.0) AS DECIMAL(18, 6))) AS DOUBLE) / 1000.0, 6) AS spend_usd
 FROM rlog l LEFT JOIN routes r ON l.alias = r.alias AND l.provider = r.provider
-WHERE l.status IN (200, 422) GROUP BY ALL"""
+WHERE l.status = 200 AND l.cache <> 'HIT' GROUP BY ALL"""
 
 ORACLES["usage_totals"] = with_(RLOG) + """
 SELECT provider, alias, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
   CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens
-FROM rlog WHERE status IN (200, 422) GROUP BY provider, alias"""
-
-ORACLES["metrics_snapshot"] = with_(RLOG) + """
-SELECT count_if(status = 200) AS requests_total, count_if(status = 429) AS rate_limited, count_if(status = 422) AS contract_violations,
-  count_if(cache = 'HIT') AS cache_hits, count_if(cache = 'MISS' AND status = 200) AS cache_misses,
-  CASE WHEN count_if(cache = 'HIT') + count_if(cache = 'MISS' AND status = 200) = 0 THEN 0.0
-       ELSE round(count_if(cache = 'HIT') / (count_if(cache = 'HIT') + count_if(cache = 'MISS' AND status = 200)), 4) END AS cache_hit_rate,
-  count_if(status = 400) AS injection_blocks, count_if(status = 502) AS provider_errors, count_if(status = 401) AS unauthorized
-FROM rlog"""
+FROM rlog WHERE status = 200 AND cache <> 'HIT' GROUP BY provider, alias"""
+
+# the cache is asked after limiter and guard: 200, 422 and 502 rows asked it, and a 200 row marked HIT was served by it
+ORACLES["metrics_snapshot"] = with_(RLOG, """c AS (
+  SELECT count_if(status = 200 AND cache <> 'HIT') AS requests_total, count_if(status = 429) AS rate_limited,
+    count_if(status = 422) AS contract_violations, count_if(status = 200 AND cache = 'HIT') AS cache_hits,
+    count_if(status IN (422, 502)) + count_if(status = 200 AND cache <> 'HIT') AS cache_misses,
+    count_if(status = 400) AS injection_blocks, count_if(status = 502) AS provider_errors, count_if(status = 401) AS unauthorized
+  FROM rlog)""") + """
+SELECT requests_total, rate_limited, contract_violations, cache_hits, cache_misses,
+  CASE WHEN cache_hits + cache_misses = 0 THEN 0.0 ELSE round(cache_hits / (cache_hits + cache_misses), 4) END AS cache_hit_rate,
+  injection_blocks, provider_errors, unauthorized FROM c"""
 
 _P = "round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms, round(quantile_cont(latency_ms, 0.99), 4) AS p99_ms"
-ORACLES["latency_percentiles"] = with_(RLOG, "ok AS (SELECT * FROM rlog WHERE status IN (200, 502))") + f"""
+ORACLES["latency_percentiles"] = with_(RLOG, "ok AS (SELECT * FROM rlog WHERE status = 200 AND cache <> 'HIT')") + f"""
 SELECT 'global' AS scope, count(*) AS samples, {_P} FROM (SELECT * FROM ok ORDER BY ts DESC, request_id DESC LIMIT 2000)
 UNION ALL
 SELECT provider AS scope, count(*) AS samples, {_P} FROM (
@@ -605,10 +607,10 @@ SELECT c.provider, c.requests, c.errors,
   CASE WHEN c.requests = 0 THEN 0.0 ELSE round(c.errors / c.requests, 4) END AS error_rate,
   CASE WHEN c.requests + c.errors = 0 THEN 0.0 ELSE round(c.errors / (c.requests + c.errors), 4) END AS error_rate_attempts,
   l.p50_ms, l.p95_ms
-FROM (SELECT provider, count_if(status = 200) AS requests, count_if(status = 502) AS errors FROM rlog GROUP BY provider) c
+FROM (SELECT provider, count_if(status = 200 AND cache <> 'HIT') AS requests, count_if(status = 502) AS errors FROM rlog GROUP BY provider) c
 LEFT JOIN (SELECT provider, round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms
            FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, request_id DESC) AS r FROM rlog
-                 WHERE status IN (200, 502)) WHERE r <= 1000 GROUP BY provider) l ON c.provider = l.provider"""
+                 WHERE status = 200 AND cache <> 'HIT') WHERE r <= 1000 GROUP BY provider) l ON c.provider = l.provider"""
 
 ORACLES["security_counts"] = with_(FLAT, ATTACK, SCAN, DECISIONS) + """
 SELECT count_if(tier_triggered = 1) AS tier1_blocks, count_if(tier_triggered = 2) AS tier2_blocks,
@@ -795,15 +797,16 @@ SELECT min(doc_id) AS doc_id, arg_min(label, doc_id) AS label, count(*) AS copie
 
 
 # ------------------------------------------------------------------ 2.12 streaming twins (same answers as batch)
-ORACLES["stream_guard"] = f"""
-SELECT conv_id, turn, {_rule_case('pattern_id', "coalesce(text, '')")} AS pattern_id,
-  {_rule_case('severity', "coalesce(text, '')")} AS severity, {_lexical('text')} AS ml_prob
-FROM conversations"""
+ORACLES["stream_guard"] = with_(FLAT, ATTACK, SCAN, DECISIONS) + """
+SELECT conv_id, label, pattern_id, severity, ml_prob, blocked, tier_triggered, reason FROM decisions"""
 ORACLES["stream_rate_admission"] = ORACLES["rate_admission"]
 ORACLES["stream_drift"] = ORACLES["drift_all"]
 ORACLES["stream_latency_ema"] = ORACLES["latency_ema"]
 ORACLES["stream_metrics"] = with_(RLOG) + """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00:00') AS hour, status, count(*) AS n FROM rlog GROUP BY ALL"""
+ORACLES["stream_metrics_sliding"] = with_(RLOG) + """
+SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts) - s * INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS start, status, count(*) AS n
+FROM rlog, (VALUES (0), (1), (2), (3)) w(s) GROUP BY ALL"""
 ORACLES["stream_dedup"] = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS distinct_ids FROM events GROUP BY event_type"
 
 ORACLES["score_histogram"] = with_(SCORED) + """

@@ -110,7 +110,7 @@ def rule_sql(c: ct.Contract) -> dict:
             compliance = f"greatest(0.0, least(1.0, ({comp} - CAST({mn} AS DOUBLE) + 1.0) / 2.0))"
         else:
             compliance = f"CASE WHEN {comp} >= {mn} THEN 1.0 ELSE 0.0 END"
-        shown = f"CAST(round({comp}, 3) AS VARCHAR)"
+        shown = f"printf('%.3f', {comp})"
         return dict(failed=f"(NOT {empty} AND NOT ({comp} >= {mn}))",
                     compliance=f"CASE WHEN {empty} THEN 1.0 ELSE {compliance} END",
                     message=f"'Response sentiment score ' || {shown} || ' is below minimum threshold {mn:.3f}'",
@@ -119,7 +119,7 @@ def rule_sql(c: ct.Contract) -> dict:
         allowed = list(c.p.get("allowed_topics", []))
         off = c.p.get("off_topic_label", "off_topic")
         thr = float(c.p.get("threshold", 0.5))
-        hits = [count_in(R, tx.TOPIC_WORDS.get(t, [])) for t in allowed]
+        hits = [count_in(R, tx.TOPIC_WORDS.get(t.lower(), [])) for t in allowed]
         others = [t for t in tx.TOPIC_WORDS if t not in set(a.lower() for a in allowed)]
         off_h = "(" + " + ".join(count_in(R, tx.TOPIC_WORDS[t]) for t in others) + ")" if others else "0"
         hs = hits + [off_h]
@@ -133,16 +133,17 @@ def rule_sql(c: ct.Contract) -> dict:
         top_allowed = f"({top} IN ({', '.join(q(a) for a in allowed)}))" if allowed else "false"
         return dict(failed=f"(NOT {no_signal} AND NOT ({top_allowed} AND {top_score} >= {thr}))",
                     compliance=f"CASE WHEN {no_signal} THEN 1.0 ELSE round(CAST({allowed_sum} AS DOUBLE) / CAST({total} AS DOUBLE), 6) END",
-                    message=(f"'Response classified as ''' || {top} || ''' (' || CAST(round({top_score}, 3) AS VARCHAR) || "
-                             f"'), outside allowed topics or below {thr:.3f}'"),
-                    evidence=f"'top_label=' || {top}", location=q(ct.CONTENT_LOCATION))
+                    message=(f"'Response classified as ''' || {top} || ''' (' || printf('%.3f', {top_score}) || "
+                             + q(f") which is outside allowed topics: {allowed}")),
+                    evidence=f"'top_label=' || {top} || ', score=' || printf('%.3f', {top_score})", location=q(ct.CONTENT_LOCATION))
     if kind == "llm_judge":
         thr = float(c.p.get("threshold", 0.7))
         unusable = "(judge_raw IS NULL OR j_path = 'error')"
         return dict(failed=f"(NOT {unusable} AND j_score < {thr})",
                     compliance=f"CASE WHEN {unusable} THEN 1.0 ELSE j_score END",
-                    message=f"'LLM judge score ' || CAST(round(j_score, 3) AS VARCHAR) || ' below threshold {thr:.3f}'",
-                    evidence="j_reason", location=q(ct.CONTENT_LOCATION))
+                    message=f"'LLM judge scored ' || printf('%.3f', j_score) || ' (threshold {thr:.3f}): ' || coalesce(j_reason, '')",
+                    evidence="'score=' || printf('%.3f', j_score) || ', reasoning=' || substring(coalesce(j_reason, ''), 1, 200)",
+                    location=q(ct.CONTENT_LOCATION))
     if kind == "schema":
         # responses are text: JSON when they parse, else a string value
         target = c.p.get("target_field")
@@ -387,8 +388,9 @@ ORACLES["contract_counts"] = with_(JUDGED, all_verdicts(_D), """blocked AS (
   SELECT DISTINCT conv_id, turn FROM allv WHERE is_block AND NOT passed),
 tiered AS (SELECT * FROM allv a WHERE is_block OR NOT EXISTS (
   SELECT 1 FROM blocked b WHERE b.conv_id = a.conv_id AND b.turn = a.turn))""", SERIES, STATS) + """
-SELECT count_if(NOT passed AND action = 'block') AS blocks, count_if(NOT passed AND action = 'flag') AS flags,
-  count_if(NOT passed) AS total_violations, count_if(tier = 'deterministic') AS eval_deterministic,
+SELECT (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM tiered WHERE action = 'block' AND NOT passed)) AS blocks,
+  count_if(NOT passed AND action = 'flag') AS flags,
+  (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM tiered WHERE action = 'block' AND NOT passed)) AS total_violations, count_if(tier = 'deterministic') AS eval_deterministic,
   count_if(tier = 'classifier') AS eval_classifier, count_if(tier = 'llm_judge') AS eval_llm_judge,
   (SELECT count(*) FROM alerts) AS drift_alerts
 FROM tiered"""
