@@ -476,6 +476,8 @@ def schema_error(schema) -> str | None:
             return f"invalid pattern {p!r}"
     parts = [schema[k] for k in ("items", "not", "additionalProperties") if k in schema]
     for k in ("allOf", "anyOf", "oneOf"):
+        if k in schema and (not isinstance(schema[k], list) or not schema[k]):
+            return f"{k} must be a list of schemas"
         parts += schema.get(k, [])
     for k in ("properties", "patternProperties", "$defs", "definitions"):
         parts += schema.get(k, {}).values()

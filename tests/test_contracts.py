@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gatelens.operators import contracts as ct
 
@@ -91,8 +92,34 @@ def test_schema_subset(spark):
     assert "maximum" in run(spark, rule, '{"a": 9}')["message"]
     assert "'a' is a required property" in run(spark, rule, '{"b": 1}')["message"]
     assert "not of type object" in run(spark, rule, "plain text")["message"]
-    v = run(spark, {"id": "s", "name": "s", "type": "schema", "json_schema": {"oneOf": []}}, "{}")
-    assert not v["passed"] and "unsupported" in v["message"]
+    for bad in ({"oneOf": []}, {"type": "text"}, {"contains": {}}):      # an invalid schema never blocks; lint reports it
+        rule = {"id": "s", "name": "s", "type": "schema", "json_schema": bad}
+        assert run(spark, rule, "{}")["passed"] and ct.lint_contract(rule)
+    rule = {"id": "s", "name": "s", "type": "schema", "target_field": "usage.total_tokens", "json_schema": {"type": "string"}}
+    assert "Could not extract target field" in run(spark, rule, "text")["message"]
+
+
+def test_schema_keywords_and_paths(spark):
+    cases = [({"required": ["a.b"]}, '{"a.b": 1}', '{"a": {"b": 1}}'), ({"properties": {"it's": {"type": "null"}}}, "{\"it's\": null}", "{\"it's\": 1}"),
+             ({"oneOf": [{"type": "integer"}, {"minimum": 5}]}, "3", "7"), ({"uniqueItems": True}, "[1, 2]", "[1, 1]"),
+             ({"multipleOf": 0.5}, "2.5", "2.4"), ({"enum": [{"a": [1]}, [2]]}, '{"a": [1]}', '{"a": [2]}'),
+             ({"patternProperties": {"^n_": {"type": "number"}}, "additionalProperties": False}, '{"n_1": 1}', '{"m": 1}'),
+             ({"patternProperties": {"^n_": {"type": "number"}}}, '{"n_1": 1, "z": "s"}', '{"n_1": "s"}'),
+             ({"$ref": "#/$defs/x", "$defs": {"x": {"type": "boolean"}}}, "true", "1")]
+    docs = [(2 * i + j, text) for i, (_, good, bad) in enumerate(cases) for j, text in enumerate((good, bad))]
+    df = spark.createDataFrame(docs, "i int, t string").withColumn("v", F.parse_json("t"))
+    checks = F.create_map(*(x for i, (schema, _, _) in enumerate(cases) for x in (F.lit(i), ct.schema_check(schema, F.col("v")).isNull())))
+    got = {r["i"]: r["ok"] for r in df.select("i", checks[(F.col("i") / 2).cast("int")].alias("ok")).collect()}
+    assert got == {i: i % 2 == 0 for i, _ in docs}
+    v = spark.sql("""SELECT parse_json('{"0": 5, "l": [7, {"x.y": 1}]}') AS v""")
+    paths = [ct.resolve_path(F.col("v"), p).cast("string").alias(str(n)) for n, p in enumerate(["0", "l.0", "l.1", "l.9", "q"])]
+    assert list(v.select(*paths).first()) == ["5", "7", '{"x.y":1}', None, None]
+
+
+def test_python_named_groups_run(spark):
+    rule = {"id": "r", "name": "r", "type": "regex", "pattern": r"(?P<n>o+)x(?P=n)"}
+    assert not ct.lint_contract(rule)
+    assert run(spark, rule, "a ooxoo")["location"].endswith("[2:7]")
 
 
 def test_tiered_skips_flags_when_blocked_and_unknown_app(spark):
