@@ -11,7 +11,7 @@ over a whole class.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.session import cut_lineage
@@ -26,8 +26,9 @@ def balance_classes(df: DataFrame, label: str, id_col: str, n: int, seed: int =
     """Equal count per class: min(n, smallest class size), chosen by the seeded key."""
     counts = [r["c"] for r in df.groupBy(label).agg(F.count("*").alias("c")).collect()]   # one row per class
     n_eff = min([n] + counts) if counts else 0
-    ranked = ranks_within(df.withColumn("_k", seeded_key(id_col, seed)), label, ["_k", id_col])
-    return ranked.filter(F.col("_rank") < n_eff).drop("_k", "_rank", "_gsize")
+    # a limit per class: each partition passes on at most n_eff rows of a class before the exchange
+    place = F.row_number().over(Window.partitionBy(label).orderBy(seeded_key(id_col, seed), id_col))
+    return df.withColumn("_rank", place).filter(F.col("_rank") <= n_eff).drop("_rank")
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
@@ -81,8 +82,10 @@ def stratified_split(df: DataFrame, label: str, id_col: str, val: float = 0.1, t
 
 
 def dedup_samples(df: DataFrame, text: str, id_col: str) -> DataFrame:
-    """One row per normalised text (lower, trimmed), keeping the smallest id (partial aggregation, skew-safe)."""
-    norm = F.lower(F.trim(F.col(text)))
+    """One row per normalised text (lower, trimmed), keeping the smallest id (partial aggregation, skew-safe).
+
+    Texts are told apart by their SHA-256, so the shuffle and its sort compare digests, not whole texts."""
+    norm = F.sha2(F.lower(F.trim(F.col(text))).cast("binary"), 256)
     cols = [c for c in df.columns]
     g = df.groupBy(norm.alias("_norm")).agg(F.min_by(F.struct(*cols), F.col(id_col)).alias("_row"),
                                             F.count("*").alias("copies"))

@@ -7,28 +7,36 @@ group (``array_sort`` of ``struct(turn, ...)``), so no global sort is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
-def _ordered_join(col_struct, sep: str):
-    return F.array_join(F.transform(F.array_sort(F.collect_list(col_struct)), lambda x: x["v"]), sep)
+def text_parts(conversations: DataFrame) -> Column:
+    """Texts of a message as array<string>: the plain string, or the text blocks of multi-part content
+    (``text`` as array<struct<type, text, ...>>; image and tool blocks are left out). A null text has none."""
+    if isinstance(conversations.schema["text"].dataType, ArrayType):
+        blocks = F.filter("text", lambda b: (b["type"] == "text") & b["text"].isNotNull())
+        return F.coalesce(F.transform(blocks, lambda b: b["text"]), F.array().cast("array<string>"))
+    return F.when(F.col("text").isNotNull(), F.array("text")).otherwise(F.array().cast("array<string>"))
 
 
 def flatten_prompts(conversations: DataFrame) -> DataFrame:
-    """One string per conversation: ``role: text`` per message in turn order, newline-joined.
-
-    Messages without text are skipped (NULL lines are dropped by ``array_join``)."""
-    line = F.concat(F.coalesce(F.col("role"), F.lit("unknown")), F.lit(": "), F.col("text"))
+    """One string per conversation: ``role: text`` per message - per text block of multi-part content - in turn order,
+    newline-joined. Messages without text are skipped."""
+    role = F.coalesce(F.col("role"), F.lit("unknown"))
+    lines = F.transform(text_parts(conversations), lambda t: F.concat(role, F.lit(": "), t))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("turn").alias("k"), lines.alias("v"))))
     return conversations.groupBy("conv_id").agg(
-        _ordered_join(F.struct(F.col("turn").alias("k"), line.alias("v")), "\n").alias("prompt"))
+        F.array_join(F.flatten(F.transform(ordered, lambda x: x["v"])), "\n").alias("prompt"))
 
 
 def last_user_text(conversations: DataFrame) -> DataFrame:
-    """Text of the last user message per conversation; '' when there is none."""
+    """Text of the last user message per conversation, its text blocks joined by a space; '' when there is none."""
     is_user = F.col("role") == "user"
+    text = F.array_join(text_parts(conversations), " ")
     return conversations.groupBy("conv_id").agg(
-        F.coalesce(F.max_by(F.when(is_user, F.col("text")), F.when(is_user, F.col("turn"))), F.lit("")).alias("user_text"))
+        F.coalesce(F.max_by(F.when(is_user, text), F.when(is_user, F.col("turn"))), F.lit("")).alias("user_text"))
 
 
 def turn_pairs(conversations: DataFrame, n_apps: int = 3) -> DataFrame:
