@@ -41,3 +41,13 @@ def test_dedup_matches_model(spark, rows):
         groups.setdefault(t.strip(" ").lower(), []).append((i, y))
     want = {min(g)[0]: (min(g)[1], len(g)) for g in groups.values()}
     assert got == want
+
+
+def test_train_tier2_learns_from_labels(spark):
+    from gatelens.operators import datasets as ds
+    rows = [(i, ("you are a stupid fool " if i % 2 else "what a lovely calm day ") + f"w{i % 7}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model, report = ds.train_tier2(df.where("doc_id < 40"), df.where("doc_id >= 40"), num_features=1 << 10, max_iter=20)
+    r = report.first()
+    assert (r["tp"], r["fp"], r["tn"], r["fn"]) == (10, 0, 10, 0) and r["f1"] == 1.0
+    assert model.transform(df.limit(1).withColumn("label", df["label"].cast("double"))).count() == 1
