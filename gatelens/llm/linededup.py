@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatelens.llm.common import slices
-from gatelens.session import ensure_checkpoint_dir
+from gatelens.session import cut_lineage, ensure_checkpoint_dir
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -87,7 +87,8 @@ class LineRuns:
         Every line's (hash, id, position) is anti-joined with the runs by hash; what is left over is gathered per
         document. Ids must not repeat with different texts; a row without id drops nothing.
         """
-        frequent = self.lines().where(F.col("n_docs") >= min_docs).select("h1", "h2")
+        # a table of its own, so that the join shuffles both sides itself and can split the rows of a hot line
+        frequent = cut_lineage(self.lines().where(F.col("n_docs") >= min_docs).select("h1", "h2"))
         lines = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
             .where("id IS NOT NULL").mapInArrow(_positions(min_chars), "id long, h1 long, h2 long, at array<int>")
         drops = lines.join(frequent, ["h1", "h2"], "left_semi") \
@@ -119,7 +120,7 @@ def _kept(text: str | None, drop: list[int] | None) -> tuple[str, int]:
 
 
 def count_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1,
-               batches: int = 2, fanout: int = 4) -> LineRuns:
+               batches: int = 4, fanout: int = 4) -> LineRuns:
     """Runs of a whole table, added in ``batches`` hash-dealt batches."""
     runs = LineRuns(docs.sparkSession, fanout=fanout)
     for n in range(batches):
@@ -129,7 +130,7 @@ def count_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1,
-               batches: int = 2) -> DataFrame:
+               batches: int = 4) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): lines whose key occurs in ``min_docs`` documents or more go everywhere.
 
     A null or empty text is one empty line. A line that repeats inside one document counts once for it. Repeated rows
@@ -150,7 +151,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10,
-                           min_chars: int = 1, batches: int = 2) -> DataFrame:
+                           min_chars: int = 1, batches: int = 4) -> DataFrame:
     """``docs`` with the frequent lines taken out of the text column; other columns stay, null texts stay null."""
     drop_col, schema = "__dropped_lines", docs.schema
     runs = count_runs(docs, id_col, text_col, min_chars, batches)
