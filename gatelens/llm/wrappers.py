@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.llm.common import slices
+from gatelens.session import cut_lineage
 
 MAX_DEPTH = 48            # deeper elements count as children of their ancestor at this depth
 HOSTS_IN_MEMORY = 2_000   # wrappers that a task holds before it hands them on
@@ -309,6 +310,7 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
                                               pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
-    slots = infer_wrappers(rows).mapInArrow(paths, "wrapped_host string, first array<string>, other array<string>")
+    # a table of its own: the join shuffles both sides itself and can split the pages of a hot host
+    slots = cut_lineage(infer_wrappers(rows).mapInArrow(paths, "wrapped_host string, first array<string>, other array<string>"))
     return rows.withColumn("host", host_of(F.col("url"))).join(slots, F.col("host") == F.col("wrapped_host")) \
         .select("page_id", "url", "html", "first", "other").mapInArrow(read, "page_id long, url string, text string, n_chars long")
