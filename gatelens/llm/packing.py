@@ -94,8 +94,8 @@ def pack_histogram(counts: dict[int, int], seq_len: int) -> list[tuple[list[tupl
     """Patterns [(length, how many per pack), ...] with their number of packs, covering the histogram exactly.
 
     Shortest pack first: lengths are placed longest first; each goes to the packs with most room left (the shortest
-    ones) if it fits there, else it opens new packs. Packs with the same content are one pattern with a count, so a
-    step updates counts, not packs. Any piece that fits somewhere fits the shortest pack.
+    ones) if it fits there, else it opens new packs of as many pieces as one holds. Packs with the same content are one
+    pattern with a count, so a step updates counts, not packs. Any piece that fits somewhere fits the shortest pack.
     """
     by_room: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
 
@@ -108,7 +108,8 @@ def pack_histogram(counts: dict[int, int], seq_len: int) -> list[tuple[list[tupl
         while left:
             room = max(by_room, default=0)
             if room < length:
-                per, number = 1, left
+                per = min(seq_len // length, left)
+                number = left // per
                 pattern, room = (), seq_len
             else:
                 pattern, number = by_room[room].pop()
@@ -121,7 +122,7 @@ def pack_histogram(counts: dict[int, int], seq_len: int) -> list[tuple[list[tupl
             grown = (pattern[:-1] + ((length, pattern[-1][1] + per),)) if pattern and pattern[-1][0] == length \
                 else pattern + ((length, per),)
             put(room - length * per, grown, used)
-            left -= used
+            left -= used * per
     return [(list(p), n) for room in sorted(by_room) for p, n in by_room[room]]
 
 

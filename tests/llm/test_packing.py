@@ -69,3 +69,36 @@ def test_patterns_cover_the_histogram(counts):
         assert first == ranks.get(length, 0)
         ranks[length] = end
     assert ranks == counts
+
+
+def padding(counts, seq_len=4096):
+    patterns = packing.pack_histogram(dict(counts), seq_len)
+    assert packing_covers(patterns, counts)
+    return 1 - sum(n * k for n, k in counts.items()) / seq_len / sum(number for _, number in patterns)
+
+
+def packing_covers(patterns, counts):
+    covered = {}
+    for pattern, number in patterns:
+        for length, per in pattern:
+            covered[length] = covered.get(length, 0) + per * number
+    return covered == counts
+
+
+def test_a_third_of_the_rows_of_one_short_length():
+    rng = np.random.default_rng(1)
+    for hot in (1, 30, 200, 300, 1000):
+        lengths = np.concatenate([np.clip(rng.lognormal(5.5, 1, 20_000).astype(int), 1, 4096), np.full(10_000, hot)])
+        counts = {int(n): int(k) for n, k in zip(*np.unique(lengths, return_counts=True))}
+        assert padding(counts) < 0.01, hot
+    assert padding({200: 100_000}) < 0.025
+    assert padding({30: 7}) == 1 - 210 / 4096
+
+
+def test_copies_of_one_short_text(spark):
+    docs = table(spark, SF_SMALL, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    rows += [(10**6 + n, "copies of one short text, all of them alike") for n in range(len(rows) // 2)]
+    packs = check(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path()).collect())
+    total = sum(n for places in packs.values() for _, n in places)
+    assert len(packs) <= total / 4096 * 1.05 + 2
