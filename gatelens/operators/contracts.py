@@ -16,9 +16,11 @@ import os
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatelens.functions import jsonschema as js
 from gatelens.functions import text as tx
 from gatelens.functions.lexicon import strict_parse_json
 from gatelens.functions.numeric import half_up
@@ -82,6 +84,8 @@ def lint_contract(d: dict, spark: SparkSession | None = None) -> list[str]:
             out.append(f"invalid regex {d.get('pattern', '')!r}")
     if kind == "schema" and schema_error(d.get("json_schema", {})):
         out.append(f"invalid schema: {schema_error(d['json_schema'])}")
+    elif kind == "schema" and js.needs_rows(d.get("json_schema", {})):
+        out.append("schema needs a check outside the JVM, row by row")
     if kind == "length_limit":
         lims = [d.get(k) for k in ("max_words", "max_characters", "max_sentences")]
         if all(v is None for v in lims):
@@ -139,7 +143,8 @@ def regex_error(pattern: str, spark: SparkSession | None = None) -> str | None:
 def load_definitions(directory: str = CONTRACT_DIR, spark: SparkSession | None = None):
     """All ``*.json`` in name order; malformed/invalid files skipped; later file wins per app.
 
-    Returns ({app_id: [Contract]}, [(file, reason)]). Missing directory → empty.
+    Returns ({app_id: [Contract]}, [(file, reason)]). Missing directory → empty. A rule whose JSON schema is invalid is
+    listed with its file, but only that rule is out of force: it passes, and the file's other rules hold.
     """
     defs, rejected = {}, []
     for path in sorted(glob.glob(os.path.join(directory, "*.json"))):
@@ -150,15 +155,27 @@ def load_definitions(directory: str = CONTRACT_DIR, spark: SparkSession | None =
         except (OSError, ValueError) as e:
             rejected.append((name, f"malformed: {e}"))
             continue
-        problems = [f"{c.get('id')}: {r}" for c in doc.get("contracts", []) for r in lint_contract(c, spark)
+        problems = [f"{c.get('id')}: {r}" for c in doc.get("contracts", []) for r in lint_contract(_without_schemas(c), spark)
                     if not r.startswith("llm_judge with block")]
         if not doc.get("app_id") or problems:
             rejected.append((name, "; ".join(problems) or "missing app_id"))
             continue
         defs[doc["app_id"]] = [parse_contract(c) for c in doc.get("contracts", [])]
+        rejected += [(name, r) for c in doc.get("contracts", []) for r in _schema_problems(c)]
     return defs, rejected
 
 
+def _without_schemas(c: dict) -> dict:
+    """The rule with JSON schemas that allow everything, so that lint sees the rest of it."""
+    c = dict(c, json_schema={}) if c.get("type") == "schema" and isinstance(c.get("json_schema"), dict) else dict(c)
+    return dict(c, contracts=[_without_schemas(m) for m in c["contracts"]]) if c.get("contracts") else c
+
+
+def _schema_problems(c: dict) -> list[str]:
+    own = schema_error(c.get("json_schema", {})) if c.get("type") == "schema" else None
+    return ([f"{c.get('id')}: invalid schema: {own}"] if own else []) + [r for m in c.get("contracts", []) for r in _schema_problems(m)]
+
+
 def read_contracts(spark: SparkSession, directory: str = CONTRACT_DIR):
     """Spark reader: whole files → (rules DF one row per top-level rule, rejected DF).
 
@@ -424,14 +441,8 @@ def _judge(c: Contract, ctx: dict) -> Column:
                     F.lit(CONTENT_LOCATION))
 
 
-# ---------------------------------------------------------------- schema (compiled JSON-Schema subset)
-SCHEMA_KEYWORDS = {"type", "required", "properties", "enum", "const", "minimum", "maximum", "exclusiveMinimum",
-                   "exclusiveMaximum", "minLength", "maxLength", "pattern", "items", "minItems", "maxItems",
-                   "additionalProperties", "anyOf", "allOf", "oneOf", "not", "uniqueItems", "multipleOf",
-                   "patternProperties", "$ref", "$defs", "definitions", "title", "description", "$schema", "$id",
-                   "$comment", "default", "examples", "format"}
+# ---------------------------------------------------------------- schema (compiled; the rest row by row)
 SCHEMA_TYPES = {"object", "array", "string", "boolean", "null", "integer", "number"}
-MAX_REF_DEPTH = 8          # a schema that refers to itself is expanded this deep
 _NUMERIC = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL")
 
 
@@ -455,33 +466,49 @@ def _is_type(v: Column, t: str) -> Column:
     return F.lit(False)
 
 
-def schema_error(schema) -> str | None:
-    """Why a schema cannot be evaluated (lint reports it; a rule with such a schema passes, as in the gateway)."""
+_COUNTS = ("minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties", "minContains", "maxContains")
+_BOUNDS = ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf")
+
+
+def _strings(x) -> bool:
+    return isinstance(x, list) and all(isinstance(i, str) for i in x)
+
+
+def schema_error(schema, old: bool | None = None) -> str | None:
+    """Why a schema is invalid (lint reports it; a rule with such a schema passes, as in the gateway). Keywords that
+    JSON Schema does not know are none of its business."""
     if isinstance(schema, bool):
         return None
     if not isinstance(schema, dict):
         return "a schema must be an object"
-    unknown = sorted(set(schema) - SCHEMA_KEYWORDS)
-    if unknown:
-        return f"unsupported schema keyword: {unknown[0]}"
+    old = js.old_draft(schema) if old is None else old
     types = schema.get("type", [])
     for t in types if isinstance(types, list) else [types]:
         if t not in SCHEMA_TYPES:
             return f"unknown type {t!r}"
-    for kw in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "minItems", "maxItems", "multipleOf"):
-        if kw in schema and (isinstance(schema[kw], bool) or not isinstance(schema[kw], (int, float))):
+    for kw in _BOUNDS + _COUNTS:
+        flag = old and kw.startswith("exclusive") and isinstance(schema.get(kw), bool)
+        if kw in schema and not flag and not js.is_type(schema[kw], "integer" if kw in _COUNTS else "number"):
             return f"{kw} must be a number"
+        if kw in schema and (kw in _COUNTS and schema[kw] < 0 or kw == "multipleOf" and schema[kw] <= 0):
+            return f"{kw} is out of range"
+    if not _strings(schema.get("required", [])) or not isinstance(schema.get("enum", []), list) \
+            or not isinstance(schema.get("uniqueItems", False), bool) or not isinstance(schema.get("$ref", ""), str):
+        return "required, enum, uniqueItems or $ref has a wrong form"
+    for k in (*js.SCHEMA_MAP, "dependentRequired", "dependencies"):
+        if not isinstance(schema.get(k, {}), dict):
+            return f"{k} must be an object"
+    if not all(map(_strings, schema.get("dependentRequired", {}).values())):
+        return "dependentRequired must hold lists of names"
     for p in [schema.get("pattern"), *schema.get("patternProperties", {})]:
-        if p is not None and regex_error(p):
+        if p is not None and (not isinstance(p, str) or regex_error(p)):
             return f"invalid pattern {p!r}"
-    parts = [schema[k] for k in ("items", "not", "additionalProperties") if k in schema]
-    for k in ("allOf", "anyOf", "oneOf"):
+    for k in js.SCHEMA_LIST:
         if k in schema and (not isinstance(schema[k], list) or not schema[k]):
             return f"{k} must be a list of schemas"
-        parts += schema.get(k, [])
-    for k in ("properties", "patternProperties", "$defs", "definitions"):
-        parts += schema.get(k, {}).values()
-    return next((e for e in map(schema_error, parts) if e), None)
+    if any(isinstance(schema.get(k), list) for k in js.SCHEMA_VALUE if k != "items" or not old):
+        return "a schema must be an object"
+    return next((e for e in (schema_error(sub, old) for sub in js.subschemas(schema)) if e), None)
 
 
 def _member(v: Column, key: str) -> Column:
@@ -490,30 +517,33 @@ def _member(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$[{quote}{key}{quote}]", "variant")
 
 
-def _referred(root: dict, ref: str):
-    """The subschema that a local reference ('#', '#/a/b') names; None if it is not there."""
-    node = root
-    for part in ref.removeprefix("#").split("/")[1:]:
-        node = node.get(part.replace("~1", "/").replace("~0", "~")) if isinstance(node, dict) else None
-    return node if ref.startswith("#") else None
+def _row_check(schema, v: Column) -> Column:
+    run = js.checker(schema)
+
+    def check(texts: pd.Series) -> pd.Series:
+        return texts.map(run, na_action="ignore").astype(object)
+    return F.pandas_udf(check, "string")(F.to_json(v))
 
 
-def schema_check(schema, v: Column, root: dict | None = None, depth: int = 0) -> Column:
-    """Column that is a failure message (NULL when the value satisfies the schema, or the schema is not one)."""
+def schema_check(schema, v: Column, root: dict | None = None) -> Column:
+    """Column that is a failure message (NULL when the value satisfies the schema, or the schema is not one). Schemas
+    that refer to themselves or hold conditional or counting keywords are checked row by row, exactly."""
     if isinstance(schema, bool):
         return F.lit(None).cast("string") if schema else F.lit("is not allowed")
     if root is None:
         if schema_error(schema):
             return F.lit(None).cast("string")
+        if js.needs_rows(schema):
+            return _row_check(schema, v)
         root = schema
     checks: list[Column] = []
 
     def check(sub, x: Column) -> Column:
-        return schema_check(sub, x, root, depth)
+        return schema_check(sub, x, root)
     if "$ref" in schema:
-        target = _referred(root, schema["$ref"])
-        if target is not None and depth < MAX_REF_DEPTH:
-            checks.append(schema_check(target, v, root, depth + 1))
+        target = js.referred(root, schema["$ref"])
+        if target is not None:
+            checks.append(check(target, v))
     if "type" in schema:
         ts = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         ok = F.lit(False)

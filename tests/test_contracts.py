@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,3 +298,43 @@ def test_composites_match_model(spark, rule, words):
     v = run(spark, rule, text)
     passed, comp, msg = _eval_model(rule, text)
     assert v["passed"] == passed and abs(v["compliance"] - comp) < 1e-12 and v["message"] == msg, (rule, text)
+
+
+NESTED = {"$ref": "#/$defs/n", "$defs": {"n": {"type": "object", "required": ["v"], "properties": {"next": {"$ref": "#/$defs/n"}}}}}
+
+
+def nested(depth, last):
+    return json.dumps(last) if not depth else f'{{"v": 1, "next": {nested(depth - 1, last)}}}'
+
+
+def test_schema_keywords_beyond_expressions(spark):
+    cases = [({"minProperties": 2}, '{"a": 1, "b": 2}', '{"a": 1}'), ({"maxProperties": 1}, '{"a": 1}', '{"a": 1, "b": 2}'),
+             ({"contains": {"type": "string"}}, '[1, "s"]', "[1]"), ({"contains": {"const": 1}, "maxContains": 1, "minContains": 0}, "[2]", "[1, 1]"),
+             ({"dependentRequired": {"a": ["b"]}}, '{"b": 1}', '{"a": 1}'), ({"propertyNames": {"maxLength": 2}}, '{"ab": 1}', '{"abc": 1}'),
+             ({"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"required": ["c"]}}, '{"c": 1}', '{"a": 1, "c": 1}'),
+             ({"prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, '["s", 1.0]', '["s", "t"]'),
+             ({"allOf": [{"properties": {"a": {}}}], "unevaluatedProperties": False}, '{"a": 1}', '{"b": 1}'),
+             ({"prefixItems": [{}], "unevaluatedItems": False}, "[1]", "[1, 2]"),
+             ({"dependentSchemas": {"a": {"minProperties": 2}}}, '{"b": 1}', '{"a": 1}'),
+             ({"$schema": "http://json-schema.org/draft-07/schema#", "items": [{"type": "string"}], "additionalItems": False}, '["s"]', '["s", 1]'),
+             ({"$ref": "#n", "$defs": {"n": {"$anchor": "n", "type": "null"}}}, "null", "1"),
+             ({"readOnly": True, "x-owner": [{}], "required": ["a"]}, '{"a": 1}', "{}"),
+             (NESTED, nested(9, {"v": 1}), nested(9, {})), (NESTED, nested(200, {"v": 1}), nested(200, {})), ({"$ref": "#", "minProperties": 1}, '{"a": 1}', "{}")]
+    docs = [(2 * i + j, text) for i, (_, good, bad) in enumerate(cases) for j, text in enumerate((good, bad))]
+    df = spark.createDataFrame(docs, "i int, t string").withColumn("v", F.parse_json("t"))
+    checks = [ct.schema_check(schema, F.col("v")).isNull().alias(f"c{i}") for i, (schema, _, _) in enumerate(cases)]
+    got = {r["i"]: r[f"c{r['i'] // 2}"] for r in df.select("i", *checks).collect()}
+    assert got == {i: i % 2 == 0 for i, _ in docs}
+
+
+def test_an_invalid_schema_costs_its_own_rule_only(spark, tmp_path):
+    rules = [{"id": "bad", "name": "bad", "type": "schema", "json_schema": {"type": "text", "required": ["a"]}},
+             {"id": "odd", "name": "odd", "type": "schema", "json_schema": {"required": ["a"], "minProperties": 2, "x-owner": "me"}},
+             {"id": "kw", "name": "kw", "type": "keyword", "keywords": ["b"]}]
+    (tmp_path / "a.json").write_text(json.dumps({"app_id": "a", "version": "1", "contracts": rules}))
+    defs, rejected = ct.load_definitions(str(tmp_path))
+    assert [n for n, _ in rejected] == ["a.json"] and "bad: invalid schema" in rejected[0][1]
+    pairs = spark.createDataFrame([(1, "a", "", '{"a": 1}'), (2, "a", "", '{"a": 1, "c": 2}'), (3, "a", "", '{"b": 1, "c": 2}')],
+                                  "id int, app_id string, request string, response string")
+    failed = {(r["id"], r["contract_id"]) for r in ct.contract_verdicts(pairs, defs, ["id"]).collect() if not r["passed"]}
+    assert failed == {(1, "odd"), (3, "odd"), (3, "kw")}
