@@ -38,20 +38,37 @@ CLOSES = {"p": frozenset(BLOCK), "li": frozenset(["li"]), "dt": frozenset(["dt",
           "option": frozenset(["option"]), "head": frozenset(["body"])}     # an open element and what ends it unsaid
 ASIDE_TAGS = frozenset("""head title nav header footer aside form noscript template button select option textarea menu
     dialog iframe object audio video canvas svg fieldset""".split())
-ASIDE_NAMES = re.compile(r"""(?:^|[-_ ])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side|menu|nav
-    |navbar|navigation|breadcrumbs?|header|masthead|footer|cookies?|consent|notices?|alert|popup|modal|overlay|comments?
-    |disqus|replies|reply|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search
-    |widget|toolbar|pagination|pager|skip|hidden|complementary|contentinfo|none)(?:$|[-_ ])""", re.X)
+ASIDE_WORDS = frozenset("""ad ads advert adverts advertisement banner sponsor sponsored promo sidebar side menu nav navbar
+    navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices alert popup modal
+    overlay comment comments disqus replies reply respond share sharing social related recommended newsletter subscribe
+    signup login search widget widgets toolbar pagination pager skip complementary contentinfo""".split())
+ASIDE_BEFORE = frozenset("""site page global main top bottom left right upper lower primary secondary sub mobile desktop
+    sticky fixed floating user reader blog""".split())       # main-menu, left-sidebar
+ASIDE_AFTER = frozenset("""wrapper wrap container box list area section block bar item items inner outer link links panel
+    slot unit group row col column content form button buttons icon icons post posts article articles story stories text
+    body zone space thread left right top bottom main primary secondary""".split())    # ad-slot, comments-area
+NOT_ASIDE = frozenset("no not non without with has have is hide show".split())           # has-sidebar, no-sidebar
+HIDDEN = "!hidden"        # the word that a label has for an element hidden by an attribute
 LANDMARK_TAGS = ("article", "main")
-LANDMARK_NAMES = re.compile(r"""(?:^|[-_ ])(?:article|main|content|post|entry|story|body)(?:$|[-_ ])""", re.X)
+LANDMARK_WORDS = frozenset("article main content post entry story body".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)>?""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""\shidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
+_PARTS = re.compile(r"[-_]+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 _DIGITS = re.compile(r"\d+")
 
 
+def _hidden(attributes: str) -> bool:
+    """True for the attributes hidden, aria-hidden=true and a style with display:none, whatever other values say."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    values = {name: value.strip("\"' ") for name, value in _ATTRIBUTE.findall(low)}
+    return "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in "".join(values.get("style", "").split())
+
+
 def tokens(page: str) -> Iterator[tuple[str, str]]:
     """('text', decoded), ('open', label), ('close', tag) and ('break', '') in page order; a label is the tag with the
     words of class, id and role. Inline elements leave only their text; scripts, styles and comments leave nothing."""
@@ -100,9 +117,10 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
         if "=" in m[3]:
             names = " ".join(n.strip("\"'") for n in _NAMED.findall(m[3])).lower()
             label += "." + " ".join(_DIGITS.sub("0", names).split()) if names else ""
-            label += " hidden" if _HIDDEN.search(m[3]) else ""
-        elif _HIDDEN.search(m[3]):
-            label += ". hidden"
+            if _hidden(m[3]):
+                label += " " + HIDDEN if "." in label else f". {HIDDEN}"
+        elif _hidden(m[3]):
+            label += f". {HIDDEN}"
         open_tags.append(tag)
         yield "open", label
     if text:
@@ -186,33 +204,79 @@ def expression(node: list) -> str:
     return f"({text})" + "+" * node[1] + "?" * node[2] if node[1] or node[2] else text
 
 
+def aside_word(word: str) -> bool:
+    """True if a class, id or role names an aside: an aside word, alone or with parts that say where it is or what it
+    holds. A part that negates or tells of a state (no-sidebar, has-sidebar), a utility class (overflow-hidden, md:nav) or
+    the head of the content (content-header) names none."""
+    parts = [p for p in _PARTS.split(word) if p and p != "0"]
+    if ":" in word or not NOT_ASIDE.isdisjoint(parts) or ASIDE_WORDS.isdisjoint(parts):
+        return False
+    n = next(n for n, p in enumerate(parts) if p in ASIDE_WORDS)
+    before = ASIDE_BEFORE if parts[n] in ("header", "masthead") else ASIDE_BEFORE | LANDMARK_WORDS
+    return all(p in before for p in parts[:n]) and all(p in ASIDE_WORDS or p in ASIDE_AFTER for p in parts[n + 1:])
+
+
+def landmark_word(word: str) -> bool:
+    parts = _PARTS.split(word)
+    return not LANDMARK_WORDS.isdisjoint(parts) and ASIDE_WORDS.isdisjoint(parts)
+
+
 def _aside(label: str) -> bool:
+    """True if the element is an aside whatever it holds."""
     tag, _, names = label.partition(".")
-    return tag in ASIDE_TAGS or tag not in ("html", "body", "main", "article") and any(map(ASIDE_NAMES.search, names.split()))
+    return tag in ASIDE_TAGS or tag not in ("html", "body", "main", "article") and HIDDEN in names.split()
+
+
+def _named_aside(label: str) -> bool:
+    tag, _, names = label.partition(".")
+    return tag not in ("html", "body", "main", "article") and any(map(aside_word, names.split()))
 
 
 def content_paths(wrapper: list) -> tuple[list[str], list[str]]:
     """Label paths of the wrapper's content slots: those to read, and those to read in pages that have none of them.
 
-    Slots under an aside element (by tag or name) are none. Of the rest, those under a landmark (article, main, or
-    failing that an element named like one) are read first; otherwise all whose text differs between pages, and all
-    of them if the wrapper stems from a single page or no text differs.
+    Slots under an aside element (by tag or name) are none. An element named like an aside is none if it holds the
+    host's landmark (its main; its article, if none is elsewhere) or, without a landmark, most of the differing slots. Of
+    the rest, those under a landmark (article, main, or failing that an element named like one) are read first; otherwise
+    all whose text differs between pages, and all of them if the wrapper stems from a single page or no text differs.
     """
-    slots: list[tuple[tuple[str, ...], object]] = []
-    stack = [((), child) for child in wrapper[3]]
+    found: list[tuple[tuple[str, ...], object, tuple[int, ...]]] = []      # path, text, places of the named asides above
+    stack = [((), child, ()) for child in wrapper[3]]
     while stack:
-        path, node = stack.pop()
-        here = path + (node[0],)
+        path, node, named_above = stack.pop()
         if node[0] == "#":
-            slots.append((path, node[4]))
+            found.append((path, node[4], named_above))
         elif not _aside(node[0]):
-            stack += [(here, child) for child in node[3]]
+            above = (*named_above, len(path)) if _named_aside(node[0]) else named_above
+            stack += [(path + (node[0],), child, above) for child in node[3]]
+
+    def tagged(tag: str):
+        return lambda label: label.partition(".")[0] == tag
 
     def named(label: str) -> bool:
-        return any(LANDMARK_NAMES.search(n) for n in label.partition(".")[2].split())
+        return any(map(landmark_word, label.partition(".")[2].split()))
+
+    def first_place(path: tuple[str, ...], test) -> int:
+        return next((n for n, x in enumerate(path) if test(x)), -1)
+    kept: set[tuple[str, ...]] = set()      # elements named like an aside that are none
+    open_article = any(first_place(p, tagged("article")) >= 0 for p, _, above in found if not above)
+    open_main = any(first_place(p, tagged("main")) >= 0 for p, _, above in found if not above)
+    for tag, needed in (("main", True), ("article", not open_article and not open_main)):
+        for p, _, above in found if needed else ():
+            at = first_place(p, tagged(tag))
+            kept |= {p[:n + 1] for n in above if n < at}
+    if not kept and not open_article and not open_main:
+        telling = [x for x in found if x[1] is None] if wrapper[4] > 1 else []
+        under: dict[tuple[str, ...], int] = {}
+        for p, _, above in telling or found:
+            for n in above:
+                under[p[:n + 1]] = under.get(p[:n + 1], 0) + 1
+        share = 0.75 if any(not above for _, _, above in telling or found) else 0.5      # half if all are under such names
+        kept = {p for p, n in under.items() if n > share * len(telling or found)}
+    slots = [(p, text) for p, text, above in found if all(p[:n + 1] in kept for n in above)]
     differing = [s for s in slots if s[1] is None] if wrapper[4] > 1 else []
     other = sorted({"/".join(p) for p, _ in differing or slots})
-    for test in (lambda x: x.partition(".")[0] == "article", lambda x: x.partition(".")[0] == "main", named):
+    for test in (tagged("article"), tagged("main"), named):
         inside = [s for s in slots if any(test(x) for x in s[0])]
         if inside:
             return sorted({"/".join(p) for p, _ in inside}), other

@@ -60,3 +60,28 @@ def test_odd_pages(spark):
     assert [(i, t) for i, _, t, _ in got] == sorted((r[0] or 0, want[r[0] or 0]) for r in rows)
     assert all(n == len(t) for _, _, t, n in got)
     assert wrappers.extract_articles(pages.limit(0)).count() == 0
+
+
+def read(pages):
+    w = wrappers.page_wrapper(pages[0])
+    for p in pages[1:]:
+        w = wrappers.add_pages(w, wrappers.page_wrapper(p))
+    first, other = wrappers.content_paths(w)
+    return [wrappers.extract(p, frozenset(first)) or wrappers.extract(p, frozenset(other)) for p in pages]
+
+
+def test_names_that_only_hold_an_aside_word():
+    for attributes in ('class="page overflow-hidden"', 'class="content no-sidebar"', 'class="has-sidebar"', 'class="float-none"',
+                       'class="wrap hidden md:block"', 'id="page" class="layout sidebar"', 'title="a hidden gem"', 'data-x="1" class="content-header"'):
+        for tag in ("article", "main", "div"):
+            page = f'<body><div {attributes}><{tag}><h1>Head {{n}}</h1><p>Text {{n}}</{tag}></div><div class="sidebar"><p>Links {{n}}</div></body>'
+            assert read([page.format(n=n) for n in range(4)]) == [f"Head {n}\nText {n}" for n in range(4)], (attributes, tag)
+
+
+def test_asides_stay_asides():
+    for attributes in ('class="main-menu"', 'id="left-sidebar"', 'class="comments-area"', 'class="ad-slot-3"', 'class="post-navigation"',
+                       'hidden', 'class="x" hidden', 'style="color: red; display : none"', 'aria-hidden="true"', 'class="related posts"'):
+        page = f'<body><div class="page"><h1>Head {{n}}</h1><p>Text {{n}}</div><div {attributes}><p>Other {{n}}<p>Other</div></body>'
+        assert read([page.format(n=n) for n in range(4)]) == [f"Head {n}\nText {n}" for n in range(4)], attributes
+    page = '<body><article><p>Text {n}</article><div id="comments"><article><p>Reader {n}</article></div></body>'
+    assert read([page.format(n=n) for n in range(4)]) == [f"Text {n}" for n in range(4)]
