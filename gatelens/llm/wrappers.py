@@ -3,12 +3,14 @@
 A page's token stream is read as a sequence of elements; streams of one host are aligned one after the other:
 equal tokens stay, differing texts become text slots, neighbours of one kind become a repeated group (...)+ and what
 only some pages have becomes an optional group (...)?. The result is the host's wrapper. Its slots say which texts of
-a page are the article; the page is then read along the wrapper. Pages are aligned inside tasks, host by host, and the
-tasks' wrappers (small, whatever the number of pages) are aligned with each other in two rounds.
+a page are the article; the page is then read along the wrapper. A label keeps only what recurs on a share of the host's
+pages (counted first), so the labels that a wrapper can have are bounded by the template, not by the number of pages. Pages
+are aligned inside tasks, host by host, and the tasks' wrappers are aligned with each other in two rounds.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
@@ -26,6 +28,8 @@ from gatelens.session import cut_lineage
 MAX_DEPTH = 48            # deeper elements count as children of their ancestor at this depth
 HOSTS_IN_MEMORY = 2_000   # wrappers that a task holds before it hands them on
 SALTS = 32
+RECURS = 50               # a word or label recurs if one page in so many of the host has it, and two pages at least
+COUNTS_IN_MEMORY = 200_000
 
 # fixed values: HTML element kinds
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -283,8 +287,8 @@ def content_paths(wrapper: list) -> tuple[list[str], list[str]]:
     return other, other
 
 
-def extract(page: str, paths: frozenset[str]) -> str:
-    """The texts of the content slots, one line per block."""
+def extract(page: str, paths: frozenset[str], labels: Labels | None = None) -> str:
+    """The texts of the content slots, one line per block; ``labels`` folds the page's labels as the wrapper's were."""
     blocks: list[str] = []
     stack = [""]
     depth = 0
@@ -305,6 +309,7 @@ def extract(page: str, paths: frozenset[str]) -> str:
         if kind == "open":
             depth += 1
             if depth <= MAX_DEPTH:
+                value = value if labels is None else labels[value]
                 stack.append(f"{stack[-1]}/{value}" if stack[-1] else value)
         elif kind == "close":
             if depth <= MAX_DEPTH:
@@ -318,6 +323,93 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
 
+def _items(node: list, out: set) -> set:
+    """The labels with words of a page's wrapper, and their words."""
+    for child in node[3]:
+        _, dot, names = child[0].partition(".")
+        if dot and child[0] not in out:
+            out.add(child[0])
+            out.update("." + n for n in names.split())
+        _items(child, out)
+    return out
+
+
+class Labels(dict):
+    """Labels as a host's wrapper has them, from the recurring labels and words with their numbers of pages.
+
+    A label that recurs stays. Of another one stay its most frequent recurring word, and one word for each role that its
+    words name (aside, landmark, hidden); without ``recurring`` (a host of one page) all labels stay.
+    """
+
+    def __init__(self, recurring: str | None):
+        super().__init__()
+        self.pages = json.loads(recurring) if recurring else None
+
+    def __missing__(self, label: str) -> str:
+        tag, dot, names = label.partition(".")
+        folded = label
+        if dot and self.pages is not None and label not in self.pages:
+            words = names.split()
+            best = min((w for w in words if "." + w in self.pages), key=lambda w: (-self.pages["." + w], w), default=None)
+            kept = [best] if best else []
+            kept += [role for role, test in (("sidebar", aside_word), ("content", landmark_word), (HIDDEN, HIDDEN.__eq__))
+                     if any(map(test, words)) and not any(map(test, kept))]
+            folded = ".".join([tag, " ".join(kept)]) if kept else tag
+        if len(self) >= COUNTS_IN_MEMORY:
+            self.clear()
+        self[label] = folded
+        return folded
+
+
+@functools.lru_cache(256)
+def _labels(recurring: str | None) -> Labels:
+    return Labels(recurring)
+
+
+def fold(node: list, labels: Labels) -> list:
+    """A page's wrapper with folded labels; neighbours that became alike are a repeated group."""
+    children: list = []
+    for child in node[3]:
+        _append(children, fold(child, labels))
+    return [labels[node[0]], node[1], node[2], children, node[4]]
+
+
+def _wrap_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        wrapped = [json.dumps(page_wrapper(page or ""), separators=(",", ":")) for page in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wrapped, pa.string())], names=["host", "wrapper"])
+
+
+def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, item, pages) of the task; the item '' counts the host's pages."""
+    own: dict[tuple[str, str], int] = {}
+
+    def hand_on() -> pa.RecordBatch:
+        host, item = list(zip(*own)) or [()] * 2
+        out = pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(item, pa.string()), pa.array(own.values(), pa.int64())],
+                                         names=["host", "item", "pages"])
+        own.clear()
+        return out
+    for b in slices(batches):
+        for host, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for item in _items(json.loads(w), {""}):
+                own[host, item] = own.get((host, item), 0) + 1
+        if len(own) > COUNTS_IN_MEMORY:
+            yield hand_on()
+    yield hand_on()
+
+
+def recurring_labels(wrapped: DataFrame) -> DataFrame:
+    """(label_host, recurring): JSON of a host's recurring labels and words with their pages; null for one page alone."""
+    counts = wrapped.mapInArrow(_count_items, "host string, item string, pages long") \
+        .groupBy("host", "item").agg(F.sum("pages").alias("pages"))
+    counts = cut_lineage(counts)
+    totals = counts.where("item = ''").select(F.col("host").alias("label_host"), F.col("pages").alias("total"))
+    often = counts.join(totals, F.col("host") == F.col("label_host")).where(f"item = '' OR pages >= 2 AND pages * {RECURS} >= total")
+    return often.groupBy("label_host").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("item", "pages"))).alias("found")) \
+        .select("label_host", F.when(F.col("total") > 1, F.to_json(F.map_from_entries("found"))).alias("recurring"))
+
+
 def _wrap_in_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own: dict[str, list] = {}
 
@@ -328,8 +420,8 @@ def _wrap_in_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(salt, pa.int32()), pa.array(w, pa.string())],
                                           names=["host", "salt", "wrapper"])
     for b in slices(batches):
-        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            w = page_wrapper(page or "")
+        for host, w, recurring in zip(*(b.column(i).to_pylist() for i in range(3))):
+            w = fold(json.loads(w), _labels(recurring))
             own[host] = add_pages(own[host], w) if host in own else w
         if len(own) > HOSTS_IN_MEMORY:
             yield hand_on()
@@ -344,12 +436,16 @@ def _wrap_together(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): the wrapper of every host as JSON, from all its pages."""
+    """(host, wrapper, recurring): the wrapper of every host as JSON, from all its pages, and its recurring labels."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     schema = "host string, salt int, wrapper string"
-    return rows.mapInArrow(_wrap_in_tasks, schema) \
+    wrapped = cut_lineage(rows.mapInArrow(_wrap_pages, "host string, wrapper string"))
+    recurring = cut_lineage(recurring_labels(wrapped))
+    return wrapped.join(recurring, F.col("host") == F.col("label_host")).select("host", "wrapper", "recurring") \
+        .mapInArrow(_wrap_in_tasks, schema) \
         .groupBy("host", "salt").applyInPandas(_wrap_together, schema) \
-        .groupBy("host").applyInPandas(_wrap_together, schema).select("host", "wrapper")
+        .groupBy("host").applyInPandas(_wrap_together, schema).join(recurring, F.col("host") == F.col("label_host")) \
+        .select("host", "wrapper", "recurring")
 
 
 def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -364,17 +460,18 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
         for b in slices(batches):
             first, other = zip(*(content_paths(json.loads(w)) for w in b.column(1).to_pylist()))
             kind = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first, kind), pa.array(other, kind)], names=["wrapped_host", "first", "other"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first, kind), pa.array(other, kind), b.column(2)],
+                                             names=["wrapped_host", "first", "other", "recurring"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts = [extract(page or "", frozenset(p)) or extract(page or "", frozenset(q))
-                     for page, p, q in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+            texts = [extract(page or "", frozenset(p), _labels(r)) or extract(page or "", frozenset(q), _labels(r))
+                     for page, p, q, r in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
     # a table of its own: the join shuffles both sides itself and can split the pages of a hot host
-    slots = cut_lineage(infer_wrappers(rows).mapInArrow(paths, "wrapped_host string, first array<string>, other array<string>"))
+    slots = cut_lineage(infer_wrappers(rows).mapInArrow(paths, "wrapped_host string, first array<string>, other array<string>, recurring string"))
     return rows.withColumn("host", host_of(F.col("url"))).join(slots, F.col("host") == F.col("wrapped_host")) \
-        .select("page_id", "url", "html", "first", "other").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+        .select("page_id", "url", "html", "first", "other", "recurring").mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -85,3 +85,19 @@ def test_asides_stay_asides():
         assert read([page.format(n=n) for n in range(4)]) == [f"Head {n}\nText {n}" for n in range(4)], attributes
     page = '<body><article><p>Text {n}</article><div id="comments"><article><p>Reader {n}</article></div></body>'
     assert read([page.format(n=n) for n in range(4)]) == [f"Text {n}" for n in range(4)]
+
+
+def test_names_of_single_pages_do_not_grow_the_wrapper(spark):
+    """Slugs as ids and classes: the wrapper of 300 pages is no larger than that of 100, and the texts are whole."""
+    def slug(n):
+        return "".join(chr(97 + int(d)) for d in str(n))
+    page = """<body class="page post-{s}"><nav id="menu-{s}"><p>Menu</nav><div class="text {s}"><h2 id="how-to-{s}">Head {n}</h2><p class="tag-{s} x">First {n}
+<h3 id="why-{s}">Why {n}</h3><p>Second {n}</div><div class="comments for-{s}"><p>Reader {n}</div></body>"""
+    sizes = []
+    for number in (100, 300):
+        rows = [(n, f"http://a.org/{n}", page.format(n=n, s=slug(n))) for n in range(number)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+        sizes.append(len(wrappers.infer_wrappers(pages).first()["wrapper"]))
+        if number == 100:
+            assert texts(wrappers.extract_articles(pages)) == {n: f"Head {n}\nFirst {n}\nWhy {n}\nSecond {n}" for n in range(number)}
+    assert sizes[0] == sizes[1]
