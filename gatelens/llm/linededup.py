@@ -84,8 +84,8 @@ class LineRuns:
                   min_chars: int = 1, name: str = "dropped_lines") -> DataFrame:
         """``docs`` with column ``name``: positions of the lines that the runs hold from ``min_docs`` documents or more.
 
-        Every line's (hash, id, position) is anti-joined with the runs by hash; what is left over is gathered per
-        document. Ids must not repeat with different texts; a row without id drops nothing.
+        Every line's (hash, id, position) is semi-joined with the runs' frequent lines by hash; the positions found are
+        gathered per document. Ids must not repeat with different texts; a row without id drops nothing.
         """
         # a table of its own, so that the join shuffles both sides itself and can split the rows of a hot line
         frequent = cut_lineage(self.lines().where(F.col("n_docs") >= min_docs).select("h1", "h2"))
