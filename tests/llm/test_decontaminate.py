@@ -62,3 +62,31 @@ def test_block_tables_hold_every_item_within_the_radius():
             p[0, bit // 16] ^= 1 << (bit % 16)
         near = {j for j in range(70) if sum(bin(int(x)).count("1") for x in p[0] ^ items.prints[j]) <= dec.RADIUS}
         assert {j for _, j in index.within(p, list(range(70)))} == near and i in near
+
+
+def runs_replaced():
+    """Items that begin with a run of one word, and documents with a run of another word there: similarity 0.8 or a bit more."""
+    rng = random.Random(5)
+    items, docs = [], []
+    for n in range(20):
+        run, size = ((12, 112), (16, 148), (22, 202), (22, 210))[n % 4]
+        rest = " ".join(f"w{rng.randrange(10**6)}" for _ in range(size - run))
+        items.append((n, "_ " * run + rest))
+        docs.append((n, f"a{n} b{n} " + "0 " * run + rest + " c d"))
+    return items, docs
+
+
+def test_long_repeated_runs_match_all_windows(spark):
+    items, docs = runs_replaced()
+    want = brute.passages(docs, items)
+    assert len(want) == 20
+    got = found(dec.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == want
+
+
+def test_window_sums_are_those_of_the_windows():
+    rng = dec.np.random.default_rng(3)
+    s = rng.integers(1, 6, 60).astype(dec.np.uint64)
+    for width in (1, 7, 60):
+        want = [dec.window_sums(s[a:a + width], width)[0] for a in range(60 - width + 1)]
+        assert (dec.window_sums(s, width) == want).all()
