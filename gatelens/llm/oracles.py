@@ -78,3 +78,32 @@ SELECT record_id, canonical_url, status, CASE WHEN status = 'resolved' THEN foun
             ELSE concat_ws(chr(10), 'cache-control: max-age=600', 'date: ' || ts, 'etag: ' || etag, 'last-modified: ' || modified, 'server: s2', 'set-cookie: a=1') END AS headers
 FROM s
 """
+
+# h is the checksum of the decimal id, bit by bit. A run of at least max(12, 2 q) words has 6 equal words in a row at distance
+# q or more often, so windows of six words that recur in a text give every run: neighbouring starts at one distance are joined
+ORACLES["op13_periodic_runs"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+                  list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                      lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+                    lambda s, e: CASE WHEN e >= 0 THEN xor(s, e) ELSE xor(s >> 1, (s & 1) * 3988292384) END) AS c FROM documents),
+h AS (SELECT r, doc_id, w, len(w) AS n, xor(c, 4294967295) AS h, xor(c, 4294967295) // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+six AS (SELECT r, unnest(range(n - 5)) AS i, unnest(list_transform(range(n - 5), lambda i: hash(w[i + 1 : i + 6]))) AS k FROM t WHERE n >= 12),
+again AS (SELECT r, k FROM six GROUP BY r, k HAVING count(*) > 1),
+kept AS (SELECT r, i, k FROM six SEMI JOIN again USING (r, k)),
+m AS (SELECT x.r, x.i, y.i - x.i AS p FROM kept x JOIN kept y ON x.r = y.r AND x.k = y.k AND x.i < y.i),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM m),
+s AS (SELECT r, p, min(i) AS start, max(i) - min(i) + 6 + p AS length FROM o GROUP BY r, p, island),
+runs AS (SELECT r, start, length, min(p) AS period FROM s WHERE length >= 12 AND length >= 2 * p GROUP BY r, start, length),
+per AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+               first(start ORDER BY length DESC, start, period) AS start, first(length ORDER BY length DESC, start, period) AS length,
+               first(period ORDER BY length DESC, start, period) AS period FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+words AS (SELECT r, unnest(range(n)) AS i, unnest(w) AS word FROM t),
+left_over AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM t LEFT JOIN per USING (r) LEFT JOIN left_over USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import chat, decontaminate, linededup, minhash, packing, pii, quality, secrets, warc, wrappers
+from gatelens.llm import alignment, chat, decontaminate, linededup, minhash, packing, periodic, pii, quality, secrets, toxicity, warc, wrappers
 from gatelens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,9 +18,9 @@ def query(f):
     return f
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -78,3 +78,22 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), seq_len=4096)
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = toxicity.held_out()
+    net = toxicity.fit_on_labels(docs, table(spark, sf_dir, "labels").where(~held))
+    return toxicity.toxicity(docs, net).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents")), min_length=12))
