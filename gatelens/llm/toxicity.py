@@ -1,16 +1,17 @@
 """Toxicity scores: a bidirectional gated recurrent network with attention pooling over overlapping windows of words.
 
 A word enters as the sum of what two tables say: a vector of the word itself (lower-cased, without marks around it) and
-the mean vector of its character trigrams (marks and unknown words included). Both directions of the network read a
+the mean vector of its byte trigrams (marks and unknown words included). Both directions of the network read a
 window, attention weighs its words, and a text's score comes from its highest window. The label is the text's, so
 training takes the window that scores highest at the time as the one that the label speaks of.
 
-Everything is numpy. The network is fitted in the driver on a bounded sample of labelled windows; scoring runs in
-tasks over all windows of all texts.
+Everything is numpy. The network is fitted by one task (one thread, so its numbers repeat) on a bounded sample of labelled
+windows; scoring runs in tasks over all windows of all texts.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,17 +44,24 @@ def window_starts(n_words: int) -> range:
 
 
 def _stem(word: bytes) -> bytes:
-    return word.strip(_EDGE).decode(errors="replace").lower().encode()
+    return word.strip(_EDGE).lower()
 
 
-def _trigrams(word: bytes) -> list[int]:
-    padded = "^" + word.decode(errors="replace").lower() + "$"
-    return [zlib.crc32(padded[i:i + 3].encode(errors="replace")) % TRIGRAMS for i in range(len(padded) - 2)] or [0]
+def _trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed byte trigrams of ^word$ (A-Z as a-z), word after word, and how many each word has (as many as bytes)."""
+    data = np.frombuffer(b"".join([b"^%b$" % w.lower() for w in words]), np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    at = np.repeat(2 * np.arange(len(words)), sizes) + np.arange(int(sizes.sum()))
+    return ((data[at] << 16 | data[at + 1] << 8 | data[at + 2]) * 2654435761 >> 16) % TRIGRAMS, sizes
 
 
-def _csr(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return np.concatenate([np.array(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64), sizes
+def _add_rows(out: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
+    """out[index] += values, rows of one index summed first."""
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        ordered = index[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        out[ordered[first]] += np.add.reduceat(values[order], first)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -150,6 +158,7 @@ class Network:
         d_both = alpha[:, :, None] * d_pooled[:, None] + d_look @ self.attend.T
         d_states = (d_both[:, :, :h], d_both[:, :, h:])
         d_gates = np.zeros_like(gates)
+        d_steps = np.zeros((2, width, len(index), 3 * h), np.float32)
         g["recur"], g["recur_bias"] = np.zeros_like(self.recur), np.zeros_like(self.recur_bias)
         d_state = np.zeros((2, len(index), h), np.float32)
         for t in range(width - 1, -1, -1):
@@ -165,9 +174,10 @@ class Network:
             g["recur"] += before.transpose(0, 2, 1) @ d_u
             g["recur_bias"] += d_inner.sum(axis=1, keepdims=True)
             d_x = np.concatenate((d_z, d_r, d_c), axis=2)
-            np.add.at(d_gates[0], index[:, t], d_x[0])
-            np.add.at(d_gates[1], index[:, back], d_x[1])
+            d_steps[0, t], d_steps[1, back] = d_x[0], d_x[1]
             d_state = np.where(live, d * z + d_u @ self.recur.transpose(0, 2, 1), d_state)
+        for side in (0, 1):
+            _add_rows(d_gates[side], index[:, :width].T.ravel(), d_steps[side].reshape(-1, 3 * h))
         g["enter"], g["enter_bias"] = vectors.T @ d_gates, d_gates.sum(axis=1, keepdims=True)
         return g, (d_gates @ self.enter.transpose(0, 2, 1)).sum(axis=0)
 
@@ -220,7 +230,7 @@ def fit(texts: list[list[list[bytes]]], labels: list[int], class_share: tuple[fl
     net.word[1:, 0] = np.sign(seen[:, 1] - n * rate) * np.clip(root, 0, 4) / 2
 
     rows = np.array([net.vocabulary.get(s, 0) for s in stems])
-    grams, sizes = _csr([_trigrams(w) for w in raw])
+    grams, sizes = _trigrams(list(raw))
     gram_at = np.cumsum(sizes) - sizes
     windows = [window for t in texts for window in t]
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
@@ -260,8 +270,8 @@ def fit(texts: list[list[list[bytes]]], labels: list[int], class_share: tuple[fl
                              np.full(len(pick), 1 / len(pick), np.float32))
         d = d * shown
         g["word"], g["char"] = np.zeros_like(net.word), np.zeros_like(net.char)
-        np.add.at(g["word"], rows[used], d[:, :WORD_DIM])
-        np.add.at(g["char"], grams[take], np.repeat(d[:, WORD_DIM:] / sizes[used][:, None], sizes[used], axis=0))
+        _add_rows(g["word"], rows[used], d[:, :WORD_DIM])
+        _add_rows(g["char"], grams[take], np.repeat(d[:, WORD_DIM:] / sizes[used][:, None], sizes[used], axis=0))
         adam.rate = RATE * (1 - step / STEPS) + 1e-4
         adam.update(g)
 
@@ -302,10 +312,16 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 starts = sorted(sorted(window_starts(len(words)), key=lambda s: (zlib.crc32(b"%d %d" % (i, s)), s))[:sample_windows])
                 out.append([b" ".join(words[s:s + WINDOW]) for s in starts])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], names=["id", "y", "windows"])
-    got = sorted(rows.mapInArrow(run, "id long, y int, windows array<binary>").collect(), key=lambda r: r["id"])
     total = max(1, sum(counts.values()))
-    return fit([[bytes(w).split() for w in r["windows"]] for r in got], [r["y"] for r in got],
-               (counts.get(0, 0) / total, counts.get(1, 0) / total))
+    share = (counts.get(0, 0) / total, counts.get(1, 0) / total)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        net = fit([[w.split() for w in windows] for _, _, windows in sample], [y for _, y, _ in sample], share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+    sample = rows.mapInArrow(run, "id long, y int, windows array<binary>").repartition(1).sortWithinPartitions("id")
+    got = sample.mapInArrow(train, "net binary").collect()
+    return pickle.loads(bytes(got[0]["net"])) if got else fit([], [], share)
 
 
 class _Inputs:
@@ -329,7 +345,7 @@ class _Inputs:
             self.at.update(zip(new, range(n, n + len(new))))
             while len(self.at) > self.table.shape[1]:
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)), axis=1)
-            grams, sizes = _csr([_trigrams(w) for w in new])
+            grams, sizes = _trigrams(new)
             ids = np.array([self.net.vocabulary.get(_stem(w), 0) for w in new])
             self.table[:, n:n + len(new)] = self.net.gates(self.net.vectors(ids, grams, sizes))
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
