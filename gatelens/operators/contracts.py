@@ -1,10 +1,9 @@
-"""Behaviour contracts: rule files → one Column per rule → long verdict table.
+"""Behaviour contracts: rule files → rule table → long verdict table.
 
-Contract files are small driver-side configuration. Each rule (composites
-recursively) compiles into a struct-valued Column over the response text, so
-evaluating every enabled rule of an app is a single projection plus
-``inline``: no join between responses and rules, no shuffle, one pass over the
-text. Verdict struct fields: contract_id, contract_type, action (NULL when
+Contract files are driver-side configuration. They become a table of rules by
+app (``rules.py``); responses meet their app's rules by one join and each rule
+kind is one kernel over them, so the plan does not grow with apps or rules.
+Verdict struct fields: contract_id, contract_type, action (NULL when
 passed), tier, passed, compliance, message, evidence, location.
 """
 
@@ -24,6 +23,7 @@ from gatelens.functions import jsonschema as js
 from gatelens.functions import text as tx
 from gatelens.functions.lexicon import strict_parse_json
 from gatelens.functions.numeric import half_up
+from gatelens.operators import rules as rules_as_data
 from gatelens.session import spread
 
 RESOURCES = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "resources")
@@ -40,9 +40,6 @@ CONTENT_LOCATION = "choices[0].message.content"
 REGEX_FLAG_NAMES = {"I": "i", "IGNORECASE": "i", "M": "m", "MULTILINE": "m", "S": "s", "DOTALL": "s",
                     "X": "x", "VERBOSE": "x"}
 
-VERDICT_TYPE = ("struct<contract_id:string,contract_type:string,action:string,tier:string,passed:boolean,"
-                "compliance:double,message:string,evidence:string,location:string>")
-
 
 @dataclass
 class Contract:
@@ -215,31 +212,6 @@ def _quote(s: str) -> str:
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def _keyword(c: Contract, ctx: dict) -> Column:
-    text = ctx["response"]
-    cs = bool(c.p.get("case_sensitive", False))
-    whole = bool(c.p.get("match_whole_word", False))
-    st = text if cs else F.lower(text)
-    hits = []
-    for k in c.p.get("keywords", []):
-        needle = k if cs else k.lower()
-        found = (st.rlike("(?<![\\p{L}\\p{N}_])" + _quote(needle) + "(?![\\p{L}\\p{N}_])") if whole
-                 else st.contains(needle))
-        hits.append(F.when(found, F.lit(k)))
-    ev = F.coalesce(*hits) if hits else F.lit(None).cast("string")
-    failed = ev.isNotNull()
-    return _verdict(c, failed, F.when(failed, 0.0).otherwise(1.0),
-                    F.concat(F.lit("Response contains forbidden keyword: "), _pyrepr(ev)), ev, F.lit(CONTENT_LOCATION))
-
-
-def _pyrepr(s: Column) -> Column:
-    """Python repr of a string without escapes other than quotes (keywords are plain text)."""
-    has_sq = s.contains("'")
-    has_dq = s.contains('"')
-    return (F.when(has_sq & ~has_dq, F.concat(F.lit('"'), s, F.lit('"')))
-            .otherwise(F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'"))))
-
-
 def regex_flags(c: Contract) -> str:
     """Inline flags from Python flag names; unknown names are ignored."""
     return "".join(sorted({REGEX_FLAG_NAMES[f.upper()] for f in c.p.get("flags", []) if f.upper() in REGEX_FLAG_NAMES}))
@@ -256,101 +228,10 @@ def regex_java(c: Contract) -> str:
     return f"(?{flags})" + java_pattern(c.p["pattern"])
 
 
-def _regex(c: Contract, ctx: dict) -> Column:
-    text = ctx["response"]
-    rx = regex_java(c)
-    failed = text.rlike(rx)
-    m = F.regexp_extract(text, rx, 0)
-    start = F.length(F.element_at(F.split(text, rx, 2), 1))     # no group around the pattern: references keep their numbers
-    loc = F.concat(F.lit(CONTENT_LOCATION + "["), start.cast("string"), F.lit(":"), (start + F.length(m)).cast("string"), F.lit("]"))
-    return _verdict(c, failed, F.when(failed, 0.0).otherwise(1.0),
-                    F.lit("Response matches forbidden pattern: " + repr(c.p["pattern"])), F.substring(m, 1, SHOWN_CHARS), loc)
-
-
-def _length(c: Contract, ctx: dict) -> Column:
-    text = ctx["response"]
-    msgs = []
-    if c.p.get("max_words") is not None:
-        n = F.col("_words") if ctx.get("shared_counts") else tx.word_count(text)
-        msgs.append(F.when(n > c.p["max_words"], F.concat(F.lit("Word count "), n.cast("string"),
-                                                          F.lit(f" exceeds limit {c.p['max_words']}"))))
-    if c.p.get("max_characters") is not None:
-        n = F.length(text)
-        msgs.append(F.when(n > c.p["max_characters"], F.concat(F.lit("Character count "), n.cast("string"),
-                                                               F.lit(f" exceeds limit {c.p['max_characters']}"))))
-    if c.p.get("max_sentences") is not None:
-        n = F.col("_sents") if ctx.get("shared_counts") else tx.sentence_count(text)
-        msgs.append(F.when(n > c.p["max_sentences"], F.concat(F.lit("Sentence count "), n.cast("string"),
-                                                              F.lit(f" exceeds limit {c.p['max_sentences']}"))))
-    msg = F.concat_ws("; ", *msgs) if msgs else F.lit("")
-    failed = msg != F.lit("")
-    return _verdict(c, failed, F.when(failed, 0.0).otherwise(1.0), msg,
-                    F.concat(F.lit("text_length="), F.length(text).cast("string")), F.lit(CONTENT_LOCATION))
-
-
-def _language(c: Contract, ctx: dict) -> Column:
-    resp = ctx["response"]
-    exp_code = c.p.get("expected_language")
-    expected = F.lit(exp_code) if exp_code else F.col("_req_lang")
-    detected = F.col("_resp_lang")
-    skip = tx.is_blank(resp) | (F.lit(not exp_code) & tx.is_blank(ctx["request"])) | expected.isNull() | detected.isNull()
-    failed = ~skip & (detected != expected)
-    return _verdict(c, failed, F.when(failed, 0.0).otherwise(1.0),
-                    F.concat(F.lit("Language mismatch: expected '"), expected, F.lit("', detected '"), detected, F.lit("'")),
-                    F.concat(F.lit("detected="), detected, F.lit(", expected="), expected), F.lit(CONTENT_LOCATION))
-
-
 # Fixed value: characters of a match, a value or a reasoning that a verdict shows (the whole text is evaluated).
 SHOWN_CHARS = 200
 
 
-def three_places(x: Column) -> Column:
-    """'%.3f' as Python prints it (ties to even)."""
-    return F.format_string("%.3f", F.bround(x, 3))
-
-
-def _sentiment(c: Contract, ctx: dict) -> Column:
-    text = ctx["response"]
-    mn = float(c.p.get("min_score", 0.0))
-    comp = F.col("_sent")
-    empty = F.coalesce(text, F.lit("")) == F.lit("")
-    passed_raw = comp >= mn
-    if mn >= 0:
-        compliance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (comp - F.lit(mn) + F.lit(1.0)) / F.lit(2.0)))
-    else:
-        compliance = F.when(passed_raw, 1.0).otherwise(0.0)
-    failed = ~empty & ~passed_raw
-    shown = three_places(comp)
-    return _verdict(c, failed, F.when(empty, 1.0).otherwise(compliance),
-                    F.concat(F.lit("Response sentiment score "), shown, F.lit(f" is below minimum threshold {mn:.3f}")),
-                    F.concat(F.lit("sentiment_score="), shown), F.lit(CONTENT_LOCATION))
-
-
-def _topic(c: Contract, ctx: dict) -> Column:
-    text = ctx["response"]
-    allowed = list(c.p.get("allowed_topics", []))
-    off = c.p.get("off_topic_label", "off_topic")
-    thr = float(c.p.get("threshold", 0.5))
-    hits = [F.col(f"_topic_{t.lower()}") if t.lower() in tx.TOPIC_WORDS else F.lit(0) for t in allowed]
-    others = [t for t in tx.TOPIC_WORDS if t not in set(a.lower() for a in allowed)]
-    off_hits = tx.sum_cols([F.col(f"_topic_{t}") for t in others]) if others else F.lit(0)
-    total = tx.sum_cols(hits + [off_hits]) if hits else off_hits
-    labels = allowed + [off]
-    # candidates sorted by score desc, then candidate order (stable like a zero-shot ranking)
-    cands = F.array(*[F.struct((-h).alias("k"), F.lit(i).alias("i"), F.lit(lab).alias("label"), h.alias("h"))
-                      for i, (lab, h) in enumerate(zip(labels, hits + [off_hits]))])
-    top = F.element_at(F.array_sort(cands), 1)
-    top_score = top["h"].cast("double") / total.cast("double")
-    compliance = (tx.sum_cols(hits).cast("double") if hits else F.lit(0.0)) / total.cast("double")
-    top_allowed = F.lower(top["label"]).isin(*(t.lower() for t in allowed)) if allowed else F.lit(False)
-    no_signal = tx.is_blank(text) | (total == 0)
-    failed = ~no_signal & ~(top_allowed & (top_score >= thr))
-    return _verdict(c, failed, F.when(no_signal, 1.0).otherwise(F.round(compliance, 6)),
-                    F.concat(F.lit("Response classified as '"), top["label"], F.lit("' ("), three_places(top_score),
-                             F.lit(f") which is outside allowed topics: {allowed}")),
-                    F.concat(F.lit("top_label="), top["label"], F.lit(", score="), three_places(top_score)), F.lit(CONTENT_LOCATION))
-
-
 # ---------------------------------------------------------------- judge replies
 _FENCE = r"(?s)```(?:json)?" + tx.WS + r"*(\{.*?\})" + tx.WS + r"*```"
 
@@ -426,21 +307,6 @@ def judge_score_frame(df: DataFrame, raw: str, prefix: str = "_j") -> DataFrame:
     return a.drop(f"{prefix}c", f"{prefix}fen", f"{prefix}num", f"{prefix}v1", f"{prefix}v2", f"{prefix}_t", *names)
 
 
-def _judge(c: Contract, ctx: dict) -> Column:
-    thr = float(c.p.get("threshold", 0.7))
-    raw = ctx.get("judge_raw")
-    if raw is None:   # no verdict table supplied: fail open
-        return _verdict(c, F.lit(False), F.lit(1.0), F.lit(None), F.lit(None), F.lit(None))
-    score, path = F.col("_j_score"), F.col("_j_path")
-    unusable = raw.isNull() | (path == "error")
-    failed = ~unusable & (score < thr)
-    reason = F.coalesce(F.col("_j_reason"), F.lit(""))
-    return _verdict(c, failed, F.when(unusable, 1.0).otherwise(score),
-                    F.concat(F.lit("LLM judge scored "), three_places(score), F.lit(f" (threshold {thr:.3f}): "), reason),
-                    F.concat(F.lit("score="), three_places(score), F.lit(", reasoning="), F.substring(reason, 1, SHOWN_CHARS)),
-                    F.lit(CONTENT_LOCATION))
-
-
 # ---------------------------------------------------------------- schema (compiled; the rest row by row)
 SCHEMA_TYPES = {"object", "array", "string", "boolean", "null", "integer", "number"}
 _NUMERIC = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL")
@@ -576,14 +442,17 @@ def schema_check(schema, v: Column, root: dict | None = None) -> Column:
             wrong = F.exists(F.map_values(rest), lambda x: check(schema["additionalProperties"], x).isNotNull())
             checks.append(F.when(is_obj & wrong, F.lit("an additional property is invalid")))
     num = _is_type(v, "number")
-    d = F.try_variant_get(v, "$", "double")
+    d, exact = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "decimal(38,18)")
     for kw, op in (("minimum", lambda a, b: a < b), ("maximum", lambda a, b: a > b),
                    ("exclusiveMinimum", lambda a, b: a <= b), ("exclusiveMaximum", lambda a, b: a >= b)):
-        if kw in schema:
-            checks.append(F.when(num & op(d, F.lit(float(schema[kw]))), F.lit(f"violates {kw} {schema[kw]}")))
+        if kw in schema:      # as decimals where both fit, so that large integers compare exactly
+            wrong = F.coalesce(op(exact, F.lit(repr(schema[kw])).try_cast("decimal(38,18)")), op(d, F.lit(float(schema[kw]))))
+            checks.append(F.when(num & wrong, F.lit(f"violates {kw} {schema[kw]}")))
     if "multipleOf" in schema:
+        step = F.lit(repr(schema["multipleOf"])).try_cast("decimal(38,18)")
         ratio = d / F.lit(float(schema["multipleOf"]))
-        checks.append(F.when(num & (F.abs(ratio - F.round(ratio)) > 1e-9), F.lit(f"is not a multiple of {schema['multipleOf']}")))
+        wrong = F.coalesce(exact % F.nullif(step, F.lit(0).cast("decimal(38,18)")) != 0, ratio != F.round(ratio))
+        checks.append(F.when(num & wrong, F.lit(f"is not a multiple of {schema['multipleOf']}")))
     is_str = _is_type(v, "string")
     s = F.try_variant_get(v, "$", "string")
     if "minLength" in schema:
@@ -592,8 +461,7 @@ def schema_check(schema, v: Column, root: dict | None = None) -> Column:
         checks.append(F.when(is_str & (F.length(s) > schema["maxLength"]), F.lit(f"is longer than {schema['maxLength']}")))
     if "pattern" in schema:
         checks.append(F.when(is_str & ~s.rlike(java_pattern(schema["pattern"])), F.lit(f"does not match {schema['pattern']!r}")))
-    if "enum" in schema or "const" in schema:
-        vals = schema.get("enum", [schema.get("const")])
+    for vals in ([schema["enum"]] if "enum" in schema else []) + ([[schema["const"]]] if "const" in schema else []):
         ok = F.lit(False)
         for val in vals:
             if isinstance(val, bool):
@@ -643,32 +511,6 @@ def resolve_path(v: Column, path: str | None) -> Column:
     return v
 
 
-def _as_variant(text: Column) -> Column:
-    """JSON value of a string target: parsed when it is JSON, else the string itself."""
-    parsed = strict_parse_json(text)
-    as_str = F.try_variant_get(F.parse_json(F.to_json(F.array(text))), "$[0]", "variant")
-    return F.coalesce(parsed, as_str)
-
-
-def _schema(c: Contract, ctx: dict) -> Column:
-    target = c.p.get("target_field")
-    if ctx.get("payload") is not None and not (target or "").startswith("choices"):
-        value = resolve_path(ctx["payload"], target)
-    elif target and not target.startswith("choices"):      # a field of the payload, and there is none to extract it from
-        value = F.lit(None).cast("variant")
-    else:
-        # the response text sits at choices.0.message.content; strings are parsed as JSON when possible
-        value = _as_variant(ctx["response"])
-    schema = c.p.get("json_schema", {})
-    msg = F.lit(None).cast("string") if schema_error(schema) else \
-        F.when(value.isNull(), F.lit(f"Could not extract target field {target!r}")).otherwise(schema_check(schema, value))
-    failed = msg.isNotNull()
-    shown = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
-    return _verdict(c, failed, F.when(failed, 0.0).otherwise(1.0),
-                    F.concat(F.lit("JSON Schema validation failed: "), msg),
-                    F.substring(shown, 1, SHOWN_CHARS), F.lit(target or "response"))
-
-
 def static_tier(c: Contract) -> str:
     """Tier of a rule; a composite takes its costliest member's tier."""
     if c.type != "composite" or not c.members:
@@ -676,186 +518,79 @@ def static_tier(c: Contract) -> str:
     return max((static_tier(m) for m in c.members), key=lambda t: TIER_ORDER[t])
 
 
-def _composite(c: Contract, ctx: dict) -> Column:
-    memo = ctx.get("memo")
-    subs = [F.col(memo[(ctx["app"], id(m))]) if memo is not None else verdict_column(m, ctx) for m in c.members]
-    n = len(subs)
-    op = c.p.get("operator", "OR")
-    if n == 0:
-        failed = F.lit(op == "AND")
-        return _verdict(c, failed, F.lit(1.0), F.lit("Composite (AND) violated: all 0 sub-contracts failed"),
-                        F.lit(None), F.lit(None), tier="deterministic")
-    nfail = tx.sum_cols([F.when(s["passed"], 0).otherwise(1) for s in subs])
-    comp = tx.sum_cols([s["compliance"] for s in subs]) / F.lit(float(n))
-    tier = F.lit(static_tier(c))
-    if op == "OR":
-        failed = nfail > 0
-        msg = F.concat(F.lit("Composite (OR) violated: "), nfail.cast("string"), F.lit(f"/{n} sub-contracts failed"))
-        ev = F.coalesce(*[F.when(~s["passed"], s["message"]) for s in subs])
-    else:
-        failed = nfail == n
-        msg = F.lit(f"Composite (AND) violated: all {n} sub-contracts failed")
-        ev = F.lit(None).cast("string")
-    return _verdict(c, failed, comp, msg, ev, F.lit(None).cast("string"), tier=tier)
-
-
-COMPILERS = {"keyword": _keyword, "regex": _regex, "length_limit": _length, "language_match": _language,
-             "sentiment": _sentiment, "topic_boundary": _topic, "llm_judge": _judge, "schema": _schema,
-             "composite": _composite}
+PLUG_INS: dict = {}
 
 
 def register_contract_type(kind: str, compiler, tier: str = "deterministic") -> None:
-    """Plug-in point: ``compiler(contract, ctx) -> verdict struct Column``."""
-    COMPILERS[kind] = compiler
+    """Plug-in point: ``compiler(contract, ctx) -> verdict struct Column``, called once for all rules of the kind: the
+    contract's attributes (id, type, action, tier, params as JSON text) are Columns."""
+    PLUG_INS[kind] = compiler
     KIND_TIER[kind] = tier
 
 
-def verdict_column(c: Contract, ctx: dict) -> Column:
-    return COMPILERS[c.type](c, ctx).cast(VERDICT_TYPE)
+def register_batch_type(kind: str, check, tier: str = "llm_judge") -> None:
+    """Plug-in point for checks outside the JVM: ``check`` gets a pandas frame (response, request, document, extracted,
+    params as JSON text), one row per response and rule of the kind that is evaluated, and returns a frame of failed,
+    compliance, message, evidence and location."""
+    rules_as_data.BATCHES[kind] = check
+    KIND_TIER[kind] = tier
 
 
 # ------------------------------------------------------------------ table-level operators
-def _walk(defs: dict):
-    """Every enabled rule, composite members included."""
-    stack = [r for rs in defs.values() for r in rs if r.enabled]
-    while stack:
-        r = stack.pop()
-        yield r
-        stack.extend(r.members)
-
-
-def _kinds(defs: dict) -> set:
-    out = set()
-
-    def walk(r):
-        out.add(r.type)
-        for m in r.members:
-            walk(m)
-    for rs in defs.values():
-        for r in rs:
-            if r.enabled:
-                walk(r)
-    return out
+def _judged(df: DataFrame, raw: str) -> DataFrame:
+    return judge_score_frame(df, raw)
 
 
-def prepare(df: DataFrame, defs: dict, response: str, request: str | None, judge_raw: str | None,
-            payload: str | None):
-    """Per-response features shared by all rules, each computed once in its own projection."""
-    kinds = _kinds(defs)
-    df = spread(df)
-    df = df.withColumn("_resp", F.coalesce(F.col(response).cast("string"), F.lit("")))
+def _evaluator(pairs: DataFrame, defs: dict, response: str, request: str | None, judge_raw: str | None, payload: str | None):
+    """The pairs with texts as ``_resp`` and ``_req``, and a function that adds the verdicts of some rules."""
+    df = spread(pairs).withColumn("_resp", F.coalesce(F.col(response).cast("string"), F.lit("")))
     df = df.withColumn("_req", F.coalesce(F.col(request), F.lit("")) if request else F.lit(""))
-    if kinds & {"language_match", "sentiment", "topic_boundary"}:
-        df = df.withColumn("_toks", tx.tokens(F.col("_resp")))
-    if "language_match" in kinds:
-        df = (df.withColumn("_resp_lang", tx.detect_language_tokens(F.col("_toks")))
-                .withColumn("_req_lang", tx.detect_language(F.col("_req"))))
-    shared_counts = "length_limit" in kinds
-    if shared_counts:   # once per response, shared by every length rule (composite members included)
-        lengths = [r for r in _walk(defs) if r.type == "length_limit"]
-        df = df.withColumn("_words", tx.word_count(F.col("_resp")) if any(
-            r.p.get("max_words") is not None for r in lengths) else F.lit(None).cast("int"))
-        df = df.withColumn("_sents", tx.sentence_count(F.col("_resp")) if any(
-            r.p.get("max_sentences") is not None for r in lengths) else F.lit(None).cast("int"))
-    if "sentiment" in kinds:
-        df = df.withColumn("_sent", tx.sentiment_from_tokens(F.col("_toks")))
-    if "topic_boundary" in kinds:
-        for t, ws in tx.TOPIC_WORDS.items():
-            df = df.withColumn(f"_topic_{t}", tx.count_in(F.col("_toks"), ws))
-    if "llm_judge" in kinds and judge_raw:
-        df = judge_score_frame(df, judge_raw)
-    ctx = {"response": F.col("_resp"), "request": F.col("_req"), "shared_counts": shared_counts,
-           "judge_raw": F.col(judge_raw) if judge_raw else None,
-           "payload": F.col(payload) if payload else None}
-    return df, ctx
-
-
-def stage_verdicts(df: DataFrame, defs: dict, ctx: dict, app_col: str, keep) -> tuple[DataFrame, dict]:
-    """One column per (app, rule), computed only for that app's rows, one projection per nesting level.
-
-    Composites reference their members' columns from the previous level, so nested rules never
-    re-inline a member's expression (the plan stays linear in the number of rules).
-    """
-    memo: dict = {}
-    levels: dict = {}
-
-    def level(rule) -> int:
-        return 0 if not rule.members else 1 + max(level(m) for m in rule.members)
-
-    def collect(rule, app):
-        for m in rule.members:
-            collect(m, app)
-        key = (app, id(rule))
-        if key not in memo:
-            memo[key] = f"_v{len(memo)}"
-            levels.setdefault(level(rule), []).append((app, rule))
-
-    for app in sorted(defs):
-        for r in defs[app]:
-            if r.enabled and keep(r):
-                collect(r, app)
-    for lv in sorted(levels):
-        cols = [F.when(F.col(app_col) == app, verdict_column(rule, dict(ctx, memo=memo, app=app))).alias(memo[(app, id(rule))])
-                for app, rule in levels[lv]]
-        df = df.select("*", *cols)
-    return df, memo
-
+    ctx = {"response": F.col("_resp"), "request": F.col("_req"), "judge_raw": F.col(judge_raw) if judge_raw else None,
+           "payload": payload is not None, "payload_value": F.col(payload) if payload else None, "content_name": CONTENT_LOCATION, "shown_chars": SHOWN_CHARS}
 
-def _app_array(defs: dict, memo: dict, app_col: str, keep) -> Column:
-    branches = []
-    for app in sorted(defs):
-        rules = [r for r in defs[app] if r.enabled and keep(r)]
-        if rules:
-            branches.append(F.when(F.col(app_col) == app, F.array(*[F.col(memo[(app, id(r))]) for r in rules])))
-    empty = F.array().cast(f"array<{VERDICT_TYPE}>")
-    return F.coalesce(*branches, empty) if branches else empty
+    def evaluate(frame: DataFrame, keep, key: str, rules: str, out: str) -> DataFrame:
+        kept = {app: [r for r in rs if keep(r)] for app, rs in defs.items()}
+        table = rules_as_data.rule_table(pairs.sparkSession, kept, static_tier, regex_java, _quote)
+        return rules_as_data.evaluate(frame, table, key, rules, out, ctx, _judged, PLUG_INS)
+    return df, evaluate
 
 
 def contract_verdicts(pairs: DataFrame, defs: dict, keys: list[str], response: str = "response",
                       request: str | None = "request", app_col: str = "app_id", judge_raw: str | None = None,
                       payload: str | None = None) -> DataFrame:
     """Every enabled rule of the pair's app on each pair; unknown app → no rows."""
-    df, ctx = prepare(pairs, defs, response, request, judge_raw, payload)
-    df, memo = stage_verdicts(df, defs, ctx, app_col, lambda r: True)
-    arr = _app_array(defs, memo, app_col, lambda r: True)
-    return df.select(*keys, app_col, F.inline(arr))
+    df, evaluate = _evaluator(pairs, defs, response, request, judge_raw, payload)
+    return evaluate(df, lambda r: True, app_col, "_rules", "_v").select(*keys, app_col, F.inline("_v"))
 
 
 def contract_tiered(pairs: DataFrame, defs: dict, keys: list[str], response: str = "response",
                     request: str | None = "request", app_col: str = "app_id", judge_raw: str | None = None) -> DataFrame:
-    """BLOCK rules on every pair; FLAG/LOG rules only where no BLOCK rule failed (one pass, no anti-join)."""
-    df, ctx = prepare(pairs, defs, response, request, judge_raw, None)
-    df, memo = stage_verdicts(df, defs, ctx, app_col, lambda r: True)
-    blk = _app_array(defs, memo, app_col, lambda r: r.action == "block")
-    rest = _app_array(defs, memo, app_col, lambda r: r.action != "block")
-    staged = df.select(*keys, app_col, blk.alias("_b"), rest.alias("_r"))
-    blocked = F.exists("_b", lambda v: ~v["passed"])
-    return staged.select(*keys, app_col, F.inline(F.concat("_b", F.when(~blocked, F.col("_r")).otherwise(F.filter("_r", lambda v: F.lit(False))))))
+    """BLOCK rules on every pair, then FLAG/LOG rules where no BLOCK rule failed: a blocked response meets no rule in the
+    second join, so no measure is taken of it and no plug-in gets it."""
+    df, evaluate = _evaluator(pairs, defs, response, request, judge_raw, None)
+    df = evaluate(df, lambda r: r.action == "block", app_col, "_block", "_b").drop("_block")
+    df = df.withColumn("_open", F.when(~F.exists("_b", lambda v: ~v["passed"]), F.col(app_col)))
+    return evaluate(df, lambda r: r.action != "block", "_open", "_flag", "_r").select(*keys, app_col, F.inline(F.concat("_b", "_r")))
 
 
 def contract_report(pairs: DataFrame, defs: dict, keys: list[str], response: str = "response",
                     request: str | None = "request", app_col: str = "app_id", judge_raw: str | None = None) -> DataFrame:
     """Per pair: blocked, failed BLOCK rule ids, warnings (passed, compliance < 0.8), rule counts."""
-    block_defs = {a: [r for r in rs if r.action == "block"] for a, rs in defs.items()}
-    df, ctx = prepare(pairs, block_defs, response, request, judge_raw, None)
-    df, memo = stage_verdicts(df, block_defs, ctx, app_col, lambda r: True)
-    blk = _app_array(block_defs, memo, app_col, lambda r: True)
-
-    def count_for(pred) -> Column:
-        branches = [F.when(F.col(app_col) == a, F.lit(sum(1 for r in defs[a] if r.enabled and pred(r))))
-                    for a in sorted(defs)]
-        return F.coalesce(*branches, F.lit(0)).cast("int")
-
-    s = df.select(*keys, app_col, blk.alias("_b"))
+    df, evaluate = _evaluator(pairs, defs, response, request, judge_raw, None)
+    s = evaluate(df, lambda r: r.action == "block", app_col, "_block", "_b")
+    # counts of rules are rows of their own table
+    counts = [(app, sum(r.enabled and r.action == "block" for r in rs), sum(r.enabled and r.action != "block" for r in rs))
+              for app, rs in sorted(defs.items())]
+    counted = pairs.sparkSession.createDataFrame(counts, "_app string, _n_block int, _n_flag int")
+    s = s.join(counted, F.col(app_col) == F.col("_app"), "left")
+    n_block, n_flag = F.coalesce("_n_block", F.lit(0)), F.coalesce("_n_flag", F.lit(0))
     return s.select(
         *keys, app_col,
         F.exists("_b", lambda v: ~v["passed"]).alias("blocked"),
         F.array_join(F.transform(F.filter("_b", lambda v: ~v["passed"]), lambda v: v["contract_id"]), ",").alias("violations"),
         F.array_join(F.transform(F.filter("_b", lambda v: v["passed"] & (v["compliance"] < WARNING_BELOW)),
                                  lambda v: v["contract_id"]), ",").alias("warnings"),
-        count_for(lambda r: r.action == "block").alias("block_count"),
-        count_for(lambda r: r.action != "block").alias("flag_count"),
-        count_for(lambda r: True).alias("total_contracts"))
+        n_block.alias("block_count"), n_flag.alias("flag_count"), (n_block + n_flag).alias("total_contracts"))
 
 
 def contract_rollup(verdicts: DataFrame) -> DataFrame:
