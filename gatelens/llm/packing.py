@@ -31,8 +31,9 @@ class WordIds(dict):
     """Packed little-endian token ids of white-space separated words, remembered up to a bound.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are its words' ids in
-    order. Nor does it join an ASCII letter with a run of ASCII marks that ends the word. Words that may hold a
-    special token's string take the whole tokenizer.
+    order. Nor does it join an ASCII letter with a run of ASCII marks that ends the word. Keys are lower-cased words,
+    but words that may hold a special token's string, which counts in its own case only: they keep their case and take
+    the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -43,10 +44,10 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(_MARKS)
-        if stem != word and stem[-1:].isalpha():
-            packed = self[stem] + self[word[len(stem):]]
-        elif b"<|" in word:
+        if b"<|" in word:
             packed = _packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        elif stem != word and stem[-1:].isalpha():
+            packed = self[stem] + self[word[len(stem):]]
         else:
             text = word.decode()
             pieces = (text,) if word.isalpha() else (p for p, _ in self.split(self.normalize(text)))
@@ -60,7 +61,12 @@ class WordIds(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return _END
-        return b"".join(map(self.__getitem__, text.encode().lower().split())) + _END
+        raw = text.encode()
+        if b"<|" in raw:
+            words = (w if b"<|" in w else w.lower() for w in raw.split())
+        else:
+            words = raw.lower().split()
+        return b"".join(map(self.__getitem__, words)) + _END
 
 
 _word_ids: dict[str, WordIds] = {}     # one per Python worker, kept between its tasks

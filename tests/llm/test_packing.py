@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -11,8 +12,11 @@ from gatelens.llm.queries import tokenizer_path
 from gatelens.sources.tables import table
 
 
+whole = Tokenizer.from_file(tokenizer_path())
+
+
 def ids(text):
-    return Tokenizer.from_file(tokenizer_path()).encode(text or "", add_special_tokens=False).ids + [2]
+    return whole.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def check(rows, pieces, seq_len=4096):
@@ -45,6 +49,16 @@ def test_small_table(spark):
     assert len(packs) <= total / 4096 * 1.05 + 2
 
 
+def test_special_strings_count_in_their_own_case_only():
+    words = packing.WordIds(tokenizer_path())
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|", "Foo", "foo", "|>", " ", "\n", "É", "'S", "!!", "12"]
+    texts = ["<|ENDOFTEXT|>"] + ["".join(rng.choices(parts, k=rng.randint(1, 7))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids + [2]
+    assert np.frombuffer(words.encode(texts[0]), "<u4").tolist() == [27, 347, 40786, 4160, 91, 285, 2]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (3, "word " * 3000), (3, "word " * 3000), (4, "Don't it's, 'S. É́. \x1c a,b.c <|endoftext|>. 3.14 ﬁ"), (None, "x")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, length int")
