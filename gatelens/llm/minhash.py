@@ -2,8 +2,10 @@
 
 Shape of the job: equal shingle sets collapse first (one class per set, so copies never form pairs); class
 representatives are banded; each bucket's members are compared with a few hubs of the bucket, not with each other;
-buckets whose members end in one component are finished; in the few others, members of different components are
-compared block by block, where sizes and one-byte registers rule most pairs out before texts are touched.
+buckets whose members end in one component are finished. In the others, what is outside a bucket's largest component meets
+the whole bucket inside blocks of bounded size. Pairs never leave a block: it skips what sizes, one-byte registers or a
+component found so far decide, takes each pair in its first common bucket, confirms it on full sets with a local
+union-find, and gives out only the links that join components.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.llm.common import jaccard_at_least, mix, shingle_sets, slices
@@ -26,7 +28,8 @@ BANDS, ROWS = 32, 4      # a pair at similarity 0.8 shares no bucket with probab
 REGISTERS = BANDS * ROWS
 SKETCH_MARGIN = 0.2      # 5.6 standard deviations of the estimate from REGISTERS one-byte registers at 0.8
 HUBS = 3                 # hubs of a bucket, with which all its members are compared first
-BLOCK = 128              # members of one side in a block comparison
+BLOCK = 256              # members of one side in a block comparison, fewer where they are long:
+BLOCK_SHINGLES = 1 << 19
 _GOLDEN, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -154,19 +157,65 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _block_pairs(percent: int):
+def _similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``others`` have similarity >= percent / 100 with ``one`` (sorted distinct hashes, no set empty)."""
+    sizes = np.array([len(s) for s in others])
+    hashes = np.concatenate(others)
+    found = one[np.minimum(np.searchsorted(one, hashes), len(one) - 1)] == hashes
+    both = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(one) + sizes - both)
+
+
+class _Block:
+    """Rows of one block, those that ask and those asked: which pairs may still link."""
+
+    def __init__(self, frame: pd.DataFrame, percent: int):
+        self.percent, self.cut = percent, percent / 100 - SKETCH_MARGIN
+        self.rep, self.n, self.comp, self.asks, self.stray = (frame[c].to_numpy().copy() for c in ("rep", "n", "comp", "asks", "stray"))
+        self.registers = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, REGISTERS)
+        self.band, self.bands = frame["band"].iat[0], np.stack(frame["bands"].to_numpy())
+
+    def askers(self) -> np.ndarray:
+        return np.flatnonzero(self.asks)
+
+    def may_link(self, i: int) -> np.ndarray:
+        """Rows of other components that sizes and registers leave possible for row i, each pair asked from one side and
+        in its first common bucket only (a first bucket that was finished before has had the pair compared)."""
+        n = self.n[i]
+        may = ~self.asks & (self.comp != self.comp[i]) & (~self.stray | (self.rep > self.rep[i]))
+        at = np.flatnonzero(may & (100 * np.minimum(self.n, n) >= self.percent * np.maximum(self.n, n)))
+        at = at[(self.registers[at] == self.registers[i]).mean(axis=1) >= self.cut]
+        first = (self.bands[at] == self.bands[i]).argmax(axis=1)
+        return at[self.bands[i][first] == self.band]
+
+
+def _wanted(percent: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """The rows of one block that some pair needs, so that only their texts are fetched."""
+        block, wanted = _Block(frame, percent), np.zeros(len(frame), bool)
+        for i in block.askers():
+            at = block.may_link(i)
+            wanted[at] = True
+            wanted[i] |= len(at) > 0
+        return frame[wanted]
+    return run
+
+
+def _links(k: int, percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one block that may still link: other component, sizes and one-byte registers allow 0.8."""
-        cut = percent / 100 - SKETCH_MARGIN
-        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        found = []
-        regs = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(-1, REGISTERS)
-        rid, rn, rc = (right[c].to_numpy() for c in ("rep", "n", "comp"))
-        for rep, n, comp, sketch in zip(left["rep"], left["n"], left["comp"], left["sketch"]):
-            share = (regs == np.frombuffer(sketch, np.uint8)).mean(axis=1)
-            may = (rid > rep) if frame["diagonal"].iat[0] else (rid != rep)
-            may &= (rc != comp) & (share >= cut) & (100 * np.minimum(rn, n) >= percent * np.maximum(rn, n))
-            found += [(min(rep, x), max(rep, x)) for x in rid[may].tolist()]
+        """Links of one block, confirmed on full sets. Pairs of components joined on the way are skipped, and only links
+        that join two components come out: fewer rows than the block has."""
+        block, sets = _Block(frame, percent), shingle_sets(pa.array(frame["text"], pa.string()), k)
+        full, found = np.array([len(s) > 0 for s in sets]), []
+        for i in block.askers():
+            at = block.may_link(i)
+            at = at[full[at]]
+            if not len(at) or not full[i]:
+                continue
+            for j in at[_similar(sets[i], [sets[x] for x in at], percent)]:
+                if block.comp[j] != block.comp[i]:
+                    found.append((block.rep[i], block.rep[j]))
+                    block.comp[block.comp == block.comp[j]] = block.comp[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
     return run
 
@@ -177,8 +226,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns (doc_id, n_shingles, component_id, kept), one row per input row; only the two named columns are read, so
     extra columns cannot clash. A null or empty text, or one without words, has an empty set and links with nothing;
-    a text of fewer than ``shingle_words`` words is one shingle. A row without id is returned with component null and
-    kept true, and links with nothing. Repeated rows are one class (the id is kept on each of them); rows that repeat
+    a text of fewer than ``shingle_words`` words is one shingle. Very long texts are read whole; blocks hold fewer of
+    them. A row without id is returned with component null and kept true, and links with nothing. Repeated rows are one class (the id is kept on each of them); rows that repeat
     an id with another text count as the same document where they represent their class. Ties go to the smallest id.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -208,32 +257,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = verified(pairs)
     comp = components(tested.where("linked"))
 
-    # then, in the buckets that still hold several components, the members of different ones, block by block; a bucket
-    # of at most one member more than it has hubs has had all its pairs compared
+    # then, in the buckets that still hold several components, the members of different ones, inside blocks of bounded
+    # size; a bucket of at most one member more than it has hubs has had all its pairs compared
     n_hubs = F.size(F.array_distinct(F.array(*(F.col(f"hub{h}.rep") for h in range(HUBS)))))
-    now = members.where(F.col("members") > n_hubs + 1).select("band", "rep", "n", "members") \
-        .join(comp, F.col("rep") == F.col("node"), "left").select("band", "rep", "n", "members", F.coalesce("comp", "rep").alias("comp"))
-    mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    rest = now.join(mixed, "band", "left_semi").join(classes.select("rep", "sketch"), "rep")
-    chunks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("rep", F.lit("block")), chunks).cast("int")
-    rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-    sides = F.when(F.col("mine") == F.col("other"), F.array(F.lit(0), F.lit(1))) \
-        .when(F.col("mine") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
-    blocks = rest.select("band", lo.alias("lo"), hi.alias("hi"), F.explode(sides).alias("side"),
-                         (F.col("mine") == F.col("other")).alias("diagonal"), "rep", "n", "comp", "sketch")
-    pairs = blocks.groupBy("band", "lo", "hi").applyInPandas(_block_pairs(percent), "a long, b long").distinct() \
-        .join(tested, ["a", "b"], "left_anti")
-    more = verified(pairs).where("linked")
-    if not more.isEmpty():
-        ca, cb = (comp.select(F.col("node").alias(c), F.col("comp").alias("c" + c)) for c in "ab")
-        joins = more.join(ca, "a", "left").join(cb, "b", "left") \
-            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        upper = components(joins).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        nodes = comp.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-                                 .join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
-        comp = nodes.join(upper, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    rest = members.where(F.col("members") > n_hubs + 1).select("band", "rep", "n", "members")
+
+    def mixed() -> DataFrame:
+        """Members of the buckets with several components: whether one is outside the bucket's largest, how many are."""
+        now = rest.join(comp, rest["rep"] == comp["node"], "left").select(*rest.columns, F.coalesce("comp", "rep").alias("comp"))
+        largest = now.groupBy("band", "comp").agg(F.count("*").alias("of"), F.sum("n").alias("load")).groupBy("band") \
+            .agg(F.max(F.struct("of", "comp")).alias("top"), F.sum("load").alias("load")) \
+            .select("band", F.col("top.comp").alias("main"), F.col("top.of").alias("in_main"), "load")
+        return cut_lineage(now.join(largest, "band").where("members > in_main")
+                           .select("band", "rep", "n", "members", "comp", "load", (F.col("members") - F.col("in_main")).alias("strays"),
+                                   (F.col("comp") != F.col("main")).alias("stray")))
+
+    def chunks(count: str, load: str) -> Column:
+        return F.ceil(F.greatest(F.col(count) / F.lit(BLOCK), F.col(load) / F.lit(BLOCK_SHINGLES))).cast("int")
+
+    def chunk(number: Column, salt: str) -> Column:
+        return F.pmod(F.xxhash64("rep", F.lit(salt)), number).cast("int")
+
+    now = mixed()
+    if not now.isEmpty():
+        # what is left outside the largest component of its bucket meets all the bucket, chunk by chunk
+        grid = now.withColumn("stray_chunks", chunks("strays", "load")).withColumn("all_chunks", chunks("members", "load"))
+        to_all, to_strays = F.sequence(F.lit(0), F.col("all_chunks") - 1), F.sequence(F.lit(0), F.col("stray_chunks") - 1)
+        row = ["band", "rep", "n", "comp", "stray"]
+        ask = grid.where("stray").select(*row, F.lit(True).alias("asks"), chunk(F.col("stray_chunks"), "stray").alias("i"), F.explode(to_all).alias("j"))
+        asked = grid.select(*row, F.lit(False).alias("asks"), F.explode(to_strays).alias("i"), chunk(F.col("all_chunks"), "all").alias("j"))
+        blocks, keys = ask.unionByName(asked).join(classes.select("rep", "sketch", "bands"), "rep"), ["band", "i", "j"]
+        wanted = cut_lineage(blocks.groupBy(*keys).applyInPandas(_wanted(percent), blocks.schema))
+        links = wanted.join(texts, "rep").groupBy(*keys).applyInPandas(_links(shingle_words, percent), "a long, b long")
+        comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links))
 
     by_class = classes.select("set_key", "rep")
     by_class = by_class.join(comp, by_class["rep"] == comp["node"], "left").select("set_key", F.coalesce("comp", "rep").alias("rep"))

@@ -36,6 +36,22 @@ def test_families_around_the_threshold_match_all_pairs(spark):
     assert result(minhash.near_duplicates(docs, shingle_words=4)) == expected(rows, 4)
 
 
+def test_large_group_around_the_threshold_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng, rows = random.Random(11), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(160)]
+    for copy in range(150):
+        w = list(base)
+        for _ in range(copy % 9):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((copy * 7 % 601, " ".join(w)))
+    rows += [(700, " ".join(base * 3000)), (701, " ".join(base * 3000) + " end"), (702, " ".join(base[:120] * 2000))]   # very long texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = expected(rows, 4)
+    assert result(minhash.near_duplicates(docs, shingle_words=4)) == want
+    assert len({c for _, c, _ in want.values()}) > 5      # members that link with nothing are there
+
+
 def test_odd_rows_and_clashing_columns(spark):
     rows = [(7, "a b c d e f", 1, "x"), (7, "a b c d e f", 1, "x"), (3, "a b c d e f", 2, "y"), (None, "a b c d e f", 3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int, bands string")
