@@ -1,20 +1,17 @@
 """Rate-limit analytics: exact sliding-window admission replay and related reports.
 
 Admission is order dependent (a rejected request consumes no slot), so plain
-window counts are wrong. It runs as a sorted-partition fold whose state is at
-most ``max_requests`` timestamps per key. Keys are first cut at quiet gaps of
-at least one window (the window is provably empty there), so segments of one
-busy key fold in parallel.
+window counts are wrong. It runs as a fold over range-partitioned chunks whose
+state is at most ``max_requests`` timestamps per key; a busy key is spread over
+many chunks, whose start states are settled first (``ordered.chunked_fold``).
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelens.operators.ordered import quiet_gap_segments, sorted_fold
+from gatelens.operators.ordered import chunked_fold
 
 
 def epoch_ms(ts: str | Column) -> Column:
@@ -22,40 +19,51 @@ def epoch_ms(ts: str | Column) -> Column:
     return F.floor(epoch_us(ts) / F.lit(1000)).cast("long")
 
 
-def _admission_step(max_requests: int, window_ms: int):
-    def step(state, key, r):
-        dq = state if state is not None else deque()
-        now = int(r["ts_ms"])
-        cutoff = now - window_ms
-        while dq and dq[0] <= cutoff:
-            dq.popleft()
-        if len(dq) >= max_requests:
-            oldest = dq[0] if dq else now
-            retry = max(0.0, ((oldest + window_ms) - now) / 1000)
-            out = {"admitted": False, "count_after": len(dq), "retry_after": retry, "retry_after_header": int(retry)}
-        else:
-            dq.append(now)
-            out = {"admitted": True, "count_after": len(dq), "retry_after": None, "retry_after_header": None}
-        out.update({"key": r["key"], "ts_ms": now, "request_id": r["request_id"]})
-        return dq, out
-    return step
+def _admission_kernel(max_requests: int, window_ms: int):
+    """A request is refused if the ``max_requests``-th latest admitted one is still inside the window.
+
+    State: the stamps admitted within the window before the last request, at most ``max_requests``.
+    """
+    if max_requests < 1:
+        raise ValueError("a limit admits at least one request a window")
+
+    def kernel(state: list, stamps: list):
+        used, oldest = list(state), 0              # used[oldest:] lie inside the window
+        admitted, counts, retry, header = [], [], [], []
+        for now in stamps:
+            left = now - window_ms
+            while oldest < len(used) and used[oldest] <= left:
+                oldest += 1
+            wait_ms = used[-max_requests] - left if len(used) >= max_requests else 0
+            admitted.append(wait_ms <= 0)
+            if wait_ms <= 0:
+                used.append(now)
+            counts.append(len(used) - oldest)
+            retry.append(wait_ms / 1000 if wait_ms > 0 else None)
+            header.append(wait_ms // 1000 if wait_ms > 0 else None)
+        return used[oldest:], [admitted, counts, retry, header]
+    return kernel
+
+
+ADMISSION_COLUMNS = "admitted boolean, count_after int, retry_after double, retry_after_header int"
 
 
-ADMISSION_SCHEMA = ("key string, ts_ms long, request_id long, admitted boolean, count_after int, "
-                    "retry_after double, retry_after_header int")
+def _requests(log: DataFrame, key: str, ts_ms: str, request_id: str) -> DataFrame:
+    return log.select(F.col(key).cast("string").alias("key"), F.col(ts_ms).cast("long").alias("ts_ms"),
+                      F.col(request_id).cast("long").alias("request_id")).filter(F.col("ts_ms").isNotNull())
 
 
 def rate_admission(log: DataFrame, key: str, ts_ms: str, request_id: str, max_requests: int = 100,
-                   window_s: int = 60, split_quiet_gaps: bool = True) -> DataFrame:
-    """Replay the sliding-window limiter: admitted, count after the decision, retry-after for rejections."""
-    window_ms = int(window_s) * 1000
-    df = log.select(F.col(key).cast("string").alias("key"), F.col(ts_ms).cast("long").alias("ts_ms"),
-                    F.col(request_id).cast("long").alias("request_id"))
-    fold_keys = ["key"]
-    if split_quiet_gaps:
-        df = quiet_gap_segments(df, ["key"], "ts_ms", "request_id", window_ms)
-        fold_keys = ["key", "_seg"]
-    return sorted_fold(df, fold_keys, ["ts_ms", "request_id"], _admission_step(max_requests, window_ms), ADMISSION_SCHEMA)
+                   window_s: int = 60, split: bool = True) -> DataFrame:
+    """Replay the sliding-window limiter: admitted, count after the decision, retry-after for rejections.
+
+    A busy caller is folded by many tasks (``chunked_fold``), with or without quiet gaps. Requests of one instant go by
+    id; requests without a time have no place in the order and give no row; a null key is a caller like any other.
+    ``split=False`` folds each caller in one task, the plain definition that tests compare with.
+    """
+    return chunked_fold(_requests(log, key, ts_ms, request_id), "key", ["ts_ms", "request_id"],
+                        _admission_kernel(max_requests, int(window_s) * 1000), ADMISSION_COLUMNS,
+                        num_partitions=None if split else 1)
 
 
 def rate_peek(decisions: DataFrame, as_of_ms: int, window_s: int, max_requests: int) -> DataFrame:
@@ -117,39 +125,27 @@ def rate_fixed_vs_sliding(log: DataFrame, key: str, ts_ms: str, window_s: int, c
                                            (F.col("max_sliding") > F.col("max_fixed")).alias("boundary_burst"))
 
 
-def _leaky_step(rate_mph: int, burst: int):
+def _leaky_kernel(rate_mph: int, burst: int):
+    """State: the excess after the last admitted request and that request's time (none before a caller's first)."""
     limit = burst * 1000
 
-    def step(state, key, r):
-        now = int(r["ts_ms"])
-        if state is None:   # a new key starts with no excess
-            out = {"admitted": True, "excess_milli": 0, "key": r["key"], "ts_ms": now, "request_id": r["request_id"]}
-            return (0, now), out
-        excess, last = state
-        elapsed = abs(now - last)
-        e = excess - rate_mph * elapsed // 3_600_000 + 1000
-        e = max(e, 0)
-        if e > limit:
-            out = {"admitted": False, "excess_milli": excess}
-            new = (excess, last)
-        else:
-            out = {"admitted": True, "excess_milli": e}
-            new = (e, now)
-        out.update({"key": r["key"], "ts_ms": now, "request_id": r["request_id"]})
-        return new, out
-    return step
-
-
-LEAKY_SCHEMA = "key string, ts_ms long, request_id long, admitted boolean, excess_milli long"
+    def kernel(state: list, stamps: list):
+        admitted, excesses = [], []
+        for now in stamps:
+            if not state:
+                excess = 0
+            else:
+                excess = max(state[0] - rate_mph * (now - state[1]) // 3_600_000 + 1000, 0)
+            admitted.append(excess <= limit)
+            if excess <= limit:
+                state = [excess, now]
+            excesses.append(state[0])
+        return list(state), [admitted, excesses]
+    return kernel
 
 
 def rate_leaky_bucket(log: DataFrame, key: str, ts_ms: str, request_id: str, rate_per_hour: float,
                       burst: int) -> DataFrame:
     """Leaky bucket with burst and no delay: excess (milli-requests) drains at ``rate``; reject above burst."""
-    rate_mph = int(round(rate_per_hour * 1000))
-    df = log.select(F.col(key).cast("string").alias("key"), F.col(ts_ms).cast("long").alias("ts_ms"),
-                    F.col(request_id).cast("long").alias("request_id"))
-    # state is zero again once a full burst has drained: split keys there
-    drain_ms = ((burst + 1) * 1000 * 3_600_000) // max(rate_mph, 1) + 1
-    df = quiet_gap_segments(df, ["key"], "ts_ms", "request_id", drain_ms)
-    return sorted_fold(df, ["key", "_seg"], ["ts_ms", "request_id"], _leaky_step(rate_mph, burst), LEAKY_SCHEMA)
+    return chunked_fold(_requests(log, key, ts_ms, request_id), "key", ["ts_ms", "request_id"],
+                        _leaky_kernel(int(round(rate_per_hour * 1000)), burst), "admitted boolean, excess_milli bigint")

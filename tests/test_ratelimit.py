@@ -160,3 +160,54 @@ def test_peek_matches_model(spark, evs, m, w, as_of):
         live = sorted(t for k, t, i in ev if k == key and adm[i] and as_of - w * 1000 < t <= as_of)
         reset = (live[0] + w * 1000) / 1000 if live else as_of / 1000
         assert got[key] == (len(live), max(0, m - len(live)), reset)
+
+
+def _busy_log(spark, n, every_ms):
+    """Half the rows belong to one caller without a quiet gap; the other half to 500 callers."""
+    from pyspark.sql import functions as F
+    i = F.col("id")
+    return spark.range(n).select(F.when(i % 2 == 0, "busy").otherwise(F.concat(F.lit("k"), (F.xxhash64(i) % 250).cast("string"))).alias("key"),
+                                 (i * every_ms + F.pmod(F.xxhash64(i, F.lit(7)), F.lit(every_ms * 3))).alias("ts"), i.alias("rid"))
+
+
+def _chunks_of_busy_caller(decisions):
+    from pyspark.sql import functions as F
+    return decisions.filter(F.col("key") == "busy").select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_busy_caller_without_quiet_gaps_is_spread_over_tasks(spark):
+    log = _busy_log(spark, 40_000, 20)                       # 25 requests a second for the busy caller
+    for limit, window_s in ((3000, 60), (200, 10), (40, 2)):  # never full; nearly always full; now and then full
+        d = rl.rate_admission(log, "key", "ts", "rid", limit, window_s)
+        assert _chunks_of_busy_caller(d) >= 3
+        whole = rl.rate_admission(log, "key", "ts", "rid", limit, window_s, split=False)
+        assert d.exceptAll(whole).count() == 0 and d.count() == 40_000
+        got = {r["request_id"]: r["admitted"] for r in d.collect()}
+        events = [tuple(r) for r in log.collect()]
+        assert got == model(events, limit, window_s * 1000)
+
+
+def test_chunks_that_never_agree_are_folded_by_one_task(spark):
+    rows = [("tick", 10 * i, i) for i in range(3000)] + [("other", 10 * i, 10_000 + i) for i in range(50)]
+    got = admit(spark, rows, 1, 1)                           # 1 admitted in 100, phase never forgotten
+    assert got == model(rows, 1, 1000)
+    from gatelens.operators.ordered import chunked_fold
+    df = spark.createDataFrame(rows, "key string, ts_ms long, request_id long")
+    for rounds in (0, 1, 2):
+        d = chunked_fold(df, "key", ["ts_ms", "request_id"], rl._admission_kernel(1, 1000), rl.ADMISSION_COLUMNS, rounds=rounds)
+        assert {r["request_id"]: r["admitted"] for r in d.collect()} == got
+
+
+def test_chunked_leaky_bucket_of_a_busy_caller(spark):
+    log = _busy_log(spark, 20_000, 3000)
+    got = {r["request_id"]: r["admitted"] for r in rl.rate_leaky_bucket(log, "key", "ts", "rid", 300.0, 5).collect()}
+    assert got == _leaky_model([tuple(r) for r in log.collect()], 300_000, 5)
+
+
+def test_odd_requests_have_a_defined_result(spark):
+    schema = "key string, ts long, rid long"
+    assert rl.rate_admission(spark.createDataFrame([], schema), "key", "ts", "rid", 1, 1).count() == 0
+    rows = [(None, 5, 1), (None, 6, 2), ("a", None, 3), ("a", 5, 4), ("a", 5, 4), ("a", 5, None)]
+    d = rl.rate_admission(spark.createDataFrame(rows, schema), "key", "ts", "rid", 1, 10).collect()
+    assert sorted((r["key"] or "", r["request_id"] or 0, r["admitted"]) for r in d) == [
+        ("", 1, True), ("", 2, False), ("a", 0, True), ("a", 4, False), ("a", 4, False)]
