@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.functions.numeric import half_up
+from gatelens.session import cut_lineage
 from gatelens.sources.tables import epoch_us
 
 KEY = ["app_id", "contract_id"]
@@ -184,3 +185,30 @@ def read_compliance(spark, path: str, as_of: str, hours: float) -> DataFrame:
     lo = _minus_hours(as_of, hours)
     s = spark.read.parquet(path).filter((F.col("day") >= F.to_date(lo)) & (F.col("day") <= F.to_date(_ts(as_of))))
     return s.filter((F.col("ts") >= lo) & (F.col("ts") <= _ts(as_of))).drop("day")
+
+
+def prune_store(spark, path: str, as_of: str, days: int = 30) -> None:
+    """Apply the retention to the day-partitioned store in place: entries with ts <= as_of - days go.
+
+    Folders of days before the cutoff's day are removed, the cutoff's own day is rewritten (its remaining rows are
+    checkpointed, then dynamic partition overwrite replaces that folder alone); later days' files are not touched.
+    Running it again changes nothing, so a job that died half-way is run again. A missing store or an empty one stays so.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return
+    cutoff = spark.range(1).select((_ts(as_of) - F.make_dt_interval(F.lit(days))).alias("c")).first()["c"]
+    last = cutoff.date().isoformat()
+    stored = {s.getPath().getName().removeprefix("day="): s.getPath() for s in fs.listStatus(root)
+              if s.getPath().getName().startswith("day=")}
+    if last in stored:
+        boundary = spark.read.parquet(path).filter(F.col("day") == F.to_date(F.lit(last)))
+        kept = cut_lineage(boundary.filter(F.col("ts") > F.lit(cutoff).cast("timestamp_ntz")))
+        if kept.isEmpty():
+            fs.delete(stored[last], True)
+        else:
+            (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
+    for day, folder in stored.items():
+        if day < last:            # ISO dates order as text
+            fs.delete(folder, True)

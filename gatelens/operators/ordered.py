@@ -91,6 +91,23 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable
             .mapInPandas(run, schema))
 
 
+def running_totals(df: DataFrame, key: str, order: str, sums: dict[str, str], num_partitions: int | None = None) -> DataFrame:
+    """Adds running sums (column -> name of its sum, the row's own included) per key in ascending ``order``.
+
+    Rows are range-partitioned by (key, order) into chunks; each chunk sums by itself and starts from the total of the
+    key's earlier chunks (one row per key and chunk). (key, order) must be unique. A key may span any number of chunks.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = cut_lineage(df.repartitionByRange(n, key, order).withColumn("_chunk", F.spark_partition_id()))
+    totals = base.groupBy(key, "_chunk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    chunks = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    start = totals.select(F.col(key).alias("_key"), F.col("_chunk").alias("_at"),
+                          *[F.coalesce(F.sum(f"_t_{c}").over(chunks), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    inside = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    j = base.join(start, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_at")))
+    return j.select(*df.columns, *[(F.col(f"_b_{c}") + F.sum(c).over(inside)).alias(name) for c, name in sums.items()])
+
+
 SETTLE_ROUNDS = 8
 
 

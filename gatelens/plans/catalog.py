@@ -159,6 +159,16 @@ def q_pr_curve(spark, sf):
     return ev.pr_curve(fx.scored(spark, sf))
 
 
+@register("pr_curve_all")
+def q_pr_curve_all(spark, sf):
+    return ev.pr_curve_all(fx.scored(spark, sf)).select("model", "threshold", "tp", "fp", "precision", "recall", "f1")
+
+
+@register("average_precision")
+def q_average_precision(spark, sf):
+    return ev.average_precision(ev.pr_curve_all(fx.scored(spark, sf)))
+
+
 @register("latency_summary")
 def q_latency_summary(spark, sf):
     return ev.latency_summary(fx.scored(spark, sf))
@@ -357,7 +367,10 @@ def q_daily_compliance(spark, sf):
 
 @register("prune_retention")
 def q_prune_retention(spark, sf):
-    kept = dr.prune_retention(_series(spark, sf), fx.AS_OF, 20)
+    path = sio.scratch_path(spark, "retention")
+    dr.write_compliance(_series(spark, sf), path, mode="overwrite")
+    dr.prune_store(spark, path, fx.AS_OF, 20)
+    kept = spark.read.parquet(path)
     return kept.groupBy(*dr.KEY).agg(F.count("*").alias("retained"), F.min("ts_us").alias("oldest_ts_us"))
 
 

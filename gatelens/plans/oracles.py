@@ -274,6 +274,23 @@ SELECT model, threshold, tp, fp,
       / ((CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END) + (CASE WHEN npos = 0 THEN 0.0 ELSE tp / npos END)) END, 6) AS f1
 FROM c"""
 
+_ALL_SCORES = """dist AS (
+  SELECT model, prob AS threshold, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM scored GROUP BY model, prob),
+cum AS (
+  SELECT model, threshold, pos, CAST(sum(pos) OVER up AS BIGINT) AS tp, CAST(sum(neg) OVER up AS BIGINT) AS fp,
+    CAST(sum(pos) OVER (PARTITION BY model) AS BIGINT) AS npos
+  FROM dist WINDOW up AS (PARTITION BY model ORDER BY threshold DESC)),
+pts AS (
+  SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS p, CASE WHEN npos = 0 THEN 0.0 ELSE tp / npos END AS r FROM cum),
+curve AS (
+  SELECT model, threshold, pos, npos, tp, fp, p, round(p, 6) AS precision, round(r, 6) AS recall,
+    round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2.0 * p * r / (p + r) END, 6) AS f1 FROM pts)"""
+ORACLES["pr_curve_all"] = with_(SCORED, _ALL_SCORES) + "SELECT model, threshold, tp, fp, precision, recall, f1 FROM curve"
+ORACLES["average_precision"] = with_(SCORED, _ALL_SCORES) + """
+SELECT model, count(*) AS n_thresholds, max(f1) AS best_f1,
+  round(sum(CASE WHEN npos = 0 THEN 0.0 ELSE pos / npos * p END), 6) AS average_precision
+FROM curve GROUP BY model"""
+
 ORACLES["latency_summary"] = with_(SCORED) + """
 SELECT model, count(*) AS n,
   round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms,

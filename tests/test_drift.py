@@ -90,3 +90,24 @@ def test_drift_check_matches_model(spark, pts, recent_cut):
     assert (len(got) == 1) == (want is not None)
     if want is not None:
         assert abs(got[0]["drop_pct"] - want) <= 0.00005 + 1e-12
+
+
+def test_store_is_pruned_in_place_and_later_days_are_untouched(spark, tmp_path):
+    import os
+    path = str(tmp_path / "store")
+    dr.prune_store(spark, path, AS_OF, 2)                        # nothing there: nothing happens
+    rows = [("a", "c", hours_before(h), 0.5) for h in (0, 1, 30, 47, 48, 49, 71, 72, 100, 1000)]
+    s = series(spark, rows)
+    dr.write_compliance(s, path)
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns     # noqa: E731
+                     for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    before = files()
+    for _ in range(2):                                           # a second run changes no row
+        dr.prune_store(spark, path, AS_OF, 2)
+        back = spark.read.parquet(path)
+        assert sorted(r["ts_us"] for r in back.collect()) == sorted(r["ts_us"] for r in dr.prune_retention(s, AS_OF, 2).collect())
+        later = {f for f in before if f.split("day=")[1][:10] > "2024-01-29"}
+        assert later and all(files().get(f) == before[f] for f in later)
+        assert min(f.split("day=")[1][:10] for f in files()) == "2024-01-29"
+    dr.prune_store(spark, path, "2024-03-31 12:00:00", 2)
+    assert not files()
