@@ -4,8 +4,9 @@ Every check is one conditional aggregation per (app, contract) key: the recent
 and baseline windows are two FILTERed aggregates over one scan (the baseline
 window contains the recent one, as in the online detector). Time filters are
 on the event-time column, so they reach the parquet scan as pushed filters.
-Timelines pre-aggregate to (key, day) partials first; the window frame then
-runs over days, not rows, so its cost does not grow with traffic per key.
+Timelines sum the scores that enter and leave the windows per (key, tick)
+first; running sums then go over ticks, not rows, so their cost does not grow
+with traffic per key.
 """
 
 from __future__ import annotations
@@ -121,42 +122,60 @@ def drift_summary(series: DataFrame, as_of: str, cfg: DriftConfig = DriftConfig(
                       F.col("severity").isNotNull().cast("int").alias("alert_count"))
 
 
-def drift_timeline(series: DataFrame, first_tick: str, last_tick: str, cfg: DriftConfig = DriftConfig()) -> DataFrame:
-    """The drift check at every midnight tick in [first_tick, last_tick] (daily cadence).
+_TICKS = 1024      # ticks a chunk of the running sums
 
-    Exact window edges: window [T - 24 h, T] = day bucket before T plus scores exactly at T;
-    [T - 168 h, T] = the 7 day buckets before T plus scores exactly at T. Requires whole-day windows.
+
+def drift_timeline(series: DataFrame, first_tick: str, last_tick: str, cfg: DriftConfig = DriftConfig(),
+                   every_s: int = 86_400, keys: DataFrame | None = None) -> DataFrame:
+    """The drift check at every tick first_tick, first_tick + every_s, ... up to last_tick, for any windows.
+
+    A sweep: a score enters both windows [T - hours, T] at the first tick at or after its time and leaves each at the first
+    tick beyond time + hours. These changes are summed per (key, tick) before the shuffle, and running sums over ticks give
+    the windows' counts and exact sums; they run per (key, 1024 ticks) and start from the totals of earlier chunks, so
+    neither a busy key nor a long timeline is one task. Only scores of [first_tick - longest window, last_tick] are read.
+    Every key gets every tick: the keys of ``keys`` if given, else those of the whole series (a scan of its own).
     """
-    rd, bd = cfg.recent_hours / 24.0, cfg.baseline_hours / 24.0
-    if rd != int(rd) or bd != int(bd):
-        raise ValueError("drift_timeline needs whole-day windows")
-    rd, bd = int(rd), int(bd)
-    day = F.to_date("ts")
-    at_midnight = F.col("ts") == day.cast("timestamp_ntz")
-    parts = series.groupBy(*KEY, day.alias("day")).agg(
-        F.count("*").alias("n"), F.sum(_units()).alias("s"),
-        F.count_if(at_midnight).alias("n0"), F.sum(F.when(at_midnight, _units())).alias("s0"))
-    keys = series.select(*KEY).distinct()
-    ticks = keys.select(*KEY, F.explode(F.sequence(F.to_date(F.lit(first_tick)), F.to_date(F.lit(last_tick)))).alias("tick"))
-    # calendar rows for every day that can fall inside a window
-    cal = keys.select(*KEY, F.explode(F.sequence(F.date_sub(F.to_date(F.lit(first_tick)), bd),
-                                                 F.to_date(F.lit(last_tick)))).alias("day"))
-    grid = cal.join(parts, KEY + ["day"], "left").na.fill(0, ["n", "n0", "s", "s0"])
-    di = F.datediff(F.col("day"), F.lit("1970-01-01"))
-    w = Window.partitionBy(*KEY).orderBy(di)
-    g = grid.select(*KEY, "day", "n0", "s0",
-                    F.sum("n").over(w.rangeBetween(-rd, -1)).alias("rn"), F.sum("s").over(w.rangeBetween(-rd, -1)).alias("rs"),
-                    F.sum("n").over(w.rangeBetween(-bd, -1)).alias("bn"), F.sum("s").over(w.rangeBetween(-bd, -1)).alias("bs"))
-    st = ticks.join(g.withColumnRenamed("day", "tick"), KEY + ["tick"], "left").select(
-        *KEY, "tick",
-        (F.coalesce("rn", F.lit(0)) + F.coalesce("n0", F.lit(0))).alias("recent_n"),
-        (F.coalesce("bn", F.lit(0)) + F.coalesce("n0", F.lit(0))).alias("baseline_n"),
-        _mean(F.coalesce("rs", F.lit(0)) + F.coalesce("s0", F.lit(0)),
-              F.coalesce("rn", F.lit(0)) + F.coalesce("n0", F.lit(0))).alias("recent_avg"),
-        _mean(F.coalesce("bs", F.lit(0)) + F.coalesce("s0", F.lit(0)),
-              F.coalesce("bn", F.lit(0)) + F.coalesce("n0", F.lit(0))).alias("baseline_avg"))
-    return st.select(*KEY, F.col("tick").cast("string").alias("tick"), F.col("recent_n").cast("long").alias("recent_n"),
-                     F.col("baseline_n").cast("long").alias("baseline_n"),
+    named = keys is not None
+    keys = (keys if named else series).select(*KEY).distinct()
+    step, first = int(every_s) * 1_000_000, epoch_us(_ts(first_tick))
+
+    def ticks_until(us: Column) -> Column:          # floor of (us - first) / step, exactly
+        return ((us - first - F.pmod(us - first, F.lit(step))) / step).cast("long")
+
+    final = ticks_until(epoch_us(_ts(last_tick)))
+    longest = max(cfg.recent_hours, cfg.baseline_hours)
+    near = series.filter((F.col("ts") >= _minus_hours(first_tick, longest)) & (F.col("ts") <= _ts(last_tick)))
+    units, zero, one = F.coalesce(_units(), F.lit(0)).cast("long"), F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def change(j: Column, rn: Column, rs: Column, bn: Column, bs: Column) -> Column:
+        return F.struct(F.greatest(j, zero).alias("j"), rn.alias("rn"), rs.alias("rs"), bn.alias("bn"), bs.alias("bs"))
+
+    def leaves(hours: float) -> Column:
+        return ticks_until(F.col("ts_us") + F.lit(int(round(hours * 3_600_000_000)))) + 1
+
+    changes = near.select(*KEY, F.inline(F.array(
+        change(ticks_until(F.col("ts_us") - 1) + 1, one, units, one, units),
+        change(leaves(cfg.recent_hours), -one, -units, zero, zero),
+        change(leaves(cfg.baseline_hours), zero, zero, -one, -units))))
+    chunk = ((F.col("j") - F.pmod(F.col("j"), F.lit(_TICKS))) / _TICKS).cast("long")
+    grid = (keys.select(*KEY, F.explode(F.sequence(zero, ((final - F.pmod(final, F.lit(_TICKS))) / _TICKS).cast("long"))).alias("c"))
+            .select(*KEY, F.explode(F.sequence(F.col("c") * _TICKS, F.least(F.col("c") * _TICKS + _TICKS - 1, final))).alias("j"),
+                    *[zero.alias(n) for n in ("rn", "rs", "bn", "bs")]))
+    sums = ["rn", "rs", "bn", "bs"]
+    at = (grid.unionByName(changes.filter(F.col("j") <= final)).groupBy(*KEY, chunk.alias("chunk"), "j")
+          .agg(*[F.sum(n).alias(n) for n in sums]))
+    if named:
+        at = at.join(keys, KEY, "left_semi")
+    before = Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (at.groupBy(*KEY, "chunk").agg(*[F.sum(n).alias(n) for n in sums])
+             .select(*KEY, "chunk", *[F.coalesce(F.sum(n).over(before), zero).alias(f"{n}0") for n in sums]))
+    inside = Window.partitionBy(*KEY, "chunk").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    run = at.join(carry, KEY + ["chunk"]).select(*KEY, "j", *[(F.col(f"{n}0") + F.sum(n).over(inside)).alias(n) for n in sums])
+    st = run.select(*KEY, F.timestamp_add("SECOND", (F.col("j") * int(every_s)).cast("int"), _ts(first_tick)).alias("tick"),
+                    F.col("rn").alias("recent_n"), F.col("bn").alias("baseline_n"),
+                    _mean(F.col("rs"), F.col("rn")).alias("recent_avg"), _mean(F.col("bs"), F.col("bn")).alias("baseline_avg"))
+    tick = F.date_format("tick", "yyyy-MM-dd" if every_s % 86_400 == 0 else "yyyy-MM-dd HH:mm:ss")
+    return st.select(*KEY, tick.alias("tick"), "recent_n", "baseline_n",
                      F.coalesce(_is_alert(cfg), F.lit(False)).alias("alert"),
                      half_up("recent_avg", 4).alias("recent_avg"), half_up("baseline_avg", 4).alias("baseline_avg"))
 

@@ -360,6 +360,12 @@ def q_drift_timeline(spark, sf):
     return dr.drift_timeline(_series(spark, sf), FIRST_TICK, LAST_TICK, DRIFT_CFG)
 
 
+@register("drift_ticks")
+def q_drift_ticks(spark, sf):
+    """The check every 300 s, the gateway's setting, over the two days that end with the series."""
+    return dr.drift_timeline(_series(spark, sf), "2024-01-29 00:00:00", fx.AS_OF, DRIFT_CFG, every_s=300)
+
+
 @register("daily_compliance")
 def q_daily_compliance(spark, sf):
     return dr.daily_compliance(_series(spark, sf))

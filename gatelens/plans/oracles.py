@@ -416,6 +416,20 @@ SELECT app_id, contract_id, strftime(tick, '%Y-%m-%d') AS tick, recent_n, baseli
   coalesce(recent_n >= 10 AND baseline_n >= 10 AND baseline_avg > 0 AND (baseline_avg - recent_avg) / baseline_avg > 0.10, false) AS alert,
   (CAST(floor((recent_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS recent_avg, (CAST(floor((baseline_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS baseline_avg
 FROM tst"""
+ORACLES["drift_ticks"] = with_(SERIES, f"""ticks AS (
+  SELECT CAST(t AS TIMESTAMP) AS tick FROM generate_series(TIMESTAMP '2024-01-29 00:00:00', {AS_OF_SQL}, INTERVAL 300 SECOND) g(t)),
+keys AS (SELECT DISTINCT app_id, contract_id FROM series),
+inw AS (
+  SELECT s.app_id, s.contract_id, t.tick, s.ts >= t.tick - INTERVAL 24 HOUR AS recent, CAST(round(s.score * 10000.0) AS BIGINT) AS u
+  FROM ticks t JOIN series s ON s.ts >= t.tick - INTERVAL 168 HOUR AND s.ts <= t.tick),
+tst AS (
+  SELECT app_id, contract_id, tick, count_if(recent) AS recent_n, count(*) AS baseline_n,
+    sum(u) FILTER (WHERE recent) / count_if(recent) / 10000.0 AS recent_avg, sum(u) / count(*) / 10000.0 AS baseline_avg
+  FROM inw GROUP BY ALL)""") + """
+SELECT k.app_id, k.contract_id, strftime(t.tick, '%Y-%m-%d %H:%M:%S') AS tick, coalesce(recent_n, 0) AS recent_n, coalesce(baseline_n, 0) AS baseline_n,
+  coalesce(recent_n >= 10 AND baseline_n >= 10 AND baseline_avg > 0 AND (baseline_avg - recent_avg) / baseline_avg > 0.10, false) AS alert,
+  (CAST(floor((recent_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS recent_avg, (CAST(floor((baseline_avg) * 10000.0 + 0.5) AS DOUBLE) / 10000.0) AS baseline_avg
+FROM keys k CROSS JOIN ticks t LEFT JOIN tst x ON x.app_id = k.app_id AND x.contract_id = k.contract_id AND x.tick = t.tick"""
 ORACLES["daily_compliance"] = with_(SERIES) + """
 SELECT app_id, contract_id, strftime(day, '%Y-%m-%d') AS day, n, (CAST(floor((mean) * 1000000.0 + 0.5) AS DOUBLE) / 1000000.0) AS mean_score,
   coalesce((lag(mean) OVER w - mean) / lag(mean) OVER w > 0.10, false) AS drop_alert

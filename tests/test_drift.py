@@ -111,3 +111,45 @@ def test_store_is_pruned_in_place_and_later_days_are_untouched(spark, tmp_path):
         assert min(f.split("day=")[1][:10] for f in files()) == "2024-01-29"
     dr.prune_store(spark, path, "2024-03-31 12:00:00", 2)
     assert not files()
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 5000), st.integers(0, 10_000)), min_size=1, max_size=60),
+       st.sampled_from([1, 7, 60, 300]), st.sampled_from([(0.01, 0.1), (0.25, 0.05), (0.5, 0.5)]))
+def test_sweep_equals_the_windows_at_any_cadence(spark, points, every_s, hours):
+    """Few ticks a chunk, scores on tick and window borders, scores before the first tick."""
+    base = dt.datetime(2024, 1, 1)
+    s = series(spark, [(a, "c", base + dt.timedelta(seconds=t), u / 10_000) for a, t, u in points])
+    stored = {(a, t, u) for a, t, u in points}
+    cfg = dr.DriftConfig(recent_hours=hours[0], baseline_hours=hours[1])
+    first, last = 600, 600 + 5 * every_s + 3600
+    saved, dr._TICKS = dr._TICKS, 4
+    try:
+        got = {(r["app_id"], r["tick"]): r for r in dr.drift_timeline(
+            s, str(base + dt.timedelta(seconds=first)), str(base + dt.timedelta(seconds=last)), cfg, every_s=every_s).collect()}
+    finally:
+        dr._TICKS = saved
+    apps, ticks = {a for a, _, _ in stored}, range(first, last + 1, every_s)
+    assert len(got) == len(apps) * len(ticks)
+    for a in apps:
+        for t in ticks:
+            r = got[a, str(base + dt.timedelta(seconds=t))]
+            recent = [u for b, x, u in stored if b == a and t - hours[0] * 3600 <= x <= t]
+            longer = [u for b, x, u in stored if b == a and t - hours[1] * 3600 <= x <= t]
+            assert (r["recent_n"], r["baseline_n"]) == (len(recent), len(longer)), (a, t)
+            if recent:
+                assert abs(r["recent_avg"] - sum(recent) / len(recent) / 10_000) < 6e-5
+
+
+def test_sweep_reads_its_window_only_and_takes_named_keys(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    spark.createDataFrame([("a", "c", hours_before(h), 0.5) for h in (1, 30, 900)] + [("b", "c", hours_before(2), 0.5)],
+                          "app_id string, contract_id string, ts timestamp_ntz, score double").write.parquet(path)
+    s = dr.compliance_series(spark.read.parquet(path))
+    named = spark.createDataFrame([("a", "c"), ("z", "c")], "app_id string, contract_id string")
+    tl = dr.drift_timeline(s, "2024-01-30 00:00:00", AS_OF, every_s=3600, keys=named)
+    plan = tl._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThanOrEqual(ts" in plan
+    got = {(r["app_id"], r["tick"]): (r["recent_n"], r["baseline_n"]) for r in tl.collect()}
+    assert {a for a, _ in got} == {"a", "z"} and len(got) == 50
+    assert got["a", AS_OF] == (1, 2) and got["z", AS_OF] == (0, 0)
