@@ -30,6 +30,7 @@ SKETCH_MARGIN = 0.2      # 5.6 standard deviations of the estimate from REGISTER
 HUBS = 3                 # hubs of a bucket, with which all its members are compared first
 BLOCK = 256              # members of one side in a block comparison, fewer where they are long:
 BLOCK_SHINGLES = 1 << 19
+EDGES_A_TASK = 1 << 18   # edges that one task's union-find takes
 _GOLDEN, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -119,10 +120,16 @@ def _local_union_find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): every node of ``edges(a, b)`` with the smallest node it is connected to.
 
-    Union-find inside partitions leaves a forest; then every root is hooked to its smallest neighbour and pointers jump
-    across partitions. Each round at least halves the roots of an unfinished component.
+    Union-find inside partitions leaves a forest: in one partition that is the answer. Otherwise every root is hooked to
+    its smallest neighbour and pointers jump across partitions; each round at least halves the roots of an unfinished
+    component. Edges are counted first, so a partition holds about EDGES_A_TASK of them, not what a shuffle left in it.
     """
-    rest = cut_lineage(edges.select("a", "b").mapInPandas(_local_union_find, "a long, b long"))
+    edges = cut_lineage(edges.select("a", "b"))
+    tasks = -(-edges.count() // EDGES_A_TASK) or 1
+    rest = cut_lineage(edges.coalesce(tasks).mapInPandas(_local_union_find, "a long, b long"))
+    if tasks == 1:
+        roots = rest.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
+        return rest.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
     comp = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct() \
         .select("node", F.col("node").alias("comp"))
     while not rest.isEmpty():

@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 from paths import SF_SMALL
 
 from gatelens.llm import minhash
@@ -80,3 +81,17 @@ def test_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - 400 / 600) < 0.2
     alone = minhash.superminhash(b, np.zeros(len(b), int), 1)
     assert (alone[0] == sig[1]).all()
+
+
+@pytest.mark.parametrize("edges_a_task", [1 << 18, 7])
+def test_components_in_one_task_and_across_tasks(spark, monkeypatch, edges_a_task):
+    """A long chain, a star, repeated and self edges, and no edge at all."""
+    from gatelens.llm import minhash
+    monkeypatch.setattr(minhash, "EDGES_A_TASK", edges_a_task)
+    chain, star = [(i + 1, i) for i in range(100, 130)], [(500, 500 + i) for i in range(1, 12)]
+    rows = chain + star + [(700, 701), (701, 700), (700, 701), (900, 900)]
+    edges = spark.createDataFrame(rows[::2] + rows[1::2], "a long, b long").repartition(5)
+    got = {r["node"]: r["comp"] for r in minhash.components(edges).collect()}
+    want = {n: 100 for n in range(100, 131)} | {n: 500 for n in range(500, 512)} | {700: 700, 701: 700}
+    assert {n: c for n, c in got.items() if n != 900} == want and got.get(900, 900) == 900
+    assert minhash.components(edges.where("a < 0")).count() == 0
