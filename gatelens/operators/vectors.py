@@ -1,30 +1,27 @@
 """Semantic response reuse: exact thresholded cosine search over unit vectors, at scale.
 
-No cross join and no per-pair rows. Exactness comes from the triangle
-inequality: store vectors are assigned to their nearest pivot and to a ring
-(distance band of width r = sqrt(2 - 2*thr)) around it. A query can only reach
-cosine >= thr with vectors in rings [d(q,p) - r, d(q,p) + r] of each pivot p,
-and only cells that hold store vectors are joined. Store members of a
-(pivot, ring[, time bucket]) cell are packed into blocks of at most
-``block_size`` vectors; each (query, candidate block) row is scored with one
-numpy mat-vec in ``mapInPandas`` and emits only its best matches. Cells that
-hold many blocks are naturally split across tasks (a block is the unit of
-work), so a hot cell never lands in one task.
-
-The number of pivots is a driver-side constant and the pivot matrix (pivots x
-dim floats) is the only broadcast, bounded by configuration.
+No cross join and no per-pair rows. Both sides are cut into parts by hashed ids, and each part of the queries meets each
+part of the store in one cogrouped task, so a vector is shuffled once per part of the other side: at most ``slices``
+times, whatever the size, until a part reaches the ``slice_rows`` that a task may hold (beyond that, copies grow with
+the table, as an exact search in bounded memory must). Entries that expire are also kept apart by time bucket, so a
+vector meets its own and the next bucket only.
+
+Inside a task the triangle inequality saves products: members are sorted by their nearest pivot (some members of the
+part) and their distance from it, in blocks of ``block_size``; a query can only reach cosine >= thr with members whose
+distance from the pivot differs from its own by at most r = sqrt(2 - 2*thr), and other blocks are not scored for it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gatelens.functions.numeric import half_up
 
@@ -37,156 +34,153 @@ class SearchConfig:
     k: int = 1
     ttl_s: float | None = None    # entries live for ttl seconds after being stored (None: forever)
     eps: float = 1e-9
+    slices: int = 16              # parts of either side of a search, of block_size rows at least
+    slice_rows: int = 131_072     # a part never holds more, on average
 
 
 def normalize(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Unit-length double array (JVM-side higher-order functions)."""
     v = F.transform(F.col(col), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return df.withColumn(out or col, F.transform(v, lambda x: x / norm))
-
-
-def _pivot_matrix(store: DataFrame, id_col: str, vec_col: str, n: int) -> np.ndarray:
-    """n store vectors with the smallest id hash (distributed top-k; n x dim floats to the driver)."""
-    rows = (store.select(F.xxhash64(id_col).alias("_h"), id_col, vec_col)
-            .orderBy("_h", id_col).limit(n).collect())
-    return np.array([r[vec_col] for r in rows], dtype=np.float64)
-
-
-def _assign_store(store: DataFrame, id_col: str, vec_col: str, piv: np.ndarray, r: float) -> DataFrame:
-    def run(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            m = np.stack(pdf[vec_col].to_numpy())
-            d2 = np.maximum(2.0 - 2.0 * (m @ piv.T), 0.0)
-            best = d2.argmin(axis=1)
-            d = np.sqrt(d2[np.arange(len(pdf)), best])
-            out = pdf.copy()
-            out["pivot"] = best.astype("int32")
-            out["pdist"] = d
-            out["ring"] = np.floor(d / r).astype("int64")
-            yield out
-    schema = T.StructType(list(store.schema.fields) + [T.StructField("pivot", T.IntegerType()),
-                                                       T.StructField("pdist", T.DoubleType()),
-                                                       T.StructField("ring", T.LongType())])
-    return store.mapInPandas(run, schema)
-
-
-def _probe_cells(queries: DataFrame, vec_col: str, piv: np.ndarray, r: float, radius: dict, eps: float) -> DataFrame:
-    """(pivot, ring) cells a query must visit; pivots out of reach are skipped."""
-    rad = np.array([radius.get(i, -1.0) for i in range(len(piv))])
-
-    def run(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            m = np.stack(pdf[vec_col].to_numpy())
-            d = np.sqrt(np.maximum(2.0 - 2.0 * (m @ piv.T), 0.0))
-            cells = []
-            for row in d:
-                cs = []
-                for p in np.nonzero((rad >= 0) & (row - r - eps <= rad))[0]:
-                    lo = max(0, int(math.floor((row[p] - r - eps) / r)))
-                    hi = int(math.floor((row[p] + r + eps) / r))
-                    cs.extend([(int(p), k) for k in range(lo, hi + 1)])
-                cells.append(cs)
-            out = pdf.copy()
-            out["cells"] = [[{"pivot": p, "ring": k} for p, k in cs] for cs in cells]
-            yield out
-    cell = T.StructType([T.StructField("pivot", T.IntegerType()), T.StructField("ring", T.LongType())])
-    schema = T.StructType(list(queries.schema.fields) + [T.StructField("cells", T.ArrayType(cell))])
-    return queries.mapInPandas(run, schema)
-
-
-def _blocks(assigned: DataFrame, id_col: str, vec_col: str, cfg: SearchConfig, keys: list[str],
-            time_col: str | None) -> tuple[DataFrame, DataFrame]:
-    """Pack each cell's members into blocks of about ``block_size`` (hash spread); returns (blocks, cell sizes)."""
-    sizes = assigned.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(cfg.block_size)).cast("long").alias("nblk"))
-    a = assigned.join(sizes, keys).withColumn("blk", F.pmod(F.xxhash64(id_col), F.col("nblk")))
-    b = a.select(*keys, "blk", F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"),
-                 (F.col(time_col).cast("double") if time_col else F.lit(None).cast("double")).alias("t"))
-    return b, sizes
+    # the norm as an array of its own: inside a lambda it would be taken anew for every element
+    return df.withColumn(out or col, F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x / n))
 
 
 MATCH_SCHEMA = "query_id long, entry_id long, similarity double"
+MARGIN = 1e-7                # rounding of a distance near 0, sqrt(2 - 2 cos)
+HELD_MATCHES = 1_000_000     # matches of a query chunk that are held before all but the k best of each query are dropped
+
+
+def _parts(rows: Column, cfg: SearchConfig) -> Column:
+    """Parts that a side of so many rows is cut into: of ``block_size`` rows at least, up to ``slices`` of them, more only
+    where a part would hold over ``slice_rows`` rows."""
+    some = F.least(F.ceil(rows / F.lit(cfg.block_size)), F.lit(cfg.slices).cast("long"))
+    return F.greatest(F.lit(1).cast("long"), some, F.ceil(rows / F.lit(cfg.slice_rows)))
+
+
+def dealt(queries: DataFrame, store: DataFrame, cfg: SearchConfig, timed: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows (qid, qv, qt) and (id, v, t) of both sides with the keys of the groups they meet in: the part of the store, the
+    part of the queries and, if entries expire, the time bucket. A row is copied once for each part of the other side."""
+    q_rows, s_rows = F.count("*").alias("q_rows"), F.count("*").alias("s_rows")
+    if timed:       # an entry of bucket b is live for queries of the buckets b and b + 1 only
+        bucket = lambda t: F.floor(F.col(t) / cfg.ttl_s).cast("long")
+        store = store.withColumn("tb", bucket("t"))
+        queries = queries.withColumn("tb", F.explode(F.array(bucket("qt") - 1, bucket("qt"))))
+        sizes = store.groupBy("tb").agg(s_rows).join(queries.groupBy("tb").agg(q_rows), "tb")
+        store, queries = store.join(sizes, "tb"), queries.join(sizes, "tb")
+    else:
+        n_q, n_s = queries.agg(q_rows).first()[0], store.agg(s_rows).first()[0]
+        store, queries = (x.withColumns({"q_rows": F.lit(n_q), "s_rows": F.lit(n_s)}) for x in (store, queries))
+    s_parts, q_parts = _parts(F.col("s_rows"), cfg), _parts(F.col("q_rows"), cfg)
+
+    def every(parts: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+
+    keys = [*(["tb"] if timed else []), "blk", "qc"]
+    store = store.withColumns({"blk": F.pmod(F.xxhash64("id"), s_parts), "qc": every(q_parts)})
+    queries = queries.withColumns({"qc": F.pmod(F.xxhash64("qid"), q_parts), "blk": every(s_parts)})
+    return queries.select(*keys, "qid", "qv", "qt"), store.select(*keys, "id", "v", "t"), keys
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = pc.list_flatten(vectors).to_numpy()
+    return flat.reshape(len(vectors), len(flat) // len(vectors))
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
+
+
+def _rings(m: np.ndarray, cfg: SearchConfig) -> tuple[np.ndarray, list[tuple[int, np.ndarray, float, float]]]:
+    """Some members as pivots, and the members in blocks: (nearest pivot, rows, least and largest distance from it)."""
+    n = max(1, min(cfg.pivots, math.ceil(len(m) / cfg.block_size)))
+    pivots = m[np.linspace(0, len(m) - 1, n).astype(int)]
+    d = _distances(m, pivots)
+    near = d.argmin(axis=1)
+    d = d[np.arange(len(m)), near]
+    order = np.lexsort((d, near))
+    out = []
+    for p in range(n):
+        own = order[near[order] == p]
+        out += [(p, rows, d[rows].min(), d[rows].max()) for rows in np.split(own, range(cfg.block_size, len(own), cfg.block_size)) if len(rows)]
+    return pivots, out
+
+
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query, entry, similarity) of each query."""
+    query, entry, sim = (np.concatenate(x) for x in zip(*found))
+    if k >= len(query):
+        return query, entry, sim
+    order = np.lexsort((entry, -sim, query))
+    query = query[order]
+    first = np.concatenate(([True], query[1:] != query[:-1]))
+    at = np.arange(len(query))
+    keep = at - np.maximum.accumulate(np.where(first, at, 0)) < k
+    return query[keep], entry[order][keep], sim[order][keep]
 
 
 def threshold_search(queries: DataFrame, store: DataFrame, q_id: str, q_vec: str, s_id: str, s_vec: str,
                      cfg: SearchConfig = SearchConfig(), q_time: str | None = None, s_time: str | None = None,
                      exclude_self: bool = False, earlier_only: bool = False, query_chunk: int = 4096) -> DataFrame:
-    """All (query, entry, sim) with cos >= threshold, best ``k`` per query and block (exact).
+    """All (query, entry, sim) with cos >= threshold, best ``k`` per query and part of the store (exact).
 
-    Work unit: (cell, block, query chunk) — at most ``block_size`` store vectors and ``query_chunk``
-    queries, scored by one matrix product in a cogrouped pandas function. Hot cells are split into many
-    blocks and hot blocks into many query chunks, so no group grows with the data.
+    Work unit: a part of the store with a part of the queries, scored by matrix products of at most ``block_size``
+    members and ``query_chunk`` queries in a cogrouped Arrow function; a query meets no member of a block out of its reach.
     With ``ttl_s``/times: an entry is live for a query when 0 <= t_q - t_s < ttl.
-    ``earlier_only``: entries must be strictly earlier than the query in (time, id) order.
+    ``earlier_only``: entries must be strictly earlier than the query in (time, id) order. A null vector matches nothing.
     """
-    from gatelens.session import spread
     r = math.sqrt(max(2.0 - 2.0 * cfg.threshold, 0.0))
-    piv = _pivot_matrix(store, s_id, s_vec, cfg.pivots)
-    if len(piv) == 0:        # empty store: every lookup misses
-        return queries.sparkSession.createDataFrame([], MATCH_SCHEMA)
-    store, queries = spread(store), spread(queries)
-    assigned = _assign_store(store.select(s_id, s_vec, *([s_time] if s_time else [])), s_id, s_vec, piv, r)
     ordered = s_time is not None and q_time is not None
     timed = cfg.ttl_s is not None and ordered
-    if timed:
-        assigned = assigned.withColumn("tb", F.floor(F.col(s_time).cast("double") / cfg.ttl_s).cast("long"))
-    keys = ["pivot", "ring"] + (["tb"] if timed else [])
-    # no covering-radius pass: probes into (pivot, ring) cells without members simply join nothing
-    radius = {i: float("inf") for i in range(len(piv))}
-    members, sizes = _blocks(assigned, s_id, s_vec, cfg, keys, s_time if ordered else None)
-    probes = _probe_cells(queries.select(q_id, q_vec, *([q_time] if q_time else [])), q_vec, piv, r, radius, cfg.eps)
-    probes = probes.select("*", F.inline("cells")).drop("cells")
-    if timed:
-        tq = F.floor(F.col(q_time).cast("double") / cfg.ttl_s).cast("long")
-        probes = probes.withColumn("tb", F.explode(F.array(tq - 1, tq)))
-    # one probe row per candidate block of the cell; the cell/block tables are small aggregates that AQE
-    # broadcasts when their measured size allows
-    probes = (probes.join(sizes, keys)
-              .select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).alias("qv"),
-                      (F.col(q_time).cast("double") if q_time else F.lit(None).cast("double")).alias("qt"),
-                      *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("nblk") - 1)).alias("blk")))
-    # salt hot blocks: split their probing queries into chunks, replicate the block per chunk
-    load = probes.groupBy(*keys, "blk").agg(F.ceil(F.count("*") / F.lit(query_chunk)).cast("long").alias("nq"))
-    probes = probes.join(load, keys + ["blk"]).withColumn("qc", F.pmod(F.xxhash64("qid"), F.col("nq"))).drop("nq")
-    members = (members.join(load, keys + ["blk"])
-               .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qc")).drop("nq"))
+
+    def side(df: DataFrame, key: str, vec: str, time: str | None, names: list[str]) -> DataFrame:
+        t = (F.col(time) if time else F.lit(None)).cast("double")
+        return df.select(*(c.alias(n) for c, n in zip((F.col(key).cast("long"), F.col(vec), t), names)))
+
+    probes, members, keys = dealt(side(queries, q_id, q_vec, q_time, ["qid", "qv", "qt"]),
+                                  side(store, s_id, s_vec, s_time if ordered else None, ["id", "v", "t"]), cfg, timed)
     thr, k, ttl = cfg.threshold, cfg.k, cfg.ttl_s
-    gkeys = keys + ["blk", "qc"]
-
-    def score(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(m) == 0:
-            return pd.DataFrame({"query_id": [], "entry_id": [], "similarity": []})
-        qm = np.stack(q["qv"].to_numpy())
-        mm = np.stack(m["v"].to_numpy())
-        sims = qm @ mm.T                                   # queries x members
-        ok = sims >= thr
-        qids = q["qid"].to_numpy()[:, None]
-        ids = m["id"].to_numpy()[None, :]
-        if exclude_self:
-            ok &= ids != qids
-        if ordered:
-            qt = q["qt"].to_numpy(dtype=np.float64)[:, None]
-            ts = m["t"].to_numpy(dtype=np.float64)[None, :]
+
+    def chunk(qm: np.ndarray, qids: np.ndarray, qt: np.ndarray, m: np.ndarray, ids: np.ndarray, ts: np.ndarray,
+              pivots: np.ndarray, rings: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        d = _distances(qm, pivots)
+        for p, rows, low, high in rings:
+            far = (d[:, p] > high + r + cfg.eps + MARGIN) | (d[:, p] < low - r - cfg.eps - MARGIN)
+            near = np.flatnonzero(~far)
+            if not len(near):
+                continue
+            sims = (qm[near] if far.any() else qm) @ m[rows].T         # queries x members
+            qi, mi = np.nonzero(sims >= thr)
+            sim, qi, mi = sims[qi, mi], near[qi], rows[mi]
+            ok = np.ones(len(sim), bool)
+            if exclude_self:
+                ok &= ids[mi] != qids[qi]
             if timed:
-                ok &= (qt - ts >= 0) & (qt - ts < ttl)
-            if earlier_only:
-                ok &= (ts < qt) | ((ts == qt) & (ids < qids))
-        elif earlier_only:
-            ok &= ids < qids
-        qi, mi = np.nonzero(ok)
-        out = pd.DataFrame({"query_id": qids[qi, 0], "entry_id": ids[0, mi], "similarity": sims[qi, mi]})
-        if k < len(out):
-            out = (out.sort_values(["query_id", "similarity", "entry_id"], ascending=[True, False, True])
-                   .groupby("query_id", sort=False).head(k))
-        return out.astype({"query_id": "int64", "entry_id": "int64", "similarity": "float64"})
-
-    return (probes.select(*gkeys, "qid", "qv", "qt").groupBy(*gkeys)
-            .cogroup(members.select(*gkeys, "id", "v", "t").groupBy(*gkeys))
-            .applyInPandas(score, MATCH_SCHEMA))
+                ok &= (qt[qi] - ts[mi] >= 0) & (qt[qi] - ts[mi] < ttl)
+            if earlier_only and ordered:
+                ok &= (ts[mi] < qt[qi]) | ((ts[mi] == qt[qi]) & (ids[mi] < qids[qi]))
+            elif earlier_only:
+                ok &= ids[mi] < qids[qi]
+            yield qids[qi[ok]], ids[mi[ok]], sim[ok]
+
+    def score(q: pa.Table, m: pa.Table) -> pa.Table:
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        found = [none]
+        q, m = q.filter(pc.is_valid(q["qv"])), m.filter(pc.is_valid(m["v"]))
+        if q.num_rows and m.num_rows:
+            qm, mm = _matrix(q["qv"]), _matrix(m["v"])
+            qids, ids, qt, ts = (c.to_numpy() for c in (q["qid"], m["id"], q["qt"], m["t"]))
+            pivots, rings = _rings(mm, cfg)
+            for a in range(0, len(qm), query_chunk):
+                b, held = a + query_chunk, [none]
+                for part in chunk(qm[a:b], qids[a:b], qt[a:b], mm, ids, ts, pivots, rings):
+                    held.append(part)
+                    if sum(len(x[0]) for x in held) > HELD_MATCHES:
+                        held = [_best(held, k)]
+                found.append(_best(held, k))
+        return pa.table(dict(zip(("query_id", "entry_id", "similarity"), _best(found, k))))
+
+    return probes.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(score, MATCH_SCHEMA)
 
 
 def top_k(matches: DataFrame, k: int) -> DataFrame:
