@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from gatelens.llm.common import slices
 from gatelens.session import ensure_checkpoint_dir
 
-CHUNK_BYTES = 4 << 20        # bytes of text in a chunk (a longer text is a chunk of its own)
+CHUNK_BYTES = 2 << 20        # bytes of text in a chunk (a longer text is a chunk of its own)
 JOIN_ROWS = 2_000_000        # rows that one hash join gives at most, but for a single left row
-KEPT_UNITS = 400_000         # units whose ids a worker remembers
+KEPT_UNITS = 150_000         # units whose ids a worker remembers
 
 # fixed value: how byte-level tokenizers of this family cut a text before merging
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
