@@ -51,5 +51,6 @@ def strict_parse_json(text: Column) -> Column:
     ``[...]`` and requiring a single element rejects trailing content, like a strict JSON parser.
     """
     w = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(w.isNotNull() & F.try_variant_get(w, "$[1]", "variant").isNull(),
-                  F.try_variant_get(w, "$[0]", "variant"))
+    # a lambda's argument is parsed once, however often it is used, also in a filter
+    return F.get(F.transform(F.array(w), lambda v: F.when(
+        v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))), F.lit(0))

@@ -95,7 +95,7 @@ def assemble_chunks(lines: DataFrame, id_col: str = "response_id", seq_col: str
     good = parsed.filter(F.col("ok"))
     frag = F.coalesce(F.col("c.message.content"), F.lit(""))
     g = good.groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq_col).alias("k"), frag.alias("v")))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(seq_col).alias("k"), frag.alias("v")))),
                                  lambda x: x["v"]), "").alias("content"),
         F.max_by("c", F.when(F.col("c.done"), F.col(seq_col))).alias("final"))
     return g.select(id_col, "content", F.col("final.model").alias("model"),

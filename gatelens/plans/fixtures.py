@@ -330,17 +330,16 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns streamed as NDJSON chunks (one per space-separated piece), with blank and broken lines."""
     from gatelens.operators.prompts import turn_pairs
     tp = turn_pairs(conversations(spark, sf_dir))
-    pieces = tp.select((F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), "turn",
-                       F.posexplode(F.split("response", " ")).alias("seq", "w"), F.size(F.split("response", " ")).alias("n"))
+    # split before the pieces are rows, so that it is done once a response
+    words = tp.select((F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), F.split("response", " ").alias("ws"))
+    pieces = words.withColumn("n", F.size("ws")).select("response_id", "n", F.posexplode("ws").alias("seq", "w"))
     last = F.col("seq") == F.col("n") - 1
     frag = F.when(last, F.col("w")).otherwise(F.concat("w", F.lit(" ")))
     chunk = F.to_json(F.struct(F.lit("local-model").alias("model"),
                                F.struct(F.lit("assistant").alias("role"), frag.alias("content")).alias("message"),
                                last.alias("done"), F.when(last, F.lit("stop")).alias("done_reason"),
                                F.when(last, F.col("n").cast("long")).alias("eval_count")))
-    good = pieces.select("response_id", (F.col("seq") * 2).alias("seq"), chunk.alias("line"))
-    blank = pieces.filter(F.col("seq") % 9 == 4).select("response_id", (F.col("seq") * 2 + 1).alias("seq"),
-                                                        F.lit("   ").alias("line"))
-    broken = pieces.filter((F.col("seq") % 13 == 6) & (F.col("seq") % 9 != 4)).select(
-        "response_id", (F.col("seq") * 2 + 1).alias("seq"), F.lit("{broken json").alias("line"))
-    return good.unionByName(blank).unionByName(broken)
+    noise = F.when(F.col("seq") % 9 == 4, F.lit("   ")).when(F.col("seq") % 13 == 6, F.lit("{broken json"))
+    lines = F.array(F.struct((F.col("seq") * 2).alias("seq"), chunk.alias("line")),
+                    F.struct((F.col("seq") * 2 + 1).alias("seq"), noise.alias("line")))
+    return pieces.select("response_id", F.inline(lines)).filter(F.col("line").isNotNull())
