@@ -3,7 +3,8 @@
 Inside a task, chunks of texts are Arrow tables. A text is a list of units: the stretches between single spaces that
 stand between other characters. No token of either kind of tokenizer crosses such a space (the byte-level splitter starts
 a new stretch there, and no piece holds a space after another character), so both have a token end there and each
-distinct unit of a chunk is aligned once; a tokenizer for which that cannot be told gets whole texts as units. Token lists
+distinct unit of a chunk is aligned once, and many of them are encoded in one call, with the space between them; a
+tokenizer for which that cannot be told gets whole texts as units. Token lists
 are flattened with their parent indices, byte ends are cumulative sums per unit, a hash join on (unit, end) gives the
 offsets where tokens of both end, one on the group between two such offsets gives the linked ids, and one on the unit
 brings them to the texts. ``Table.group_by`` counts a chunk's pairs; Spark merges the counts of all chunks and brings
@@ -21,7 +22,6 @@ import json
 import re
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from gatelens.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 2 << 20        # bytes of text in a chunk (a longer text is a chunk of its own)
 JOIN_ROWS = 2_000_000        # rows that one hash join gives at most, but for a single left row
-KEPT_UNITS = 150_000         # units whose ids a worker remembers
+BLOCK_UNITS = 200            # units that are given to a tokenizer as one text
 
 # fixed value: how byte-level tokenizers of this family cut a text before merging
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -112,14 +112,8 @@ def tokenizer(path: str) -> ByteLevel | Pieces:
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 
-def _lists(encoded: Iterable[bytes]) -> pa.ListArray:
-    encoded = list(encoded)
-    at = np.cumsum([0] + [len(x) // 4 for x in encoded])
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
-
-
-def _joined_bytes(lists: pa.ListArray, pieces: pa.Array) -> pa.Array:
-    return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, pieces.take(lists.values)), b"")
+def _bytes(t: ByteLevel | Pieces, encoded: bytes) -> bytes:
+    return b"".join(map(t.bytes.__getitem__, np.frombuffer(encoded, np.int32).tolist()))
 
 
 def _ends(lists: pa.ListArray, sizes: np.ndarray) -> pa.Table:
@@ -169,21 +163,54 @@ _CHUNK = ("chunk long, texts array<struct<doc_id:long,n_a:long,n_b:long,n_groups
 class _Aligner:
     def __init__(self, path_a: str, path_b: str, digest: bool):
         self.a, self.b, self.digest = tokenizer(path_a), tokenizer(path_b), digest
-        self.pieces = [pa.array(t.bytes, pa.binary()) for t in (self.a, self.b)]
         self.sizes = [np.array([len(x) for x in t.bytes]) for t in (self.a, self.b)]
         self.names = [pa.array([str(i) for i in range(len(t.bytes))]) for t in (self.a, self.b)]
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-
-    def _ids(self, units: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > KEPT_UNITS:
-            self.known, new = {}, units
-        self.known.update(zip(new, zip(self.a.encode(new), self.b.encode(new))))
-        lists = tuple(map(_lists, zip(*map(self.known.__getitem__, units))))
-        for u in new:
-            if len(u) > 64:
-                del self.known[u]
-        return lists
+
+    def _split(self, texts: list[str]) -> tuple[list[str], list[bool], np.ndarray, np.ndarray]:
+        """The distinct units of the texts, whether each may stand between spaces, the units of all texts as positions in
+        them, and how many each text has."""
+        units = self.a.units and self.b.units
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ") if units else pa.array([[t] for t in texts], pa.list_(pa.string()))
+        found = lists.flatten().dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        plain = [units and u != "" and u == u.strip() for u in distinct]
+        if units and not all(plain):        # spaces beside other white space: no border there
+            lists = pa.array([_BORDER.split(t) for t in texts], pa.list_(pa.string()))
+            found = lists.flatten().dictionary_encode()
+            distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+            plain = [u != "" and u == u.strip() for u in distinct]
+        return distinct, plain, found.indices.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy()
+
+    def _ids(self, units: list[str], plain: list[bool]) -> tuple[list[pa.ListArray], np.ndarray]:
+        """Each side's ids of each unit, and whether both give it back byte by byte. Plain units are encoded many at a time,
+        with a space between them as in a text; a block that is not given back is encoded unit by unit, as are the others."""
+        joint = [k for k, ok in enumerate(plain) if ok and "  " not in units[k] and "▁" not in units[k]]
+        single = np.ones(len(units), bool)
+        single[joint] = False
+        single = np.flatnonzero(single).tolist()
+        blocks = [joint[k:k + BLOCK_UNITS] for k in range(0, len(joint), BLOCK_UNITS)]
+        texts = [" ".join([units[k] for k in block]) for block in blocks]
+        width = pc.binary_length(pa.array(units, pa.string())).to_numpy() + 1
+        ends = [np.cumsum(width[block]) for block in blocks]
+        lists, good = [], np.ones(len(units), bool)
+        for t, sizes in zip((self.a, self.b), self.sizes):
+            ids, many, order, alone = [], [], [], list(single)
+            for block, text, last, encoded in zip(blocks, texts, ends, t.encode(texts)):
+                cut = np.cumsum(sizes[np.frombuffer(encoded, np.int32)])
+                at = np.searchsorted(cut, last)
+                if _bytes(t, encoded) == (" " + text).encode() and (cut[at] == last).all():
+                    ids.append(encoded)
+                    many.append(np.diff(at, prepend=-1))
+                    order += block
+                else:
+                    alone += block
+            encoded = t.encode([units[k] for k in alone])
+            good[[k for k, x in zip(alone, encoded) if _bytes(t, x) != (" " + units[k]).encode()]] = False
+            many.append(np.array([len(x) // 4 for x in encoded], np.int64))
+            at = pa.array(np.cumsum(np.concatenate(([0], *many))), pa.int32())
+            lists.append(pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(ids + encoded), np.int32)))
+                         .take(pa.array(np.argsort(order + alone))))
+        return lists, good
 
     def chunk(self, number: int, ids: list, texts: list[str | None]) -> pa.RecordBatch:
         given = [k for k, t in enumerate(texts) if t]
@@ -192,13 +219,8 @@ class _Aligner:
         found = pa.table({c: pa.array([], pa.int64()) for c in ("text", "pair", "times")})
         pairs = pa.table({c: pa.array([], pa.int32()) for c in ("a", "b")})
         if given:
-            split = [_BORDER.split(texts[k]) if self.a.units and self.b.units else [texts[k]] for k in given]
-            number_of = {u: k for k, u in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-            encoded = self._ids(list(number_of))
-            want = pa.array([(" " + u).encode() for u in number_of], pa.binary())
-            back = pc.and_(*(pc.equal(_joined_bytes(x, p), want) for x, p in zip(encoded, self.pieces))).to_numpy(zero_copy_only=False)
-            many = np.array([len(x) for x in split])
-            unit = np.fromiter(map(number_of.__getitem__, chain.from_iterable(split)), np.int64, int(many.sum()))
+            units, plain, unit, many = self._split([texts[k] for k in given])
+            encoded, back = self._ids(units, plain)
             good = np.logical_and.reduceat(back[unit], np.cumsum(many) - many)
             given = [k for k, ok in zip(given, good.tolist()) if ok]
             if given:

@@ -105,6 +105,23 @@ def test_units_give_the_ids_of_whole_texts():
         assert [b"".join(t.encode(alignment._BORDER.split(x))) for x in texts] == t.encode(texts)
 
 
+def test_units_are_encoded_many_in_a_call(plain, monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeé日1'.,\n") for _ in range(rng.randint(1, 9))).strip() or "x" for _ in range(5000)]
+    texts = [" ".join(words[k:k + 500]) for k in range(0, 5000, 500)] + ["a  b", " lead and trail ", "new \n lines", "▁ under ▁score", "tab\t end"]
+    given = []
+    for side in (alignment.ByteLevel, alignment.Pieces):
+        def counted(self, some, encode=side.encode):
+            given.append(len(some))
+            return encode(self, some)
+        monkeypatch.setattr(side, "encode", counted)
+    rows = [t for t in alignment._Aligner(A, B, False).chunk(0, list(range(len(texts))), texts)["texts"][0].as_py()]
+    assert sum(given) < 1000 < len(set(words))
+    want, _ = restated(plain, texts)
+    assert {t["doc_id"]: (t["n_a"], t["n_b"], t["n_groups"], t["n_links"], t["groups"]) for t in rows} \
+        == {k: (*w[:4], w[6]) for k, w in enumerate(want)}
+
+
 def test_odd_tables(spark, plain):
     docs = spark.createDataFrame([(None, "x y"), (1, "x y"), (1, "x y"), (2, None)], "doc_id long, text string")
     rows = sorted(map(tuple, alignment.align(docs, A, B, digest=True)[0].collect()), key=str)
