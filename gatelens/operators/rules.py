@@ -21,6 +21,7 @@ from gatelens.functions import jsonschema as js
 from gatelens.functions import text as tx
 from gatelens.functions.lexicon import strict_parse_json
 
+CHECKED_ROWS = 1_000             # rows (pairs of response and rule) that a check in Arrow batches gets at a time
 BROADCAST_CHARS = 4_000_000      # a rule table is broadcast while its parameters are this short; beyond, a shuffled join
 
 NODE = ("struct<idx:int,parent:int,height:int,block:boolean,id:string,type:string,action:string,tier:string,params:string,"
@@ -246,25 +247,31 @@ BATCHES: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = {"schema": _schema_
 
 
 def _in_batches(check: Callable[[pd.DataFrame], pd.DataFrame], rules: Column, c: dict) -> Column:
-    """Array of outcomes of ``rules``; ``check`` sees one row per response and rule, and no row of a response without."""
+    """Array of outcomes of ``rules``; ``check`` sees one row per response and rule, and no row of a response without.
+
+    It is marked as not deterministic: else the optimizer repeats it in filters that it infers from what reads the array
+    (``inline``), and every task runs the check twice, in two Python processes."""
     most = c["shown_chars"]
 
     def run(params: pd.Series, response: pd.Series, request: pd.Series, document: pd.Series, extracted: pd.Series) -> pd.Series:
         sizes = [0 if p is None else len(p) for p in params]
         rows = [k for k, n in enumerate(sizes) for _ in range(n)]
+        texts = [x for p in params if p is not None for x in p]
         out: list[list] = [[] for _ in sizes]
-        if rows:
-            frame = pd.DataFrame({n: s.iloc[rows].tolist() for n, s in (("response", response), ("request", request), ("document", document),
+        for at in range(0, len(rows), CHECKED_ROWS):
+            some = rows[at:at + CHECKED_ROWS]
+            frame = pd.DataFrame({n: s.iloc[some].tolist() for n, s in (("response", response), ("request", request), ("document", document),
                                                                         ("extracted", extracted))}, dtype=object)
-            frame["params"] = [x for p in params if p is not None for x in p]
-            for k, r in zip(rows, check(frame).to_dict("records")):
+            frame["params"] = texts[at:at + CHECKED_ROWS]
+            for k, r in zip(some, check(frame).to_dict("records")):
                 shown = {n: r[n] if r["failed"] and isinstance(r[n], str) else None for n in ("message", "evidence", "location")}
                 shown["evidence"] = shown["evidence"] and shown["evidence"][:most]
                 out[k].append({"failed": bool(r["failed"]), "compliance": float(r["compliance"]), **shown})
         return pd.Series(out)
-    needed = F.size(rules) > 0
-    return F.pandas_udf(run, f"array<{OUTCOME}>")(F.transform(rules, lambda r: r["params"]), F.when(needed, c["response"]),
-                                                   F.when(needed, c["request"]), F.when(needed, c["document"]), F.lit(c["payload"]))
+    needed, unread = F.size(rules) > 0, F.lit(None).cast("string")
+    texts = [unread if check is _schema_batch else F.when(needed, c[n]) for n in ("response", "request")]      # schemas read the document alone
+    return F.pandas_udf(run, f"array<{OUTCOME}>").asNondeterministic()(
+        F.transform(rules, lambda r: r["params"]), *texts, F.when(needed, c["document"]), F.lit(c["payload"]))
 
 
 # ------------------------------------------------------------------ evaluation
