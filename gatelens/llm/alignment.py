@@ -6,13 +6,15 @@ a new stretch there, and no piece holds a space after another character), so bot
 distinct unit of a chunk is aligned once, and many of them are encoded in one call, with the space between them; a
 tokenizer for which that cannot be told gets whole texts as units. Token lists
 are flattened with their parent indices, byte ends are cumulative sums per unit, a hash join on (unit, end) gives the
-offsets where tokens of both end, one on the group between two such offsets gives the linked ids, and one on the unit
-brings them to the texts. ``Table.group_by`` counts a chunk's pairs; Spark merges the counts of all chunks and brings
-every chunk the merged counts of its own pairs.
+offsets where tokens of both end, one on the group between two such offsets gives the linked ids, and those of a unit are
+gathered for the texts that hold it. Units are aligned some thousand tokens at a time and texts are brought together some
+at a time, so a task never holds the joins of a whole chunk. Spark merges the counts of all chunks' pairs and brings every
+chunk the merged counts of its own pairs.
 
 Texts are tokenized once: chunks are written to a table in the shared folder, with each text's pairs as positions in
 its chunk's list of pairs. That list is all that is joined by pair, so a pair found in every document costs one row a
-chunk, and no table of all pairs is broadcast.
+chunk, and no table of all pairs is broadcast. The texts of a chunk are one compressed value for Spark: their lists of
+pairs are never rows or arrays of the JVM, whose readers would hold those of a whole file at once.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from gatelens.llm.common import slices
 from gatelens.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 2 << 20        # bytes of text in a chunk (a longer text is a chunk of its own)
-JOIN_ROWS = 2_000_000        # rows that one hash join gives at most, but for a single left row
+JOIN_ROWS = 100_000          # rows that one join gives at most, but for a single left row or text
+BLOCK_TOKENS = 16_384        # tokens of one side that are aligned at a time, but for a single unit
 BLOCK_UNITS = 200            # units that are given to a tokenizer as one text
 
 # fixed value: how byte-level tokenizers of this family cut a text before merging
@@ -118,6 +121,7 @@ def _bytes(t: ByteLevel | Pieces, encoded: bytes) -> bytes:
 
 def _ends(lists: pa.ListArray, sizes: np.ndarray) -> pa.Table:
     """(unit, end, at, id) of every token: its unit, its byte end in the unit, its row."""
+    lists = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), lists.flatten())
     parent = pc.list_parent_indices(lists)
     end = pc.cumulative_sum(pa.array(sizes[lists.values.to_numpy()], pa.int64()))
     base = np.concatenate(([0], end.to_numpy()))[lists.offsets.to_numpy()[:-1]]
@@ -156,8 +160,8 @@ def _in_groups(ids: pa.Array, group: np.ndarray, groups: int, names: pa.Array) -
 
 _TEXT = pa.struct([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
                    ("groups", pa.string()), ("pair", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
-_CHUNK = ("chunk long, texts array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,groups:string,"
-          "pair:array<int>,times:array<int>>>, a array<int>, b array<int>, n array<int>")
+_CHUNK = "chunk long, texts binary, a array<int>, b array<int>, n array<int>"
+_ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
 class _Aligner:
@@ -175,7 +179,9 @@ class _Aligner:
         distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         plain = [units and u != "" and u == u.strip() for u in distinct]
         if units and not all(plain):        # spaces beside other white space: no border there
-            lists = pa.array([_BORDER.split(t) for t in texts], pa.list_(pa.string()))
+            odd = ~np.logical_and.reduceat(np.array(plain)[found.indices.to_numpy()], lists.offsets.to_numpy()[:-1])
+            again = pa.array([_BORDER.split(texts[k]) for k in np.flatnonzero(odd).tolist()], pa.list_(pa.string()))
+            lists = pa.concat_arrays([lists.filter(pa.array(~odd)), again]).take(pa.array(np.argsort(np.argsort(odd, kind="stable"))))
             found = lists.flatten().dictionary_encode()
             distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
             plain = [u != "" and u == u.strip() for u in distinct]
@@ -216,7 +222,7 @@ class _Aligner:
         given = [k for k, t in enumerate(texts) if t]
         rows = {name: np.zeros(0, np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
         groups = pa.array([], pa.string())
-        found = pa.table({c: pa.array([], pa.int64()) for c in ("text", "pair", "times")})
+        found = {c: np.zeros(0, np.int64) for c in ("text", "pair", "times")}
         pairs = pa.table({c: pa.array([], pa.int32()) for c in ("a", "b")})
         if given:
             units, plain, unit, many = self._split([texts[k] for k in given])
@@ -226,16 +232,11 @@ class _Aligner:
             if given:
                 unit, many = unit[np.repeat(good, many)], many[good]
                 used, unit = np.unique(unit, return_inverse=True)
-                encoded = [pa.ListArray.from_arrays(x.offsets, x.values) for x in (e.take(pa.array(used)) for e in encoded)]
-                rows, groups, found, pairs = self._texts(unit, many, *(_ends(x, s) for x, s in zip(encoded, self.sizes)), len(used))
+                rows, groups, found, pairs = self._texts(unit, many, *(e.take(pa.array(used)) for e in encoded))
         n = len(given)
-        counted = found.group_by(["pair"], use_threads=False).aggregate([([], "count_all")])
-        held = np.zeros(len(pairs), np.int32)
-        held[counted["pair"].to_numpy()] = counted["count_all"].to_numpy()
-        text = found["text"].to_numpy()
-        order = np.lexsort((found["pair"].to_numpy(), text))
-        lengths = np.bincount(text, minlength=n)
-        lists = {c: _by_text(found[c].to_numpy()[order], lengths) for c in ("pair", "times")}
+        held = np.bincount(found["pair"], minlength=len(pairs))
+        lengths = np.bincount(found["text"], minlength=n)
+        lists = {c: _by_text(found[c], lengths) for c in ("pair", "times")}
 
         # texts without tokens come last, with zeros
         rest = sorted(set(range(len(texts))) - set(given))
@@ -250,26 +251,52 @@ class _Aligner:
                     for x in (pairs["a"].to_numpy(), pairs["b"].to_numpy(), held)]
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "texts", "a", "b", "n"])
 
-    def _texts(self, unit: np.ndarray, many: np.ndarray, a: pa.Table, b: pa.Table,
-               units: int) -> tuple[dict[str, np.ndarray], pa.Array, pa.Table, pa.Table]:
-        """Counts, groups and pairs of texts, given as ``many`` units each, from the tokens of the distinct units."""
-        per_unit, written, linked = self._align(a, b, units)
-        text = np.repeat(np.arange(len(many)), many)
-        rows = {}
-        for name, value in per_unit.items():
-            rows[name] = np.zeros(len(many), np.int64)
-            np.add.at(rows[name], text, value[unit])
-        at = pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32())
-        groups = pc.binary_join(pa.ListArray.from_arrays(at, written.take(pa.array(unit))), ";")
-        if self.digest:
-            groups = pa.array([hashlib.sha256(g.as_buffer()).hexdigest() for g in groups], pa.string())
-
+    def _texts(self, unit: np.ndarray, many: np.ndarray, a: pa.ListArray,
+               b: pa.ListArray) -> tuple[dict[str, np.ndarray], pa.Array, dict[str, np.ndarray], pa.Table]:
+        """Counts, groups and pairs of texts, given as ``many`` units each, from the ids of the distinct units."""
+        per_unit, written, linked = self._units(a, b)
+        at = np.concatenate(([0], np.cumsum(many)))
+        rows = {name: np.add.reduceat(value[unit], at[:-1]) for name, value in per_unit.items()}
         pairs = linked.group_by(["a", "b"], use_threads=False).aggregate([])
         pairs = pairs.append_column("pair", pa.array(np.arange(len(pairs))))
-        linked = linked.join(pairs, keys=["a", "b"], join_type="inner", use_threads=False).select(["unit", "pair", "times"])
-        uses = pa.table({"text": pa.array(text), "unit": pa.array(unit)}).group_by(["text", "unit"], use_threads=False) \
-            .aggregate([([], "count_all")])
-        return rows, groups, _summed(_joined(uses, linked, "unit"), "count_all", "times", ["text", "pair"]), pairs
+        linked = linked.join(pairs, keys=["a", "b"], join_type="inner", use_threads=False).select(["unit", "pair", "times"]).sort_by("unit")
+        links = np.bincount(linked["unit"].to_numpy(), minlength=len(a))
+        first, pair, times = np.cumsum(links) - links, linked["pair"].to_numpy(), linked["times"].to_numpy()
+
+        groups, found = [], []
+        total = np.cumsum(np.add.reduceat(links[unit], at[:-1]))
+        k = 0
+        while k < len(many):
+            last = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + JOIN_ROWS, "right")))
+            here = unit[at[k]:at[last]]
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at[k:last + 1] - at[k], pa.int32()), written.take(pa.array(here))), ";")
+            groups.append(pa.array([hashlib.sha256(g.as_buffer()).hexdigest() for g in joined], pa.string()) if self.digest else joined)
+            uses, count = np.unique(np.repeat(np.arange(k, last), many[k:last]) * len(a) + here, return_counts=True)
+            text, here = np.divmod(uses, len(a))
+            n = links[here]
+            row = np.arange(n.sum()) + np.repeat(first[here] - (np.cumsum(n) - n), n)
+            key = np.repeat(text, n) * len(pairs) + pair[row]
+            order = np.argsort(key)
+            key = key[order]
+            edge = np.flatnonzero(np.diff(key, prepend=-1))
+            found.append((key[edge], np.add.reduceat((times[row] * np.repeat(count, n))[order], edge)))
+            k = last
+        text, pair = np.divmod(np.concatenate([x for x, _ in found]), len(pairs))
+        return rows, pa.concat_arrays(groups), {"text": text, "pair": pair, "times": np.concatenate([x for _, x in found])}, pairs
+
+    def _units(self, a: pa.ListArray, b: pa.ListArray) -> tuple[dict[str, np.ndarray], pa.Array, pa.Table]:
+        """``_align`` of all units, in blocks of at most BLOCK_TOKENS tokens of either side but for a single unit."""
+        ends = [x.offsets.to_numpy()[1:] for x in (a, b)]
+        rows, written, linked = [], [], []
+        k = 0
+        while k < len(a):
+            last = max(k + 1, min(int(np.searchsorted(e, (e[k - 1] if k else 0) + BLOCK_TOKENS, "right")) for e in ends))
+            r, w, links = self._align(*(_ends(x.slice(k, last - k), s) for x, s in zip((a, b), self.sizes)), last - k)
+            rows.append(r)
+            written.append(w)
+            linked.append(links.set_column(0, "unit", pc.add(links["unit"], k)))
+            k = last
+        return {c: np.concatenate([r[c] for r in rows]) for c in rows[0]}, pa.concat_arrays(written), pa.concat_tables(linked)
 
     def _align(self, a: pa.Table, b: pa.Table, n: int) -> tuple[dict[str, np.ndarray], pa.Array, pa.Table]:
         """Of each of n units: counts, its groups as a string, its linked pairs with how often."""
@@ -319,10 +346,36 @@ def _encode(path_a: str, path_b: str, digest: bool):
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 32
         for k, (ids, texts) in enumerate(_chunks(batches)):
-            yield aligner.chunk(base + k, ids, texts)
+            yield _packed(aligner.chunk(base + k, ids, texts))
+            pa.default_memory_pool().release_unused()       # else the worker keeps what its largest join took
     return run
 
 
+def _packed(chunk: pa.RecordBatch) -> pa.RecordBatch:
+    """The chunk with its texts as one value, a compressed Arrow stream."""
+    texts = pa.RecordBatch.from_struct_array(chunk["texts"].values)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(texts)
+    return chunk.set_column(1, "texts", pa.array([sink.getvalue().to_pybytes()], pa.binary()))
+
+
+def _with_counts(chunk: pa.Table, known: pa.Table) -> pa.Table:
+    """The rows of a chunk's texts, from the chunk and the merged counts (at, n_docs, is_best) of its pairs."""
+    count, best = np.zeros(len(known), np.int64), np.zeros(len(known), bool)
+    at = known["at"].to_numpy()
+    count[at], best[at] = known["n_docs"].to_numpy(), known["is_best"].to_numpy()
+    texts = pa.ipc.open_stream(chunk["texts"][0].as_buffer()).read_all().combine_chunks()
+    pair, times = (texts[c].combine_chunks() for c in ("pair", "times"))
+    offsets, pair, times = pair.offsets.to_numpy(), pair.values.to_numpy(), times.values.to_numpy().astype(np.int64)
+
+    def total(value):
+        return pa.array(np.diff(np.concatenate(([0], np.cumsum(value)))[offsets]))
+
+    return texts.drop_columns(["pair", "times", "groups"]).append_column("n_best", total(times * best[pair])) \
+        .append_column("count_sum", total(times * count[pair])).append_column("groups", texts["groups"])
+
+
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
           digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """Alignment of each row's text under two tokenizers, and the counts of linked id pairs.
@@ -339,21 +392,12 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/alignment-{uuid.uuid4().hex}"
     docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(_encode(path_a, path_b, digest), _CHUNK).write.parquet(folder)
+        .mapInArrow(_encode(path_a, path_b, digest), _CHUNK).write.option("parquet.page.size.row.check.min", "1").parquet(folder)
     chunks = spark.read.schema(_CHUNK).parquet(folder)
     pairs = chunks.select("chunk", F.posexplode(F.arrays_zip("a", "b", "n")).alias("at", "pair")).select("chunk", "at", "pair.*")
     merged = pairs.groupBy("a", "b").agg(F.sum("n").alias("n_docs"))
     # at most one row per id of the second vocabulary meets in a window
     counts = merged.withColumn("is_best", F.col("n_docs") == F.max("n_docs").over(Window.partitionBy("a")))
-    known = pairs.select("chunk", "at", "a", "b").join(counts, ["a", "b"]) \
-        .groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "n_docs", "is_best"))).alias("known"))
-    known = known.select("chunk", F.col("known.n_docs").alias("known_n"), F.col("known.is_best").alias("known_best"))
-
-    def total(text, value):
-        return F.aggregate(F.zip_with(text["pair"], text["times"], value), F.lit(0).cast("long"), lambda s, x: s + x)
-
-    rows = chunks.select("chunk", "texts").join(known, "chunk", "left").select(F.explode(F.transform("texts", lambda t: F.struct(
-        *(t[c].alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")),
-        total(t, lambda i, k: F.when(F.get("known_best", i), k).otherwise(0).cast("long")).alias("n_best"),
-        total(t, lambda i, k: F.get("known_n", i) * k).alias("count_sum"), t["groups"].alias("groups")))).alias("row"))
-    return rows.select("row.*"), counts
+    known = pairs.select(F.col("chunk").alias("of"), "at", "a", "b").join(counts, ["a", "b"]).select("of", "at", "n_docs", "is_best")
+    rows = chunks.select("chunk", "texts").groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_with_counts, _ROWS)
+    return rows, counts

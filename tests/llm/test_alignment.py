@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -137,3 +138,40 @@ def test_query_returns_every_document(spark):
     rows = op12_tokenizer_alignment(spark, SF_SMALL)
     assert rows.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert rows.count() == table(spark, SF_SMALL, "documents").count()
+
+
+@pytest.mark.parametrize("tokens, join_rows", [(1, 1), (40, 300)])
+def test_blocks_give_what_the_whole_chunk_gives(spark, plain, monkeypatch, tokens, join_rows):
+    texts = ODD + ["x \n y z", "one two one\ttwo one"] * 3 + [r.text for r in table(spark, SF_SMALL, "documents").where("length(text) < 2000").orderBy("doc_id").limit(30).collect()]
+    monkeypatch.setattr(alignment, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(alignment, "JOIN_ROWS", join_rows)
+    batch = alignment._Aligner(A, B, False).chunk(0, list(range(len(texts))), texts)
+    want, want_counts = restated(plain, texts)
+    a, b, n = (batch[c][0].as_py() for c in "abn")
+    assert {(x, y, k) for x, y, k in zip(a, b, n)} == {x[:3] for x in want_counts} and len(a) == len(want_counts)
+    count, best = {x[:2]: x[2] for x in want_counts}, {x[:2] for x in want_counts if x[3]}
+    for t in batch["texts"][0].as_py():
+        pairs = [((a[p], b[p]), k) for p, k in zip(t["pair"], t["times"])]
+        got = (t["n_a"], t["n_b"], t["n_groups"], t["n_links"], sum(k for p, k in pairs if p in best), sum(k * count[p] for p, k in pairs), t["groups"])
+        assert got == want[t["doc_id"]]
+
+
+def test_a_chunk_takes_little_memory():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij1.é") for _ in range(rng.randint(2, 9))) for _ in range(30_000)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(700)]       # a chunk of 2 MB
+    aligner, given = alignment._Aligner(A, B, True), pa.default_memory_pool()
+    pa.set_memory_pool(pool := pa.proxy_memory_pool(given))
+    try:
+        aligner.chunk(0, list(range(len(texts))), texts)
+    finally:
+        pa.set_memory_pool(given)
+    assert pool.max_memory() < 20 << 20
+
+
+def test_texts_of_a_chunk_are_one_value_for_spark(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(alignment, "ensure_checkpoint_dir", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(50)], "doc_id long, text string").coalesce(1)
+    rows, _ = alignment.align(docs, A, B)
+    assert dict(spark.read.parquet(str(next(tmp_path.glob("alignment-*")))).dtypes)["texts"] == "binary"
+    assert rows.count() == 50
